@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import decontamination, mixing, sharding
+from readloom.llm import ann, brown_lm, decontamination, language_id, mixing, ngram_join, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_brown_lm": brown_lm.op1_brown_lm,
+        "op2_url_filter": url_filter.op2_url_filter,
         "op3_decontamination": decontamination.op3_decontamination,
+        "op4_kmeans_tree": ann.op4_kmeans_tree,
         "op5_mixing": mixing.op5_mixing,
+        "op8_ngram_join": ngram_join.op8_ngram_join,
+        "op9_language_id": language_id.op9_language_id,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontamination.OP3_SQL}
+    return {"op3_decontamination": decontamination.OP3_SQL, "op8_ngram_join": ngram_join.OP8_SQL}
