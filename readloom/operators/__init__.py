@@ -1,0 +1,6 @@
+"""Operators over alignment DataFrames."""
+
+from readloom.operators.mates import chain_template_lengths, mate_chains, pair_template_lengths, view_as_pairs
+from readloom.operators.ranges import coverage_depth, range_join, range_query, slice_statistics
+
+__all__ = ["chain_template_lengths", "coverage_depth", "mate_chains", "pair_template_lengths", "range_join", "range_query", "slice_statistics", "view_as_pairs"]

@@ -1,0 +1,7 @@
+"""Readers of alignment text formats as DataFrames, and the sinks that go with them."""
+
+from readloom.sources.crai import read_crai
+from readloom.sources.fasta import read_fasta, reference_chunks
+from readloom.sources.sam import read_header, read_sam, references, sam_lines
+
+__all__ = ["read_crai", "read_fasta", "read_header", "read_sam", "reference_chunks", "references", "sam_lines"]
