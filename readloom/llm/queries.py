@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import ann, brown_lm, decontamination, language_id, mixing, ngram_join, sharding, url_filter
+from readloom.llm import ann, brown_lm, decontamination, language_id, mixing, ngram_join, sharding, toxicity, url_filter, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_kmeans_tree": ann.op4_kmeans_tree,
         "op5_mixing": mixing.op5_mixing,
+        "op6_wrappers": wrappers.op6_wrappers,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_language_id": language_id.op9_language_id,
         "op10_sharding": sharding.op10_sharding,
