@@ -181,7 +181,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     columns = docs.columns
     pieces, placed, _ = mix(docs, **how)
     copies = pieces.groupBy("source", "bucket", "nth", "doc_id", "text_key", "pass").agg(F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"), F.sum(F.col("word_to") - F.col("word_from")).alias("words"))
-    copies = copies.join(placed.select("source", "bucket", "nth", "doc_id", "text_key", "size"), ["bucket", "nth", "doc_id", "text_key"]).filter(copies["source"].eqNullSafe(placed["source"]))
+    whole = placed.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), F.col("nth").alias("nth_"), "size")
+    copies = copies.join(whole, (F.col("bucket") == F.col("bucket_")) & (F.col("nth") == F.col("nth_")) & F.col("source").eqNullSafe(F.col("source_")))
     copies = copies.select("doc_id", "text_key", "spans", (F.col("words") == F.col("size")).alias("whole")).toDF("id_", "key_", "spans_", "whole_")
     joined = docs.withColumn("key__", F.xxhash64("doc_id", "text")).join(copies, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key__") == F.col("key_")))
     parts = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
