@@ -204,7 +204,7 @@ def props_json(spark, d):
 
 
 def quality_text(spark, d):
-    q = F.transform(F.sequence(F.lit(1), F.col("l_linenumber")), lambda i: (F.col("l_quantity").cast("int") + i) % 60)
+    q = F.transform(F.sequence(F.lit(1), F.col("l_linenumber")), lambda i: 10 + (F.col("l_quantity").cast("int") + i) % 50)
     text = R.quality_string(q)
     return _table(spark, d, "lineitem").select(*_KEY, text.alias("quality"), F.aggregate(R.quality_bytes(text), F.lit(0), lambda a, x: a + x).alias("quality_sum"), R.quality_at(q, 0).alias("first_quality"))
 
@@ -303,7 +303,7 @@ from feat join refs on feat.ref_id = refs.ref_id""",
     "reference_md5": "select doc_id, md5(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^!-~]', '', 'g')) as md5 from documents",
     "record_json": f"with {_ALN} select unique_id, start, length_on_ref, next_start from aln",
     "props_json": "select event_id, cast(props->>'$.k' as bigint) as k from events",
-    "quality_text": f"""with q as (select {_KEYS}, list_transform(range(1, l_linenumber + 1), lambda i: (cast(l_quantity as int) + i) % 60) as q from lineitem)
+    "quality_text": f"""with q as (select {_KEYS}, list_transform(range(1, l_linenumber + 1), lambda i: 10 + (cast(l_quantity as int) + i) % 50) as q from lineitem)
 select {_KEYS}, array_to_string(list_transform(q, lambda x: chr(cast(x + 33 as int))), '') as quality, cast(list_sum(q) as int) as quality_sum, cast(q[1] as int) as first_quality from q""",
     "run_merge": """with e as (select *, row_number() over (partition by user_id order by event_id) - row_number() over (partition by user_id, event_type order by event_id) as island from events)
 select user_id, event_type, min(event_id) as first_event, count(*) as n_events from e group by user_id, event_type, island""",
