@@ -112,8 +112,9 @@ def test_index_recall(spark, block):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(8, 16)) * 3
     rows = {i: (centres[i % 8] + rng.normal(size=16)).astype(np.float32).tolist() for i in range(600)}
+    long = [4 * x for x in rows[100]]
     for i in range(100, 160):
-        rows[i] = rows[100]  # copies: ties
+        rows[i] = long  # copies: ties
     odd = [(601, None), (602, [0.0] * 16), (603, [1.0, None] + [0.0] * 14), (604, [float("nan")] * 16), (605, [float("inf")] * 16), (606, [1.0, 2.0]), (None, [1.0] * 16), (7, rows[7])]
     df = spark.createDataFrame([*rows.items(), *odd], "vec_id long, embedding array<float>")
     index = ann.TreeIndex(df, leaf=16, block=block)
