@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import CHUNK_BYTES, table
+from readloom.llm.common import CHUNK_BYTES, lean, table
 
 # bytes that are no word bytes become blanks, A-Z become a-z
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -128,7 +128,7 @@ def word_counts(docs: DataFrame, index) -> DataFrame:
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["word", "n"])
 
-    return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _merge(old: list[dict], begins: np.ndarray, ends: np.ndarray) -> list[dict]:
@@ -186,7 +186,7 @@ def matched(docs: DataFrame, items: DataFrame, window: int = 13, block_bytes: in
                 yield pa.RecordBatch.from_pydict(columns)
 
         schema = f"doc_id {key.simpleString()}, n_words long, spans {_SPANS}, items array<string>" + ("" if last else ", text string")
-        out = out.mapInArrow(find, schema)
+        out = out.mapInArrow(lean(find), schema)
     return out
 
 

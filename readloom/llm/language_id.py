@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import LOWER, doc_crc, fraction, table, text_chunks
+from readloom.llm.common import LOWER, doc_crc, fraction, lean, table, text_chunks
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, net: ByteCNN | None, names: list[str]) -> DataFrame
                 best[first : first + len(total)], score[first : first + len(total)] = total.argmax(1), total.max(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names).take(pa.array(best)), pa.array(np.clip(score, 0, 1))], [*batch.schema.names, "lang_pred", "score"])
 
-    out = docs.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    out = docs.mapInArrow(lean(run), ", ".join([*fields, "lang_pred string", "score double"]))
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return out.withColumns({"lang_pred": F.when(lettered, F.col("lang_pred")).otherwise(UNDETERMINED), "score": F.when(lettered, F.col("score")).otherwise(0.0)})
 
