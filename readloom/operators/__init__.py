@@ -1,6 +1,10 @@
 """Operators over alignment DataFrames."""
 
-from readloom.operators.mates import chain_template_lengths, mate_chains, pair_template_lengths, view_as_pairs
+from readloom.operators.mates import associate_mates, chain_template_lengths, mate_chains, pair_template_lengths, propagate_names, view_as_pairs
 from readloom.operators.ranges import coverage_depth, range_join, range_query, slice_statistics
+from readloom.operators.reference import absolute_starts, check_checksums, reference_spans, with_reference
 
-__all__ = ["chain_template_lengths", "coverage_depth", "mate_chains", "pair_template_lengths", "range_join", "range_query", "slice_statistics", "view_as_pairs"]
+__all__ = [
+    "absolute_starts", "associate_mates", "chain_template_lengths", "check_checksums", "coverage_depth", "mate_chains", "pair_template_lengths", "propagate_names", "range_join", "range_query", "reference_spans", "slice_statistics",
+    "view_as_pairs", "with_reference",
+]

@@ -71,3 +71,31 @@ def chain_template_lengths(chained: DataFrame, key: list[str], read_length: str
     return rows.withColumn("template_length", F.when(F.col("n_") > 1, F.when(F.col("start") == F.col("first_"), F.col("span_")).otherwise(-F.col("span_")))).drop("first_", "span_", "n_")
 
 
+
+
+def associate_mates(reads: DataFrame, key: list[str]) -> DataFrame:
+    """Mate positions and flags from forward pointers `mate_no` among rows of equal `key`.
+
+    A read with a pointer gets its mate's place as its next one, and counts as paired; the mate gets this read's place if it has
+    neither a next place nor a pointer of its own, so the last of three segments points at the second. Unmapped and reverse
+    flags go both ways. Needs rec_no, mate_no, flags, sequence_id, start, next_sequence_id, next_start.
+    """
+    bits = lambda f: F.when(f.bitwiseAND(F.lit(4)) != 0, 8).otherwise(0).bitwiseOR(F.when(f.bitwiseAND(F.lit(16)) != 0, 32).otherwise(0))
+    place = lambda n, p: [*key, F.col(n).alias(f"{p}no"), F.col("flags").alias(f"{p}flags"), F.col("sequence_id").alias(f"{p}seq"), F.col("start").alias(f"{p}start")]
+    ahead = reads.select(*place("rec_no", "a_")).withColumnRenamed("a_no", "mate_no")
+    behind = reads.filter("mate_no is not null").select(*place("mate_no", "b_")).withColumnRenamed("b_no", "rec_no")
+    rows = reads.join(ahead, [*key, "mate_no"], "left").join(behind, [*key, "rec_no"], "left")
+    linked, back = F.col("a_flags").isNotNull(), F.col("b_flags").isNotNull() & F.col("mate_no").isNull() & F.col("next_sequence_id").isNull()
+    flags = F.col("flags").bitwiseOR(F.when(linked, F.lit(1).bitwiseOR(bits(F.col("a_flags")))).otherwise(0)).bitwiseOR(F.when(F.col("b_flags").isNotNull(), bits(F.col("b_flags"))).otherwise(0))
+    done = rows.withColumns({
+        "flags": flags,
+        "next_sequence_id": F.when(linked, F.col("a_seq")).when(back, F.col("b_seq")).otherwise(F.col("next_sequence_id")),
+        "next_start": F.when(linked, F.col("a_start")).when(back, F.col("b_start")).otherwise(F.col("next_start")),
+    })
+    return done.select(*reads.columns)
+
+
+def propagate_names(chained: DataFrame, key: list[str], unique: str = "unique_id") -> DataFrame:
+    """Reads without a stored name get that of their chain: its first read's name, or else that read's unique id as text."""
+    head = chained.filter(F.col("rec_no") == F.col("chain")).select(*key, "chain", F.coalesce("read_name", F.col(unique).cast("string")).alias("chain_name"))
+    return chained.join(head, [*key, "chain"]).withColumn("read_name", F.coalesce("read_name", "chain_name")).drop("chain_name")

@@ -238,6 +238,46 @@ def unplaced_reads(spark, d):
     return O.range_query(a, -1, -1, float("inf")).select("unique_id", "start")
 
 
+def placed_features(spark, d):
+    """Feature positions worked out again from read positions, and the reference length of each read."""
+    f = _featured(spark, d).withColumn("placed", R.place_features(F.col("features"), F.col("start")))
+    return f.select(*_KEY, R.length_on_ref(F.col("features"), F.lit(20)).alias("length_on_ref"), F.aggregate("placed", F.lit(0), lambda a, x: a * 3 % 100003 + x["ref_pos"]).alias("ref_pos_sum"))
+
+
+def reference_join(spark, d):
+    """The reference under every read, put together from chunks of 64 bases."""
+    from readloom.sources import reference_chunks
+
+    reads = _featured(spark, d)
+    refs = reads.select("ref_id", F.col("ref").alias("seq")).distinct()
+    rows = reads.select(*_KEY, F.col("ref_id").alias("sequence_id"), "start", R.length_on_ref(F.col("features"), F.lit(20)).alias("length_on_ref"))
+    return O.with_reference(rows, reference_chunks(refs, 64), 64, _KEY).select(*_KEY, F.col("ref").alias("ref_bases"))
+
+
+def reference_spans(spark, d):
+    return O.reference_spans(alignments(spark, d).withColumn("slice", F.floor(F.col("start") / 1000)), ["slice"]).select("slice", "sequence_id", "span_start", "span_end")
+
+
+def delta_starts(spark, d):
+    w = Window.partitionBy("read_name").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    a = alignments(spark, d).withColumns({"rec_no": F.row_number().over(w), "start_delta": F.col("start") - F.coalesce(F.lag("start").over(w), F.lit(100)), "slice_start_pos": F.lit(100)})
+    return O.absolute_starts(a.drop("start"), ["read_name"]).select("unique_id", "start")
+
+
+def mate_association(spark, d):
+    w = Window.partitionBy("read_name").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    a = alignments(spark, d).withColumns({"rec_no": F.row_number().over(w), "n": F.count(F.lit(1)).over(Window.partitionBy("read_name"))})
+    a = a.withColumns({"mate_no": F.when((F.col("rec_no") % 3 != 0) & (F.col("rec_no") < F.col("n")), F.col("rec_no") + 1), "next_sequence_id": F.lit(None).cast("int"), "next_start": F.lit(None).cast("long"), "flags": F.col("flags").bitwiseAND(F.lit(-2))})
+    return O.associate_mates(a, ["read_name"]).select("unique_id", "flags", "next_sequence_id", "next_start")
+
+
+def lossy_names(spark, d):
+    w = Window.partitionBy("read_name").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    a = alignments(spark, d).withColumns({"rec_no": F.row_number().over(w), "slice": F.col("read_name"), "n": F.count(F.lit(1)).over(Window.partitionBy("read_name"))})
+    a = a.withColumns({"mate_no": F.when((F.col("rec_no") % 3 != 0) & (F.col("rec_no") < F.col("n")), F.col("rec_no") + 1), "read_name": F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("n"), F.col("l_partkey").cast("string")))})
+    return O.propagate_names(O.mate_chains(a, ["slice"]), ["slice"]).select("unique_id", "read_name")
+
+
 _FEAT = """feat as (
   select l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(l_suppkey % 25 as int) as ref_id, cast(l_partkey % 200 as int) as start, case when l_returnflag = 'R' then 3 else 0 end as c,
     case when l_linestatus = 'O' then 2 else 0 end as n, case when l_linenumber % 2 = 0 then l_linenumber else 0 end as gap, substr('ACGT', cast(l_partkey % 4 as int) + 1, 1) as sub from lineitem),
@@ -298,6 +338,18 @@ union all select {_KEYS}, concat(case when c > 0 then '3S' else '' end, case whe
 from feat join refs on feat.ref_id = refs.ref_id""",
     "mismatches": f"with {_FEAT}, {_DIFFS} select {_KEYS}, code, cast(ref_pos as int) as ref_pos, cast(length as int) as length, bases, qual, ref_base, clip_length from diffs",
     "mismatches_in_window": f"with {_FEAT}, {_DIFFS} select ref_id, code, cast(ref_pos - 50 as int) as ref_pos, count(*) as n from diffs where case when code = 'D' then ref_pos < 120 and ref_pos + length > 50 else ref_pos >= 50 and ref_pos < 120 end group by all",
+    "placed_features": f"""with {_FEAT}, p as (select *, list_concat(case when c > 0 then [start] else [] end, [start + 5 - c], case when n > 0 then [start + 9 - c] else [] end, case when gap > 0 then [start + 13 - c - n] else [] end) as places from feat)
+select {_KEYS}, cast(20 - c - n + gap as int) as length_on_ref, cast(list_reduce(list_prepend(0, places), lambda a, x: a * 3 % 100003 + x) as int) as ref_pos_sum from p""",
+    "reference_join": f"with {_FEAT} select {_KEYS}, substr(ref, start + 1, 20 - c - n + gap) as ref_bases from feat join refs on feat.ref_id = refs.ref_id",
+    "reference_spans": f"with {_ALN} select start // 1000 as slice, sequence_id, min(start) as span_start, max(start + coalesce(length_on_ref, read_length)) as span_end from aln group by 1, 2",
+    "delta_starts": f"with {_ALN} select unique_id, start from aln",
+    "mate_association": f"""with {_ALN}, {_NUMBERED}, k as (select unique_id, flags - 1 as f, sequence_id, start, rec_no % 3 <> 0 and lead(start) over w is not null as ahead, lag(rec_no % 3 <> 0) over w as behind,
+  lead(sequence_id) over w as aq, lead(start) over w as a_at, lead(flags) over w as af, lag(sequence_id) over w as bq, lag(start) over w as b_at, lag(flags) over w as bf from num window w as (partition by read_name order by rec_no))
+select unique_id, cast(f | case when ahead then 1 | (case when af & 4 <> 0 then 8 else 0 end) | (case when af & 16 <> 0 then 32 else 0 end) else 0 end
+  | case when behind then (case when bf & 4 <> 0 then 8 else 0 end) | (case when bf & 16 <> 0 then 32 else 0 end) else 0 end as int) as flags,
+  case when ahead then aq when behind then bq end as next_sequence_id, case when ahead then a_at when behind then b_at end as next_start from k""".replace("af & 4 <>", "(af & 4) <>").replace("af & 16 <>", "(af & 16) <>").replace("bf & 4 <>", "(bf & 4) <>").replace("bf & 16 <>", "(bf & 16) <>"),
+    "lossy_names": f"""with {_ALN}, {_NUMBERED}, k as (select *, case when l_suppkey % 4 = 0 then 'n' || l_partkey end as own, (rec_no - 1) // 3 as chain from num)
+select unique_id, coalesce(own, first_value(coalesce(own, unique_id)) over (partition by read_name, chain order by rec_no)) as read_name from k""",
     "tag_last_wins": "select user_id, event_type, arg_max(value, event_id) as value from events group by 1, 2",
     "tags_map": "with t as (select user_id, left(event_type, 2) as tag, arg_max(event_id % 1000, event_id) as v from events group by 1, 2) select user_id, count(*) as n_tags, cast(sum(v) as bigint) as tag_sum from t group by 1",
     "reference_md5": "select doc_id, md5(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^!-~]', '', 'g')) as md5 from documents",
@@ -317,6 +369,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         overlap_range, flag_matrix, pair_orientation, view_as_pairs, view_as_pairs_across, range_join, template_length, mate_chain_lengths, slice_index, slice_prune, has_data, coverage_depth, cigar_spans, clip_lengths, packed_cigar,
         op_histogram, feature_cigar, read_bases, mismatches, mismatches_in_window, tag_last_wins, tags_map, reference_md5, block_crc32, record_json, props_json, quality_text, run_merge, reference_lookup, header_tokens, unplaced_reads,
+        placed_features, reference_join, reference_spans, delta_starts, mate_association, lossy_names,
     ]
     return {"pairs_in_range": flagship} | {f.__name__: f for f in found}
 

@@ -44,7 +44,8 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("line", "\t")
     at = lambda i: F.get(f, F.lit(i))
     short = F.raise_error(F.lit(f"{MalformedInputError.__name__}: a SAM line has under 11 fields"))
-    rows = lines.withColumn("line", F.when(F.size(f) >= 11, F.col("line")).otherwise(short.cast("string")))
+    whole = (F.size(f) >= 11) | F.col("line").startswith("@") | (F.col("line") == "")  # a filter may be merged with this
+    rows = lines.withColumn("line", F.when(whole, F.col("line")).otherwise(short.cast("string")))
     star = lambda c: F.when(c != "*", c)
     rows = rows.select(
         "file", "rec_no", star(at(0)).alias("read_name"), at(1).cast("int").alias("flags"), at(2).alias("rname"), (at(3).cast("int") - 1).alias("start"), at(4).cast("int").alias("mapping_quality"), star(at(5)).alias("cigar_text"),

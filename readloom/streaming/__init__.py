@@ -1,0 +1,5 @@
+"""Range queries over alignments that arrive as a stream."""
+
+from readloom.streaming.progress import slice_progress, stream_range
+
+__all__ = ["slice_progress", "stream_range"]
