@@ -28,14 +28,15 @@ def with_reference(reads: DataFrame, chunks: DataFrame, size: int, read_key: lis
     touch, meet it in an equality join, and put its pieces together again; reads are pre-narrowed to their key and place for that.
     """
     end = F.col("start") + F.col("length_on_ref")
-    mapped = reads.filter("length_on_ref > 0").select(*read_key, F.col("sequence_id").alias("ref_id"), "start", end.alias("end"))
+    mapped = reads.filter("length_on_ref > 0").select(*read_key, F.col("sequence_id").alias("ref_id"), "start", end.alias("end")).distinct()
     touched = mapped.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / size).cast("int"), F.floor((F.col("end") - 1) / size).cast("int"))))
     at = F.col("chunk").cast("long") * size
     part = F.substring(F.col("seq"), F.greatest(F.lit(0), F.col("start") - at).cast("int") + 1, (F.least(F.col("end") - at, F.lit(size)) - F.greatest(F.lit(0), F.col("start") - at)).cast("int"))
-    pieces = touched.join(chunks.select("ref_id", "chunk", "seq"), ["ref_id", "chunk"]).select(*read_key, "chunk", "start", "end", part.alias("part"))
-    whole = pieces.groupBy(*read_key).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"])).alias("ref"), F.max(F.col("end") - F.col("start")).alias("need_"))
-    whole = whole.filter(F.length("ref") == F.col("need_")).drop("need_")
-    return reads.join(whole, read_key, "left")
+    pieces = touched.join(chunks.select("ref_id", "chunk", "seq"), ["ref_id", "chunk"]).select(*read_key, "ref_id", "chunk", "start", "end", part.alias("part"))
+    place = [*read_key, "sequence_id", "start", "length_on_ref"]  # rows of equal key may lie elsewhere
+    pieces = pieces.withColumns({"sequence_id": F.col("ref_id"), "length_on_ref": F.col("end") - F.col("start")})
+    whole = pieces.groupBy(*place).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"])).alias("ref"))
+    return reads.join(whole.filter(F.length("ref") == F.col("length_on_ref")), place, "left")
 
 
 def check_checksums(slices: DataFrame) -> DataFrame:
