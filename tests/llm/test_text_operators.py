@@ -287,11 +287,11 @@ def brute_components(rows, width=5):
     return [(d, len(s), label[d] if d is not None else None) for d, s in sets], links
 
 
-@pytest.mark.parametrize(("leaf", "room"), [(32, 4096), (1, 1), (1, 4096)])
-def test_join_is_brute_force(docs, leaf, room):
+@pytest.mark.parametrize(("leaf", "room", "busy"), [(32, 4096, 256), (1, 1, 2), (1, 4096, 1)])
+def test_join_is_brute_force(docs, leaf, room, busy):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want, _ = brute_components(rows)
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.JaccardJoin(docs, leaf=leaf, room=room, common_from=3).result().collect()]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.JaccardJoin(docs, leaf=leaf, room=room, common_from=3, busy=busy).result().collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
@@ -310,7 +310,7 @@ def test_join_finds_clusters_without_a_middle(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [tuple(r) for r in ngram_join.JaccardJoin(docs, leaf=2, room=8).result().collect()]
     assert sorted(got) == sorted(want)
-    every = ngram_join.JaccardJoin(docs, leaf=4, room=16, all_links=True)
+    every = ngram_join.JaccardJoin(docs, leaf=4, room=16, busy=5, all_links=True)
     assert {(min(r["p"], r["x"]), max(r["p"], r["x"])) for r in every.links.collect()} == links
 
 
