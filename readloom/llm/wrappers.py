@@ -7,8 +7,9 @@ by a longest common subsequence among siblings, a tag that only some pages have
 
 A wrapper's slots are sorted once for the host: out goes what lies in menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments by tag, class or id, and short text that is the same on every sampled page while other slots differ; in stays what lies in an
-article or main element, or, on hosts without one, what is left and not mostly links. Each page is then aligned with its
-host's wrapper, which gives its texts their slots; text that the wrapper does not know is judged by its own containers.
+article or main element, or, on pages without one, what is left and not mostly links. Each page is then aligned with its
+host's wrapper, which gives its texts their slots; text that the wrapper does not know is judged by its own containers. Whether there
+is an article is decided for each page, as templates of one host differ; links are counted over the pages without one.
 
 A wrapper is inferred from at most `per_host` pages of a host, drawn by hash. All pages are extracted whole. Wrappers are broadcast
 while they are under `broadcast_bytes` together, else joined by host.
@@ -52,14 +53,15 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 class Node:
     """A container with its children in order; a slot has key '#' and, on a page, its blocks of text."""
 
-    __slots__ = ("blocks", "inside", "key", "kids", "link_chars", "optional", "repeated", "seen", "texts")
+    __slots__ = ("blocks", "inside", "key", "kids", "link_chars", "optional", "plain_texts", "repeated", "seen", "texts")
 
     def __init__(self, key: str, blocks: list[str] | None = None, link_chars: int = 0):
         self.key, self.kids, self.blocks, self.link_chars = key, [], blocks, link_chars
         self.optional = self.repeated = False
-        self.inside: bool | None = None
+        self.inside: int | None = None
         self.seen = 0
         self.texts: set[str] = set()
+        self.plain_texts: set[str] = set()
 
     def shape(self) -> str:
         return self.key if self.key == "#" else f"{self.key}({','.join([k.shape() for k in self.kids])})"
@@ -154,8 +156,8 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def generalized(wrapper: Node, page: Node, first: bool) -> None:
-    """Widens the wrapper so that it fits the page; wrapper and page have the same key."""
+def generalized(wrapper: Node, page: Node, first: bool, plain: bool) -> None:
+    """Widens the wrapper so that it fits the page; wrapper and page have the same key. plain: the page has no article."""
     places = fold(page.kids)
     pairs = aligned([k.key for k in wrapper.kids], [n.key for n, _ in places])
     met_w, met_p = {i for i, _ in pairs}, {j: i for i, j in pairs}
@@ -178,10 +180,12 @@ def generalized(wrapper: Node, page: Node, first: bool) -> None:
         for n, x in enumerate(same):
             if x.key == "#":
                 own.texts.add("\n".join(x.blocks)[:200])
-                own.link_chars += x.link_chars
+                if plain:
+                    own.link_chars += x.link_chars
+                    own.plain_texts.add("\n".join(x.blocks)[:200])
                 own.blocks = [*(own.blocks or []), *x.blocks][:1]
             else:
-                generalized(own, x, j not in met_p and n == 0)
+                generalized(own, x, j not in met_p and n == 0, plain)
     wrapper.kids = kids + wrapper.kids[at:]
 
 
@@ -198,26 +202,34 @@ def _verdict(path: tuple[str, ...]) -> bool | None:
     return found
 
 
-def sort_slots(wrapper: Node, n_pages: int) -> bool:
-    """Marks each slot as main text or not; tells whether the host has article elements."""
-    slots: list[tuple[Node, tuple[str, ...]]] = []
+def verdicts(root: Node) -> list[tuple[Node, bool | None]]:
+    """The slots in order, each with what its containers say."""
+    slots: list[tuple[Node, bool | None]] = []
 
     def walk(node: Node, path: tuple[str, ...]) -> None:
         for k in node.kids:
             if k.key == "#":
-                slots.append((k, path))
+                slots.append((k, _verdict(path)))
             else:
                 walk(k, (*path, k.key))
 
-    walk(wrapper, ())
-    marks = [(s, _verdict(p)) for s, p in slots]
-    has_article = any(v for _, v in marks)
+    walk(root, ())
+    return slots
+
+
+#: What becomes of a slot: left out; main text of a page without an article; article; or as PLAIN, if the page's own text is not mostly links.
+OUT, PLAIN, ARTICLE, OWN = 0, 1, 2, 3
+
+
+def sort_slots(wrapper: Node, n_pages: int) -> bool:
+    """Marks each slot; tells whether any page of the host has an article."""
+    marks = verdicts(wrapper)
     differs = any(len(s.texts) > 1 for s, v in marks if v is not False)
     for s, v in marks:
         fixed = n_pages > 3 and differs and s.seen == n_pages and not s.repeated and len(s.texts) == 1 and len(next(iter(s.texts))) < 80
-        mostly_links = s.link_chars > 0.5 * sum(len(t) for t in s.texts)
-        s.inside = v is not False and not fixed and (bool(v) if has_article else not mostly_links)
-    return has_article
+        mostly_links = s.link_chars > 0.5 * sum(len(t) for t in s.plain_texts)
+        s.inside = OUT if v is False or fixed else ARTICLE if v else OWN if not s.plain_texts else OUT if mostly_links else PLAIN
+    return any(v for _, v in marks)
 
 
 def regex(node: Node) -> str:
@@ -227,10 +239,11 @@ def regex(node: Node) -> str:
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of pages as JSON data: {article, regex, tree}; a tree is [key, inside, children]."""
+    """The wrapper of pages as JSON data: {article, regex, tree}; a tree is [key, mark, children]."""
     root = Node("")
     for i, html in enumerate(pages):
-        generalized(root, parse(html), i == 0)
+        page = parse(html)
+        generalized(root, page, i == 0, not any(v for _, v in verdicts(page)))
     article = sort_slots(root, len(pages))
     dump = lambda n: [n.key, n.inside, [dump(k) for k in n.kids]]
     return {"article": article, "regex": regex(root), "tree": dump(root)}
@@ -241,40 +254,24 @@ class Extractor:
 
     def __init__(self, wrapper: dict | None):
         self.tree = wrapper["tree"] if wrapper else ["", None, []]
-        self.article = bool(wrapper and wrapper["article"])
-        self.seen: dict[str, list[bool]] = {}
+        self.seen: dict[str, list[int]] = {}
 
-    def _decide(self, page: Node) -> list[bool]:
-        """For each slot of the page in order: whether it is main text."""
-        marks: dict[int, bool] = {}
-
-        def own(node: Node, path: tuple[str, ...]) -> None:
-            for k in node.kids:
-                if k.key == "#":
-                    v = _verdict(path)
-                    marks[id(k)] = v is not False and (bool(v) if self.article else k.link_chars <= 0.5 * sum(map(len, k.blocks)))
-                else:
-                    own(k, (*path, k.key))
+    def _decide(self, page: Node) -> list[int]:
+        """The mark of each slot of the page in order."""
+        own = verdicts(page)
+        marks = {id(k): OUT if v is False else ARTICLE if v else OWN for k, v in own}
 
         def match(node: Node, tree: list) -> None:
             places = fold(node.kids)
             for i, j in aligned([t[0] for t in tree[2]], [n.key for n, _ in places]):
                 for x in places[j][1]:
                     if x.key == "#":
-                        marks[id(x)] = bool(tree[2][i][1])
+                        marks[id(x)] = tree[2][i][1]
                     else:
                         match(x, tree[2][i])
 
-        own(page, ())
         match(page, self.tree)
-        out: list[bool] = []
-
-        def order(node: Node) -> None:
-            for k in node.kids:
-                out.append(marks[id(k)]) if k.key == "#" else order(k)
-
-        order(page)
-        return out
+        return [marks[id(k)] for k, _ in own]
 
     def text(self, html: str) -> str:
         page = parse(html)
@@ -283,12 +280,14 @@ class Extractor:
             if len(self.seen) > 10_000:
                 self.seen.clear()
             self.seen[shape] = self._decide(page)
-        marks, blocks = iter(self.seen[shape]), []
+        given = self.seen[shape]
+        article, marks, blocks = ARTICLE in given, iter(given), []
 
         def walk(node: Node) -> None:
             for k in node.kids:
                 if k.key == "#":
-                    if next(marks):
+                    mark = next(marks)
+                    if mark == ARTICLE or not article and (mark == PLAIN or mark == OWN and k.link_chars <= 0.5 * sum(map(len, k.blocks))):
                         blocks.extend(k.blocks)
                 else:
                     walk(k)

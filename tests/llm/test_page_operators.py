@@ -95,6 +95,13 @@ def test_host_without_article(spark):
     assert {r["text"] for r in wrappers.extract(df).collect()} == {f"Text {i} of some length" for i in range(8)}
 
 
+def test_host_that_mixes_templates(spark):
+    kinds = ["<html><body><article><p>Story {n} of the day</p></article><div>Menu</div></body></html>", "<html><body><div><p>Plain {n} of the day</p></div></body></html>", "<html><body><table><tr><td>Cell {n} of the day</td></tr></table></body></html>", "<html><body><div class=content>Note {n} of the day</div></body></html>"]
+    df = spark.createDataFrame([(i, "http://mix.org/", kinds[i % 4].format(n=i)) for i in range(60)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()}
+    assert got == {i: f"{('Story', 'Plain', 'Cell', 'Note')[i % 4]} {i} of the day" for i in range(60)}
+
+
 def _product(a, b):
     return reduce(lambda s, xy: s + float(xy[0]) * float(xy[1]), zip(a, b, strict=True), 0.0)  # in order, as sum() would not
 
