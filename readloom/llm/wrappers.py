@@ -53,15 +53,14 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 class Node:
     """A container with its children in order; a slot has key '#' and, on a page, its blocks of text."""
 
-    __slots__ = ("blocks", "inside", "key", "kids", "link_chars", "optional", "plain_texts", "repeated", "seen", "texts")
+    __slots__ = ("blocks", "chars", "inside", "key", "kids", "link_chars", "optional", "repeated", "seen", "texts")
 
     def __init__(self, key: str, blocks: list[str] | None = None, link_chars: int = 0):
         self.key, self.kids, self.blocks, self.link_chars = key, [], blocks, link_chars
         self.optional = self.repeated = False
         self.inside: int | None = None
-        self.seen = 0
+        self.seen = self.chars = 0  # chars and link_chars of a wrapper's slot: of all its texts on pages without an article
         self.texts: set[str] = set()
-        self.plain_texts: set[str] = set()
 
     def shape(self) -> str:
         return self.key if self.key == "#" else f"{self.key}({','.join([k.shape() for k in self.kids])})"
@@ -179,10 +178,10 @@ def generalized(wrapper: Node, page: Node, first: bool, plain: bool) -> None:
         own.seen += 1
         for n, x in enumerate(same):
             if x.key == "#":
-                own.texts.add("\n".join(x.blocks)[:200])
+                own.texts.add("\n".join(x.blocks))
                 if plain:
                     own.link_chars += x.link_chars
-                    own.plain_texts.add("\n".join(x.blocks)[:200])
+                    own.chars += sum(map(len, x.blocks))
                 own.blocks = [*(own.blocks or []), *x.blocks][:1]
             else:
                 generalized(own, x, j not in met_p and n == 0, plain)
@@ -227,8 +226,7 @@ def sort_slots(wrapper: Node, n_pages: int) -> bool:
     differs = any(len(s.texts) > 1 for s, v in marks if v is not False)
     for s, v in marks:
         fixed = n_pages > 3 and differs and s.seen == n_pages and not s.repeated and len(s.texts) == 1 and len(next(iter(s.texts))) < 80
-        mostly_links = s.link_chars > 0.5 * sum(len(t) for t in s.plain_texts)
-        s.inside = OUT if v is False or fixed else ARTICLE if v else OWN if not s.plain_texts else OUT if mostly_links else PLAIN
+        s.inside = OUT if v is False or fixed else ARTICLE if v else OWN if not s.chars else OUT if s.link_chars > 0.5 * s.chars else PLAIN
     return any(v for _, v in marks)
 
 

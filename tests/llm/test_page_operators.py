@@ -102,6 +102,16 @@ def test_host_that_mixes_templates(spark):
     assert got == {i: f"{('Story', 'Plain', 'Cell', 'Note')[i % 4]} {i} of the day" for i in range(60)}
 
 
+def test_links_are_weighed_against_whole_texts():
+    page = "<html><body><div><p>{text}</p><p><a href=/x>{link}</a></p></div></body></html>"
+    pages = [page.format(text=f"{n:04d} " + "word " * 570, link="link " * 30) for n in range(12)]
+    e = wrappers.Extractor(wrappers.infer(pages))
+    assert all(len(e.text(p)) > 2500 for p in pages)
+    alike = ["<html><body><div><p>" + "same " * 60 + f"{n}</p></div><p>All rights</p></body></html>" for n in range(12)]
+    e = wrappers.Extractor(wrappers.infer(alike))
+    assert [e.text(p) for p in alike] == ["same " * 60 + str(n) for n in range(12)]
+
+
 def _product(a, b):
     return reduce(lambda s, xy: s + float(xy[0]) * float(xy[1]), zip(a, b, strict=True), 0.0)  # in order, as sum() would not
 
