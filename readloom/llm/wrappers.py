@@ -6,12 +6,14 @@ by a longest common subsequence among siblings, a tag that only some pages have
 `<html><body><nav># </nav>(<div.ad>#</div>)?<article>#</article></body></html>`.
 
 A wrapper's slots are sorted once for the host: out goes what lies in menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments by tag, class or id, and short text that is the same on every sampled page while other slots differ; in stays what lies in an
+reader comments by tag, class or id, and short text that is the same on every page while other slots differ; in stays what lies in an
 article or main element, or, on pages without one, what is left and not mostly links. Each page is then aligned with its
 host's wrapper, which gives its texts their slots; text that the wrapper does not know is judged by its own containers. Whether there
-is an article is decided for each page, as templates of one host differ; links are counted over the pages without one.
+is an article is decided for each page, as templates of one host differ; texts and links are counted apart for pages with and without one.
 
-A wrapper is inferred from at most `per_host` pages of a host, drawn by hash. All pages are extracted whole. Wrappers are broadcast
+A wrapper is inferred from all pages of a host. Tasks fold each page into a wrapper of its own and add up, for pages of equal ones, what
+their slots hold: whether texts differ, and their characters. The distinct wrappers of a host are aligned in `PARTS` groups by hash and
+then with each other, in an order that does not depend on how rows are dealt. All pages are extracted whole. Wrappers are broadcast
 while they are under `broadcast_bytes` together, else joined by host.
 
 Cases: a null or empty html gives an empty text; a null url is a page of the empty host; a null id is kept; repeated rows give
@@ -20,8 +22,10 @@ repeated rows; an empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import kept, table
+from readloom.llm.common import kept, lean, table
 from readloom.llm.url_filter import host_and_path
 
 PERIOD = 3
+PARTS = 16
 CONTAINERS = frozenset("html head body header nav footer aside main article section div form table ul ol dl figure fieldset dialog details menu search".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote tr td th dt dd hr address figcaption caption summary option title center hgroup legend".split())
 OUT_TAGS = frozenset("head nav footer aside form dialog menu search fieldset".split())
@@ -51,16 +56,16 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 
 
 class Node:
-    """A container with its children in order; a slot has key '#' and, on a page, its blocks of text."""
+    """A container with its children in order; a slot has key '#' and, on a page, its blocks of text, in a wrapper what `Stats` says."""
 
-    __slots__ = ("blocks", "chars", "inside", "key", "kids", "link_chars", "optional", "repeated", "seen", "texts")
+    __slots__ = ("blocks", "key", "kids", "link_chars", "marks", "optional", "repeated", "stats", "within")
 
     def __init__(self, key: str, blocks: list[str] | None = None, link_chars: int = 0):
         self.key, self.kids, self.blocks, self.link_chars = key, [], blocks, link_chars
         self.optional = self.repeated = False
-        self.inside: int | None = None
-        self.seen = self.chars = 0  # chars and link_chars of a wrapper's slot: of all its texts on pages without an article
-        self.texts: set[str] = set()
+        self.marks: list[int] | None = None
+        self.stats: list[list[int] | None] = [None, None]  # of pages without and with an article
+        self.within: list[Node] = []  # a page's slots that fall on this slot
 
     def shape(self) -> str:
         return self.key if self.key == "#" else f"{self.key}({','.join([k.shape() for k in self.kids])})"
@@ -155,37 +160,63 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def generalized(wrapper: Node, page: Node, first: bool, plain: bool) -> None:
-    """Widens the wrapper so that it fits the page; wrapper and page have the same key. plain: the page has no article."""
+def folded(own: Node, page: Node, first: bool = True) -> Node:
+    """Widens `own`, a wrapper of parts of one page, by a container of equal key."""
     places = fold(page.kids)
-    pairs = aligned([k.key for k in wrapper.kids], [n.key for n, _ in places])
-    met_w, met_p = {i for i, _ in pairs}, {j: i for i, j in pairs}
-    for i, k in enumerate(wrapper.kids):
-        if i not in met_w:
-            k.optional = True
-    kids, at = [], 0
+    pairs = aligned([k.key for k in own.kids], [n.key for n, _ in places])
+    met, at = {j: i for i, j in pairs}, 0
+    for k in {*range(len(own.kids))} - {i for i, _ in pairs}:
+        own.kids[k].optional = True
+    kids: list[Node] = []
     for j, (node, same) in enumerate(places):
-        if j in met_p:
-            while at <= met_p[j]:
-                kids.append(wrapper.kids[at])
-                at += 1
-            own = kids[-1]
+        if j in met:
+            kids += own.kids[at : met[j] + 1]
+            at = met[j] + 1
         else:
-            own = Node(node.key)
-            own.optional = not first
-            kids.append(own)
-        own.repeated |= len(same) > 1
-        own.seen += 1
+            kids.append(Node(node.key))
+            kids[-1].optional = not first
+        place = kids[-1]
+        place.repeated |= len(same) > 1
         for n, x in enumerate(same):
             if x.key == "#":
-                own.texts.add("\n".join(x.blocks))
-                if plain:
-                    own.link_chars += x.link_chars
-                    own.chars += sum(map(len, x.blocks))
-                own.blocks = [*(own.blocks or []), *x.blocks][:1]
+                place.within.append(x)
             else:
-                generalized(own, x, j not in met_p and n == 0, plain)
-    wrapper.kids = kids + wrapper.kids[at:]
+                folded(place, x, j not in met and n == 0)
+    own.kids = kids + own.kids[at:]
+    return own
+
+
+def added(a: list[int] | None, b: list[int] | None) -> list[int] | None:
+    """What two groups of pages say of a slot: [pages, hash of its text or DIFFER, characters, characters in links, longest text]."""
+    if a is None or b is None:
+        return b if a is None else a
+    return [a[0] + b[0], a[1] if a[1] == b[1] else DIFFER, a[2] + b[2], a[3] + b[3], max(a[4], b[4])]
+
+
+DIFFER = -1
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest())
+
+
+def merged(a: Node, b: Node) -> Node:
+    """The wrapper that fits what either of two wrappers of equal key fits; made of their nodes."""
+    a.optional |= b.optional
+    a.repeated |= b.repeated
+    a.stats = [added(x, y) for x, y in zip(a.stats, b.stats, strict=True)]
+    pairs = aligned([k.key for k in a.kids], [k.key for k in b.kids])
+    kids: list[Node] = []
+    i = j = 0
+    for x, y in [*pairs, (len(a.kids), len(b.kids))]:
+        for k in [*a.kids[i:x], *b.kids[j:y]]:
+            k.optional = True
+            kids.append(k)
+        if x < len(a.kids) and y < len(b.kids):
+            kids.append(merged(a.kids[x], b.kids[y]))
+        i, j = x + 1, y + 1
+    a.kids = kids
+    return a
 
 
 def _verdict(path: tuple[str, ...]) -> bool | None:
@@ -220,14 +251,27 @@ def verdicts(root: Node) -> list[tuple[Node, bool | None]]:
 OUT, PLAIN, ARTICLE, OWN = 0, 1, 2, 3
 
 
-def sort_slots(wrapper: Node, n_pages: int) -> bool:
-    """Marks each slot; tells whether any page of the host has an article."""
-    marks = verdicts(wrapper)
-    differs = any(len(s.texts) > 1 for s, v in marks if v is not False)
-    for s, v in marks:
-        fixed = n_pages > 3 and differs and s.seen == n_pages and not s.repeated and len(s.texts) == 1 and len(next(iter(s.texts))) < 80
-        s.inside = OUT if v is False or fixed else ARTICLE if v else OWN if not s.chars else OUT if s.link_chars > 0.5 * s.chars else PLAIN
-    return any(v for _, v in marks)
+def sort_slots(wrapper: Node, pages: list[list]) -> bool:
+    """Marks each slot, for pages without and with an article; tells whether any page of the host has one. pages: see `Pages`."""
+    loose: set[int] = set()  # slots that are repeated or within what is
+
+    def walk(node: Node, repeated: bool) -> None:
+        for k in node.kids:
+            if k.key == "#" and (repeated or k.repeated):
+                loose.add(id(k))
+            walk(k, repeated or k.repeated)
+
+    walk(wrapper, False)
+    slots = verdicts(wrapper)
+    for s, _ in slots:
+        s.marks = []
+    for kind, (n, some) in enumerate(pages):
+        differs = any(s.stats[kind][1] == DIFFER for s, v in slots if v is not False and s.stats[kind])
+        for s, v in slots:
+            of, text, chars, links, longest = s.stats[kind] or [0, DIFFER, 0, 0, 0]
+            fixed = len(some) == SOME and differs and of == n and id(s) not in loose and text != DIFFER and longest < 80
+            s.marks.append(OUT if v is False or fixed else ARTICLE if v else OWN if not chars else OUT if links > 0.5 * chars else PLAIN)
+    return any(v for _, v in slots)
 
 
 def regex(node: Node) -> str:
@@ -236,17 +280,89 @@ def regex(node: Node) -> str:
     return f"({text}){'*' if node.optional and node.repeated else '?' if node.optional else '+'}" if node.optional or node.repeated else text
 
 
-def infer(pages: list[str]) -> dict:
-    """The wrapper of pages as JSON data: {article, regex, tree}; a tree is [key, mark, children]."""
-    root = Node("")
-    for i, html in enumerate(pages):
+def _data(node: Node, stats: bool = True) -> list:
+    return [node.key, node.optional + 2 * node.repeated, node.stats if stats else 0, [_data(k, stats) for k in node.kids]]
+
+
+def _node(data: list) -> Node:
+    out = Node(data[0])
+    out.optional, out.repeated, out.stats, out.kids = bool(data[1] & 1), bool(data[1] & 2), data[2] or [None, None], [_node(k) for k in data[3]]
+    return out
+
+
+#: So many different pages make fixed text.
+SOME = 4
+
+
+class Pages:
+    """Pages of one folded shape: their number, the hashes of up to SOME different ones, and what each slot holds."""
+
+    def __init__(self) -> None:
+        self.n, self.some, self.slots = 0, [], []
+
+    def add(self, n: int, some: list[int], slots: list[list[int]]) -> None:
+        self.n += n
+        self.some = sorted({*self.some, *some})[:SOME]
+        self.slots = [added(a, b) for a, b in zip(self.slots, slots, strict=True)] if self.slots else slots
+
+
+class Tally:
+    """Folded shapes of pages by host."""
+
+    def __init__(self) -> None:
+        self.of: dict[tuple[str | None, str], Pages] = {}
+        self.known: dict[str, tuple[str, list[list[int]]]] = {}  # of a page's shape: the folded one as JSON, and which slots of the page fall on its slots
+
+    def add(self, host: str | None, html: str) -> None:
         page = parse(html)
-        generalized(root, page, i == 0, not any(v for _, v in verdicts(page)))
-    article = sort_slots(root, len(pages))
-    dump = lambda n: [n.key, n.inside, [dump(k) for k in n.kids]]
+        slots = [k for k, _ in verdicts(page)]
+        if (shape := page.shape()) not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            own, at = folded(Node(""), page), {id(k): i for i, k in enumerate(slots)}
+            self.known[shape] = json.dumps(_data(own, False)), [[at[id(x)] for x in k.within] for k, _ in verdicts(own)]
+        key, places = self.known[shape]
+        texts = ["\n".join(k.blocks) for k in slots]
+        found = []
+        for place in places:
+            hashes = {_hash(texts[i]) for i in place}
+            found.append([1, hashes.pop() if len(hashes) == 1 else DIFFER, sum(len(x) for i in place for x in slots[i].blocks), sum(slots[i].link_chars for i in place), max(len(texts[i]) for i in place)])
+        self.of.setdefault((host, key), Pages()).add(1, [_hash(html)], found)
+
+
+def of_shape(shape: str, pages: Pages) -> tuple[Node, list[list]]:
+    """The wrapper of pages of one folded shape, and (pages, some of them) without and with an article."""
+    root = _node(json.loads(shape))
+    slots = verdicts(root)
+    kind = int(any(v for _, v in slots))
+    for (k, _), x in zip(slots, pages.slots, strict=True):
+        k.stats[kind] = x
+    return root, [[pages.n, pages.some] if k == kind else [0, []] for k in range(2)]
+
+
+def union(wrappers: list[tuple[Node, list[list]]]) -> tuple[Node, list[list]]:
+    root, pages = wrappers[0]
+    for other, more in wrappers[1:]:
+        root = merged(root, other)
+        pages = [[n + m, sorted({*some, *others})[:SOME]] for (n, some), (m, others) in zip(pages, more, strict=True)]
+    return root, pages
+
+
+def sorted_out(root: Node, pages: list[list]) -> dict:
+    """The wrapper as JSON data: {article, regex, tree}; a tree is [key, marks, children]."""
+    article = sort_slots(root, pages)
+    dump = lambda n: [n.key, n.marks, [dump(k) for k in n.kids]]
     return {"article": article, "regex": regex(root), "tree": dump(root)}
 
 
+def infer(pages: list[str]) -> dict:
+    """The wrapper of pages of one host."""
+    tally = Tally()
+    for html in pages:
+        tally.add(None, html)
+    return sorted_out(*union([of_shape(shape, x) for (_, shape), x in sorted(tally.of.items(), key=lambda x: x[0][1])]))
+
+
 class Extractor:
     """Main text of a host's pages; pages of one shape are aligned once."""
 
@@ -257,6 +373,7 @@ class Extractor:
     def _decide(self, page: Node) -> list[int]:
         """The mark of each slot of the page in order."""
         own = verdicts(page)
+        kind = int(any(v for _, v in own))
         marks = {id(k): OUT if v is False else ARTICLE if v else OWN for k, v in own}
 
         def match(node: Node, tree: list) -> None:
@@ -264,7 +381,7 @@ class Extractor:
             for i, j in aligned([t[0] for t in tree[2]], [n.key for n, _ in places]):
                 for x in places[j][1]:
                     if x.key == "#":
-                        marks[id(x)] = tree[2][i][1]
+                        marks[id(x)] = tree[2][i][1][kind]
                     else:
                         match(x, tree[2][i])
 
@@ -294,23 +411,43 @@ class Extractor:
         return "\n\n".join(blocks)
 
 
-def infer_wrappers(pages: DataFrame, per_host: int = 12) -> DataFrame:
+def infer_wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper JSON) of pages (url, html)."""
     host, _ = host_and_path(F.col("url"))
-    rows = pages.select(host.alias("host"), F.coalesce("html", F.lit("")).alias("html"), F.xxhash64(*[c for c in ("page_id", "url") if c in pages.columns]).alias("rank"))
-    drawn = kept(rows.groupBy("host", F.pmod("rank", F.lit(per_host)).alias("b")).agg(F.min("rank").alias("rank")).select("host", "rank"), "drawn")
-    few = rows.join(drawn, ["host", "rank"], "left_semi").dropDuplicates(["host", "rank"])
-
-    def run(group: pa.Table) -> pa.Table:
-        order = sorted(zip(group["rank"].to_pylist(), group["html"].to_pylist(), strict=True))
-        return pa.table({"host": [group["host"][0].as_py()], "wrapper": [json.dumps(infer([h for _, h in order]))]})
 
-    return few.groupBy("host").applyInArrow(run, "host string, wrapper string")
+    def rows_of(tally: Tally) -> pa.RecordBatch:
+        rows = [(host, zlib.crc32(shape.encode()) % PARTS, shape, json.dumps([x.n, x.some, x.slots])) for (host, shape), x in tally.of.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], ["host", "part", "shape", "pages"])
 
-
-def extract(pages: DataFrame, per_host: int = 12, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for b in batches:
+            for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                tally.add(host, html)
+                if len(tally.of) >= 5000:
+                    yield rows_of(tally)
+                    tally.of.clear()
+        yield rows_of(tally)
+
+    def part(group: pa.Table) -> pa.Table:
+        shapes: dict[str, Pages] = {}
+        for shape, pages in zip(group["shape"].to_pylist(), group["pages"].to_pylist(), strict=True):
+            shapes.setdefault(shape, Pages()).add(*json.loads(pages))
+        root, pages = union([of_shape(x, shapes[x]) for x in sorted(shapes)])
+        return pa.table({"host": group["host"].slice(0, 1), "part": group["part"].slice(0, 1), "wrapper": [json.dumps([_data(root), pages])]})
+
+    def whole(group: pa.Table) -> pa.Table:
+        parts = [json.loads(w) for _, w in sorted(zip(group["part"].to_pylist(), group["wrapper"].to_pylist(), strict=True))]
+        return pa.table({"host": group["host"].slice(0, 1), "wrapper": [json.dumps(sorted_out(*union([(_node(x), pages) for x, pages in parts])))]})
+
+    rows = pages.filter("html != ''").select(host.alias("host"), "html").mapInArrow(lean(tallied), "host string, part int, shape string, pages string")
+    parts = rows.groupBy("host", "part").applyInArrow(part, "host string, part int, wrapper string")
+    return parts.groupBy("host").applyInArrow(whole, "host string, wrapper string")
+
+
+def extract(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """pages (page_id, url, html) -> (page_id, url, text, n_chars)."""
-    wrappers = kept(infer_wrappers(pages, per_host), "wrappers")
+    wrappers = kept(infer_wrappers(pages), "wrappers")
     total = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", host.alias("host"))

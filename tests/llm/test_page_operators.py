@@ -112,6 +112,16 @@ def test_links_are_weighed_against_whole_texts():
     assert [e.text(p) for p in alike] == ["same " * 60 + str(n) for n in range(12)]
 
 
+def test_wrapper_knows_all_pages(spark):
+    page = "<html><body><article><section class=summary><p>{s}</p></section><p>Story {n}</p></article></body></html>"
+    rows = [(i, "http://big.org/", page.format(n=i, s=f"Correction {i}" if i == 150 else "No summary.")) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    dealt = [{r["page_id"]: r["text"] for r in wrappers.extract(df.repartition(n, "page_id")).collect()} for n in (1, 7)]
+    assert dealt[0] == dealt[1] and dealt[0][150] == "Correction 150\n\nStory 150" and dealt[0][1] == "No summary.\n\nStory 1"
+    fixed = {r["text"] for r in wrappers.extract(df.filter("page_id != 150")).collect()}
+    assert fixed == {f"Story {i}" for i in range(300) if i != 150}
+
+
 def _product(a, b):
     return reduce(lambda s, xy: s + float(xy[0]) * float(xy[1]), zip(a, b, strict=True), 0.0)  # in order, as sum() would not
 
