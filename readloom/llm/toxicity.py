@@ -5,8 +5,9 @@ frequent in toxic as in other texts, in toxic texts of at least `support` and af
 copies of one toxic text don't fill the lexicon with its other words).
 
 Automaton. The words form a trie; all their Levenshtein automata (one edit from four letters on, two from nine) run along it at
-once, made deterministic into one table; a beginning in the lexicon is matched without edits, with any ending. Every word of every
-text runs through that table, many words abreast.
+once, made deterministic into one table; a beginning in the lexicon is matched without edits, with any ending. Terms whose table would
+pass `most_states` are halved, into as many tables as it takes; the best match counts. Every word of every text runs through the
+tables, many words abreast.
 
 Context. A hit counts as quoted as far as quotation marks stand before and after it in the same line within `REACH` characters, and words of
 reporting stand within `REACH` characters before it; the rest of it counts as abuse. A text's abuse by kind of match (word, beginning,
@@ -23,7 +24,7 @@ a null id counts as empty text for the split; an empty table gives no rows; othe
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ def edits_for(term: str) -> int:
 
 
 class LexiconAutomaton:
-    """A table over (state, symbol) for words within `edits_for` edits of a term, or beginning with a stem; `kind[state]` tells."""
+    """Tables over (state, symbol) for words within `edits_for` edits of a term, or beginning with a stem; a table's kinds by state tell."""
 
     def __init__(self, words: list[str], stems: list[str], most_states: int = 60_000):
         self.words, self.stems = sorted(set(words)), sorted(set(stems))
@@ -56,16 +57,24 @@ class LexiconAutomaton:
         self.symbols = np.zeros(0x110000, np.int32)  # 0: no letter of the lexicon
         for k, c in enumerate(letters):
             self.symbols[ord(c)] = k + 1
-        for less in range(3):  # fewer edits, if the table would be too large
-            if self._build(letters, less, most_states):
-                break
-
-    def _build(self, letters: list[str], less: int, most_states: int) -> bool:
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        todo = [[*((w, False) for w in self.words), *((t, True) for t in self.stems)]]
+        while todo:
+            terms = todo.pop()
+            made = self._build([t for t, stem in terms if not stem], [t for t, stem in terms if stem], letters, most_states if len(terms) > 1 else None)
+            if made:
+                self.tables.append(made)
+            else:
+                todo += [terms[: len(terms) // 2], terms[len(terms) // 2 :]]
+
+    @staticmethod
+    def _build(words: list[str], beginnings: list[str], letters: list[str], most_states: int | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """The table and its kinds; None if it would have more states."""
         kids: list[dict[int, int]] = [{}]
         left: list[int] = [0]  # edits that some term below allows
         ends: dict[int, int] = {}
-        for t in self.words:
-            k = max(0, edits_for(t) - less)
+        for t in words:
+            k = edits_for(t)
             node = 0
             left[0] = max(left[0], k)
             for c in t:
@@ -79,7 +88,7 @@ class LexiconAutomaton:
             ends[node] = k
         stems: list[dict[int, int]] = [{}]
         stem_ends: set[int] = set()
-        for t in self.stems:
+        for t in beginnings:
             node = 0
             for c in t:
                 s = letters.index(c) + 1
@@ -128,24 +137,27 @@ class LexiconAutomaton:
                 if state not in number:
                     number[state] = len(queue)
                     queue.append(state)
-                    if len(queue) > most_states and less < 2:
-                        return False
+                    if most_states and len(queue) > most_states:
+                        return None
                 row[s] = number[state]
                 if s not in wanted:
                     other = row[s]
             table_.append(row)
-        self.table, self.kind = np.stack(table_), np.array(kind, np.int8)
-        return True
+        return np.stack(table_), np.array(kind, np.int8)
 
     def match(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Kind of match of each word codes[start:end], 0 for none."""
         symbols = self.symbols[codes]
-        state, at, live = np.ones(len(starts), np.int32), starts.copy(), np.arange(len(starts))
-        while len(live):
-            state[live] = self.table[state[live], symbols[at[live]]]
-            at[live] += 1
-            live = live[(at[live] < ends[live]) & (state[live] != 0)]
-        return self.kind[state]
+        best = np.zeros(len(starts), np.int8)
+        for table_, kinds in self.tables:
+            state, at, live = np.ones(len(starts), np.int32), starts.copy(), np.arange(len(starts))
+            while len(live):
+                state[live] = table_[state[live], symbols[at[live]]]
+                at[live] += 1
+                live = live[(at[live] < ends[live]) & (state[live] != 0)]
+            kind = kinds[state]
+            best = np.where((kind != 0) & ((best == 0) | (kind < best)), kind, best)
+        return best
 
 
 def _word_codes() -> np.ndarray:
@@ -230,21 +242,26 @@ def _terms(text: str) -> Iterator[tuple[str, str]]:
         last = w
 
 
-def _toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _toxic_terms(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """(term, before, n) for the different words before a term; a term's texts are counted in one of its rows."""
     docs: Counter[str] = Counter()
-    befores: dict[str, set[str]] = defaultdict(set)
+    befores: set[tuple[str, str]] = set()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        pairs = list(befores)
+        for i in range(0, len(pairs), 50_000):
+            part = pairs[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.string()), pa.array([w for _, w in part], pa.string()), pa.array([docs.pop(t, 0) for t, _ in part], pa.int64())], ["term", "before", "n"])
+        befores.clear()
+
     for b in batches:
         for text in b.column("text").to_pylist():
-            found = set()
-            for term, last in _terms(text or ""):
-                found.add(term)
-                if len(befores[term]) < 64:
-                    befores[term].add(last)
-            docs.update(found)
-    terms = list(docs)
-    for i in range(0, len(terms), 50_000):
-        part = terms[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([docs[t] for t in part], pa.int64()), pa.array([sorted(befores[t]) for t in part], pa.list_(pa.string()))], ["term", "n", "befores"])
+            found = set(_terms(text or ""))
+            befores |= found
+            docs.update({t for t, _ in found})
+            if len(befores) >= most:
+                yield from rows()
+    yield from rows()
 
 
 def _clean_terms(shared):
@@ -269,8 +286,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, support: in
     drawn = F.broadcast(spark.createDataFrame(known.filter(fraction("doc_id", F.lit(seed)) < share).collect(), known.schema))  # about 3 * per_class rows
     texts = docs.join(drawn, "doc_id").select("text", "toxic")
     n_toxic, n_clean = min(per_class, counts[1]), min(2 * per_class, counts[0])
-    toxic = texts.filter("toxic = 1").select("text").mapInArrow(_toxic_terms, "term string, n long, befores array<string>")
-    toxic = toxic.groupBy("term").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("befores")))).alias("contexts"))
+    toxic = texts.filter("toxic = 1").select("text").mapInArrow(_toxic_terms, "term string, before string, n long")
+    toxic = toxic.groupBy("term", "before").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count("before").alias("contexts"))
     found = {r["term"]: r["n"] for r in toxic.filter((F.col("n") >= support) & (F.col("contexts") >= contexts) & (F.col("contexts") >= 0.1 * F.col("n"))).select("term", "n").collect()}
     clean = texts.filter("toxic = 0").select("text").mapInArrow(_clean_terms(spark.sparkContext.broadcast(set(found))), "term string, n long")
     elsewhere = {r["term"]: r["n"] for r in clean.groupBy("term").agg(F.sum("n").alias("n")).collect()}

@@ -258,6 +258,25 @@ def test_toxicity_learns_and_spares_quotes(spark):
     assert toxicity.scored(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 
 
+def test_automata_of_any_size_keep_their_edits():
+    rng = random.Random(8)
+    words, stems = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 11))) for _ in range(60)], ["gabb", "fedca"]
+    one, many = toxicity.LexiconAutomaton(words, stems), toxicity.LexiconAutomaton(words, stems, most_states=400)
+    tried = [*words, *(w[:k] + w[k + 1 :] for w in words for k in (1, 2)), *(w[:2] + "x" + w[3:] for w in words), *(s + "xyz" for s in stems), "abc", "gfedcba"]
+    ends = np.cumsum([len(t) + 1 for t in tried]) - 1
+    codes = np.array([ord(c) for c in " ".join(tried)])
+    a, b = (x.match(codes, ends - [len(t) for t in tried], ends).tolist() for x in (one, many))
+    assert a == b and set(a) == {0, toxicity.WORD, toxicity.STEM, toxicity.EDITED}
+
+
+def test_lexicon_does_not_depend_on_partitions(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} grobnik" if i < 800 else "river stone cloud") for i in range(1600)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 800)) for i in range(1600)], "doc_id long, toxic int")
+    found = [toxicity.learn(docs.repartition(n), labels).automaton for n in (1, 16)]
+    assert found[0].words == found[1].words and found[0].stems == found[1].stems
+    assert "grobnik" in found[0].words or "grob" in found[0].stems
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.scored(docs, model).count() == docs.count()
