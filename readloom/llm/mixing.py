@@ -23,6 +23,7 @@ from readloom.llm.common import fraction, kept, table
 
 WEIGHTS = (3, 1, 2)
 MAX_SOURCES = 20_000
+ROW = "row__"
 
 
 def n_words(text: Column) -> Column:
@@ -48,20 +49,21 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
 
 
 def place(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
-    """(doc_id, source, size, text_key, bucket, nth, start): each document's first word in its source's stream.
+    """(doc_id, source, size, text_key, bucket, nth, start): each document's first word in its source's stream; ROW too, if docs has it.
 
     Starts are sums over buckets of hashed ids and then within a bucket, so no task holds a whole source.
     """
-    rows = kept(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("text_key")), "mix-rows")
+    row = [ROW] if ROW in docs.columns else []
+    rows = kept(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("text_key"), *row), "mix-rows")
     n = max(1, ceil(rows.count() / bucket_rows))
     rows = rows.withColumns({"bucket": F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"), "no_source": F.col("source").isNull(), "src": F.coalesce("source", F.lit(""))})
     key = ["no_source", "src", "bucket"]
     sums = rows.groupBy(*key).agg(F.sum("size").alias("words")).withColumn("bucket_at", F.sum("words").over(Window.partitionBy("no_source", "src").orderBy("bucket")) - F.col("words"))
-    w = Window.partitionBy(*key).orderBy("doc_id", "text_key").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*key).orderBy("doc_id", "text_key", *row).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.join(sums.drop("words"), key)
         .withColumns({"nth": F.row_number().over(w), "start": F.col("bucket_at") + F.sum("size").over(w) - F.col("size")})
-        .select("doc_id", "source", "size", "text_key", "bucket", "nth", "start")
+        .select("doc_id", "source", "size", "text_key", "bucket", "nth", "start", *row)
     )
 
 
@@ -176,15 +178,17 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents with the columns of `docs`: for each pass that takes words of a document, those words in order.
 
     A document taken whole keeps its text as it is; else its text is the words taken, each with the white space after it.
-    n_chars, if there is such a column, follows the text. Rows with equal id and text are one document.
+    n_chars, if there is such a column, follows the text. Repeated rows are separate documents: rows are written with a number of their own,
+    and copies find their row by it.
     """
     columns = docs.columns
+    docs = kept(docs.withColumn(ROW, F.monotonically_increasing_id()), "mix-docs")
     pieces, placed, _ = mix(docs, **how)
-    copies = pieces.groupBy("source", "bucket", "nth", "doc_id", "text_key", "pass").agg(F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"), F.sum(F.col("word_to") - F.col("word_from")).alias("words"))
-    whole = placed.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), F.col("nth").alias("nth_"), "size")
+    copies = pieces.groupBy("source", "bucket", "nth", "pass").agg(F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"), F.sum(F.col("word_to") - F.col("word_from")).alias("words"))
+    whole = placed.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), F.col("nth").alias("nth_"), "size", ROW)
     copies = copies.join(whole, (F.col("bucket") == F.col("bucket_")) & (F.col("nth") == F.col("nth_")) & F.col("source").eqNullSafe(F.col("source_")))
-    copies = copies.select("doc_id", "text_key", "spans", (F.col("words") == F.col("size")).alias("whole")).toDF("id_", "key_", "spans_", "whole_")
-    joined = docs.withColumn("key__", F.xxhash64("doc_id", "text")).join(copies, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key__") == F.col("key_")))
+    copies = copies.select(ROW, F.col("spans").alias("spans_"), (F.col("words") == F.col("size")).alias("whole_"))
+    joined = docs.join(copies, ROW)
     parts = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("spans_", lambda s: F.slice(parts, (s["word_from"] + 1).cast("int"), (s["word_to"] - s["word_from"]).cast("int")))), "")
     joined = joined.withColumn("text", F.when(F.col("whole_"), F.col("text")).otherwise(cut))

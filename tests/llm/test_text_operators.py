@@ -183,6 +183,18 @@ def test_mix_meets_its_targets(docs):
     assert all(abs(t - goal) <= 8 for (_, goal), t in by.items())
 
 
+def test_repeated_rows_are_documents_of_their_own(spark):
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    rows = [(7, words(7), "a", 1)] * 6 + [(None, words(8), "ab"[i % 2], i) for i in range(8)] + [(100 + i, words(100 + i), "b", 0) for i in range(10)]
+    docs, how = spark.createDataFrame(rows, "doc_id long, text string, source string, mark int"), {"block_words": 8, "n_shards": 4}
+    want, got = Counter(), Counter()
+    for r in mixing.taken(*mixing.mix(docs, **how)).collect():
+        want[r["doc_id"]] += r["taken"]
+    for r in mixing.mixed_documents(docs, **how).collect():
+        got[r["doc_id"]] += len(ws_words(r["text"]))
+    assert got == +want and sum(got.values()) <= 1.5 * 40 * len(rows) + 16
+
+
 def test_mixed_documents_hold_what_was_taken(docs, empty):
     how = {"block_words": 8, "n_shards": 4}
     want, got = Counter(), Counter()
