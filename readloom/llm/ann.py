@@ -2,8 +2,8 @@
 
 The tree is fitted on at most about `sample` vectors; every vector is then filed under the leaf it descends to. A query descends to
 its best leaf and goes on through a priority queue of the branches passed by, best centre first. How many leaves are visited is
-widened until calibration queries, measured against brute force over all rows, reach `target` recall; leaf contents are scored
-exactly, in double precision, summed in order of the dimensions.
+widened until calibration queries, measured against brute force over all rows, reach `target` recall; a query goes on beyond that until
+its leaves hold k vectors besides its own. Leaf contents are scored exactly, in double precision, summed in order of the dimensions.
 
 Leaves of more than `block` vectors, and leaves with more than `block` queries, are cut into blocks, so copies of one vector or one
 crowded leaf do not meet in one task. Repeated rows of an id count once.
@@ -73,10 +73,10 @@ class KMeansTree:
                 todo += [(c, rows[of == k]) for k, c in enumerate(self.children[node])]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves that the search for q comes to."""
-        queue, out, ticket = [(0.0, 0, self.root)], [], 0
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, n: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first n leaves that the search for q comes to, and more until they have `least` of what the leaves hold."""
+        queue, out, ticket, have = [(0.0, 0, self.root)], [], 0, 0
+        while queue and (len(out) < n or have < least):
             _, _, node = heapq.heappop(queue)
             while node >= 0:
                 near = self.centres[node] @ q
@@ -87,6 +87,7 @@ class KMeansTree:
                         heapq.heappush(queue, (-near[k], ticket, c))
                 node = self.children[node][best]
             out.append(~node)
+            have += held[~node] if held is not None else least
         return out
 
 
@@ -151,6 +152,9 @@ class TreeIndex:
         self.shared = self.spark.sparkContext.broadcast(self.tree)
         self.filed = kept(rows.mapInArrow(self._file(), "leaf long, vec_id long, embedding array<double>"), "filed")
         self.sizes = {r["leaf"]: r["count"] for r in self.filed.groupBy("leaf").count().collect()}
+        self.ids = np.zeros(self.tree.n_leaves, np.int64)  # by leaf; an id with rows in several counts in one
+        for r in self.filed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect():
+            self.ids[r["leaf"]] = r["count"]
         self._calibrate(calibration, target, seed)
 
     def _file(self):
@@ -197,13 +201,13 @@ class TreeIndex:
 
     def search(self, queries: DataFrame) -> DataFrame:
         """queries: rows of the index's `rows` (vec_id, embedding)."""
-        tree, dim, k, n_visits = self.shared, self.dim, self.k, self.n_visits
+        tree, dim, k, n_visits, held = self.shared, self.dim, self.k, self.n_visits, self.ids
 
         def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(0, len(b), 512):
                     part = b.slice(i, 512)
-                    lists = [tree.value.visits(q, n_visits) for q in _matrix(part.column("embedding"), dim)]
+                    lists = [tree.value.visits(q, n_visits, held, k + 1) for q in _matrix(part.column("embedding"), dim)]
                     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                     leaves = pa.array(np.array([leaf for x in lists for leaf in x], np.int64))
                     yield pa.RecordBatch.from_arrays([leaves, part.column("vec_id").take(pa.array(rows)), part.column("embedding").take(pa.array(rows))], ["leaf", "query_id", "q"])

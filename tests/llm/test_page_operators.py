@@ -164,3 +164,13 @@ def test_index_of_little(spark):
     got = [tuple(r) for r in index.search(index.rows.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 20, 0.5), (0, 2, 21, 0.0), (20, 1, 0, 0.5), (20, 2, 21, 0.5)]
     assert ann.TreeIndex(df.filter("false")).n == 0
+
+
+def test_small_leaves_do_not_shorten_answers(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.eye(8)[0] * 50 + rng.normal(size=8) * 0.01).tolist()) for i in range(1, 400)] + [(1000, [-50.0] + [0.0] * 7), *[(1001 + i, (np.eye(8)[1] * 50 + rng.normal(size=8)).tolist()) for i in range(3)], (1001, (np.eye(8)[1] * 51).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = ann.TreeIndex(df, leaf=16)
+    index.n_visits = 1
+    got = {r["query_id"]: r["count"] for r in index.search(index.rows.filter("vec_id >= 1000")).groupBy("query_id").count().collect()}
+    assert got == dict.fromkeys((1000, 1001, 1002, 1003), 20)
