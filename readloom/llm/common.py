@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_SCRATCH: list[str] = []
 
+#: The struct that carries a row's columns through an operator, so that none of them meets the operator's own.
+ROW = "row"
+
 #: Bytes of text that one numpy step works on; bounds a task's temporaries.
 CHUNK_BYTES = 1 << 19
 
@@ -24,28 +32,130 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; where that is unset the warehouse, or on one machine a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/readloom-scratch"
     if not _OWN_SCRATCH:
         _OWN_SCRATCH.append(tempfile.mkdtemp(prefix="spark-readloom-"))
     return _OWN_SCRATCH[0]
 
 
+class Scratch:
+    """What was written or broadcast since it began, each with how to give it back."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def add(self, thing: Any, give_back: Callable[[], None]) -> None:
+        self.made.append((thing, give_back))
+
+    def give_back(self, *stay: Any) -> list[tuple[Any, Callable[[], None]]]:
+        """Gives back all but `stay`, and returns the rest."""
+        rest = [x for x in self.made if any(x[0] is y for y in stay)]
+        for thing, give_back in self.made:
+            if not any(thing is y for y in stay):
+                give_back()
+        self.made = []
+        return rest
+
+
+_OPEN = threading.local()
+
+
+def _scopes() -> list[Scratch]:
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = []
+    return _OPEN.scopes
+
+
+@contextmanager
+def giving_back(spark: SparkSession) -> Iterator[list]:
+    """What `kept`, `kept_by` and `shared` make within goes at the end: files, tables and broadcasts. Things put on the list stay.
+
+    Whatever stays belongs to the scope around this one. Results that are still to be computed must not need what goes.
+    """
+    scope, stay = Scratch(spark), []
+    _scopes().append(scope)
+    try:
+        yield stay
+    finally:
+        _scopes().remove(scope)
+        rest = scope.give_back(*stay)
+        for thing, give_back in rest if _scopes() else []:
+            _scopes()[-1].add(thing, give_back)
+        trim(spark)
+
+
+def _made(thing: Any, give_back: Callable[[], None]) -> None:
+    if _scopes():
+        _scopes()[-1].add(thing, give_back)
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def trim(spark: SparkSession) -> None:
+    """Free memory of the driver goes back to the system, that of its JVM too, where it is one that can."""
+    _trim()
+    try:
+        jvm, gateway = spark._jvm, spark.sparkContext._gateway
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", gateway.new_array(jvm.java.lang.Object, 0), gateway.new_array(jvm.java.lang.String, 0))
+    except Py4JError:  # a JVM without this command
+        pass
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def shared(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast of a value of bounded size."""
+    out = spark.sparkContext.broadcast(value)
+    _made(out, lambda: out.destroy(blocking=False))
+    return out
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, computes df once."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _made(out, lambda: _deleted(spark, path))
+    return out
 
 
 def kept_by(df: DataFrame, key: str, name: str) -> DataFrame:
     """The same as a table bucketed by `key`: later joins on it move only their other side."""
     spark, made = df.sparkSession, f"readloom_{name}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{scratch_dir(spark)}/{made}").format("parquet").saveAsTable(made)
-    return spark.table(made)
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{scratch_dir(spark)}/{made}"
+
+    def give_back() -> None:
+        spark.sql(f"drop table if exists {made}")
+        _deleted(spark, path)
+
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(made)
+    out = spark.table(made)
+    _made(out, give_back)
+    return out
+
+
+def carried(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """df's rows as one struct column ROW, beside the columns that an operator needs."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(ROW), *columns)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def lean(run: Callable) -> Callable:
@@ -56,11 +166,7 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not glibc
-                pass
+            _trim()
 
     return task
 
