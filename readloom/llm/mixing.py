@@ -1,110 +1,150 @@
 """Mixing sources to target weights: blocks of fixed length, multinomial counts per output shard, permuted block indexes.
 
 Each source's documents form one stream of words, cut into blocks of `block_words`. Every output slot draws its source from the
-target shares, which gives each shard multinomial counts; slots beyond a source's quota go to the sources left short, so the
-mix as a whole meets its targets to half a block. The j-th slot of a source takes block perm_e(j mod n) of the source's n blocks,
-e = j div n, with another pseudorandom affine permutation for each pass e; slots and blocks meet in a join by index. Only DataFrame
-functions run; the driver sees one row for each source, and one for each output shard and source.
+target shares, which gives each shard multinomial counts; slots beyond a source's quota go to the sources left short. The j-th slot of
+a source takes block perm_e(j mod n) of the source's n blocks, e = j div n, with another pseudorandom affine permutation for each pass
+e; the last slot is cut, so a source gives exactly its target in whole words. Slots and blocks meet in a join by index. Only DataFrame
+functions run, and any number of sources stays in DataFrames; the driver sees sums, and one row for each output shard.
 
 Cases: a null text or one without words has size 0 and is never taken; a null source is a source of its own, last in order; a
-null id is kept; repeated rows are separate documents; an empty table gives no rows; other columns are ignored.
+null id is kept; repeated rows are separate documents; an empty table gives no rows; other columns are ignored, or kept by
+`mixed_documents`, whatever they are called.
 """
 
 from __future__ import annotations
 
-import random
-from math import ceil, gcd
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from readloom.llm.common import fraction, kept, table
+from readloom.llm.common import ROW, carried, fraction, giving_back, kept, table
 
 WEIGHTS = (3, 1, 2)
-MAX_SOURCES = 20_000
-ROW = "row__"
+
+#: Steps of permutations: primes under 10 ** 7, so a step times an index fits a long for 10 ** 11 blocks.
+STEPS = (9_999_907, 9_999_929, 9_999_931, 9_999_937, 9_999_943, 9_999_971, 9_999_973, 9_999_991)
+
+#: Running sums go over stretches of so many numbers, and then within each.
+STRETCH = 4096
+
+#: So many sources are broadcast; more meet their documents in a join that AQE splits where a source is hot.
+FEW_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
-    """share * sum(sizes) dealt by weight; what exceeds most * size is dealt again among the others until nothing does."""
-    out = [0.0] * len(sizes)
-    open_, left = [i for i, s in enumerate(sizes) if s > 0], share * sum(sizes)
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = unit * weights[i]
-            break
-        for i in full:
-            out[i] = most * sizes[i]
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
+def running(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """rows, numbered by src from 0 on, with `name`, the sum of `value` over the rows before: over stretches, and then within each."""
+    rows = rows.withColumn("stretch", F.floor(F.col("src") / STRETCH))
+    sums = rows.groupBy("stretch").agg(F.sum(value).alias("whole"))
+    sums = sums.select("stretch", (F.sum("whole").over(Window.orderBy("stretch")) - F.col("whole")).alias("before"))
+    within = Window.partitionBy("stretch").orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(sums, "stretch").withColumn(name, F.col("before") + F.sum(value).over(within) - F.col(value)).drop("stretch", "before")
 
 
 def place(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
-    """(doc_id, source, size, text_key, bucket, nth, start): each document's first word in its source's stream; ROW too, if docs has it.
+    """(doc_id, source, size, text_key, bucket, nth, start, and nr if docs has it): each document's first word in its source's stream.
 
-    Starts are sums over buckets of hashed ids and then within a bucket, so no task holds a whole source.
+    Starts are sums over buckets of hashed ids and texts and then within a bucket, so no task holds a whole source.
     """
-    row = [ROW] if ROW in docs.columns else []
-    rows = kept(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("text_key"), *row), "mix-rows")
+    nr = ["nr"] if "nr" in docs.columns else []
+    rows = kept(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("text_key"), *nr), "mix-rows")
     n = max(1, ceil(rows.count() / bucket_rows))
-    rows = rows.withColumns({"bucket": F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"), "no_source": F.col("source").isNull(), "src": F.coalesce("source", F.lit(""))})
+    rows = rows.withColumns({"bucket": F.pmod(F.xxhash64("text_key", *nr), F.lit(n)).cast("long"), "no_source": F.col("source").isNull(), "src": F.coalesce("source", F.lit(""))})
     key = ["no_source", "src", "bucket"]
-    sums = rows.groupBy(*key).agg(F.sum("size").alias("words")).withColumn("bucket_at", F.sum("words").over(Window.partitionBy("no_source", "src").orderBy("bucket")) - F.col("words"))
-    w = Window.partitionBy(*key).orderBy("doc_id", "text_key", *row).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy(*key).agg(F.sum("size").alias("words")).withColumn("bucket_at", F.sum("words").over(Window.partitionBy("no_source", "src").orderBy("bucket")) - F.col("words")).drop("words")
+    w = Window.partitionBy(*key).orderBy("doc_id", "text_key", *nr).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(sums.drop("words"), key)
+        rows.join(sums, key)
         .withColumns({"nth": F.row_number().over(w), "start": F.col("bucket_at") + F.sum("size").over(w) - F.col("size")})
-        .select("doc_id", "source", "size", "text_key", "bucket", "nth", "start", *row)
+        .select("doc_id", "source", "size", "text_key", "bucket", "nth", "start", *nr)
     )
 
 
-def _quotas(sizes: list[int], goals: list[float], block_words: int) -> tuple[list[int], list[int]]:
-    blocks = [ceil(s / block_words) for s in sizes]
-    return blocks, [min(2 * b, round(g * b / s)) if s else 0 for s, g, b in zip(sizes, goals, blocks, strict=True)]
-
-
-def _coprime(n: int, rng: random.Random) -> int:
-    most = max(1, min(n - 1, (1 << 62) // max(1, n)))
-    while gcd(a := rng.randint(max(1, most // 3), most), n) != 1:
-        pass
-    return a
-
-
-def _settle(drawn: dict[tuple[int, int], int], quotas: list[int], n_shards: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (shard, source, first ordinal, count, first slot): draws beyond a quota go to the sources that were drawn too seldom."""
-    seen, spare = [0] * len(quotas), []
-    runs: list[tuple[int, int, int, int]] = []
-    for s in range(len(quotas)):
-        for h in range(n_shards):
-            got = drawn.get((h, s), 0)
-            use = min(got, quotas[s] - seen[s])
-            if use:
-                runs.append((h, s, seen[s], use))
-                seen[s] += use
-            if got > use:
-                spare.append([h, got - use])
-    for s, q in enumerate(quotas):
-        while seen[s] < q and spare:
-            use = min(spare[-1][1], q - seen[s])
-            runs.append((spare[-1][0], s, seen[s], use))
-            seen[s] += use
-            spare[-1][1] -= use
-            if not spare[-1][1]:
-                spare.pop()
-    out, at = [], [0] * n_shards
-    for h, s, first, n in sorted(runs):
-        out.append((h, s, first, n, at[h]))
-        at[h] += n
-    return out
+def source_targets(placed: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """(src, source, source_size, target): sources numbered by code point, null last.
+
+    share * all sizes dealt by weight; what exceeds most * size is dealt again among the others until nothing does.
+    """
+    sums = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # numbers in order: the place in a sorted partition, and the sizes of the partitions before
+    ordered = kept(sums.orderBy(F.asc_nulls_last("source")).withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftrightunsigned("at", 33)
+    sizes = sorted((r["part"], r["count"]) for r in ordered.groupBy(part.alias("part")).count().collect())
+    offsets, at = [], 0
+    for p, n in sizes:
+        offsets += [F.lit(p), F.lit(at).cast("long")]
+        at += n
+    first = F.element_at(F.create_map(*offsets), part) if offsets else F.lit(0).cast("long")
+    rows = ordered.select((first + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("src"), "source", "source_size")
+    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("src") % len(weights) + 1).cast("int")))
+    limit, some = F.col("source_size") * float(most), F.col("source_size") > 0
+    total, unit, n_full = rows.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while total:
+        full = some & (F.col("weight") * unit > limit)
+        r = rows.agg(F.count_if(full).alias("n"), F.sum(F.when(full, limit)).alias("given"), F.sum(F.when(some & ~full, F.col("weight"))).alias("open")).first()
+        if r["n"] == n_full or not r["open"]:
+            break
+        unit, n_full = (share * total - (r["given"] or 0.0)) / r["open"], r["n"]
+    target = F.when(some, F.least(limit, F.col("weight") * unit)).otherwise(0.0)
+    return rows.select("src", "source", "source_size", target.alias("target"))
+
+
+def _quotas(sources: DataFrame, block_words: int, seed: int) -> DataFrame:
+    """sources with their blocks, the slots that they fill, and the words of the last of these."""
+    size, b = F.col("source_size"), F.lit(block_words).cast("long")
+    rows = sources.withColumns({"n_blocks": F.ceil(size / b), "goal": F.round("target").cast("long")})
+    rows = rows.withColumns({"full": F.when(size > 0, F.expr("goal div source_size")).otherwise(0).cast("long"), "rest": F.when(size > 0, F.col("goal") % size).otherwise(0).cast("long")})
+    rows = rows.withColumns({"lack": F.col("n_blocks") * b - size, "short_at": _short_at(F.col("full"), seed)})  # the last block's lack of words, and its place in the last pass
+    plain = F.ceil(F.col("rest") / b)
+    more = F.when(F.col("short_at") >= plain, plain).otherwise(F.ceil((F.col("rest") + F.col("lack")) / b))
+    rows = rows.withColumn("more", F.when(F.col("rest") > 0, more).otherwise(0))
+    before = (F.col("more") - 1) * b - F.when(F.col("short_at") < F.col("more") - 1, F.col("lack")).otherwise(0)
+    return rows.withColumns({"quota": F.col("full") * F.col("n_blocks") + F.col("more"), "cut": F.when(F.col("more") > 0, F.col("rest") - before).otherwise(b)}).select("src", "source", "source_size", "target", "n_blocks", "quota", "cut")
+
+
+def _short_at(pass_: Column, seed: int) -> Column:
+    """The index at which a pass comes to the source's last block."""
+    return F.pmod(F.xxhash64(F.col("src"), pass_.cast("long"), F.lit(seed)), F.greatest(F.lit(1).cast("long"), F.col("n_blocks")))
+
+
+def _block(pass_: Column, index: Column, seed: int) -> Column:
+    """An affine permutation of a source's blocks: the step is a prime that does not divide their number."""
+    n = F.col("n_blocks")
+    steps = F.filter(F.array(*[F.lit(p).cast("long") for p in STEPS]), lambda p: n % p != 0)
+    step = F.get(steps, F.pmod(F.xxhash64(F.col("src"), pass_.cast("long"), F.lit(seed + 1)), F.size(steps)).cast("int")) % n
+    first = F.pmod(n - 1 - (_short_at(pass_, seed) * step) % n, n)
+    return (index * step + first) % n
+
+
+def _runs(sources: DataFrame, n_slots: int, n_shards: int, seed: int) -> DataFrame:
+    """(shard, src, first ordinal, n, and the source's n_blocks, quota and cut): draws beyond a quota go to the sources that were drawn too seldom."""
+    ranges = running(sources.filter("quota > 0"), "quota", "from")
+    width = max(1, ceil(n_slots / (STRETCH + sources.count())))
+    bins = ranges.select("src", "from", (F.col("from") + F.col("quota")).alias("to")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((F.col("to") - 1) / width))))
+    draws = sources.sparkSession.range(n_slots).select((F.col("id") * n_shards / n_slots).cast("int").alias("shard"), F.floor(fraction("id", F.lit(seed)) * n_slots).alias("x"))
+    met = draws.withColumn("bin", F.floor(F.col("x") / width)).join(bins, "bin").filter((F.col("x") >= F.col("from")) & (F.col("x") < F.col("to")))
+    drawn = met.groupBy("shard", "src").agg(F.count(F.lit(1)).alias("got"))
+    drawn = kept(drawn.join(sources, "src").withColumn("first", F.sum("got").over(Window.partitionBy("src").orderBy("shard")) - F.col("got")), "mix-drawn")
+    drawn = drawn.withColumn("n", F.greatest(F.lit(0), F.least("got", F.col("quota") - F.col("first"))))
+    of = ["n_blocks", "quota", "cut"]
+    own = drawn.filter("n > 0").select("shard", "src", "first", "n", *of)
+    spare, at = [], 0
+    for r in drawn.groupBy("shard").agg(F.sum(F.col("got") - F.col("n")).alias("spare")).orderBy("shard").collect():  # a row for each shard
+        if r["spare"]:
+            spare.append(F.struct(F.lit(r["shard"]).alias("shard"), F.lit(at).cast("long").alias("lo"), F.lit(at + r["spare"]).cast("long").alias("hi")))
+            at += r["spare"]
+    if not spare:
+        return own
+    used = drawn.groupBy("src").agg(F.sum("n").alias("used"))
+    left = sources.join(used, "src", "left").withColumn("left", F.col("quota") - F.coalesce("used", F.lit(0))).filter("left > 0")
+    left = running(left, "left", "lo").withColumn("hi", F.col("lo") + F.col("left"))
+    lo, hi = F.greatest("lo", "x.lo"), F.least("hi", "x.hi")
+    given = left.withColumn("x", F.explode(F.filter(F.array(*spare), lambda x: (x["hi"] > F.col("lo")) & (x["lo"] < F.col("hi")))))
+    return own.unionByName(given.select("x.shard", "src", (F.col("quota") - F.col("left") + lo - F.col("lo")).alias("first"), (hi - lo).alias("n"), *of))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 128, n_shards: int = 64, seed: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -113,55 +153,36 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     pieces: the mix, as (shard, slot, pass, source, doc_id, text_key, bucket, nth, word_from, word_to), words of a document counted
     from 0; placed: place(docs); sources: (source, source_size, target). A source's words are taken at most ceil(most) times.
     """
-    spark = docs.sparkSession
-    placed = kept(place(docs), "mix-placed")
-    found = placed.groupBy("source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources; weights are meant for named sources")
-    found = sorted(((r["source"] is None, r["source"] or "", r["source"], int(r["s"])) for r in found), key=lambda x: x[:2])
-    sizes = [x[3] for x in found]
-    goals = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], share, most)
-    blocks, quotas = _quotas(sizes, goals, block_words)
-    source_type = docs.schema["source"].dataType
-    rng = random.Random(seed)
-    steps = [[(_coprime(n, rng), rng.randrange(n)) if n > 1 else (1, 0) for _ in range(2)] for n in blocks]
-    about = T.StructType([T.StructField("src", T.IntegerType()), T.StructField("source", source_type), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("n_blocks", T.LongType()), *[T.StructField(x, T.LongType()) for x in ("a0", "c0", "a1", "c1")]])
-    sources = spark.createDataFrame([(i, x[2], x[3], goals[i], blocks[i], *steps[i][0], *steps[i][1]) for i, x in enumerate(found)], about)
-
-    n_slots = sum(quotas)
-    cum, at = [], 0
-    for q in quotas:
-        at += q
-        cum.append(at / max(1, n_slots))
-    drawn = (
-        spark.range(n_slots)
-        .select((F.col("id") * n_shards / max(1, n_slots)).cast("int").alias("shard"), F.size(F.filter(F.array(*[F.lit(c) for c in cum[:-1] or [2.0]]), lambda c: c <= fraction("id", F.lit(seed)))).alias("src"))
-        .groupBy("shard", "src")
-        .count()
-    )
-    runs = _settle({(r["shard"], r["src"]): r["count"] for r in drawn.collect()}, quotas, n_shards) if n_slots else []
-    many = 4096  # slots that one row stands for before the second explode
+    with giving_back(docs.sparkSession) as stay:
+        placed = kept(place(docs), "mix-placed")
+        sources = kept(_quotas(source_targets(placed, weights, share, most), block_words, seed), "mix-targets")
+        n_slots = sources.agg(F.sum("quota")).first()[0] or 0
+        runs = _runs(sources, n_slots, n_shards, seed) if n_slots else sources.selectExpr("0 as shard", "src", "0L as first", "0L as n", "n_blocks", "quota", "cut").limit(0)
+        runs = kept(runs.withColumn("slot0", F.sum("n").over(Window.partitionBy("shard").orderBy("src", "first").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")), "mix-runs")
+        stay += [placed, sources, runs]
+    many = STRETCH  # slots that one row stands for before the second explode
     slots = (
-        spark.createDataFrame(runs, "shard int, src int, first long, n long, slot0 long")
-        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / many))))
+        runs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / many))))
         .repartition(F.col("shard"), F.col("src"), F.col("part"))
         .withColumn("i", F.explode(F.sequence(F.col("part") * many, F.least(F.col("n") - 1, F.col("part") * many + many - 1))))
-        .join(F.broadcast(sources.select("src", "n_blocks", "a0", "c0", "a1", "c1")), "src")
         .withColumns({"ordinal": F.col("first") + F.col("i"), "slot": F.col("slot0") + F.col("i")})
-        .withColumn("pass", F.expr("ordinal div n_blocks").cast("int"))
-        .withColumn("index", F.col("ordinal") % F.col("n_blocks"))
-        .withColumn("block", F.when(F.col("pass") == 0, (F.col("index") * F.col("a0") + F.col("c0")) % F.col("n_blocks")).otherwise((F.col("index") * F.col("a1") + F.col("c1")) % F.col("n_blocks")))
-        .select("src", "block", "shard", "slot", "pass")
+        .withColumns({"pass": F.expr("ordinal div n_blocks").cast("int"), "index": F.col("ordinal") % F.col("n_blocks")})
+        .withColumns({"block": _block(F.col("pass"), F.col("index"), seed), "most_words": F.when(F.col("ordinal") == F.col("quota") - 1, F.col("cut")).otherwise(block_words)})
+        .select("src", "block", "shard", "slot", "pass", "most_words")
     )
     size = F.lit(block_words).cast("long")
-    contents = (
-        placed.filter("size > 0")
-        .join(F.broadcast(sources.select("src", F.col("source").alias("source_"))), F.col("source").eqNullSafe(F.col("source_")))
-        .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size))))
-        .select("src", "block", "source", "doc_id", "text_key", "bucket", "nth", F.greatest(F.lit(0).cast("long"), F.col("block") * size - F.col("start")).alias("word_from"), F.least(F.col("size"), (F.col("block") + 1) * size - F.col("start")).alias("word_to"))
+    contents = _joined(placed.filter("size > 0"), sources.select("src", F.col("source").alias("source_")))
+    contents = contents.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size)))).select(
+        "src", "block", "source", "doc_id", "text_key", "bucket", "nth", "start", F.greatest(F.lit(0).cast("long"), F.col("block") * size - F.col("start")).alias("word_from"), F.least(F.col("size"), (F.col("block") + 1) * size - F.col("start")).alias("word_to")
     )
-    pieces = slots.join(contents, ["src", "block"]).select("shard", "slot", "pass", "source", "doc_id", "text_key", "bucket", "nth", "word_from", "word_to")
-    return pieces, placed, sources.select("source", "source_size", "target")
+    pieces = slots.join(contents, ["src", "block"]).withColumn("word_to", F.least("word_to", F.col("block") * size + F.col("most_words") - F.col("start"))).filter("word_to > word_from")
+    return pieces.select("shard", "slot", "pass", "source", "doc_id", "text_key", "bucket", "nth", "word_from", "word_to"), placed, sources.select("source", "source_size", "target")
+
+
+def _joined(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows with what sources (source_, ...) say of their source."""
+    few = sources.count() <= FEW_SOURCES
+    return rows.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
 
 
 def taken(pieces: DataFrame, placed: DataFrame, sources: DataFrame) -> DataFrame:
@@ -170,8 +191,7 @@ def taken(pieces: DataFrame, placed: DataFrame, sources: DataFrame) -> DataFrame
     none = placed.select(*key, "size", F.lit(0).cast("long").alias("words"))
     some = pieces.select(*key, F.lit(0).cast("long").alias("size"), (F.col("word_to") - F.col("word_from")).alias("words"))
     sums = none.unionByName(some).groupBy(*key).agg(F.sum("size").alias("size"), F.sum("words").alias("taken"))
-    about = sources.withColumnRenamed("source", "source_")
-    return sums.join(F.broadcast(about), F.col("source").eqNullSafe(F.col("source_"))).select("doc_id", "size", "source_size", "target", "taken")
+    return _joined(sums, sources.withColumnRenamed("source", "source_")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -181,20 +201,20 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     n_chars, if there is such a column, follows the text. Repeated rows are separate documents: rows are written with a number of their own,
     and copies find their row by it.
     """
-    columns = docs.columns
-    docs = kept(docs.withColumn(ROW, F.monotonically_increasing_id()), "mix-docs")
-    pieces, placed, _ = mix(docs, **how)
+    rows = kept(carried(docs).withColumn("nr", F.monotonically_increasing_id()), "mix-docs")
+    of = lambda c: F.col(f"{ROW}.{c}").alias(c)
+    pieces, placed, _ = mix(rows.select(of("doc_id"), of("source"), of("text"), "nr"), **how)
     copies = pieces.groupBy("source", "bucket", "nth", "pass").agg(F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"), F.sum(F.col("word_to") - F.col("word_from")).alias("words"))
-    whole = placed.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), F.col("nth").alias("nth_"), "size", ROW)
+    whole = placed.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), F.col("nth").alias("nth_"), "size", "nr")
     copies = copies.join(whole, (F.col("bucket") == F.col("bucket_")) & (F.col("nth") == F.col("nth_")) & F.col("source").eqNullSafe(F.col("source_")))
-    copies = copies.select(ROW, F.col("spans").alias("spans_"), (F.col("words") == F.col("size")).alias("whole_"))
-    joined = docs.join(copies, ROW)
-    parts = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("spans_", lambda s: F.slice(parts, (s["word_from"] + 1).cast("int"), (s["word_to"] - s["word_from"]).cast("int")))), "")
-    joined = joined.withColumn("text", F.when(F.col("whole_"), F.col("text")).otherwise(cut))
-    if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*columns)
+    joined = rows.join(copies.select("nr", "spans", (F.col("words") == F.col("size")).alias("is_whole")), "nr")
+    parts = F.regexp_extract_all(F.col(f"{ROW}.text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    slices = F.transform(F.array(parts), lambda p: F.transform("spans", lambda s: F.slice(p, (s["word_from"] + 1).cast("int"), (s["word_to"] - s["word_from"]).cast("int"))))
+    text = F.when(F.col("is_whole"), F.col(f"{ROW}.text")).otherwise(F.array_join(F.flatten(F.flatten(slices)), ""))
+    joined = joined.withColumn("new_text", text).withColumn(ROW, F.col(ROW).withField("text", F.col("new_text")))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn(ROW, F.col(ROW).withField("n_chars", F.length("new_text").cast(docs.schema["n_chars"].dataType)))
+    return joined.select(f"{ROW}.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
