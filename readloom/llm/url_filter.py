@@ -1,35 +1,39 @@
 """URL filter: host and path rules first, then gradient-boosted trees on lexical features of the url.
 
-Features: lengths of url, host and path, host labels, path depth, digit ratio, entropy of the host's name, hyphens, parameter count,
-length of the query, address-like hosts, and smoothed shares of blocked hosts (each host once) for the top-level domain, for
-the last two labels, and the highest over the words of the host's name.
+Features: lengths of url, host and path, host labels, path depth, digit ratios, entropy of the host's name, hyphens, parameter count,
+length of the query, address-like hosts, escapes, and statistics of the host's suffixes (the last label, the last two) and of the
+path's first part: the smoothed share of blocked urls, each host counted once.
 
-The trees learn from labelled urls, at most about `sample` of them, on the driver. Without labels of its own, `weak_labels` labels
-a table's urls: a host with one of `BAD_WORDS` among the words of its name is one to block, any other is to be allowed.
+Labels. The trees learn from labelled urls (url, label). `rule_labels` makes them from the rules, which say of the urls that they fit
+what is right; the trees carry that over to all others. Statistics are counted in Spark over all labelled urls, by hash in `BUCKETS`
+buckets; a training url's own host is taken out of its statistics, so no feature holds its label. The trees are fitted on the driver on
+about `sample` urls, as many from each host as there are.
 
 Cases: a null url, or one without `://`, has an empty host and path and is judged like any other; repeated rows are judged alike; a
-null id is kept; an empty table gives no rows; other columns are ignored.
+null id is kept; an empty table gives no rows; without labels of both kinds the share of blocked labels is every url's; other columns
+are kept, but those called host, path, rule, verdict or p_block are replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from readloom.llm.common import ascii_lower, fraction, table
+from readloom.llm.common import ascii_lower, fraction, giving_back, kept, quoted, shared, table
 
 #: (rule, verdict); a rule is a host, and the start of a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
-#: Words of host names that mark urls to block, the weak labels' source.
-BAD_WORDS = frozenset("adult ads bet bets betting casino cam cams cheap clickbait dating escort free gambling hack jackpot loan loans malware phish phishing pills poker porn pharma sex slots spam track tracker viagra virus warez win xxx".split())
+#: Buckets of the statistics.
+BUCKETS = 1 << 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -48,52 +52,60 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _name_words(host: str) -> list[str]:
-    return [w for label in host.split(".")[:-1] for w in re.split(r"[^a-z0-9]+|\d+", label) if w]
-
-
 def _entropy(text: str) -> float:
     n = len(text)
     return -sum(k / n * math.log2(k / n) for k in (text.count(c) for c in set(text))) if n else 0.0
 
 
-class SuffixRates:
-    """Share of blocked hosts by suffix or word, smoothed by `weight` hosts of the overall share."""
+def rule_labels(urls: DataFrame, rules=RULES) -> DataFrame:
+    """(url, label) of the urls that a rule fits: 1 to block, 0 to allow."""
+    _, verdict = rule_of(*host_and_path(F.col("url")), rules)
+    return urls.select("url", (verdict == "block").cast("int").alias("label")).filter("label is not null")
 
-    def __init__(self, hosts: dict[str, int], weight: float = 2.0):
-        self.base = (sum(hosts.values()) + 0.5) / (len(hosts) + 1.0)
-        seen: dict[str, list[int]] = {}
-        for host, bad in hosts.items():
-            for key in self.keys(host):
-                x = seen.setdefault(key, [0, 0])
-                x[0] += 1
-                x[1] += bad
-        self.rates = {k: (b + weight * self.base) / (n + weight) for k, (n, b) in seen.items()}
 
-    @staticmethod
-    def keys(host: str) -> set[str]:
-        labels = host.split(".")
-        return {"tld:" + labels[-1], "two:" + ".".join(labels[-2:]), *("word:" + w for w in _name_words(host))}
+_PARTS = re.compile(r"^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?", re.S)
+_ADDRESS = re.compile(r"[\d.]+(:\d+)?")
 
-    def features(self, host: str) -> list[float]:
-        labels, get = host.split("."), self.rates.get
-        return [get("tld:" + labels[-1], self.base), get("two:" + ".".join(labels[-2:]), self.base), max((get("word:" + w, self.base) for w in _name_words(host)), default=self.base)]
 
+def _split(url: str | None) -> tuple[str, str, str]:
+    m = _PARTS.match(url or "")
+    return (m[1].lower(), m[2], m[3] or "") if m else ("", "", "")
 
-_PARTS = re.compile(r"^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?", re.S)
+
+def keys(host: str, path: str) -> list[int]:
+    """Buckets of the statistics that a url has: the host's last label, its last two, the path's first part."""
+    labels = host.split(".")
+    return [zlib.crc32(k.encode("utf-8", "surrogatepass")) % BUCKETS for k in ("one:" + labels[-1], "two:" + ".".join(labels[-2:]), "part:" + path[1:].split("/", 1)[0])]
 
 
-def features(url: str | None, rates: SuffixRates) -> list[float]:
+def lexical(url: str | None) -> list[float]:
     url = url or ""
-    m = _PARTS.match(url)
-    host, path, query = (m[1].lower(), m[2], m[3] or "") if m else ("", "", "")
+    host, path, query = _split(url)
     name = "".join(host.split(".")[:-1])
     return [
         len(url), len(host), len(path), host.count(".") + 1, sum(1 for p in path.split("/") if p), sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host) / max(1, len(host)),
-        _entropy(name), host.count("-"), query.count("="), len(query), float(bool(re.fullmatch(r"[\d.]+(:\d+)?", host))), unquote(url).count("%") + url.count("@"), *rates.features(host),
+        _entropy(name), host.count("-"), query.count("="), len(query), float(bool(_ADDRESS.fullmatch(host))), url.count("%") + url.count("@"),
     ]
 
 
+#: Names of the features in order.
+FEATURES = ("url length", "host length", "path length", "host labels", "path depth", "digit ratio", "host digit ratio", "entropy", "hyphens", "parameters", "query length", "address", "escapes", "last label", "last two labels", "first part")
+
+
+class Statistics:
+    """Hosts and the sum of their shares of blocked urls, by bucket; a share is smoothed by `weight` hosts of the overall one."""
+
+    def __init__(self, hosts: np.ndarray, blocked: np.ndarray, base: float, weight: float = 2.0):
+        self.hosts, self.blocked, self.base, self.weight = hosts, blocked, base, weight
+
+    def shares(self, at: np.ndarray, less: np.ndarray | None = None) -> np.ndarray:
+        """Shares of buckets at (n, 3); less: the share of each row's own host there, which is taken out."""
+        n, b = self.hosts[at], self.blocked[at]
+        if less is not None:
+            n, b = np.maximum(0, n - 1), np.maximum(0, b - less)
+        return (b + self.weight * self.base) / (n + self.weight)
+
+
 class BoostedTrees:
     """Logistic gradient boosting with trees of fixed depth over binned features."""
 
@@ -146,49 +158,76 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-f))
 
 
-def weak_labels(urls: DataFrame, bad_words=BAD_WORDS) -> DataFrame:
-    """(url, label) of urls (url) that have a host: 1 if a word of the host's name is one of bad_words."""
-    host, _ = host_and_path(F.col("url"))
-    words = F.split(F.regexp_replace(host, r"\.[^.]*$", ""), r"[^a-z]+")
-    return urls.filter(host != "").select("url", F.arrays_overlap(words, F.array(*[F.lit(w) for w in sorted(bad_words)])).cast("int").alias("label"))
+def _hosts(labelled: DataFrame) -> DataFrame:
+    """(bucket place, bucket, host, share, n): of each labelled host by its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [_split(u) for u in b.column("url").to_pylist()]
+            at = np.array([keys(h, p) for h, p, _ in parts], np.int32).reshape(-1, 3)
+            columns = [pa.array([h for h, _, _ in parts], pa.string()), *[pa.array(at[:, k]) for k in range(3)]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "host", "k0", "k1", "k2"])
+
+    return labelled.select("url", "label").mapInArrow(run, "url string, label int, host string, k0 int, k1 int, k2 int")
 
 
 class UrlModel:
-    """Suffix shares and trees fitted on labelled (url, label); at most about `sample` rows reach the driver."""
+    """Statistics and trees fitted on labelled (url, label); about `sample` urls reach the driver."""
 
     def __init__(self, labelled: DataFrame, sample: int = 20_000, seed: int = 9):
-        n = labelled.count()
-        rows = labelled.filter(fraction("url", F.lit(seed)) < min(1.0, sample / max(1, n))).distinct().orderBy("url").collect()
-        hosts = {m[1].lower(): 0 for r in rows if (m := _PARTS.match(r["url"]))}
-        for r in rows:
-            if (m := _PARTS.match(r["url"])) and r["label"]:
-                hosts[m[1].lower()] = 1
-        self.rates = SuffixRates(hosts)
-        y = np.array([float(r["label"]) for r in rows])
-        self.trees = BoostedTrees().fit(np.array([features(r["url"], self.rates) for r in rows], float), y) if len(rows) and 0 < y.mean() < 1 else None
-        self.share = float(y.mean()) if len(rows) else 0.0
+        with giving_back(labelled.sparkSession):
+            rows = kept(_hosts(labelled.filter("url is not null and label is not null").select("url", F.col("label").cast("int").alias("label"))), "url-labels")
+            place = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("bucket")) for k in range(3)]))
+            # a host's share of blocked urls in each of its buckets
+            shares = rows.select("host", "label", place.alias("p")).groupBy("p.k", "p.bucket", "host").agg(F.avg("label").alias("share"))
+            sums = shares.groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("hosts"), F.sum("share").alias("blocked"))
+            hosts, blocked = np.zeros(BUCKETS), np.zeros(BUCKETS)
+            for r in sums.collect():  # at most 3 * BUCKETS rows
+                hosts[r["bucket"]] += r["hosts"]
+                blocked[r["bucket"]] += r["blocked"]
+            of_hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share"))
+            n_hosts, base = of_hosts.agg(F.count(F.lit(1)), F.avg("share")).first()
+            self.stats, self.trees, self.share = Statistics(hosts, blocked, base or 0.0), None, base or 0.0
+            if not n_hosts:
+                return
+            per_host = max(50.0, sample / n_hosts)
+            some = of_hosts.filter(fraction("host", F.lit(seed)) < sample / per_host / n_hosts).select("host", "n")
+            drawn = rows.join(some, "host").filter(fraction("url", F.lit(seed)) < F.lit(per_host) / F.col("n")).select("host", "url", "label", "k0", "k1", "k2").distinct()
+            for k in range(3):
+                own = shares.filter(F.col("k") == k).select("host", F.col("bucket").alias(f"k{k}"), F.col("share").alias(f"own{k}"))
+                drawn = drawn.join(own, ["host", f"k{k}"])
+            found = drawn.select("url", "label", *[f"{c}{k}" for c in ("k", "own") for k in range(3)]).orderBy("url", "label").toPandas()
+        y = found["label"].to_numpy(float)
+        if len(found) and 0 < y.mean() < 1:
+            at, own = found[["k0", "k1", "k2"]].to_numpy(int), found[["own0", "own1", "own2"]].to_numpy(float)
+            self.trees = BoostedTrees().fit(np.column_stack([np.array([lexical(u) for u in found["url"]], float), self.stats.shares(at, own)]), y)
 
     def predict(self, urls: list[str | None]) -> np.ndarray:
         if self.trees is None or not urls:
             return np.full(len(urls), self.share)
-        return self.trees.predict(np.array([features(u, self.rates) for u in urls], float))
+        at = np.array([keys(h, p) for h, p, _ in map(_split, urls)])
+        return self.trees.predict(np.column_stack([np.array([lexical(u) for u in urls], float), self.stats.shares(at)]))
+
+
+MADE = ("host", "path", "rule", "verdict", "p_block")
 
 
 def judged(urls: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
     """urls with any columns, url among them -> their columns, host, path, rule, verdict and the trees' p_block."""
-    shared = urls.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema.fields)
+    urls = urls.select(*[quoted(c) for c in urls.columns if c not in MADE])
+    value = shared(urls.sparkSession, model)
+    schema = T.StructType([*urls.schema.fields, T.StructField("p_block", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.predict(b.column("url").to_pylist()))], [*b.schema.names, "p_block"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value.value.predict(b.column("url").to_pylist()))], [*b.schema.names, "p_block"])
 
     host, path = host_and_path(F.col("url"))
-    out = urls.mapInArrow(run, fields + ", p_block double").withColumns({"host": host, "path": path})
+    out = urls.mapInArrow(run, schema).withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))})
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judged(urls, UrlModel(weak_labels(urls))).select("page_id", "host", "path", "rule", "verdict", "p_block")
+    return judged(urls, UrlModel(rule_labels(urls))).select("page_id", "host", "path", "rule", "verdict", "p_block")
