@@ -5,11 +5,12 @@ by rarity in the whole corpus; as containment must be complete, the rarest word
 compared with a window only where it holds that word. The word's place in the window fixes where the window would begin (position
 bound) and end (length bound); what passes is verified word by word.
 
-The items are indexed in blocks of at most `block_bytes` of text, each broadcast; all documents pass every block, so a benchmark of
+The items are indexed in blocks of about `block_windows` words, and so windows, each broadcast (400,000 windows take some 60 MB); all documents pass every block, so a benchmark of
 any size is matched whole in bounded memory.
 
 Cases: a null text has no words and is never hit; items without words, or without an id, take no part; items with equal ids are one
-item; repeated documents give repeated rows; empty tables give no rows, or rows without hits; other columns are ignored.
+item; repeated documents give repeated rows; empty tables give no rows, or rows without hits; other columns are ignored, or
+kept by `decontaminated`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import CHUNK_BYTES, lean, table
+from readloom.llm.common import CHUNK_BYTES, ROW, carried, giving_back, lean, shared, table
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # bytes that are no word bytes become blanks, A-Z become a-z
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -34,22 +37,32 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WindowIndex:
-    """The windows of a block of items, found by their rarest word."""
+    """The windows of a block of items, found by their rarest word; all in flat arrays."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         self.window = window
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({name for name, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        rows, owner = [np.full((0, window), -2, np.int32)], [np.zeros(0, np.int32)]
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(name)
-        self.windows = list(found)
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.words = np.full((len(self.windows), window), -2, np.int64)
-        for k, w in enumerate(self.windows):
-            self.words[k, : len(w)] = w
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], np.int32)
+            if len(ids) >= window:
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+            elif len(ids):
+                rows.append(np.concatenate((ids, np.full(window - len(ids), -2, np.int32)))[None])
+            else:
+                continue
+            owner.append(np.full(len(rows[-1]), number[name], np.int32))
+        self.words, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.words >= 0).sum(1)
+        # the items of window w are owners[first_owner[w] : first_owner[w + 1]]
+        pairs = np.unique(of.reshape(-1).astype(np.int64) * max(1, len(self.names)) + np.concatenate(owner))
+        self.owners = (pairs % max(1, len(self.names))).astype(np.int32)
+        self.first_owner = np.searchsorted(pairs // max(1, len(self.names)), np.arange(len(self.words) + 1))
+
+    def items(self, windows: np.ndarray) -> set[str]:
+        return {self.names[i] for w in windows.tolist() for i in self.owners[self.first_owner[w] : self.first_owner[w + 1]].tolist()}
 
     def order_by_rarity(self, counts: np.ndarray) -> None:
         """counts: how often each word of the vocabulary occurs in the corpus."""
@@ -61,7 +74,6 @@ class WindowIndex:
         prefix = self.words[np.arange(len(self.words)), self.places]
         self.by_word = np.argsort(prefix, kind="stable")
         self.first = np.searchsorted(prefix[self.by_word], np.arange(n + 2))
-        self.windows = []  # no longer needed
 
     def hits(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begins and window numbers of all occurrences; ids: words of several texts, -1 if unknown; bounds: the texts' limits."""
@@ -144,15 +156,15 @@ def _merge(old: list[dict], begins: np.ndarray, ends: np.ndarray) -> list[dict]:
 _SPANS = "array<struct<start: long, end: long>>"
 
 
-def matched(docs: DataFrame, items: DataFrame, window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+def matched(docs: DataFrame, items: DataFrame, window: int = 13, block_windows: int = 400_000) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_words, spans, items): the word spans that lie in a window, and the items found.
 
     items: (item_id, text). Spans count words from 0 and don't overlap; items are ids as text, in order.
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, ceil(total / block_bytes))
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
+    n_blocks = max(1, ceil(total / block_windows))
     key = docs.schema["doc_id"].dataType
     out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     for block in range(n_blocks):
@@ -160,13 +172,14 @@ def matched(docs: DataFrame, items: DataFrame, window: int = 13, block_bytes: in
         index = WindowIndex(sorted((r["item"], r["text"].encode()) for r in rows), window)
         counts = np.zeros(len(index.vocabulary), np.int64)
         if counts.size:
-            for r in word_counts(docs, spark.sparkContext.broadcast(index)).collect():  # one row for each word of the block
-                counts[r["word"]] = r["n"]
+            with giving_back(spark):
+                for r in word_counts(docs, shared(spark, index)).collect():  # one row for each word of the block
+                    counts[r["word"]] = r["n"]
         index.order_by_rarity(counts)
-        shared, last = spark.sparkContext.broadcast(index), block == n_blocks - 1
+        value, last = shared(spark, index), block == n_blocks - 1
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+        def find(batches: Iterator[pa.RecordBatch], value=value, last=last) -> Iterator[pa.RecordBatch]:
+            index = value.value
             for batch in batches:
                 n = np.zeros(len(batch), np.int64)
                 spans, named = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
@@ -179,7 +192,7 @@ def matched(docs: DataFrame, items: DataFrame, window: int = 13, block_bytes: in
                         own = text == t
                         b = begins[own] - bounds[t]
                         spans[first + t] = _merge(spans[first + t], b, b + index.lengths[which[own]])
-                        named[first + t] = sorted({*named[first + t], *(x for w in which[own].tolist() for x in index.items[w])})
+                        named[first + t] = sorted(index.items(which[own]).union(named[first + t]))
                 columns = {"doc_id": batch.column("doc_id"), "n_words": pa.array(n), "spans": pa.array(spans, batch.schema.field("spans").type), "items": pa.array(named, batch.schema.field("items").type)}
                 if not last:
                     columns["text"] = batch.column("text")
@@ -202,7 +215,8 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated; documents with one id stand and fall together, a null id stays."""
     found = matched(docs, items)
     bad = found.filter(contaminated(hit_words(F.col("spans")), F.col("n_words"))).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    rows = carried(docs, F.col("doc_id").alias("own_id"))
+    return rows.join(bad, F.col("own_id") == F.col("bad_id"), "left_anti").select(f"{ROW}.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
