@@ -2,11 +2,11 @@
 
 Every text is cut into windows of `WINDOW` bytes, the last filled up with blanks; a window's languages come from the network, a
 text's from the mean over its windows, weighed by their bytes. The network is trained in numpy on one pseudorandomly placed window
-from each of at most `per_language` labelled texts of each language; whole texts are predicted.
+from each of at most `per_language` different labelled texts of each of at most `languages` languages; whole texts are predicted.
 
 Cases: a null text, or one without a letter, is `und` with score 0, and so is every text when there is nothing to learn from; a null
 or empty label teaches nothing; a null id counts as empty text for the split; repeated rows give repeated rows; an empty table gives
-none; other columns are ignored.
+none; other columns are ignored, or kept by `predict` and `accepted`.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from readloom.llm.common import LOWER, doc_crc, fraction, lean, table, text_chunks
+from readloom.llm.common import LOWER, ROW, carried, doc_crc, fraction, lean, quoted, shared, table, text_chunks
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -113,6 +114,48 @@ class ByteCNN:
         return out
 
 
+def learn(docs: DataFrame, per_language: int = 1500, languages: int = 512, seed: int = 21) -> tuple[ByteCNN | None, list[str]]:
+    """The network and its languages, from docs (text, lang) with labels: the `languages` labels with most different texts.
+
+    The driver sees one window from each of at most about per_language different texts of each, however many copies a text has.
+    """
+    docs = docs.filter("text is not null and lang is not null and lang <> '' and text rlike '\\\\p{L}'")
+    found = docs.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = {r["lang"]: r["n"] for r in found}
+    names = sorted(counts)
+    if not names:
+        return None, []
+    share = F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, per_language / max(1, counts[k])))]), F.col("lang"))
+    begin = 1 + F.floor(fraction("text", F.lit(seed + 1)) * F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int")
+    rows = docs.filter(fraction("text", F.lit(seed)) < share).select(F.col("text").substr(begin, F.lit(WINDOW)).alias("part"), "lang").distinct().collect()
+    rows = sorted((r["part"], r["lang"]) for r in rows)
+    data = [p.encode()[:WINDOW] for p, _ in rows]
+    x, _, _ = windows(np.frombuffer(b"".join(d.ljust(1) for d in data), np.uint8), np.concatenate(([0], np.cumsum([max(1, len(d)) for d in data]))))
+    number = {k: i for i, k in enumerate(names)}
+    y = np.array([number[k] for _, k in rows])
+    net = ByteCNN(len(names))
+    net.train(x, y)
+    net.pack()
+    return net, names
+
+
+def predict(self, x: np.ndarray, step: int = 128) -> np.ndarray:
+        """Probabilities of windows (n, WINDOW) of bytes."""
+        out = np.zeros((len(x), len(self.out_bias)))
+        for i in range(0, len(x), step):
+            b = x[i : i + step].astype(np.int64)
+            pairs = b[:, :-1] * 256 + b[:, 1:]
+            pooled = []
+            for w, parts, bias in zip(WIDTHS, self.packed, self.bias, strict=True):
+                n = WINDOW - w + 1
+                conv = parts[0].take(pairs[:, :n], 0)
+                if len(parts) > 1:
+                    conv += parts[1].take(pairs[:, 2 : 2 + n] if w % 2 == 0 else b[:, 2 : 2 + n], 0)
+                pooled.append(conv.max(1) + bias)
+            out[i : i + step] = self._softmax(np.maximum(np.concatenate(pooled, 1), 0) @ self.out + self.out_bias)
+        return out
+
+
 def learn(docs: DataFrame, per_language: int = 1500, seed: int = 21) -> tuple[ByteCNN | None, list[str]]:
     """The network and its languages, from docs (text, lang) with labels; the driver sees at most about per_language windows of each."""
     docs = docs.filter("text is not null and lang is not null and lang <> '' and text rlike '\\\\p{L}'")
@@ -133,15 +176,19 @@ def learn(docs: DataFrame, per_language: int = 1500, seed: int = 21) -> tuple[By
     return net, names
 
 
+MADE = ("lang_pred", "score")
+
+
 def predict(docs: DataFrame, net: ByteCNN | None, names: list[str]) -> DataFrame:
-    """docs with any columns -> their columns and lang_pred, score."""
+    """docs with any columns -> their columns and lang_pred, score, which replace columns of these names."""
+    docs = docs.select(*[quoted(c) for c in docs.columns if c not in MADE])
     if net is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast((net, names))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    value = shared(docs.sparkSession, (net, names))
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, names = shared.value
+        net, names = value.value
         for batch in batches:
             best, score = np.zeros(len(batch), np.int64), np.zeros(len(batch))
             for first, buf, off in text_chunks(batch.column("text")):
@@ -150,9 +197,9 @@ def predict(docs: DataFrame, net: ByteCNN | None, names: list[str]) -> DataFrame
                 np.add.at(total, of, net.predict(x) * weight[:, None])
                 total /= np.maximum(1e-12, total.sum(1, keepdims=True))
                 best[first : first + len(total)], score[first : first + len(total)] = total.argmax(1), total.max(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names).take(pa.array(best)), pa.array(np.clip(score, 0, 1))], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names).take(pa.array(best)), pa.array(np.clip(score, 0, 1))], [*batch.schema.names, *MADE])
 
-    out = docs.mapInArrow(lean(run), ", ".join([*fields, "lang_pred string", "score double"]))
+    out = docs.mapInArrow(lean(run), schema)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return out.withColumns({"lang_pred": F.when(lettered, F.col("lang_pred")).otherwise(UNDETERMINED), "score": F.when(lettered, F.col("score")).otherwise(0.0)})
 
@@ -164,8 +211,8 @@ def trainable(held_out: Column, docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """docs in a language the network knows: not `und`, and with a mean probability of at least `least`; columns as they were."""
     net, names = learn(trainable(doc_crc() % 4 == 2, docs))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return predict(rows, net, names).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
+    found = predict(carried(docs, "text"), net, names)
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(f"{ROW}.*")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
