@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import kept, kept_by, lean, mix64, signed, table, text_chunks, word_hashes, word_spans
+from readloom.llm.common import ROW, carried, giving_back, kept, kept_by, lean, mix64, shared, signed, table, text_chunks, word_hashes, word_spans
 from readloom.llm.graph import components
 
 BUCKETS = 256
@@ -222,16 +222,22 @@ def _near_in_region(similar: int):
 class JaccardJoin:
     """The join over docs (doc_id, text); see the module's text. `members`, `links` and `labels` are its results."""
 
-    def __init__(self, docs: DataFrame, width: int = 5, similar: int = 80, leaf: int = 32, room: int = 4096, common_from: int = 16, common_share: float = 1e-4, busy: int = 256, all_links: bool = False):
-        self.docs, self.width, self.similar, self.leaf, self.room, self.busy, self.all_links = docs.select("doc_id", "text"), width, similar, leaf, room, busy, all_links
+    def __init__(self, docs: DataFrame, width: int = 5, similar: int = 80, leaf: int = 32, room: int = 4096, common_from: int = 16, common_share: float = 1e-4, busy: int = 256, hot_rows: int = 200_000, all_links: bool = False):
+        self.docs, self.width, self.similar, self.leaf, self.room, self.busy, self.hot_rows, self.all_links = docs.select("doc_id", "text"), width, similar, leaf, room, busy, hot_rows, all_links
         self.id_type = docs.schema["doc_id"].dataType.simpleString()
-        described = kept(self.docs.mapInArrow(_describe(width, True), f"doc_id {self.id_type}, n long, s1 long, s2 long, hash long, seen long"), "shingled")
+        with giving_back(docs.sparkSession) as stay:
+            self._made(width, common_from, common_share)
+            stay += [self.described, self.classes, self.links, self.labels]
+
+    def _made(self, width: int, common_from: int, common_share: float) -> None:
+        self.described = described = kept(self.docs.mapInArrow(_describe(width, True), f"doc_id {self.id_type}, n long, s1 long, s2 long, hash long, seen long"), "shingled")
         rows = described.filter("hash is null").select("doc_id", "n", "s1", "s2")
         #: (s1, s2, n, rep): classes of equal sets
         self.classes = kept(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "classes")
         self.rows = rows
         self.common = self._common(described.filter("hash is not null"), max(common_from, int(common_share * rows.count())))
-        self.links, self.labels = self._join()
+        links, self.labels = self._join()
+        self.links = kept(links, "links")
 
     def _common(self, seen: DataFrame, least: int):
         """Shingles that at least `least` documents share, as far as stretches of documents show it; only the order depends on it.
@@ -245,7 +251,7 @@ class JaccardJoin:
         found = sums.toPandas()
         hashes = found["hash"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(hashes)
-        return self.docs.sparkSession.sparkContext.broadcast((hashes[order], found["seen"].to_numpy(np.int64)[order]))
+        return shared(self.docs.sparkSession, (hashes[order], found["seen"].to_numpy(np.int64)[order]))
 
     def _measured(self, pairs: DataFrame) -> DataFrame:
         """(p, x, d) of distinct pairs (p, x, np, nx) that pass the necessary conditions; d: distance, linked: within the threshold."""
@@ -331,13 +337,32 @@ class JaccardJoin:
         pairs = side("a").filter("not main_a").join(side("b"), "h").filter(across & near & fits)
         return pairs.select(F.least("id_a", "id_b").alias("p"), F.greatest("id_a", "id_b").alias("x"), F.when(F.col("id_a") < F.col("id_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("np"), F.when(F.col("id_a") < F.col("id_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("nx"))
 
+    def _region_stars(self, rows: DataFrame) -> DataFrame:
+        """(h, p, x, np, nx, rp, rx): every member x of a region h but the first in rank, with that one, p, as its pivot.
+
+        A region lies in one task, in order of rank, unless `common` shows it to have over `hot_rows` members: those regions' first
+        members are found by a pre-aggregated minimum and are broadcast, so their members stay where they are.
+        """
+        rank = lambda df: df.select("h", "id", "n", (F.shiftleft("own", 32) + F.shiftrightunsigned(F.xxhash64("id"), 32)).alias("rank"))
+        schema = f"h long, p {self.id_type}, x {self.id_type}, np long, nx long, rp long, rx long"
+        ordered = lambda df: rank(df.repartition("h")).sortWithinPartitions("h", "rank", "id").mapInArrow(lean(_stars), schema)
+        hashes, seen = self.common.value
+        hot = hashes[seen > self.hot_rows]  # at most (shingles of all sets) / hot_rows of them
+        if not len(hot):
+            return ordered(rows)
+        spark = rows.sparkSession
+        marks = spark.createDataFrame([(int(h),) for h in signed(hot)], "h long")
+        rows = kept(rows, "prefixes")
+        some = rank(rows.join(F.broadcast(marks), "h"))
+        first = some.groupBy("h").agg(F.min(F.struct("rank", "id", "n")).alias("v")).select("h", F.col("v.id").alias("p"), F.col("v.n").alias("np"), F.col("v.rank").alias("rp"))
+        stars = some.join(F.broadcast(first), "h").select("h", "p", F.col("id").alias("x"), "np", F.col("n").alias("nx"), "rp", F.col("rank").alias("rx"))
+        return ordered(rows.join(F.broadcast(marks), "h", "left_anti")).unionByName(stars)
+
     def _join(self) -> tuple[DataFrame, DataFrame]:
         prefixes = self.docs.filter("doc_id is not null").mapInArrow(lean(_prefixes(self.width, self.similar, self.common)), f"id {self.id_type}, n long, own long, prefix array<long>")
         prefixes = prefixes.join(self.classes.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_semi")
-        rows = prefixes.select("id", "n", "own", F.explode("prefix").alias("h")).select("h", "id", "n", "own").repartition("h")
-        rows = rows.select("h", "id", "n", (F.shiftleft("own", 32) + F.shiftrightunsigned(F.xxhash64("id"), 32)).alias("rank"))
-        schema = f"h long, p {self.id_type}, x {self.id_type}, np long, nx long, rp long, rx long"
-        stars = kept(rows.sortWithinPartitions("h", "rank", "id").mapInArrow(lean(_stars), schema).filter("p <> x"), "stars")
+        rows = prefixes.select("id", "n", "own", F.explode("prefix").alias("h")).select("h", "id", "n", "own")
+        stars = kept(self._region_stars(rows).filter("p <> x"), "stars")
         ids = stars.select(F.col("p").alias("doc_id")).unionByName(stars.select(F.col("x").alias("doc_id"))).distinct()
         texts = self.docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
         self.items = kept_by(texts.mapInArrow(lean(_counted(self.width)), f"id {self.id_type}, text string, counts binary"), "id", "items")
@@ -382,7 +407,8 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """docs without those that aren't the first of their component, by id; columns as they were."""
     found = JaccardJoin(docs, **how).result()
     extra = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("extra_id")).distinct()
-    return docs.join(extra, F.col("doc_id") == F.col("extra_id"), "left_anti")
+    rows = carried(docs, F.col("doc_id").alias("own_id"))
+    return rows.join(extra, F.col("own_id") == F.col("extra_id"), "left_anti").select(f"{ROW}.*")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
