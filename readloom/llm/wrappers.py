@@ -1,20 +1,24 @@
 """HTML extraction by wrappers: union-free regular expressions inferred from pages of one host.
 
-A page is a stream of container tags and of text between them. Streams of one host are aligned one after the other: equal tags meet
-by a longest common subsequence among siblings, a tag that only some pages have becomes an optional group, tags that follow themselves
-(up to `PERIOD` siblings in turn) become a repeated group, and text that differs becomes a text slot. The result is a wrapper such as
-`<html><body><nav># </nav>(<div.ad>#</div>)?<article>#</article></body></html>`.
+A page is a stream of tokens: tags of containers and of blocks, and the text of blocks between them. Streams of one host are aligned one
+after the other: equal tags meet by a longest common subsequence among siblings, a tag that only some pages have becomes an optional
+group, tags that follow themselves (containers up to `PERIOD` siblings in turn, blocks in any order) become repeated groups, and text
+becomes a text slot. The result is a wrapper such as
+`<html><body><nav>(<li>#</li>)+</nav>(<div.ad>#</div>)?<article><h1>#</h1>(<p>#</p>)+</article></body></html>`.
 
 A wrapper's slots are sorted once for the host: out goes what lies in menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments by tag, class or id, and short text that is the same on every page while other slots differ; in stays what lies in an
-article or main element, or, on pages without one, what is left and not mostly links. Each page is then aligned with its
-host's wrapper, which gives its texts their slots; text that the wrapper does not know is judged by its own containers. Whether there
-is an article is decided for each page, as templates of one host differ; texts and links are counted apart for pages with and without one.
+reader comments by tag, class or id; in stays what lies in an article or main element, whatever it is called and however often it is
+the same. On pages without one, what is left stays, but for containers that are mostly links, and short text that is the same on every
+page while other slots differ, in containers that hold no text that differs. An element that holds all of a page's articles is
+not judged by its class. Each page is then aligned with its host's wrapper, which gives its texts their slots; text that the wrapper
+does not know is judged by its own containers. Whether there is an article is decided for each page, as templates of one host differ;
+texts and links are counted apart for pages with and without one.
 
 A wrapper is inferred from all pages of a host. Tasks fold each page into a wrapper of its own and add up, for pages of equal ones, what
-their slots hold: whether texts differ, and their characters. The distinct wrappers of a host are aligned in `PARTS` groups by hash and
-then with each other, in an order that does not depend on how rows are dealt. All pages are extracted whole. Wrappers are broadcast
-while they are under `broadcast_bytes` together, else joined by host.
+their slots hold: whether texts differ, and their characters. The distinct wrappers of a host are aligned in `PARTS` groups by hash,
+these in `FAN` groups, and these with each other, in an order that does not depend on how rows are dealt. All pages are extracted
+whole. Nothing recurses, so pages may nest as deeply as they like. Wrappers are broadcast while they are under `broadcast_bytes`
+together, else joined by host.
 
 Cases: a null or empty html gives an empty text; a null url is a page of the empty host; a null id is kept; repeated rows give
 repeated rows; an empty table gives none; other columns are ignored.
@@ -26,6 +30,7 @@ import hashlib
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,159 +38,252 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import kept, lean, table
+from readloom.llm.common import kept, lean, shared, table
 from readloom.llm.url_filter import host_and_path
 
 PERIOD = 3
-PARTS = 16
+PARTS, FAN = 4096, 64
 CONTAINERS = frozenset("html head body header nav footer aside main article section div form table ul ol dl figure fieldset dialog details menu search".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote tr td th dt dd hr address figcaption caption summary option title center hgroup legend".split())
 OUT_TAGS = frozenset("head nav footer aside form dialog menu search fieldset".split())
-OUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice "
-    "notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
-)
 IN_TAGS = frozenset(("article", "main"))
+#: Words of a class, id or role that tell what is no main text, anywhere in a name such as `site-nav-2`.
+OUT_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter promo promoted promotion sidebar sponsor sponsored".split()
+)
+#: The same, as a name's first or last word.
+OUT_ENDS = frozenset("banner complementary contentinfo disclaimer form login modal notice notices notification notifications overlay pager pagination popup recommended related replies reply share sharing signup social subscribe subscription toolbar topbar widget widgets".split())
 IN_WORDS = frozenset("article articlebody content entry maincontent post postbody story".split())
+#: A name with one of these tells of a neighbour: `has-sidebar`.
+ABOUT = frozenset("has with no without is".split())
+COMMENTS = frozenset("comment comments reply".split())
+
+#: What the end of a container's key tells: out by its name; out like a header; in by its name; a reader's comment; not to be judged by name or tag.
+OUT_NAME, HEADER_NAME, IN_NAME, COMMENT, WHOLE = "!", "~", "^", "?", "+"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_HUMP = re.compile(r"([a-z])([A-Z])")
 
 
 class Node:
-    """A container with its children in order; a slot has key '#' and, on a page, its blocks of text, in a wrapper what `Stats` says."""
+    """A container with its children in order, or a slot, the text of one block: its key is `#` and the block's tag."""
 
-    __slots__ = ("blocks", "key", "kids", "link_chars", "marks", "optional", "repeated", "stats", "within")
+    __slots__ = ("key", "kids", "link_chars", "marks", "optional", "repeated", "stats", "text", "within")
 
-    def __init__(self, key: str, blocks: list[str] | None = None, link_chars: int = 0):
-        self.key, self.kids, self.blocks, self.link_chars = key, [], blocks, link_chars
+    def __init__(self, key: str, text: str | None = None, link_chars: int = 0):
+        self.key, self.kids, self.text, self.link_chars = key, [], text, link_chars
         self.optional = self.repeated = False
         self.marks: list[int] | None = None
         self.stats: list[list[int] | None] = [None, None]  # of pages without and with an article
         self.within: list[Node] = []  # a page's slots that fall on this slot
 
-    def shape(self) -> str:
-        return self.key if self.key == "#" else f"{self.key}({','.join([k.shape() for k in self.kids])})"
+    @property
+    def is_slot(self) -> bool:
+        return self.key[:1] == "#"
+
+    def shape(self) -> bytes:
+        """A digest of the tree's keys."""
+        h, todo = hashlib.blake2b(digest_size=16), [self]
+        while todo:
+            n = todo.pop()
+            h.update(f"{n.key}({len(n.kids)}".encode("utf-8", "surrogatepass"))
+            todo += reversed(n.kids)
+        return h.digest()
+
+
+def _key(name: str, attributes: str) -> str:
+    """The key of a container: its tag, the words of its class, id and role, and what they tell."""
+    if not attributes:
+        return name
+    tokens = [t for g in _NAMES.findall(attributes) for t in "".join(g).split()]
+    named = [[w for w in re.split(r"[^a-z]+", _HUMP.sub(r"\1-\2", t).lower()) if w] for t in tokens]
+    words = sorted({w for parts in named for w in parts})
+    judged = [parts for parts in named if parts and ABOUT.isdisjoint(parts)]
+    end = ""
+    if name in IN_TAGS:
+        end = COMMENT if any(len(p) == 1 and p[0] in COMMENTS for p in judged) else ""
+    elif any(not OUT_WORDS.isdisjoint(p) or p[0] in OUT_ENDS or p[-1] in OUT_ENDS for p in judged):
+        end = OUT_NAME
+    elif any("header" in (p[0], p[-1]) for p in judged):
+        end = HEADER_NAME
+    elif any(not IN_WORDS.isdisjoint(p) for p in judged):
+        end = IN_NAME
+    return ".".join([name, *words]) + end
+
+
+def _step(state: bool | None, key: str) -> bool | None:
+    """What a container makes of what those around it said: False: not main text, True: within an article, None: neither."""
+    if state is False:
+        return False
+    name, end = re.match("[a-z0-9]*", key)[0], key[-1:]
+    if name in IN_TAGS:
+        return not (state and end == COMMENT)
+    if end == WHOLE or name in ("html", "body"):
+        return state
+    if name in OUT_TAGS or end == OUT_NAME or (name == "header" or end == HEADER_NAME) and not state:
+        return False
+    return True if end == IN_NAME else state
 
 
 def parse(html: str) -> Node:
     root = Node("")
-    stack, blocks, parts = [root], [], []
+    stack, parts, block = [root], [], ""
+    nodes: list[tuple[Node, int]] = [(root, -1)]  # containers as they come, each with the place of the one around it
+    places, open_ = [0], Counter()
     links = link_chars = 0
 
     def end_block() -> None:
-        if text := " ".join("".join(parts).split()):
-            blocks.append(text)
+        nonlocal link_chars
+        if parts and (text := " ".join("".join(parts).split())):
+            stack[-1].kids.append(Node("#" + block, text, min(link_chars, len(text))))
         parts.clear()
-
-    def end_slot() -> None:
-        nonlocal blocks, link_chars
-        end_block()
-        if blocks:
-            stack[-1].kids.append(Node("#", blocks, link_chars))
-        blocks, link_chars = [], 0
+        link_chars = 0
 
     for m in _TOKEN.finditer(html):
         name = m[3]
         if name is None:
             raw = m[0]
             if raw[0] != "<" or raw == "<":
-                parts.append(unescape(raw))
+                text = unescape(raw)
+                parts.append(text)
                 if links:
-                    link_chars += len(raw)
+                    link_chars += len(" ".join(text.split()))
             continue
         name, closing = name.lower(), bool(m[2])
         if name in CONTAINERS:
-            end_slot()
+            end_block()
+            block = ""
             if not closing:
-                words = sorted({w for g in _NAMES.findall(m[4]) for w in re.split(r"[^a-z]+", "".join(g).lower()) if w})
-                node = Node(".".join([name, *words]))
+                node = Node(_key(name, m[4]))
                 stack[-1].kids.append(node)
+                nodes.append((node, places[-1]))
+                places.append(len(nodes) - 1)
                 stack.append(node)
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].key.split(".", 1)[0] == name:
-                        del stack[i:]
+                open_[name] += 1
+            elif open_[name]:
+                while True:
+                    last = re.match("[a-z0-9]*", stack.pop().key)[0]
+                    places.pop()
+                    open_[last] -= 1
+                    if last == name:
                         break
         elif name in BLOCKS:
             end_block()
+            block = "" if closing else name
         elif name == "br":
             parts.append(" ")
         elif name == "a":
             links = max(0, links + (-1 if closing else 1))
-    end_slot()
+    end_block()
+    # what holds all of the page's articles isn't judged by its name, nor as a form
+    held = [int(re.match("[a-z0-9]*", n.key)[0] in IN_TAGS) for n, _ in nodes]
+    total = sum(held)
+    for i in range(len(nodes) - 1, 0, -1):
+        held[nodes[i][1]] += held[i]
+    for (n, _), h in zip(nodes[1:], held[1:], strict=True):
+        if total and h == total and (n.key == "form" or n.key.startswith("form.") or n.key[-1] in (OUT_NAME, HEADER_NAME)):
+            n.key = n.key.rstrip(OUT_NAME + HEADER_NAME) + WHOLE
     return root
 
 
 def fold(kids: list[Node]) -> list[tuple[Node, list[Node]]]:
-    """Siblings with repeats folded: each place with all the siblings that fall on it."""
+    """Siblings with repeats folded: each place with all the siblings that fall on it. Slots in a row are one place for each key."""
+    runs: list[tuple[Node, list[Node]]] = []
+    own: dict[str, list[Node]] = {}
+    for k in kids:
+        if not k.is_slot:
+            own = {}
+            runs.append((k, [k]))
+        elif k.key in own:
+            own[k.key].append(k)
+        else:
+            own[k.key] = [k]
+            runs.append((k, own[k.key]))
+    keys = [k.key for k, _ in runs]
     out: list[tuple[Node, list[Node]]] = []
     i = 0
-    while i < len(kids):
+    while i < len(runs):
         for p in range(1, PERIOD + 1):
-            keys = [k.key for k in kids[i : i + p]]
             n = 1
-            while len(keys) == p and [k.key for k in kids[i + n * p : i + (n + 1) * p]] == keys:
+            while i + (n + 1) * p <= len(keys) and keys[i + n * p : i + (n + 1) * p] == keys[i : i + p]:
                 n += 1
             if n > 1:
-                out += [(kids[i + j], kids[i + j : i + n * p : p]) for j in range(p)]
+                out += [(runs[i + j][0], [x for _, same in runs[i + j : i + n * p : p] for x in same]) for j in range(p)]
                 i += n * p
                 break
         else:
-            out.append((kids[i], [kids[i]]))
+            out.append(runs[i])
             i += 1
     return out
 
 
-def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence."""
+def aligned(a: list[str], b: list[str], most: int = 4096) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, from rows of bits; sequences of over `most` keys meet stretch by stretch."""
+    if len(a) > most or len(b) > most:
+        n = -(-max(len(a), len(b)) // most)
+        cuts = [(len(a) * k // n, len(b) * k // n) for k in range(n + 1)]
+        return [(i + x, j + y) for (i, j), (i2, j2) in zip(cuts, cuts[1:], strict=False) for x, y in aligned(a[i:i2], b[j:j2], most)]
     if a == b:
         return [(i, i) for i in range(len(a))]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
+    places: dict[str, int] = {}
+    for j, k in enumerate(b):
+        places[k] = places.get(k, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    bits, rows = full, []  # a row's zeros: where the common subsequence of a[: i + 1] and b grows
+    for k in a:
+        u = bits & places.get(k, 0)
+        bits = ((bits + u) | (bits - u)) & full
+        rows.append(bits)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    return out[::-1]
 
 
-def folded(own: Node, page: Node, first: bool = True) -> Node:
+def folded(own: Node, page: Node) -> Node:
     """Widens `own`, a wrapper of parts of one page, by a container of equal key."""
-    places = fold(page.kids)
-    pairs = aligned([k.key for k in own.kids], [n.key for n, _ in places])
-    met, at = {j: i for i, j in pairs}, 0
-    for k in {*range(len(own.kids))} - {i for i, _ in pairs}:
-        own.kids[k].optional = True
-    kids: list[Node] = []
-    for j, (node, same) in enumerate(places):
-        if j in met:
-            kids += own.kids[at : met[j] + 1]
-            at = met[j] + 1
-        else:
-            kids.append(Node(node.key))
-            kids[-1].optional = not first
-        place = kids[-1]
-        place.repeated |= len(same) > 1
-        for n, x in enumerate(same):
-            if x.key == "#":
-                place.within.append(x)
+    todo = [(own, page, True)]
+    while todo:
+        own_, page_, first = todo.pop()
+        places = fold(page_.kids)
+        pairs = aligned([k.key for k in own_.kids], [n.key for n, _ in places])
+        met, at = {j: i for i, j in pairs}, 0
+        for k in {*range(len(own_.kids))} - {i for i, _ in pairs}:
+            own_.kids[k].optional = True
+        kids: list[Node] = []
+        inner = []
+        for j, (node, same) in enumerate(places):
+            if j in met:
+                kids += own_.kids[at : met[j] + 1]
+                at = met[j] + 1
             else:
-                folded(place, x, j not in met and n == 0)
-    own.kids = kids + own.kids[at:]
+                kids.append(Node(node.key))
+                kids[-1].optional = not first
+            place = kids[-1]
+            place.repeated |= len(same) > 1
+            for n, x in enumerate(same):
+                if x.is_slot:
+                    place.within.append(x)
+                else:
+                    inner.append((place, x, j not in met and n == 0))
+        own_.kids = kids + own_.kids[at:]
+        todo += reversed(inner)
     return own
 
 
+DIFFER = -1
+
+
 def added(a: list[int] | None, b: list[int] | None) -> list[int] | None:
     """What two groups of pages say of a slot: [pages, hash of its text or DIFFER, characters, characters in links, longest text]."""
     if a is None or b is None:
@@ -193,101 +291,123 @@ def added(a: list[int] | None, b: list[int] | None) -> list[int] | None:
     return [a[0] + b[0], a[1] if a[1] == b[1] else DIFFER, a[2] + b[2], a[3] + b[3], max(a[4], b[4])]
 
 
-DIFFER = -1
-
-
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest())
 
 
 def merged(a: Node, b: Node) -> Node:
     """The wrapper that fits what either of two wrappers of equal key fits; made of their nodes."""
-    a.optional |= b.optional
-    a.repeated |= b.repeated
-    a.stats = [added(x, y) for x, y in zip(a.stats, b.stats, strict=True)]
-    pairs = aligned([k.key for k in a.kids], [k.key for k in b.kids])
-    kids: list[Node] = []
-    i = j = 0
-    for x, y in [*pairs, (len(a.kids), len(b.kids))]:
-        for k in [*a.kids[i:x], *b.kids[j:y]]:
-            k.optional = True
-            kids.append(k)
-        if x < len(a.kids) and y < len(b.kids):
-            kids.append(merged(a.kids[x], b.kids[y]))
-        i, j = x + 1, y + 1
-    a.kids = kids
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        x.optional |= y.optional
+        x.repeated |= y.repeated
+        x.stats = [added(s, t) for s, t in zip(x.stats, y.stats, strict=True)]
+        pairs = aligned([k.key for k in x.kids], [k.key for k in y.kids])
+        kids: list[Node] = []
+        i = j = 0
+        for p, q in [*pairs, (len(x.kids), len(y.kids))]:
+            for k in [*x.kids[i:p], *y.kids[j:q]]:
+                k.optional = True
+                kids.append(k)
+            if p < len(x.kids) and q < len(y.kids):
+                kids.append(x.kids[p])
+                todo.append((x.kids[p], y.kids[q]))
+            i, j = p + 1, q + 1
+        x.kids = kids
     return a
 
 
-def _verdict(path: tuple[str, ...]) -> bool | None:
-    """Of containers from the outside in: False: not main text, True: within an article, None: neither."""
-    found = None
-    for key in path:
-        name, _, rest = key.partition(".")
-        words = set(rest.split(".")) if rest else set()
-        if name in OUT_TAGS or words & OUT_WORDS and name not in ("html", "body") or name == "header" and not found:
-            return False
-        if name in IN_TAGS or words & IN_WORDS and name not in ("html", "body"):
-            found = True
-    return found
-
-
-def verdicts(root: Node) -> list[tuple[Node, bool | None]]:
-    """The slots in order, each with what its containers say."""
-    slots: list[tuple[Node, bool | None]] = []
-
-    def walk(node: Node, path: tuple[str, ...]) -> None:
-        for k in node.kids:
-            if k.key == "#":
-                slots.append((k, _verdict(path)))
-            else:
-                walk(k, (*path, k.key))
-
-    walk(root, ())
-    return slots
+def slots(root: Node) -> list[tuple[Node, bool | None, Node]]:
+    """The slots in order, each with what its containers say and with the one around it."""
+    out: list[tuple[Node, bool | None, Node]] = []
+    todo: list[tuple[Node, bool | None, Node]] = [(root, None, root)]
+    while todo:
+        n, state, around = todo.pop()
+        if n.is_slot:
+            out.append((n, state, around))
+        else:
+            state = _step(state, n.key) if n.key else state
+            todo += [(k, state, n) for k in reversed(n.kids)]
+    return out
 
 
-#: What becomes of a slot: left out; main text of a page without an article; article; or as PLAIN, if the page's own text is not mostly links.
+#: What becomes of a slot: left out; main text of a page without an article; article; or as PLAIN, if the page's own container is not mostly links.
 OUT, PLAIN, ARTICLE, OWN = 0, 1, 2, 3
 
 
 def sort_slots(wrapper: Node, pages: list[list]) -> bool:
     """Marks each slot, for pages without and with an article; tells whether any page of the host has one. pages: see `Pages`."""
     loose: set[int] = set()  # slots that are repeated or within what is
-
-    def walk(node: Node, repeated: bool) -> None:
-        for k in node.kids:
-            if k.key == "#" and (repeated or k.repeated):
+    todo = [(wrapper, False)]
+    while todo:
+        n, repeated = todo.pop()
+        for k in n.kids:
+            if k.is_slot and (repeated or k.repeated):
                 loose.add(id(k))
-            walk(k, repeated or k.repeated)
-
-    walk(wrapper, False)
-    slots = verdicts(wrapper)
-    for s, _ in slots:
+            todo.append((k, repeated or k.repeated))
+    found = slots(wrapper)
+    for s, _, _ in found:
         s.marks = []
     for kind, (n, some) in enumerate(pages):
-        differs = any(s.stats[kind][1] == DIFFER for s, v in slots if v is not False and s.stats[kind])
-        for s, v in slots:
-            of, text, chars, links, longest = s.stats[kind] or [0, DIFFER, 0, 0, 0]
-            fixed = len(some) == SOME and differs and of == n and id(s) not in loose and text != DIFFER and longest < 80
-            s.marks.append(OUT if v is False or fixed else ARTICLE if v else OWN if not chars else OUT if links > 0.5 * chars else PLAIN)
-    return any(v for _, v in slots)
-
-
-def regex(node: Node) -> str:
-    inner = "".join(regex(k) for k in node.kids)
-    text = node.key if node.key == "#" else f"<{node.key}>{inner}</{node.key.split('.')[0]}>" if node.key else inner
-    return f"({text}){'*' if node.optional and node.repeated else '?' if node.optional else '+'}" if node.optional or node.repeated else text
-
-
-def _data(node: Node, stats: bool = True) -> list:
-    return [node.key, node.optional + 2 * node.repeated, node.stats if stats else 0, [_data(k, stats) for k in node.kids]]
+        sums: dict[int, list[int]] = {}  # characters, and those in links, of a container's own slots; whether one differs
+        for s, _, around in found:
+            of = s.stats[kind] or [0, 0, 0, 0, 0]
+            x = sums.setdefault(id(around), [0, 0, 0])
+            sums[id(around)] = [x[0] + of[2], x[1] + of[3], x[2] or of[1] == DIFFER]
+        differs = any(s.stats[kind][1] == DIFFER for s, v, _ in found if v is not False and s.stats[kind])
+        for s, v, around in found:
+            of, text, own, _, longest = s.stats[kind] or [0, DIFFER, 0, 0, 0]
+            chars, links, beside = sums[id(around)]
+            fixed = len(some) == SOME and differs and of == n and id(s) not in loose and text != DIFFER and longest < 80 and not beside
+            s.marks.append(OUT if v is False else ARTICLE if v else OWN if not own else OUT if fixed or links > 0.5 * chars else PLAIN)
+    return any(v for _, v, _ in found)
+
+
+def regex(root: Node) -> str:
+    """The wrapper as an expression: # for text, ? + * for optional and repeated groups."""
+    out: list[str] = []
+    todo: list[Node | str] = [root]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+            continue
+        tag = n.key[1:] if n.is_slot else n.key.rstrip(OUT_NAME + HEADER_NAME + IN_NAME + COMMENT + WHOLE)
+        group = "*" if n.optional and n.repeated else "?" if n.optional else "+" if n.repeated else ""
+        out.append(("(" if group else "") + (f"<{tag}>" if tag else ""))
+        todo.append((f"</{tag.split('.')[0]}>" if tag else "") + (f"){group}" if group else ""))
+        if n.is_slot:
+            out.append("#")
+        todo += reversed(n.kids)
+    return "".join(out)
+
+
+def _data(root: Node, stats: bool = True) -> list:
+    """The nodes in order, each as [key, flags, children, stats]."""
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        out.append([n.key, n.optional + 2 * n.repeated, len(n.kids), n.stats if stats and n.is_slot else 0])
+        todo += reversed(n.kids)
+    return out
 
 
 def _node(data: list) -> Node:
-    out = Node(data[0])
-    out.optional, out.repeated, out.stats, out.kids = bool(data[1] & 1), bool(data[1] & 2), data[2] or [None, None], [_node(k) for k in data[3]]
-    return out
+    root, open_ = None, []  # nodes that lack children
+    for key, flags, n_kids, stats in data:
+        n = Node(key)
+        n.optional, n.repeated, n.stats = bool(flags & 1), bool(flags & 2), stats or [None, None]
+        if open_:
+            open_[-1][0].kids.append(n)
+            open_[-1][1] -= 1
+        else:
+            root = n
+        if n_kids:
+            open_.append([n, n_kids])
+        while open_ and not open_[-1][1]:
+            open_.pop()
+    return root
 
 
 #: So many different pages make fixed text.
@@ -300,10 +420,10 @@ class Pages:
     def __init__(self) -> None:
         self.n, self.some, self.slots = 0, [], []
 
-    def add(self, n: int, some: list[int], slots: list[list[int]]) -> None:
+    def add(self, n: int, some: list[int], slots_: list[list[int]]) -> None:
         self.n += n
         self.some = sorted({*self.some, *some})[:SOME]
-        self.slots = [added(a, b) for a, b in zip(self.slots, slots, strict=True)] if self.slots else slots
+        self.slots = [added(a, b) for a, b in zip(self.slots, slots_, strict=True)] if self.slots else slots_
 
 
 class Tally:
@@ -311,31 +431,30 @@ class Tally:
 
     def __init__(self) -> None:
         self.of: dict[tuple[str | None, str], Pages] = {}
-        self.known: dict[str, tuple[str, list[list[int]]]] = {}  # of a page's shape: the folded one as JSON, and which slots of the page fall on its slots
+        self.known: dict[bytes, tuple[str, list[list[int]]]] = {}  # of a page's shape: the folded one as JSON, and which slots of the page fall on its slots
 
     def add(self, host: str | None, html: str) -> None:
         page = parse(html)
-        slots = [k for k, _ in verdicts(page)]
+        own_slots = [k for k, _, _ in slots(page)]
         if (shape := page.shape()) not in self.known:
-            if len(self.known) > 10_000:
+            if len(self.known) > 2000:
                 self.known.clear()
-            own, at = folded(Node(""), page), {id(k): i for i, k in enumerate(slots)}
-            self.known[shape] = json.dumps(_data(own, False)), [[at[id(x)] for x in k.within] for k, _ in verdicts(own)]
+            own, at = folded(Node(""), page), {id(k): i for i, k in enumerate(own_slots)}
+            self.known[shape] = json.dumps(_data(own, False)), [[at[id(x)] for x in k.within] for k, _, _ in slots(own)]
         key, places = self.known[shape]
-        texts = ["\n".join(k.blocks) for k in slots]
         found = []
         for place in places:
-            hashes = {_hash(texts[i]) for i in place}
-            found.append([1, hashes.pop() if len(hashes) == 1 else DIFFER, sum(len(x) for i in place for x in slots[i].blocks), sum(slots[i].link_chars for i in place), max(len(texts[i]) for i in place)])
+            hashes = {_hash(own_slots[i].text) for i in place}
+            found.append([1, hashes.pop() if len(hashes) == 1 else DIFFER, sum(len(own_slots[i].text) for i in place), sum(own_slots[i].link_chars for i in place), max(len(own_slots[i].text) for i in place)])
         self.of.setdefault((host, key), Pages()).add(1, [_hash(html)], found)
 
 
 def of_shape(shape: str, pages: Pages) -> tuple[Node, list[list]]:
     """The wrapper of pages of one folded shape, and (pages, some of them) without and with an article."""
     root = _node(json.loads(shape))
-    slots = verdicts(root)
-    kind = int(any(v for _, v in slots))
-    for (k, _), x in zip(slots, pages.slots, strict=True):
+    found = slots(root)
+    kind = int(any(v for _, v, _ in found))
+    for (k, _, _), x in zip(found, pages.slots, strict=True):
         k.stats[kind] = x
     return root, [[pages.n, pages.some] if k == kind else [0, []] for k in range(2)]
 
@@ -349,10 +468,13 @@ def union(wrappers: list[tuple[Node, list[list]]]) -> tuple[Node, list[list]]:
 
 
 def sorted_out(root: Node, pages: list[list]) -> dict:
-    """The wrapper as JSON data: {article, regex, tree}; a tree is [key, marks, children]."""
-    article = sort_slots(root, pages)
-    dump = lambda n: [n.key, n.marks, [dump(k) for k in n.kids]]
-    return {"article": article, "regex": regex(root), "tree": dump(root)}
+    """The wrapper as JSON data: {article, regex, tree}; a tree lists its nodes in order as [key, children, marks]."""
+    article, out, todo = sort_slots(root, pages), [], [root]
+    while todo:
+        n = todo.pop()
+        out.append([n.key, len(n.kids), n.marks])
+        todo += reversed(n.kids)
+    return {"article": article, "regex": regex(root), "tree": out}
 
 
 def infer(pages: list[str]) -> dict:
@@ -367,48 +489,44 @@ class Extractor:
     """Main text of a host's pages; pages of one shape are aligned once."""
 
     def __init__(self, wrapper: dict | None):
-        self.tree = wrapper["tree"] if wrapper else ["", None, []]
-        self.seen: dict[str, list[int]] = {}
+        self.tree = _node([[key, 0, n, 0] for key, n, _ in wrapper["tree"]]) if wrapper else Node("")
+        todo, marks = [self.tree], iter(wrapper["tree"] if wrapper else [["", 0, None]])
+        while todo:
+            n = todo.pop()
+            n.marks = next(marks)[2]
+            todo += reversed(n.kids)
+        self.seen: dict[bytes, list[int]] = {}
 
     def _decide(self, page: Node) -> list[int]:
         """The mark of each slot of the page in order."""
-        own = verdicts(page)
-        kind = int(any(v for _, v in own))
-        marks = {id(k): OUT if v is False else ARTICLE if v else OWN for k, v in own}
-
-        def match(node: Node, tree: list) -> None:
+        own = slots(page)
+        kind = int(any(v for _, v, _ in own))
+        marks = {id(k): OUT if v is False else ARTICLE if v else OWN for k, v, _ in own}
+        todo = [(page, self.tree)]
+        while todo:
+            node, tree = todo.pop()
             places = fold(node.kids)
-            for i, j in aligned([t[0] for t in tree[2]], [n.key for n, _ in places]):
+            for i, j in aligned([t.key for t in tree.kids], [n.key for n, _ in places]):
                 for x in places[j][1]:
-                    if x.key == "#":
-                        marks[id(x)] = tree[2][i][1][kind]
+                    if x.is_slot:
+                        marks[id(x)] = tree.kids[i].marks[kind]
                     else:
-                        match(x, tree[2][i])
-
-        match(page, self.tree)
-        return [marks[id(k)] for k, _ in own]
+                        todo.append((x, tree.kids[i]))
+        return [marks[id(k)] for k, _, _ in own]
 
     def text(self, html: str) -> str:
         page = parse(html)
-        shape = page.shape()
-        if shape not in self.seen:
-            if len(self.seen) > 10_000:
+        if (shape := page.shape()) not in self.seen:
+            if len(self.seen) > 2000:
                 self.seen.clear()
             self.seen[shape] = self._decide(page)
-        given = self.seen[shape]
-        article, marks, blocks = ARTICLE in given, iter(given), []
-
-        def walk(node: Node) -> None:
-            for k in node.kids:
-                if k.key == "#":
-                    mark = next(marks)
-                    if mark == ARTICLE or not article and (mark == PLAIN or mark == OWN and k.link_chars <= 0.5 * sum(map(len, k.blocks))):
-                        blocks.extend(k.blocks)
-                else:
-                    walk(k)
-
-        walk(page)
-        return "\n\n".join(blocks)
+        marks, own = self.seen[shape], slots(page)
+        if ARTICLE in marks:
+            return "\n\n".join(k.text for (k, _, _), mark in zip(own, marks, strict=True) if mark == ARTICLE)
+        sums: dict[int, int] = {}  # characters of a container less twice those in links
+        for k, _, around in own:
+            sums[id(around)] = sums.get(id(around), 0) + len(k.text) - 2 * k.link_chars
+        return "\n\n".join(k.text for (k, _, around), mark in zip(own, marks, strict=True) if mark == PLAIN or mark == OWN and sums[id(around)] >= 0)
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -436,13 +554,21 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         root, pages = union([of_shape(x, shapes[x]) for x in sorted(shapes)])
         return pa.table({"host": group["host"].slice(0, 1), "part": group["part"].slice(0, 1), "wrapper": [json.dumps([_data(root), pages])]})
 
-    def whole(group: pa.Table) -> pa.Table:
+    def together(group: pa.Table) -> tuple[Node, list[list]]:
         parts = [json.loads(w) for _, w in sorted(zip(group["part"].to_pylist(), group["wrapper"].to_pylist(), strict=True))]
-        return pa.table({"host": group["host"].slice(0, 1), "wrapper": [json.dumps(sorted_out(*union([(_node(x), pages) for x, pages in parts])))]})
+        return union([(_node(x), pages) for x, pages in parts])
+
+    def fan(group: pa.Table) -> pa.Table:
+        root, pages = together(group)
+        return pa.table({"host": group["host"].slice(0, 1), "part": [group["part"][0].as_py() % FAN], "wrapper": [json.dumps([_data(root), pages])]}, pa.schema({"host": pa.string(), "part": pa.int32(), "wrapper": pa.string()}))
+
+    def whole(group: pa.Table) -> pa.Table:
+        return pa.table({"host": group["host"].slice(0, 1), "wrapper": [json.dumps(sorted_out(*together(group)))]})
 
     rows = pages.filter("html != ''").select(host.alias("host"), "html").mapInArrow(lean(tallied), "host string, part int, shape string, pages string")
     parts = rows.groupBy("host", "part").applyInArrow(part, "host string, part int, wrapper string")
-    return parts.groupBy("host").applyInArrow(whole, "host string, wrapper string")
+    fans = parts.groupBy("host", (F.col("part") % FAN).alias("fan")).applyInArrow(fan, "host string, part int, wrapper string")
+    return fans.groupBy("host").applyInArrow(whole, "host string, wrapper string")
 
 
 def extract(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -452,7 +578,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     small = total <= broadcast_bytes
-    shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.collect()} if small else None)
+    given_all = shared(pages.sparkSession, {r["host"]: r["wrapper"] for r in wrappers.collect()} if small else None)
     if not small:
         rows = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "wrapper")
 
@@ -461,7 +587,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
         for b in batches:
             for first in range(0, len(b), 256):
                 part = b.slice(first, 256)
-                given = [shared.value.get(h) for h in part.column("host").to_pylist()] if shared.value is not None else part.column("wrapper").to_pylist()
+                given = [given_all.value.get(h) for h in part.column("host").to_pylist()] if given_all.value is not None else part.column("wrapper").to_pylist()
                 texts = []
                 for html, h, w in zip(part.column("html").to_pylist(), part.column("host").to_pylist(), given, strict=True):
                     if h not in made:

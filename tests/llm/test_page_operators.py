@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from functools import reduce
 
 import numpy as np
@@ -31,14 +32,14 @@ def brute_rule(url):
 
 def test_rules_are_brute_force(spark):
     df = spark.createDataFrame([(i, u, 1) for i, u in URLS], "page_id long, url string, host int").drop("host")
-    got = url_filter.judged(df, url_filter.UrlModel(url_filter.weak_labels(df))).collect()
+    got = url_filter.judged(df, url_filter.UrlModel(url_filter.rule_labels(df))).collect()
     assert len(got) == len(URLS)
     want = dict(url_filter.RULES)
     for r in got:
         host, path, rule = brute_rule(r["url"])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule), r
         assert r["verdict"] == want[rule] if rule else r["verdict"] in ("allow", "block")
-    assert url_filter.judged(df.filter("false"), url_filter.UrlModel(url_filter.weak_labels(df.filter("false")))).count() == 0
+    assert url_filter.judged(df.filter("false"), url_filter.UrlModel(url_filter.rule_labels(df.filter("false")))).count() == 0
 
 
 def test_trees_learn_urls(spark):
@@ -86,7 +87,9 @@ def test_wrapper_is_a_union_free_expression():
     w = wrappers.infer([PAGE.format(n=i, ad='<div class="ad">Buy</div>' if i % 2 else "") for i in range(6)])
     assert "(<div.ad>#</div>)?" in w["regex"] and w["article"]
     two = wrappers.infer(["<div>a</div><div>b</div><p>c", "<div>a</div><p>c"])
-    assert two["regex"] == "(<div>#</div>)+#"
+    assert two["regex"] == "(<div>#</div>)+<p>#</p>"
+    more = wrappers.infer(["<article><h1>a</h1><p>b</p><p>c</p></article>", "<article><h1>a</h1><p>b</p><ul><li>c</li><li>d</li></ul></article>"])
+    assert more["regex"] == "<article><h1>#</h1>(<p>#</p>)+(<ul>(<li>#</li>)+</ul>)?</article>"
 
 
 def test_host_without_article(spark):
@@ -119,7 +122,74 @@ def test_wrapper_knows_all_pages(spark):
     dealt = [{r["page_id"]: r["text"] for r in wrappers.extract(df.repartition(n, "page_id")).collect()} for n in (1, 7)]
     assert dealt[0] == dealt[1] and dealt[0][150] == "Correction 150\n\nStory 150" and dealt[0][1] == "No summary.\n\nStory 1"
     fixed = {r["text"] for r in wrappers.extract(df.filter("page_id != 150")).collect()}
-    assert fixed == {f"Story {i}" for i in range(300) if i != 150}
+    assert fixed == {f"No summary.\n\nStory {i}" for i in range(300) if i != 150}  # nothing within an article goes
+
+
+def test_nothing_of_an_article_is_lost(spark):
+    named = ['<article class="post related">{t}</article>', '<main><section class="review-search-results">{t}</section></main>', '<div class="page has-sidebar form"><article>{t}</article></div>', "<form id=aspnet><main>{t}</main></form>", '<main><article class="post comments-open">{t}</article></main>']
+    body = "<h1>Weather report</h1><p>Rain number {n}</p><p>As ever.</p>"
+    rows = [(10 * k + n, f"http://host{k}.org/{n}", "<nav><a href=/>x</a></nav>" + x.format(t=body.format(n=n)) + "<footer>f</footer>") for k, x in enumerate(named) for n in range(10)]
+    links = "<html><body><div><p>{text}</p>" + "<a href=/x>a short link of it</a> " * 4 + "</div></body></html>"
+    rows += [(900 + n, "http://links.org/", links.format(text=f"{n} " + "word " * 700)) for n in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()}
+    assert all(got[10 * k + n] == f"Weather report\n\nRain number {n}\n\nAs ever." for k in range(len(named)) for n in range(10))
+    assert all(len(got[900 + n]) > 3500 for n in range(12))
+
+
+def test_reader_comments_go():
+    page = "<main><article><p>Text</p></article><article class='comment'><p>Nice</p></article><div id='comment-list'><article><p>Too</p></article></div></main>"
+    assert wrappers.Extractor(None).text(page) == "Text"
+
+
+@pytest.mark.parametrize("html", ["<div>" * 5000 + "deep", "<article>" + "<section>" * 3000 + "<p>deep</p>", "<ul><li>" * 2000 + "deep", "<div>" * 2000 + "</p></section></div>" * 2000 + "deep"])
+def test_deep_pages(spark, html):
+    df = spark.createDataFrame([(1, "http://deep.org/", html), (2, "http://deep.org/", "<div>flat</div>")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()} == {1: "deep", 2: "flat"}
+
+
+def test_many_siblings():
+    rng = random.Random(8)
+    pages = ["".join(f"<{t}>x</{t}>" for t in (rng.choice(("div", "section", "table", "ul")) for _ in range(3000))) for _ in range(2)]
+    began = time.perf_counter()
+    e = wrappers.Extractor(wrappers.infer(pages))
+    assert all(e.text(p).count("x") == 3000 for p in pages) and time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("most", [4096, 7])
+def test_alignment_is_a_common_subsequence(most):
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 20))] for _ in range(2))
+        pairs = wrappers.aligned(a, b, most)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x < y and p < q for (x, p), (y, q) in zip(pairs, pairs[1:], strict=False))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert len(pairs) == best[-1][-1] or most == 7
+
+
+def test_generated_pages_against_brute_force(spark):
+    """Pages made from trees: the main text is what the trees' article blocks hold, in order."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(1, 12)))
+    rows, want = [], {}
+    for i in range(120):
+        blocks, html = [], []
+        for _ in range(rng.randint(1, 7)):
+            kind, text = rng.choice(("p", "h2", "li", "blockquote", "td")), sentence()
+            blocks.append(text)
+            shown = text.replace(" ", rng.choice((" ", "  ", "\n", "<br>", " <b>", "</b> ")), 1)
+            inner = f"<{kind}>{shown}</{kind}>"
+            html.append({"li": f"<ul>{inner}</ul>", "td": f"<table><tr>{inner}</tr></table>"}.get(kind, inner))
+            if rng.random() < 0.3:
+                html.append(f"<div class='{rng.choice(('ad', 'site-nav', 'share', 'cookie-notice'))}'>{sentence()}</div>")
+        want[i] = "\n\n".join(blocks)
+        rows.append((i, f"https://g{i % 3}.org/{i}", f"<html><head><title>{word()}</title></head><body><header>{sentence()}</header><{'article' if i % 2 else 'main'}>{''.join(html)}</{'article' if i % 2 else 'main'}><aside>{sentence()}</aside></body></html>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()} == want
 
 
 def _product(a, b):
