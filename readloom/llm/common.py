@@ -154,6 +154,14 @@ def carried(df: DataFrame, *columns: Column | str) -> DataFrame:
     return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias(ROW), *columns)
 
 
+def beside(df: DataFrame, column: str, without: tuple[str, ...] = ()) -> tuple[DataFrame, list[Column]]:
+    """df as (ROW, column), ROW a struct of all other columns but `without`, and the columns that this makes again, in their order."""
+    names = [c for c in df.columns if c not in without]
+    others = [F.col(quoted(c)) for c in names if c != column]
+    back = [F.col(column) if c == column else F.col(ROW).getField(c).alias(c) for c in names]
+    return df.select(F.struct(*(others or [F.lit(0).alias("none")])).alias(ROW), column), back
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import LOWER, ROW, carried, doc_crc, fraction, lean, quoted, shared, table, text_chunks
+from readloom.llm.common import LOWER, ROW, beside, carried, doc_crc, fraction, lean, shared, table, text_chunks
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -139,53 +139,16 @@ def learn(docs: DataFrame, per_language: int = 1500, languages: int = 512, seed:
     return net, names
 
 
-def predict(self, x: np.ndarray, step: int = 128) -> np.ndarray:
-        """Probabilities of windows (n, WINDOW) of bytes."""
-        out = np.zeros((len(x), len(self.out_bias)))
-        for i in range(0, len(x), step):
-            b = x[i : i + step].astype(np.int64)
-            pairs = b[:, :-1] * 256 + b[:, 1:]
-            pooled = []
-            for w, parts, bias in zip(WIDTHS, self.packed, self.bias, strict=True):
-                n = WINDOW - w + 1
-                conv = parts[0].take(pairs[:, :n], 0)
-                if len(parts) > 1:
-                    conv += parts[1].take(pairs[:, 2 : 2 + n] if w % 2 == 0 else b[:, 2 : 2 + n], 0)
-                pooled.append(conv.max(1) + bias)
-            out[i : i + step] = self._softmax(np.maximum(np.concatenate(pooled, 1), 0) @ self.out + self.out_bias)
-        return out
-
-
-def learn(docs: DataFrame, per_language: int = 1500, seed: int = 21) -> tuple[ByteCNN | None, list[str]]:
-    """The network and its languages, from docs (text, lang) with labels; the driver sees at most about per_language windows of each."""
-    docs = docs.filter("text is not null and lang is not null and lang <> '' and text rlike '\\\\p{L}'")
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    names = sorted(counts)
-    if not names:
-        return None, []
-    share = F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, per_language / counts[k]))]), F.col("lang"))
-    begin = 1 + F.floor(fraction("text", F.lit(seed + 1)) * F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int")
-    rows = docs.filter(fraction("text", F.lit(seed)) < share).select(F.col("text").substr(begin, F.lit(WINDOW)).alias("part"), "lang").collect()
-    rows = sorted((r["part"], r["lang"]) for r in rows)
-    data = [p.encode()[:WINDOW] for p, _ in rows]
-    x, _, _ = windows(np.frombuffer(b"".join(d.ljust(1) for d in data), np.uint8), np.concatenate(([0], np.cumsum([max(1, len(d)) for d in data]))))
-    y = np.array([names.index(k) for _, k in rows])
-    net = ByteCNN(len(names))
-    net.train(x, y)
-    net.pack()
-    return net, names
-
-
 MADE = ("lang_pred", "score")
 
 
 def predict(docs: DataFrame, net: ByteCNN | None, names: list[str]) -> DataFrame:
     """docs with any columns -> their columns and lang_pred, score, which replace columns of these names."""
-    docs = docs.select(*[quoted(c) for c in docs.columns if c not in MADE])
+    rows, back = beside(docs, "text", MADE)
     if net is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return rows.select(*back, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     value = shared(docs.sparkSession, (net, names))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, names = value.value
@@ -199,9 +162,9 @@ def predict(docs: DataFrame, net: ByteCNN | None, names: list[str]) -> DataFrame
                 best[first : first + len(total)], score[first : first + len(total)] = total.argmax(1), total.max(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names).take(pa.array(best)), pa.array(np.clip(score, 0, 1))], [*batch.schema.names, *MADE])
 
-    out = docs.mapInArrow(lean(run), schema)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return out.withColumns({"lang_pred": F.when(lettered, F.col("lang_pred")).otherwise(UNDETERMINED), "score": F.when(lettered, F.col("score")).otherwise(0.0)})
+    found = [F.when(lettered, F.col("lang_pred")).otherwise(UNDETERMINED).alias("lang_pred"), F.when(lettered, F.col("score")).otherwise(0.0).alias("score")]
+    return rows.mapInArrow(lean(run), schema).select(*back, *found)
 
 
 def trainable(held_out: Column, docs: DataFrame) -> DataFrame:
@@ -211,7 +174,7 @@ def trainable(held_out: Column, docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """docs in a language the network knows: not `und`, and with a mean probability of at least `least`; columns as they were."""
     net, names = learn(trainable(doc_crc() % 4 == 2, docs))
-    found = predict(carried(docs, "text"), net, names)
+    found = predict(carried(docs, "text"), net, names)  # so columns that `predict` would replace stay
     return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(f"{ROW}.*")
 
 

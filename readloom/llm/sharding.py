@@ -1,7 +1,8 @@
 """Sharding by sampled splitters: size-weighted key samples, quantile boundaries, range partition, overfull ranges subdivided.
 
-The key of a row is (hash of the text, hash of the id), so equal texts are neighbours in key order while one text's copies can
-still be cut when they are more than a range holds. Only DataFrame functions run.
+The key of a row is (hash of the text, hash of the id and of a number that rows of equal text and id get), so equal texts are neighbours
+in key order while one text's copies can still be cut when they are more than a range holds, whatever their ids. Rows of equal text and
+id are counted before they are shuffled, and dealt out again in parts. Only DataFrame functions run.
 
 Cases: a null text has no bytes and a null checksum; a null id is hashed as null; repeated rows each get a slot; an empty table
 gives no rows; other columns are ignored.
@@ -18,6 +19,9 @@ from readloom.llm.common import fraction, kept, table
 
 LAW = "bytes"
 
+#: So many rows of equal text and id stay in one part.
+TOGETHER = 4096
+
 
 def _range_of(key: Column, splitters: list[str]) -> Column:
     """Number of splitters at or below the key, by a coarse and a fine step."""
@@ -63,7 +67,7 @@ def split_ranges(rows: DataFrame, n_ranges: int, samples_per_range: int, max_ran
     rows = rows.join(full, "rng").withColumn("sub", F.greatest(F.lit(0), F.least(F.col("n_sub") - 1, F.floor((place - pick(base)) / pick(width) * F.col("n_sub")).cast("int"))))
     over = rows.groupBy("rng", "sub").agg(F.sum("size").alias("sub_bytes")).select("rng", "sub", F.ceil(F.col("sub_bytes") / (2 * limit)).cast("int").alias("n_part"))
     rows = rows.join(over, ["rng", "sub"]).withColumn("part", F.least(F.col("n_part") - 1, F.floor(at_key(F.col("key"), 17) * F.col("n_part")).cast("int")))
-    return rows.drop("n_sub", "n_part"), int(total), int(n)
+    return kept(rows.drop("n_sub", "n_part"), "shard-units"), int(total), int(n)
 
 
 def shard(docs: DataFrame, n_shards: int = 24, ranges_per_shard: int = 8, samples_per_range: int = 32, max_range_bytes: int = 256 << 20, whole_group: float = 1 / 32) -> DataFrame:
@@ -72,14 +76,20 @@ def shard(docs: DataFrame, n_shards: int = 24, ranges_per_shard: int = 8, sample
     A shard's bytes differ from the mean by at most one document, or one group of equal texts of up to `whole_group` of a shard,
     at either end. Slots count from 0 in key order within a shard.
     """
-    hashed = lambda c: F.lpad(F.hex(F.xxhash64(c)), 16, "0")
     rows = docs.select(
         F.col("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        F.concat(hashed(F.col("text")), hashed(F.col("doc_id"))).alias("key"),
+        F.xxhash64("text").alias("text_hash"),
     )
-    rows, total, _ = split_ranges(kept(rows, "shard-rows"), n_shards * ranges_per_shard, samples_per_range, max_range_bytes)
+    groups = kept(rows.groupBy("doc_id", "size", "text_crc32", "text_hash").agg(F.count(F.lit(1)).alias("n")), "shard-groups")
+    parts = groups.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {TOGETHER}"))))
+    if not groups.filter(F.col("n") > TOGETHER).isEmpty():
+        parts = parts.repartition("text_hash", "doc_id", "at")
+    first = F.col("at") * TOGETHER
+    rows = parts.withColumn("nr", F.explode(F.sequence(first, F.least(F.col("n"), first + TOGETHER) - 1)))
+    key = F.concat(F.lpad(F.hex("text_hash"), 16, "0"), F.lpad(F.hex(F.xxhash64("doc_id", "nr")), 16, "0"))
+    rows, total, _ = split_ranges(rows.select("doc_id", "size", "text_crc32", key.alias("key")), n_shards * ranges_per_shard, samples_per_range, max_range_bytes)
     unit = ["rng", "sub", "part"]
     sizes = rows.groupBy(*unit).agg(F.sum("size").alias("unit_bytes"))
     by_range = sizes.groupBy("rng").agg(F.sum("unit_bytes").alias("range_bytes")).withColumn("range_at", F.sum("range_bytes").over(Window.orderBy("rng")) - F.col("range_bytes"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.llm.common import ascii_lower, fraction, giving_back, kept, quoted, shared, table
+from readloom.llm.common import ascii_lower, beside, fraction, giving_back, kept, shared, table
 
 #: (rule, verdict); a rule is a host, and the start of a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -214,18 +214,18 @@ MADE = ("host", "path", "rule", "verdict", "p_block")
 
 def judged(urls: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
     """urls with any columns, url among them -> their columns, host, path, rule, verdict and the trees' p_block."""
-    urls = urls.select(*[quoted(c) for c in urls.columns if c not in MADE])
+    rows, back = beside(urls, "url", MADE)
     value = shared(urls.sparkSession, model)
-    schema = T.StructType([*urls.schema.fields, T.StructField("p_block", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField("p_block", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value.value.predict(b.column("url").to_pylist()))], [*b.schema.names, "p_block"])
 
     host, path = host_and_path(F.col("url"))
-    out = urls.mapInArrow(run, schema).withColumns({"host": host, "path": path})
+    out = rows.mapInArrow(run, schema).withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))})
+    return out.select(*back, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

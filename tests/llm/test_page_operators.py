@@ -53,6 +53,28 @@ def test_trees_learn_urls(spark):
     assert np.mean((p >= 0.5) == np.array([y for _, y in rows[350:]])) > 0.97
 
 
+def test_held_out_hosts(spark):
+    """Rule labels carry over to hosts that the model has not seen, by several features; scores don't depend on the layout."""
+    rng = random.Random(6)
+    urls = [(f"http://{rng.choice(['www', 'm', 'blog'])}.h{h:02d}.{t}/{lang}/{rng.randint(1, 9999)}{rng.choice(['', '/', '.html', '?a=1'])}",) for h, t in ((h, rng.choice(("com", "net", "org"))) for h in range(80)) for lang in (rng.choice(("en", "de", "es")) for _ in range(25))]
+    labels = url_filter.rule_labels(spark.createDataFrame(urls, "url string"))
+    held = F.col("url").rlike(r"h[67]\d\.")
+    models = [url_filter.UrlModel(labels.filter(~held).repartition(n)) for n in (1, 5)]
+    rows = labels.filter(held).collect()
+    p = [m.predict([r["url"] for r in rows]) for m in models]
+    y = np.array([r["label"] for r in rows])
+    assert len(y) > 50 and np.array_equal(*p)
+    assert np.mean((p[0] >= 0.5) == y) > max(y.mean(), 1 - y.mean()) + 0.05
+    used = {int(f) for feat, cut, _ in models[0].trees.trees for f, c in zip(feat, cut, strict=True) if c < models[0].trees.n_bins}
+    assert len(used) > 2
+
+
+def test_statistics_leave_out_the_own_host():
+    stats = url_filter.Statistics(np.array([3.0, 1.0]), np.array([2.0, 1.0]), 0.5)
+    assert stats.shares(np.array([[0, 1]])).tolist() == [[(2 + 1) / 5, (1 + 1) / 3]]
+    assert stats.shares(np.array([[0, 1]]), np.array([[1.0, 1.0]])).tolist() == [[(1 + 1) / 4, 0.5]]
+
+
 def test_boosting_fits_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 4))
