@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm import decontamination, language_id, mixing, ngram_join, sharding
-from readloom.llm.common import kept, table
+from readloom.llm.common import giving_back, kept, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stage writes beside its documents goes once they are written, and a stage's documents once the next one's are."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+    with giving_back(spark) as stay:
+        for name, stage in STAGES[:-1]:
+            with giving_back(spark) as own:
+                docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+                own.append(docs)
+        stay.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
