@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from readloom.functions.cigar import positional, reference_end_before
+from readloom.functions.cigar import positional, reference_end_before, runs
+from readloom.functions.flags import let
 
 _MISMATCH = "struct<code:string,ref_pos:int,length:int,bases:string,qual:int,ref_base:string,clip_length:int>"
 
@@ -17,12 +18,11 @@ def _cut(ref: Column, ref_start: Column, begin: Column, end: Column) -> Column:
 
 def read_bases(features: Column, start: Column, read_length: Column, ref: Column, ref_start: Column, unknown: Column | None = None) -> Column:
     """Upper-case bases of a mapped read; null if `unknown`, or without reference; features that contradict the length raise."""
-    g = positional(features)
     own = lambda x: F.when(x["code"] == "X", F.coalesce(x["sub"], F.lit("N"))).when(x["code"].isin("B", "b", "I", "i", "S"), x["payload"]).otherwise("")
-    body = F.concat_ws("", F.transform(g, lambda x, i: F.concat(_cut(ref, ref_start, reference_end_before(g, i, start), x["ref_pos"]), own(x))))
-    tail = reference_end_before(g, F.size(g), start)
-    whole = F.upper(F.concat(body, _cut(ref, ref_start, tail, tail + read_length - F.length(body))))
-    checked = F.when(F.length(whole) == read_length, whole).otherwise(F.raise_error(F.lit("read features do not add up to the read's length")).cast("string"))
+    body = lambda g: F.concat_ws("", F.transform(g, lambda x, i: F.concat(_cut(ref, ref_start, reference_end_before(g, i, start), x["ref_pos"]), own(x))))
+    tail = lambda g, b: let(reference_end_before(g, F.size(g), start), lambda t: F.concat(b, _cut(ref, ref_start, t, t + read_length - F.length(b))))
+    whole = let(positional(features), lambda g: F.upper(let(body(g), lambda b: tail(g, b))))
+    checked = let(whole, lambda w: F.when(F.length(w) == read_length, w).otherwise(F.raise_error(F.lit("read features do not add up to the read's length")).cast("string")))
     return F.when(ref.isNotNull() & (~unknown if unknown is not None else F.lit(True)), checked)
 
 
@@ -40,14 +40,10 @@ def mismatches(features: Column, ref: Column | None = None, ref_start: Column |
     ref_start = F.lit(0) if ref_start is None else ref_start
     none, zero, minus = F.lit(""), F.lit(0), F.lit(-1)
     qual = lambda pos: minus if quals is None else F.coalesce(F.get(quals, pos), minus)
-    g = F.aggregate(
-        positional(features),
-        F.array().cast("array<struct<code:string,pos:int,ref_pos:int,num:int,payload:string,ref:string,sub:string>>"),
-        lambda a, x: F.when(
-            (x["code"] == "i") & (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["code"] == "i") & (F.try_element_at(a, F.lit(-1))["ref_pos"] == x["ref_pos"]),
-            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.try_element_at(a, F.lit(-1)).withField("payload", F.concat(F.try_element_at(a, F.lit(-1))["payload"], x["payload"])).withField("num", F.try_element_at(a, F.lit(-1))["num"] + 1))),
-        ).otherwise(F.concat(a, F.array(F.when(x["code"] == "i", x.withField("num", F.lit(1))).otherwise(x)))),
-    )
+    same_place = lambda x, before: (x["code"] == "i") & (before["code"] == "i") & (x["ref_pos"] == before["ref_pos"])
+    first = lambda run: F.get(run, F.lit(0))
+    one = lambda run: F.when(first(run)["code"] == "i", first(run).withField("payload", F.concat_ws("", F.transform(run, lambda x: x["payload"]))).withField("num", F.size(run))).otherwise(first(run))
+    g = let(positional(features), lambda f: F.transform(runs(f, same_place), one))
     at = lambda p: F.upper(_cut(ref, ref_start, p, p + 1))
     differs = lambda base, p: F.upper(base) != at(p)
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from readloom.functions.flags import _c
-from readloom.model import CIGAR_OPS
+from readloom.functions.flags import _c, let
+from readloom.model import CIGAR_OPS, FEATURE
+
+FEATURES = f"array<{FEATURE.simpleString()}>"
 
 
 def _op(op, n) -> Column:
@@ -16,8 +18,7 @@ def _op(op, n) -> Column:
 def parse_cigar(text: Column | str = "cigar") -> Column:
     """array<struct<op string, len int>>; `*` and null give null."""
     c = _c(text)
-    n, op = F.regexp_extract_all(c, F.lit("([0-9]+)[MIDNSHP=X]"), F.lit(1)), F.regexp_extract_all(c, F.lit("[0-9]+([MIDNSHP=X])"), F.lit(1))
-    return F.when(c != "*", F.zip_with(op, n, lambda o, k: _op(o, k)))
+    return F.when(c != "*", F.transform(F.regexp_extract_all(c, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0)), lambda x: _op(F.substring(x, F.lit(-1), F.lit(1)), F.substring(x, F.lit(1), F.length(x) - 1))))
 
 
 def cigar_string(ops: Column) -> Column:
@@ -64,21 +65,28 @@ def _advance(x: Column) -> Column:
 
 
 def reference_end_before(g: Column, i: Column, start: Column) -> Column:
-    """Where the reference stands after feature i - 1: the start of the match before feature i."""
+    """Where the reference stands after feature i - 1: the start of the match before feature i. g: a lambda's variable."""
     return F.when(i == 0, start).otherwise(F.get(g, i - 1)["ref_pos"] + _advance(F.get(g, i - 1)))
 
 
+def runs(a: Column, goes_on) -> Column:
+    """array of arrays: the runs of an array (a lambda's variable) in which goes_on(element, the one before) holds. Linear."""
+    begins = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | ~F.coalesce(goes_on(F.get(a, i), F.get(a, i - 1)), F.lit(False)))
+    cut = let(begins, lambda b: F.transform(b, lambda at, k: F.slice(a, at + 1, F.coalesce(F.get(b, k + 1), F.size(a)) - at)))
+    return F.when(F.size(a) > 0, cut).otherwise(F.slice(F.array(a), 1, 0))
+
+
 def cigar_from_features(features: Column, start: Column, read_length: Column, mapped: Column | None = None) -> Column:
-    """CIGAR array of a mapped read from its features: M for matches and substitutions, neighbours of one kind merged."""
-    g = positional(F.coalesce(features, F.array().cast("array<struct<code:string,pos:int,ref_pos:int,num:int,payload:string,ref:string,sub:string>>")))
+    """CIGAR array of a mapped read from its features: M for matches and substitutions, neighbours of one kind merged.
+
+    Null features are none; a read that is not `mapped` gives null.
+    """
     op = lambda x: F.when(x["code"].isin("X", "B", "b"), "M").when(x["code"] == "i", "I").otherwise(x["code"])
     size = lambda x: F.when(x["code"].isin("X", "B", "i"), 1).otherwise(x["num"])
-    parts = F.flatten(F.transform(g, lambda x, i: F.array(_op("M", F.greatest(F.lit(0), x["ref_pos"] - reference_end_before(g, i, start))), _op(op(x), size(x)))))
-    used = F.aggregate(F.filter(parts, lambda x: x["op"].isin("M", "I", "S")), F.lit(0), lambda a, x: a + x["len"])
-    ops = F.filter(F.concat(parts, F.array(_op("M", read_length - used))), lambda x: x["len"] > 0)
-    joined = F.aggregate(
-        ops,
-        F.array().cast("array<struct<op:string,len:int>>"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["op"] == x["op"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(_op(x["op"], F.try_element_at(a, F.lit(-1))["len"] + x["len"])))).otherwise(F.concat(a, F.array(x))),
-    )
-    return joined if mapped is None else F.when(mapped, joined)
+    parts = lambda g: F.flatten(F.transform(g, lambda x, i: F.array(_op("M", F.greatest(F.lit(0), x["ref_pos"] - reference_end_before(g, i, start))), _op(op(x), size(x)))))
+    used = lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + F.when(x["op"].isin("M", "I", "S"), x["len"]).otherwise(0))
+    ops = lambda p: F.filter(F.concat(p, F.array(_op("M", read_length - used(p)))), lambda x: x["len"] > 0)
+    whole = lambda run: _op(F.get(run, F.lit(0))["op"], F.aggregate(run, F.lit(0), lambda a, x: a + x["len"]))
+    joined = lambda o: F.transform(runs(o, lambda x, before: x["op"] == before["op"]), whole)
+    out = let(positional(F.coalesce(features, F.array().cast(FEATURES))), lambda g: let(parts(g), lambda p: let(ops(p), joined)))
+    return out if mapped is None else F.when(mapped, out)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from readloom.model import FEATURE
 
 #: Rows of a substitution matrix, fixed by the format.
 BASES = "ACGTN"
@@ -14,12 +20,27 @@ def reference_shift(x: Column) -> Column:
     return F.when(x["code"].isin("D", "N"), x["num"]).when(x["code"].isin("I", "S"), -F.length(x["payload"])).when(x["code"] == "i", -1).otherwise(0)
 
 
+@F.arrow_udf(T.ArrayType(FEATURE))
+def _placed(features: pa.Array, start: pa.Array) -> pa.Array:
+    """One pass over all features of a batch: sums of shifts, less what they were before each read."""
+    offsets = features.offsets.to_numpy()
+    x = features.flatten() if len(features) else features.values
+    first = offsets - offsets[0]
+    code, num = x.field("code"), x.field("num").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    length = pc.utf8_length(x.field("payload").fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)
+    is_ = lambda *c: pc.is_in(code, pa.array(c)).to_numpy(zero_copy_only=False)
+    shift = np.where(is_("D", "N"), num, np.where(is_("I", "S"), -length, np.where(is_("i"), -1, 0)))
+    sums = np.concatenate(([0], np.cumsum(shift)))
+    read = np.repeat(np.arange(len(features)), np.diff(first))
+    at = x.field("pos").fill_null(0).to_numpy(zero_copy_only=False) + start.fill_null(0).to_numpy(zero_copy_only=False)[read] + sums[:-1] - sums[first[:-1]][read]
+    fields = [pa.array(at.astype(np.int32)) if f.name == "ref_pos" else x.field(f.name) for f in x.type]
+    made = pa.StructArray.from_arrays(fields, fields=list(x.type))
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), made, mask=features.is_null() if features.null_count else None)
+
+
 def place_features(features: Column, start: Column) -> Column:
-    """features with ref_pos set from their positions on the read and the features before them."""
-    schema = "struct<shift:int,out:array<struct<code:string,pos:int,ref_pos:int,num:int,payload:string,ref:string,sub:string>>>"
-    first = F.struct(F.lit(0).alias("shift"), F.array().alias("out")).cast(schema)
-    step = lambda a, x: F.struct((a["shift"] + reference_shift(x)).cast("int").alias("shift"), F.concat(a["out"], F.array(x.withField("ref_pos", (x["pos"] + start + a["shift"]).cast("int")))).alias("out")).cast(schema)
-    return F.aggregate(features, first, step, lambda a: a["out"])
+    """features with ref_pos set from their positions on the read and the features before them; null features stay null."""
+    return _placed(features, start.cast("int"))
 
 
 def length_on_ref(features: Column, read_length: Column) -> Column:

@@ -25,3 +25,8 @@ def has_next_position(next_sequence_id: Column | str = "next_sequence_id") -> Co
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with value worked out once a row; a plain column that a lambda refers to is worked out again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from readloom.functions.flags import _c
+from readloom.functions.flags import _c, let
 from readloom.model import TAG_VALUE
 
 
 def last_wins(entries: Column) -> Column:
-    """map from array<struct<key, value>> in which the last of equal keys stays, whatever the session's settings."""
-    kept = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(kept)
+    """map from array<struct<key, value>> in which the last of equal keys stays, whatever the session's settings; null stays null.
+
+    Entries are sorted by key and place, so equal keys are neighbours, and then by place again.
+    """
+    by_key = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value"))))
+    kept = let(by_key, lambda a: F.filter(a, lambda e, i: F.coalesce(F.get(a, i + 1)["key"] != e["key"], F.lit(True))))
+    in_order = F.array_sort(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["key"].alias("key"), e["value"].alias("value"))))
+    return F.map_from_entries(F.transform(in_order, lambda e: F.struct(e["key"], e["value"])))
 
 
 def _value(kind: Column, text: Column) -> Column:
@@ -43,8 +48,8 @@ def quality_bytes(text: Column | str) -> Column:
 
 def quality_string(quals: Column) -> Column:
     """SAM text of an array of Phred values; `*` for null, empty, or a first value of 255."""
-    text = F.concat_ws("", F.transform(quals, lambda q: F.char(q + 33)))
-    return F.when(quals.isNotNull() & (F.size(quals) > 0) & (F.get(quals, F.lit(0)) != 255), text).otherwise("*")
+    text = lambda a: F.when((F.size(a) > 0) & (F.get(a, F.lit(0)) != 255), F.concat_ws("", F.transform(a, lambda q: F.char(q + 33))))
+    return F.coalesce(let(quals, text), F.lit("*"))
 
 
 def quality_at(quals: Column, i: int | Column) -> Column:
@@ -57,6 +62,21 @@ def reference_md5(sequence: Column | str) -> Column:
     return F.md5(F.regexp_replace(F.translate(_c(sequence), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "[^!-~]", ""))
 
 
+def get_tag(tags: Column | str, name: str) -> Column:
+    """The value of one tag, null where the read has none."""
+    return F.try_element_at(_c(tags), F.lit(name))
+
+
+def block_crc32(content: Column | str) -> Column:
+    """CRC-32 of a block of bytes or text, unsigned; null for null."""
+    return F.crc32(_c(content).cast("binary"))
+
+
+def crc32_ok(content: Column | str, recorded: Column | str) -> Column:
+    """Whether a block has the checksum that was recorded for it; a block without one passes."""
+    return F.coalesce(block_crc32(content) == _c(recorded), F.lit(True))
+
+
 def to_json(*columns: str) -> Column:
     """A record as JSON without its null fields."""
     return F.to_json(F.struct(*columns))
