@@ -12,16 +12,16 @@ _MISMATCH = "struct<code:string,ref_pos:int,length:int,bases:string,qual:int,ref
 
 
 def _cut(ref: Column, ref_start: Column, begin: Column, end: Column) -> Column:
-    """Reference bases [begin, end) from a stretch that begins at ref_start; empty where end is not above begin."""
-    return F.substring(ref, begin - ref_start + 1, F.greatest(F.lit(0), end - begin))
+    """Reference bases [begin, end) from a stretch that begins at ref_start; empty where end is not above begin. Bytes are found without a walk."""
+    return F.substring(ref.cast("binary"), begin - ref_start + 1, F.greatest(F.lit(0), end - begin)).cast("string")
 
 
 def read_bases(features: Column, start: Column, read_length: Column, ref: Column, ref_start: Column, unknown: Column | None = None) -> Column:
     """Upper-case bases of a mapped read; null if `unknown`, or without reference; features that contradict the length raise."""
     own = lambda x: F.when(x["code"] == "X", F.coalesce(x["sub"], F.lit("N"))).when(x["code"].isin("B", "b", "I", "i", "S"), x["payload"]).otherwise("")
-    body = lambda g: F.concat_ws("", F.transform(g, lambda x, i: F.concat(_cut(ref, ref_start, reference_end_before(g, i, start), x["ref_pos"]), own(x))))
+    body = lambda g, r: F.concat_ws("", F.transform(g, lambda x, i: F.concat(_cut(r, ref_start, reference_end_before(g, i, start), x["ref_pos"]), own(x))))
     tail = lambda g, b: let(reference_end_before(g, F.size(g), start), lambda t: F.concat(b, _cut(ref, ref_start, t, t + read_length - F.length(b))))
-    whole = let(positional(features), lambda g: F.upper(let(body(g), lambda b: tail(g, b))))
+    whole = let(positional(features), lambda g: F.upper(let(let(ref.cast("binary"), lambda r: body(g, r)), lambda b: tail(g, b))))
     checked = let(whole, lambda w: F.when(F.length(w) == read_length, w).otherwise(F.raise_error(F.lit("read features do not add up to the read's length")).cast("string")))
     return F.when(ref.isNotNull() & (~unknown if unknown is not None else F.lit(True)), checked)
 

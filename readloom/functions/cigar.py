@@ -56,8 +56,8 @@ def _code(op: Column) -> Column:
 
 
 def positional(features: Column) -> Column:
-    """Features that stand at a position of the read, which quality features (q, Q) don't."""
-    return F.filter(features, lambda x: ~x["code"].isin("q", "Q"))
+    """Features that stand at a position of the read, which quality features (q, Q) don't; null features are none."""
+    return F.filter(F.coalesce(features, F.array().cast(FEATURES)), lambda x: ~x["code"].isin("q", "Q"))
 
 
 def _advance(x: Column) -> Column:
@@ -76,6 +76,12 @@ def runs(a: Column, goes_on) -> Column:
     return F.when(F.size(a) > 0, cut).otherwise(F.slice(F.array(a), 1, 0))
 
 
+def merge_cigar(ops: Column) -> Column:
+    """A CIGAR array with neighbours of one kind as one op, and without ops of length 0."""
+    whole = lambda run: _op(F.get(run, F.lit(0))["op"], F.aggregate(run, F.lit(0), lambda a, x: a + x["len"]))
+    return let(F.filter(ops, lambda x: x["len"] > 0), lambda o: F.transform(runs(o, lambda x, before: x["op"] == before["op"]), whole))
+
+
 def cigar_from_features(features: Column, start: Column, read_length: Column, mapped: Column | None = None) -> Column:
     """CIGAR array of a mapped read from its features: M for matches and substitutions, neighbours of one kind merged.
 
@@ -85,8 +91,5 @@ def cigar_from_features(features: Column, start: Column, read_length: Column, ma
     size = lambda x: F.when(x["code"].isin("X", "B", "i"), 1).otherwise(x["num"])
     parts = lambda g: F.flatten(F.transform(g, lambda x, i: F.array(_op("M", F.greatest(F.lit(0), x["ref_pos"] - reference_end_before(g, i, start))), _op(op(x), size(x)))))
     used = lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + F.when(x["op"].isin("M", "I", "S"), x["len"]).otherwise(0))
-    ops = lambda p: F.filter(F.concat(p, F.array(_op("M", read_length - used(p)))), lambda x: x["len"] > 0)
-    whole = lambda run: _op(F.get(run, F.lit(0))["op"], F.aggregate(run, F.lit(0), lambda a, x: a + x["len"]))
-    joined = lambda o: F.transform(runs(o, lambda x, before: x["op"] == before["op"]), whole)
-    out = let(positional(F.coalesce(features, F.array().cast(FEATURES))), lambda g: let(parts(g), lambda p: let(ops(p), joined)))
+    out = let(positional(features), lambda g: let(parts(g), lambda p: merge_cigar(F.concat(p, F.array(_op("M", read_length - used(p)))))))
     return out if mapped is None else F.when(mapped, out)

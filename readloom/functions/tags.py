@@ -31,11 +31,12 @@ def _value(kind: Column, text: Column) -> Column:
         F.when(kind.isin("A", "Z", "H"), text).alias("s"),
         F.when((kind == "B") & (sub != "f"), F.transform(items, lambda x: x.cast("long"))).alias("ai"),
         F.when((kind == "B") & (sub == "f"), F.transform(items, lambda x: x.cast("double"))).alias("af"),
+        F.when(kind == "B", sub).alias("sub"),
     ).cast(TAG_VALUE)
 
 
 def parse_tags(fields: Column) -> Column:
-    """map<string, struct<kind, i, f, s, ai, af>> of SAM fields such as `NM:i:3`; a repeated name keeps its last value."""
+    """map<string, struct<kind, i, f, s, ai, af, sub>> of SAM fields such as `NM:i:3`; a repeated name keeps its last value."""
     entries = F.transform(fields, lambda t: F.struct(F.substring(t, 1, 2).alias("key"), _value(F.substring(t, 4, 1), F.substring(t, 6, 1 << 30)).alias("value")))
     return last_wins(entries)
 
@@ -80,3 +81,8 @@ def crc32_ok(content: Column | str, recorded: Column | str) -> Column:
 def to_json(*columns: str) -> Column:
     """A record as JSON without its null fields."""
     return F.to_json(F.struct(*columns))
+
+
+def json_field(text: Column | str, name: str) -> Column:
+    """A top-level field of a JSON text as text; null where it is missing or the text is no JSON."""
+    return F.get_json_object(_c(text), f"$.{name}")

@@ -37,6 +37,6 @@ UNPLACED = -1
 
 FEATURE = T.StructType([T.StructField("code", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("ref_pos", T.IntegerType()), T.StructField("num", T.IntegerType()), T.StructField("payload", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("sub", T.StringType())])
 
-TAG_VALUE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("i", T.LongType()), T.StructField("f", T.DoubleType()), T.StructField("s", T.StringType()), T.StructField("ai", T.ArrayType(T.LongType())), T.StructField("af", T.ArrayType(T.DoubleType()))])
+TAG_VALUE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("i", T.LongType()), T.StructField("f", T.DoubleType()), T.StructField("s", T.StringType()), T.StructField("ai", T.ArrayType(T.LongType())), T.StructField("af", T.ArrayType(T.DoubleType())), T.StructField("sub", T.StringType())])
 
 CRAI = T.StructType([T.StructField(x, T.LongType(), False) for x in ("seq_id", "start", "span", "container_start", "slice_start", "slice_bytes")])

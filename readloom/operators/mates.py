@@ -7,32 +7,40 @@ from pyspark.sql import functions as F
 
 
 from readloom.functions.pairs import template_length
+from readloom.model import ArgumentError, MalformedInputError
 from readloom.operators.ranges import range_query, slice_statistics
 
 
-def view_as_pairs(reads: DataFrame, sequence_id: int, start, end, max_insert_size: int = 200_000, pair_across: bool = False, slice_width: int = 1000, strict_mates: bool = False, unique: str = "unique_id") -> DataFrame:
+def view_as_pairs(reads: DataFrame, sequence_id: int, start, end, max_insert_size: int = 200_000, pair_across: bool = False, slice_width: int = 1000, strict_mates: bool = False, unique: str = "unique_id", index: DataFrame | None = None, slice_column: str | None = None) -> DataFrame:
     """The reads of a range and, after them, their mates from elsewhere, as `is_mate`.
 
     A name that occurs once among the reads of the range is looked up where its mate is said to start, on the same sequence unless
     `pair_across`, and closer than `max_insert_size`. The slices found there (stretches of `slice_width` starts) give all reads of
     such names that were not in the range; with `strict_mates`, only those that start where a mate is said to.
+
+    index: stored `slice_statistics` of the reads, which spares a scan of them; slice_column: the reads' column that holds their slice,
+    by which a partitioned table is pruned. A read of the range without a name fails the job. Repeated rows count as reads each.
     """
     hits = range_query(reads, sequence_id, start, end)
-    single = hits.groupBy("read_name").count().filter("count = 1").select("read_name")
+    named = F.coalesce("read_name", F.raise_error(F.lit(f"{ArgumentError.__name__}: pairs are found by name, and a read has none")).cast(reads.schema["read_name"].dataType))
+    hits = hits.withColumn("read_name", named)
+    single = hits.groupBy("read_name").agg(F.count(F.lit(1)).alias("n_")).filter("n_ = 1").select("read_name")
     wanted = hits.join(single, "read_name", "left_semi").filter(F.col("next_sequence_id").isNotNull() & (F.abs(F.col("start") - F.col("next_start")) < max_insert_size))
     if not pair_across:
         wanted = wanted.filter(F.col("next_sequence_id") == sequence_id)
     loci = wanted.select(F.col("next_sequence_id").alias("seq_"), F.col("next_start").alias("at_")).distinct()
-    stats = slice_statistics(reads, slice_width)
+    stats = (slice_statistics(reads, slice_width) if index is None else index).select("sequence_id", "slice", "first", "last")
     # a slice may reach beyond its own starts by its longest span: look slices up by equality on the stretches that can reach a locus
     reach = stats.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("first") / slice_width), F.floor((F.col("last") - 1) / slice_width))))
     loci = loci.withColumn("stretch_", F.floor(F.col("at_") / slice_width))
-    slices = reach.join(loci, (F.col("sequence_id") == F.col("seq_")) & (F.col("stretch") == F.col("stretch_")) & (F.col("first") <= F.col("at_")) & (F.col("last") > F.col("at_"))).select("sequence_id", "slice").distinct()
-    there = reads.withColumn("slice", F.floor(F.col("start") / slice_width).cast("long")).join(slices, ["sequence_id", "slice"], "left_semi").drop("slice")
+    found = reach.join(loci, (F.col("sequence_id") == F.col("seq_")) & (F.col("stretch") == F.col("stretch_")) & (F.col("first") <= F.col("at_")) & (F.col("last") > F.col("at_")))
+    slices = found.select(F.col("sequence_id").alias("seq_"), F.col("slice").alias("slice_")).distinct()
+    own = F.col(slice_column) if slice_column else F.floor(F.col("start") / slice_width).cast("long")
+    there = reads.join(slices, (F.col("sequence_id") == F.col("seq_")) & (own == F.col("slice_")), "left_semi")
     mates = there.join(single, "read_name", "left_semi").join(hits.select(unique), unique, "left_anti")
     if strict_mates:
         mates = mates.join(wanted.select("read_name", F.col("next_sequence_id").alias("sequence_id"), F.col("next_start").alias("start")).distinct(), ["read_name", "sequence_id", "start"], "left_semi")
-    return hits.withColumn("is_mate", F.lit(False)).unionByName(mates.withColumn("is_mate", F.lit(True)))
+    return hits.withColumn("is_mate", F.lit(False)).unionByName(mates.select(*reads.columns, F.lit(True).alias("is_mate")))
 
 
 def pair_template_lengths(reads: DataFrame, mate: str, key: list[str], read_length: str = "read_length") -> DataFrame:
@@ -45,22 +53,25 @@ def pair_template_lengths(reads: DataFrame, mate: str, key: list[str], read_leng
 def mate_chains(reads: DataFrame, key: list[str], max_steps: int = 64) -> DataFrame:
     """Reads with `chain`, the first record number of the chain of mate pointers (rec_no -> mate_no, forward) that they are on.
 
-    Pointers are doubled in every step, so a chain of n segments takes log2(n) joins; pointers that go back raise.
+    Pointers are doubled in every step, so a chain of n segments takes log2(n) joins; pointers that go back raise, and so do chains
+    that `max_steps` doublings don't end. Record numbers are unique within a key; a pointer to no read is the start of a chain there.
     """
     links = reads.filter("mate_no is not null").select(*key, F.col("mate_no").alias("rec_no"), F.col("rec_no").alias("up"))
-    bad = links.filter("up >= rec_no").limit(1)
-    if not bad.isEmpty():
-        raise ValueError("a mate pointer does not point forward")
-    heads = reads.select(*key, "rec_no").join(links, [*key, "rec_no"], "left").withColumn("up", F.coalesce("up", F.col("rec_no")))
+    if not links.filter("up >= rec_no").isEmpty():
+        raise MalformedInputError("a mate pointer does not point forward")
+    heads, last = reads.select(*key, "rec_no").join(links, [*key, "rec_no"], "left").withColumn("up", F.coalesce("up", F.col("rec_no"))), None
     for _ in range(max_steps):
         above = heads.select(*key, F.col("rec_no").alias("up"), F.col("up").alias("up2"))
-        nxt = heads.join(above, [*key, "up"]).select(*key, "rec_no", F.col("up2").alias("up"), (F.col("up2") != F.col("up")).alias("moved"))
-        nxt = nxt.persist()
+        nxt = heads.join(above, [*key, "up"]).select(*key, "rec_no", F.col("up2").alias("up"), (F.col("up2") != F.col("up")).alias("moved")).persist()
         done = nxt.filter("moved").isEmpty()
         heads = nxt.drop("moved")
+        if last is not None and not done:
+            nxt.count()  # all of it is there before what it came from goes
+            last.unpersist()
+        last = nxt
         if done:
-            break
-    return reads.join(heads.withColumnRenamed("up", "chain"), [*key, "rec_no"])
+            return reads.join(heads.withColumnRenamed("up", "chain"), [*key, "rec_no"])
+    raise MalformedInputError(f"a chain of mates is longer than {max_steps} doublings")
 
 
 def chain_template_lengths(chained: DataFrame, key: list[str], read_length: str = "read_length") -> DataFrame:

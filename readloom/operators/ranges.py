@@ -18,14 +18,15 @@ def range_join(reads: DataFrame, regions: DataFrame, width: int = 1 << 14) -> Da
     """Every read with every region (region_id, sequence_id, region_start, region_end) that it lies in.
 
     Both sides are dealt to bins of `width` bases and meet in an equality join on sequence and bin; a pair counts in its first
-    common bin, so none comes twice. Regions must be bounded, as by the sequence's length.
+    common bin, so none comes twice. Regions must be bounded, as by the sequence's length. Reads without a sequence or start, and regions
+    that are empty or hold a null, meet nothing; repeated rows meet each; reads keep their columns, whatever they are called.
     """
     floor = lambda c: F.floor(c / width).cast("long")
     end = F.col("start") + read_span()
-    a = reads.withColumn("bin", F.explode(F.sequence(floor(F.col("start")), floor(end - 1))))
-    b = regions.filter("region_end > region_start").select("region_id", F.col("sequence_id").alias("seq_"), "region_start", "region_end").withColumn("bin_", F.explode(F.sequence(floor(F.col("region_start")), floor(F.col("region_end") - 1))))
-    pairs = a.join(b, (F.col("sequence_id") == F.col("seq_")) & (F.col("bin") == F.col("bin_")) & (F.col("start") < F.col("region_end")) & (end > F.col("region_start")))
-    return pairs.filter(F.col("bin") == F.greatest(floor(F.col("start")), floor(F.col("region_start")))).drop("bin", "bin_", "seq_")
+    a = reads.select(F.struct(*reads.columns).alias("read"), F.col("sequence_id").alias("seq_a"), F.col("start").alias("from_a"), end.alias("to_a"), F.explode(F.sequence(floor(F.col("start")), floor(end - 1))).alias("bin_a"))
+    b = regions.filter("region_end > region_start").select("region_id", F.col("sequence_id").alias("seq_b"), "region_start", "region_end", F.explode(F.sequence(floor(F.col("region_start")), floor(F.col("region_end") - 1))).alias("bin_b"))
+    pairs = a.join(b, (F.col("seq_a") == F.col("seq_b")) & (F.col("bin_a") == F.col("bin_b")) & (F.col("from_a") < F.col("region_end")) & (F.col("to_a") > F.col("region_start")))
+    return pairs.filter(F.col("bin_a") == F.greatest(floor(F.col("from_a")), floor(F.col("region_start")))).select("read.*", "region_id", "region_start", "region_end")
 
 
 def slice_statistics(reads: DataFrame, width: int = 1000) -> DataFrame:

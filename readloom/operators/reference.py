@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.functions.features import substitution
 from readloom.functions.tags import reference_md5
 
 
@@ -39,6 +40,21 @@ def with_reference(reads: DataFrame, chunks: DataFrame, size: int, read_key: lis
     return reads.join(whole.filter(F.length("ref") == F.col("length_on_ref")), place, "left")
 
 
+def resolve_features(reads: DataFrame, chunks: DataFrame, size: int, read_key: list[str], matrix: Column) -> DataFrame:
+    """Reads with `ref`, and with ref and sub filled in for their features: X stands for what the substitution matrix says of its code (num),
+    B for its own base; features that lie outside the reference known stay as they are. `read_bases` and `mismatches` work on the result.
+    """
+    at = lambda x: F.upper(F.substring(F.col("ref"), x["ref_pos"] - F.col("start").cast("int") + 1, F.lit(1)))
+    inside = lambda x: F.col("ref").isNotNull() & (x["ref_pos"] >= F.col("start")) & (x["ref_pos"] < F.col("start") + F.length("ref"))
+    filled = lambda x: F.when(inside(x) & (x["code"] == "X"), x.withField("ref", at(x)).withField("sub", substitution(matrix, at(x), x["num"]))).when(inside(x) & (x["code"] == "B"), x.withField("ref", at(x)).withField("sub", x["payload"])).otherwise(x)
+    return with_reference(reads, chunks, size, read_key).withColumn("features", F.transform("features", filled))
+
+
+def reference_names(rows: DataFrame, refs: DataFrame, ref_id: str = "ref_id") -> DataFrame:
+    """rows with `name`, their sequence's in refs (ref_id, name); null for an id that is null or not there."""
+    return rows.join(refs.select(F.col("ref_id").alias("id_"), "name"), F.col(ref_id) == F.col("id_"), "left").drop("id_")
+
+
 def check_checksums(slices: DataFrame) -> DataFrame:
     """Slices (md5, ref) with `md5_ok`; an all-zero or null checksum is not recorded and passes."""
     recorded = F.col("md5").isNotNull() & ~F.col("md5").rlike("^0*$")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from readloom import functions as R
 from readloom import operators as O
-from readloom.model import FLAGS
+from readloom import sources as S
+from readloom.model import FLAGS, STORAGE_FLAGS
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,8 +104,10 @@ def slice_prune(spark, d):
 
 
 def has_data(spark, d):
-    wanted = spark.range(8).select(F.col("id").cast("int").alias("sequence_id"))
-    return wanted.join(alignments(spark, d).select("sequence_id").distinct().withColumn("found", F.lit(True)), "sequence_id", "left").select("sequence_id", F.coalesce("found", F.lit(False)).alias("has_data"))
+    """Of eight sequences, those that the reads' own index has entries of."""
+    index = O.slice_statistics(alignments(spark, d)).withColumnRenamed("sequence_id", "seq_id")
+    wanted = spark.range(8).select(F.col("id").cast("int").alias("seq_id"))
+    return S.sequences_with_data(index, wanted).select(F.col("seq_id").alias("sequence_id"), "has_data")
 
 
 def coverage_depth(spark, d):
@@ -177,7 +180,8 @@ def mismatches_in_window(spark, d):
 def tag_last_wins(spark, d):
     """Every user's tags: of an event type's values the last by event id."""
     e = _table(spark, d, "events")
-    return e.groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))), lambda x: F.struct(x["event_type"].alias("key"), x["value"].alias("value")))
+    return e.groupBy("user_id").agg(R.last_wins(entries).alias("m")).select("user_id", F.explode("m").alias("event_type", "value"))
 
 
 def tags_map(spark, d):
@@ -191,7 +195,7 @@ def reference_md5(spark, d):
 
 
 def block_crc32(spark, d):
-    return _table(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
+    return _table(spark, d, "documents").select("doc_id", R.block_crc32("text").alias("crc32"))
 
 
 def record_json(spark, d):
@@ -200,7 +204,7 @@ def record_json(spark, d):
 
 
 def props_json(spark, d):
-    return _table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return _table(spark, d, "events").select("event_id", R.json_field("props", "k").cast("long").alias("k"))
 
 
 def quality_text(spark, d):
@@ -216,12 +220,128 @@ def run_merge(spark, d):
     return e.groupBy("user_id", "event_type", "island").agg(F.min("event_id").alias("first_event"), F.count(F.lit(1)).alias("n_events")).drop("island")
 
 
+def _nation_header(spark, d) -> DataFrame:
+    """The header of a file whose sequences are the nations, as lines (file, at, line)."""
+    line = F.concat(F.lit("@SQ\tSN:"), "n_name", F.lit("\tLN:"), (F.col("n_nationkey") * 100 + 7).cast("string"), F.lit("\tM5:"), F.md5(F.col("n_name").cast("binary")))
+    return _table(spark, d, "nation").select(F.lit("nations").alias("file"), F.col("n_nationkey").cast("long").alias("at"), line.alias("line"))
+
+
+def reference_list(spark, d):
+    """The reference dictionary of a header."""
+    return S.references(S.header_lines(_nation_header(spark, d))).select(F.col("ref_id").cast("int").alias("ref_id"), "name", "length", "md5")
+
+
 def reference_lookup(spark, d):
-    """Sequences by id and by name; ids are places in the order of keys."""
-    n = _table(spark, d, "nation")
-    refs = n.select((F.row_number().over(Window.orderBy("n_nationkey")) - 1).alias("ref_id"), F.col("n_name").alias("name"))
+    """Sequences by id; ids are places in the header."""
+    refs = S.references(S.header_lines(_nation_header(spark, d)))
     wanted = _table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 30).cast("int").alias("ref_id"))
-    return wanted.join(refs, "ref_id", "left").select("s_suppkey", "ref_id", "name")
+    return O.reference_names(wanted, refs).select("s_suppkey", "ref_id", "name")
+
+
+_SAM_SQL = """concat_ws('\t', case when l_linenumber = 3 then '*' else concat('r', l_orderkey) end, l_linenumber * 16, case when l_linenumber = 7 then '*' else concat('S', l_suppkey % 5) end, l_partkey + 1,
+  l_linenumber * 8, concat(cast(l_quantity as int), 'M2I3D1S'), case when l_linenumber % 2 = 0 then '=' else concat('S', l_partkey % 5) end, l_suppkey + 1, cast(l_quantity as int) - 20, 'ACGTN', 'IIII#', concat('NM:i:', l_linenumber), 'XB:B:c,-1,2', concat('XZ:Z:', l_returnflag))"""
+
+
+def _sam(spark, d) -> tuple[DataFrame, DataFrame]:
+    lines = _table(spark, d, "lineitem").select(F.lit("f").alias("file"), F.concat_ws("-", *_KEY).alias("at"), F.expr(_SAM_SQL.replace("\t", "\\t")).alias("line"))
+    header = spark.range(5).select(F.lit("f").alias("file"), F.col("id").alias("at"), F.concat(F.lit("@SQ\tSN:S"), F.col("id").cast("string"), F.lit("\tLN:1000000")).alias("line"))
+    return lines, S.references(S.header_lines(header))
+
+
+def sam_reads(spark, d):
+    """SAM lines made of lineitem, parsed."""
+    rows = S.sam_rows(*_sam(spark, d))
+    tag = lambda name, of: R.get_tag("tags", name)[of]
+    return rows.select(
+        F.col("rec_no").alias("read"), "read_name", "flags", "sequence_id", "start", "length_on_ref", "mapping_quality", "next_sequence_id", "next_start", "template_length", "read_bases", R.cigar_string(F.col("cigar")).alias("cigar"), F.get("quals", F.lit(4)).alias("last_quality"),
+        tag("NM", "i").alias("nm"), tag("XZ", "s").alias("xz"), F.element_at(tag("XB", "ai"), 1).alias("xb"), tag("ZZ", "i").isNull().alias("no_tag"),
+    )
+
+
+def sam_text(spark, d):
+    """The same lines, parsed and written again."""
+    lines, refs = _sam(spark, d)
+    return S.sam_lines(S.sam_rows(lines, refs), refs).select(F.col("rec_no").alias("read"), "line")
+
+
+def fasta_sequences(spark, d):
+    """FASTA records made of nations: a `>` in the header line, sequences over several lines."""
+    value = F.concat(F.lit(">"), "n_name", F.lit(" of x->y\r\n"), F.md5(F.col("n_name").cast("binary")), F.lit("\nACGT \r\n"), F.md5(F.reverse("n_name").cast("binary")), F.lit("\n"))
+    return S.fasta_records(_table(spark, d, "nation").select(value.alias("value")))
+
+
+def _index_lines(spark, d) -> DataFrame:
+    line = F.concat_ws("\t", F.col("user_id") % 7 - 1, F.col("event_id") + 1, F.col("event_id") % 50, F.col("event_id") * 3, F.lit("7"), (F.col("event_id") % 900 + 1).cast("string"))
+    return _table(spark, d, "events").select(F.concat(line, F.when(F.col("event_id") % 2 == 0, "\r").otherwise("")).alias("line"))
+
+
+def index_entries(spark, d):
+    """Index lines made of events, parsed."""
+    return S.index_entries(_index_lines(spark, d))
+
+
+def index_estimate(spark, d):
+    """What range queries would read, by the index."""
+    index = S.index_entries(_index_lines(spark, d))
+    found = [S.byte_estimate(index, k, 100, 700).withColumn("seq_id", F.lit(k)) for k in range(3)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def index_in_order(spark, d):
+    """Entries of a range in index order."""
+    found = S.entries_for_range(S.index_entries(_index_lines(spark, d)), 2, 0, float("inf"))
+    return found.select("start", "span", "slice_bytes")
+
+
+def storage_flags(spark, d):
+    flags = (F.col("l_linenumber") * 3 % 16).cast("int")
+    return _table(spark, d, "lineitem").groupBy("l_linenumber").agg(*[F.count_if(R.storage_flag(f, flags)).alias(f) for f in STORAGE_FLAGS])
+
+
+def substitutions(spark, d):
+    """What substitution codes stand for, by reference base."""
+    base = F.element_at(F.array(*[F.lit(x) for x in "ACGTNacx"]), (F.col("l_partkey") % 8 + 1).cast("int"))
+    matrix = F.array(F.lit(0b00011011), F.lit(0b11100100), F.lit(0b01001110), F.lit(0b10110001), F.lit(0b00011011))
+    return _table(spark, d, "lineitem").select(*_KEY, R.substitution(matrix, base, (F.col("l_suppkey") % 4).cast("int")).alias("base"))
+
+
+def merged_cigar(spark, d):
+    """CIGARs with neighbours of one kind, and ops of length 0, made plain."""
+    text = "concat(cast(l_quantity as int), 'M', l_linenumber, 'M', l_linenumber % 2, 'I1I', l_linenumber % 2, 'D2I7M')"
+    return _table(spark, d, "lineitem").select(*_KEY, R.cigar_string(R.merge_cigar(R.parse_cigar(F.expr(text)))).alias("cigar"))
+
+
+def detached_mates(spark, d):
+    """Flags and places of mates as reads store them themselves."""
+    a = alignments(spark, d)
+    flags, seq, at = R.detached_mate("flags", (F.col("l_partkey") % 4).cast("int"), F.when(F.col("l_suppkey") % 3 == 0, -1).otherwise(F.col("sequence_id")), "start")
+    return a.select("unique_id", flags.alias("flags"), seq.alias("next_sequence_id"), at.alias("next_start"))
+
+
+def stored_bases(spark, d):
+    """Differences of reads that store bases: B with a quality, b as a stretch, i one by one, N and H."""
+    f = lambda code, pos, at, num, payload: F.struct(F.lit(code).alias("code"), F.lit(pos).cast("int").alias("pos"), at.cast("int").alias("ref_pos"), F.lit(num).cast("int").alias("num"), F.lit(payload).cast("string").alias("payload"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("sub"))
+    at = F.col("start")
+    features = F.array(f("H", 0, at, 4, None), f("B", 1, at + 1, 33, "A"), f("i", 3, at + 3, None, "C"), f("i", 4, at + 3, None, "G"), f("b", 6, at + 4, 3, "ACG"), f("N", 10, at + 8, 12, None), f("Q", 11, at + 20, 9, None))
+    found = _featured(spark, d).select(*_KEY, F.explode(R.mismatches(features, F.col("ref"), F.lit(0), quals=F.sequence(F.lit(30), F.lit(49)))).alias("m"))
+    return found.select(*_KEY, "m.*").fillna("", ["ref_base"])
+
+
+def resolved_features(spark, d):
+    """Features with their reference base and what they stand for, from chunks of the reference."""
+    reads = _featured(spark, d)
+    chunks = S.reference_chunks(reads.select("ref_id", F.col("ref").alias("seq")).distinct(), 64)
+    one = F.transform("features", lambda x: x.withField("num", F.when(x["code"] == "X", F.lit(2)).otherwise(x["num"])))
+    rows = reads.select(*_KEY, F.col("ref_id").alias("sequence_id"), "start", R.length_on_ref(F.col("features"), F.lit(20)).alias("length_on_ref"), one.alias("features"))
+    done = O.resolve_features(rows, chunks, 64, _KEY, F.array(*[F.lit(0b00011011)] * 5))
+    x = F.get(F.filter("features", lambda f: f["code"] == "X"), F.lit(0))
+    return done.select(*_KEY, x["ref"].alias("ref_base"), x["sub"].alias("base"))
+
+
+def pairs_by_index(spark, d):
+    """Reads and mates, by a stored index and reads that carry their slice."""
+    a = alignments(spark, d).withColumn("slice", F.floor(F.col("start") / 1000).cast("long"))
+    return O.view_as_pairs(a, 2, 2000, 4000, max_insert_size=3000, index=O.slice_statistics(a), slice_column="slice").select("unique_id", "read_name", "start", "is_mate", "slice")
 
 
 def header_tokens(spark, d):
@@ -246,12 +366,10 @@ def placed_features(spark, d):
 
 def reference_join(spark, d):
     """The reference under every read, put together from chunks of 64 bases."""
-    from readloom.sources import reference_chunks
-
     reads = _featured(spark, d)
     refs = reads.select("ref_id", F.col("ref").alias("seq")).distinct()
     rows = reads.select(*_KEY, F.col("ref_id").alias("sequence_id"), "start", R.length_on_ref(F.col("features"), F.lit(20)).alias("length_on_ref"))
-    return O.with_reference(rows, reference_chunks(refs, 64), 64, _KEY).select(*_KEY, F.col("ref").alias("ref_bases"))
+    return O.with_reference(rows, S.reference_chunks(refs, 64), 64, _KEY).select(*_KEY, F.col("ref").alias("ref_bases"))
 
 
 def reference_spans(spark, d):
@@ -362,6 +480,31 @@ select user_id, event_type, min(event_id) as first_event, count(*) as n_events f
     "reference_lookup": "with r as (select row_number() over (order by n_nationkey) - 1 as ref_id, n_name as name from nation) select s_suppkey, cast(s_suppkey % 30 as int) as ref_id, name from supplier left join r on s_suppkey % 30 = r.ref_id",
     "header_tokens": "select c_custkey, 'SQ' as tag, concat('SN=', c_name, '|LN=', c_custkey, '|', c_mktsegment, '=') as fields from customer",
     "unplaced_reads": f"with {_ALN} select unique_id, cast(-1 as bigint) as start from aln where (flags & 4) <> 0",
+    "reference_list": "select cast(row_number() over (order by n_nationkey) - 1 as int) as ref_id, n_name as name, cast(n_nationkey * 100 + 7 as bigint) as length, md5(n_name) as md5 from nation",
+    "sam_reads": """select concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) as read, case when l_linenumber <> 3 then concat('r', l_orderkey) end as read_name, cast(l_linenumber * 16 as int) as flags, cast(case when l_linenumber = 7 then -1 else l_suppkey % 5 end as int) as sequence_id,
+  cast(l_partkey as int) as start, case when (l_linenumber * 16) & 4 = 0 then cast(l_quantity as int) + 3 end as length_on_ref, cast(l_linenumber * 8 as int) as mapping_quality,
+  cast(case when l_linenumber % 2 = 0 then l_suppkey % 5 else l_partkey % 5 end as int) as next_sequence_id, cast(l_suppkey as int) as next_start, cast(l_quantity as int) - 20 as template_length, 'ACGTN' as read_bases,
+  concat(cast(l_quantity as int), 'M2I3D1S') as cigar, 2 as last_quality, cast(l_linenumber as bigint) as nm, l_returnflag as xz, cast(-1 as bigint) as xb, true as no_tag from lineitem""",
+    "sam_text": f"""with t as (select *, {_SAM_SQL} as line from lineitem)
+select concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) as read, case when l_linenumber % 2 = 1 and l_linenumber <> 7 and l_suppkey % 5 = l_partkey % 5 then replace(line, concat('M2I3D1S', chr(9), 'S', l_partkey % 5), concat('M2I3D1S', chr(9), '=')) else line end as line from t""".replace("'\\t'", "chr(9)"),
+    "fasta_sequences": "select n_name as name, concat(md5(n_name), 'ACGT', md5(reverse(n_name))) as seq from nation",
+    "index_entries": "select user_id % 7 - 1 as seq_id, event_id as start, event_id % 50 as span, event_id * 3 as container_start, cast(7 as bigint) as slice_start, event_id % 900 + 1 as slice_bytes from events",
+    "index_estimate": "select cast(r.range as int) as seq_id, count(event_id) as slices, cast(coalesce(sum(event_id % 900 + 1), 0) as bigint) as total_bytes from range(3) r left join events on user_id % 7 - 1 = r.range and event_id < 700 and event_id + event_id % 50 > 100 group by 1",
+    "index_in_order": "select event_id as start, event_id % 50 as span, event_id % 900 + 1 as slice_bytes from events where user_id % 7 - 1 = 2 and event_id + event_id % 50 > 0",
+    "storage_flags": f"select l_linenumber, {', '.join(f'cast(count_if((l_linenumber * 3 % 16) & {v} <> 0) as bigint) as {k}'.replace('% 16) &', '% 16 &').replace(f'& {v} <>', f'& {v}) <>').replace('(l_linenumber', '((l_linenumber').replace('* 3 % 16', '* 3 % 16)') for k, v in STORAGE_FLAGS.items())} from lineitem group by 1",
+    "substitutions": f"""with b as (select {_KEYS}, cast(l_suppkey % 4 as int) as code, upper(substr('ACGTNacx', cast(l_partkey % 8 as int) + 1, 1)) as base from lineitem),
+m as (select *, case base when 'A' then [0, 1, 2, 3] when 'C' then [3, 2, 1, 0] when 'G' then [1, 0, 3, 2] when 'T' then [2, 3, 0, 1] else [0, 1, 2, 3] end as codes, replace('ACGTN', case when base in ('A', 'C', 'G', 'T') then base else 'N' end, '') as others from b)
+select {_KEYS}, substr(others, list_position(codes, code), 1) as base from m""",
+    "merged_cigar": f"select {_KEYS}, concat(cast(l_quantity as int) + l_linenumber, 'M', case when l_linenumber % 2 = 1 then '2I1D2I' else '3I' end, '7M') as cigar from lineitem",
+    "detached_mates": f"with {_ALN} select unique_id, cast(flags | case when l_partkey % 2 = 1 then 32 else 0 end | case when l_partkey % 4 >= 2 then 8 else 0 end as int) as flags, case when l_suppkey % 3 <> 0 then sequence_id end as next_sequence_id, case when l_suppkey % 3 <> 0 then start end as next_start from aln",
+    "stored_bases": f"""with {_FEAT}, r as (select {_KEYS}, start, ref from feat join refs on feat.ref_id = refs.ref_id)
+select {_KEYS}, 'H' as code, start as ref_pos, 0 as length, '' as bases, -1 as qual, '' as ref_base, 4 as clip_length from r
+union all select {_KEYS}, 'X', start + 1, 1, 'A', 33, substr(ref, start + 2, 1), 0 from r where substr(ref, start + 2, 1) <> 'A'
+union all select {_KEYS}, 'I', start + 3, 0, 'CG', -1, '', 2 from r
+union all select {_KEYS}, 'X', cast(start + 4 + j as int), 1, substr('ACG', cast(j + 1 as int), 1), cast(36 + j as int), substr(ref, cast(start + 5 + j as int), 1), 0 from r, (select range as j from range(3)) where substr(ref, cast(start + 5 + j as int), 1) <> substr('ACG', cast(j + 1 as int), 1)
+union all select {_KEYS}, 'N', start + 8, 12, '', -1, '', 0 from r""",
+    "resolved_features": f"with {_FEAT} select {_KEYS}, substr(ref, start + 5 - c + 1, 1) as ref_base, substr(replace('ACGTN', substr(ref, start + 5 - c + 1, 1), ''), 3, 1) as base from feat join refs on feat.ref_id = refs.ref_id",
+    "pairs_by_index": "select *, start // 1000 as slice from (" + _pairs_sql(2, 2000, 4000, 3000, False, False) + ")",
 }
 
 
@@ -369,7 +512,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         overlap_range, flag_matrix, pair_orientation, view_as_pairs, view_as_pairs_across, range_join, template_length, mate_chain_lengths, slice_index, slice_prune, has_data, coverage_depth, cigar_spans, clip_lengths, packed_cigar,
         op_histogram, feature_cigar, read_bases, mismatches, mismatches_in_window, tag_last_wins, tags_map, reference_md5, block_crc32, record_json, props_json, quality_text, run_merge, reference_lookup, header_tokens, unplaced_reads,
-        placed_features, reference_join, reference_spans, delta_starts, mate_association, lossy_names,
+        placed_features, reference_join, reference_spans, delta_starts, mate_association, lossy_names, reference_list, sam_reads, sam_text, fasta_sequences, index_entries, index_estimate, index_in_order, storage_flags, substitutions, merged_cigar, detached_mates,
+        stored_bases, resolved_features, pairs_by_index,
     ]
     return {"pairs_in_range": flagship} | {f.__name__: f for f in found}
 

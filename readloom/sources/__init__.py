@@ -1,7 +1,9 @@
 """Readers of alignment text formats as DataFrames, and the sinks that go with them."""
 
-from readloom.sources.crai import read_crai
-from readloom.sources.fasta import read_fasta, reference_chunks
-from readloom.sources.sam import read_header, read_sam, references, sam_lines
+from readloom.sources.crai import byte_estimate, entries_for_range, has_data, index_entries, read_crai, sequences_with_data
+from readloom.sources.fasta import fasta_records, read_fasta, reference_chunks
+from readloom.sources.sam import header_lines, read_header, read_sam, references, sam_lines, sam_rows
 
-__all__ = ["read_crai", "read_fasta", "read_header", "read_sam", "reference_chunks", "references", "sam_lines"]
+__all__ = [
+    "byte_estimate", "entries_for_range", "fasta_records", "has_data", "header_lines", "index_entries", "read_crai", "read_fasta", "read_header", "read_sam", "reference_chunks", "references", "sam_lines", "sam_rows", "sequences_with_data",
+]

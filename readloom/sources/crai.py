@@ -25,29 +25,27 @@ def _lines(data: bytes) -> bytes:
     return data
 
 
-def read_crai(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, start, span, container_start, slice_start, slice_bytes) of index files, starts 0-based, duplicates dropped.
+def index_entries(lines: DataFrame) -> DataFrame:
+    """(seq_id, start, span, container_start, slice_start, slice_bytes) of index lines (line), starts 0-based; equal lines stay.
 
     Blank lines, carriage returns and blanks are passed over; a line of other than six integers fails the job.
     """
+    line = F.regexp_replace("line", "[\r ]", "")
+    broken = F.raise_error(F.concat(F.lit(f"{MalformedInputError.__name__}: not a slice index line: "), F.substring(line, 1, 100)))
+    parts = F.split(F.when(line.rlike(r"^[+-]?\d+(\t[+-]?\d+){5}$"), line).otherwise(broken.cast("string")), "\t")
+    numbers = lines.filter(F.coalesce(line, F.lit("")) != "").select(parts.alias("n"))
+    return numbers.select(*[(F.get("n", F.lit(k)).cast("long") - (1 if f.name == "start" else 0)).alias(f.name) for k, f in enumerate(CRAI.fields)])
+
+
+def read_crai(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of index files, plain or gzip; see `index_entries`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content").to_pylist():
-                rows: list[list[int]] = []
-                for line in _lines(content).decode("ascii", "replace").replace("\r", "").replace(" ", "").split("\n"):
-                    if line:
-                        try:
-                            row = [int(x) for x in line.split("\t")]
-                        except ValueError:
-                            row = []
-                        if len(row) != 6:
-                            raise MalformedInputError(f"not a slice index line: {line[:100]!r}")
-                        row[1] -= 1
-                        rows.append(row)
-                yield pa.RecordBatch.from_pydict({f.name: pa.array([r[k] for r in rows], pa.int64()) for k, f in enumerate(CRAI.fields)})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, CRAI).dropDuplicates()
+                yield pa.RecordBatch.from_pydict({"line": pa.array(_lines(content).decode("ascii", "replace").split("\n"), pa.string())})
+
+    return index_entries(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line string"))
 
 
 def entries_for_range(index: DataFrame, seq_id: int, start, end) -> DataFrame:
@@ -61,6 +59,12 @@ def has_data(index: DataFrame, seq_id: int) -> bool:
     return not index.filter(F.col("seq_id") == seq_id).isEmpty()
 
 
+def sequences_with_data(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (seq_id, ...) with has_data: whether the index has an entry of that sequence."""
+    some = index.select("seq_id").distinct().withColumn("has_data", F.lit(True))
+    return wanted.join(some, "seq_id", "left").withColumn("has_data", F.coalesce("has_data", F.lit(False)))
+
+
 def byte_estimate(index: DataFrame, seq_id: int, start, end) -> DataFrame:
     """(slices, total_bytes) that a range query would read."""
     return entries_for_range(index, seq_id, start, end).agg(F.count(F.lit(1)).alias("slices"), F.coalesce(F.sum("slice_bytes"), F.lit(0)).alias("total_bytes"))

@@ -18,11 +18,20 @@ def header_fields(line: Column) -> tuple[Column, Column]:
     return F.substring(F.get(fields, F.lit(0)), 2, 1 << 30), F.transform(F.slice(fields, 2, F.size(fields)), lambda f: F.struct(pair(f)["tag"].alias("tag"), rest(f).alias("value")))
 
 
+def header_lines(lines: DataFrame) -> DataFrame:
+    """(file, line_no, tag, data) of the header lines among (file, at, line); `at` orders a file's lines."""
+    rows = lines.select("file", "at", F.regexp_replace("line", "\r$", "").alias("line")).filter(F.col("line").startswith("@"))
+    tag, data = header_fields(F.col("line"))
+    return rows.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).alias("line_no"), tag.alias("tag"), data.alias("data"))
+
+
+def _text_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
 def read_header(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, tag, data) of the header lines of SAM files."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line")).filter(F.col("line").startswith("@"))
-    tag, data = header_fields(F.col("line"))
-    return lines.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1).alias("line_no"), tag.alias("tag"), data.alias("data"))
+    return header_lines(_text_lines(spark, path))
 
 
 def references(header: DataFrame) -> DataFrame:
@@ -34,13 +43,18 @@ def references(header: DataFrame) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment rows of SAM files, with 0-based starts and ids by the order of @SQ lines.
+    """Alignment rows of SAM files; see `sam_rows`."""
+    return sam_rows(_text_lines(spark, path), references(read_header(spark, path)))
+
+
+def sam_rows(lines: DataFrame, refs: DataFrame) -> DataFrame:
+    """Alignment rows of SAM lines (file, at, line), with 0-based starts and ids by the order of @SQ lines, as refs (file, ref_id, name) has them.
 
     `*` is null; a reference of `*` is id -1; a mate reference of `=` is the read's own, of `*` unknown (null). Unmapped reads have no
     length_on_ref. Lines with under 11 fields fail the job.
     """
-    refs = references(read_header(spark, path)).dropDuplicates(["file", "name"])
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("rec_no"), F.regexp_replace("value", "\r$", "").alias("line")).filter(~F.col("line").startswith("@") & (F.col("line") != ""))
+    refs = refs.groupBy("file", "name").agg(F.min("ref_id").alias("ref_id"))
+    lines = lines.select("file", F.col("at").alias("rec_no"), F.regexp_replace("line", "\r$", "").alias("line")).filter(~F.col("line").startswith("@") & (F.col("line") != ""))
     f = F.split("line", "\t")
     at = lambda i: F.get(f, F.lit(i))
     short = F.raise_error(F.lit(f"{MalformedInputError.__name__}: a SAM line has under 11 fields"))
@@ -70,7 +84,7 @@ def sam_lines(rows: DataFrame, refs: DataFrame) -> DataFrame:
     rows = rows.join(a, (F.col("file") == a["f_"]) & (F.col("sequence_id") == F.col("id_")), "left").drop("f_")
     rows = rows.join(b, (F.col("file") == b["f_"]) & (F.col("next_sequence_id") == F.col("next_")), "left").drop("f_")
     mate = F.when(F.col("mate_name").isNull(), "*").when(F.col("mate_name") == F.col("rname"), "=").otherwise(F.col("mate_name"))
-    text = lambda v: F.when(v["kind"] == "B", F.when(v["af"].isNotNull(), F.concat(F.lit("f,"), F.concat_ws(",", v["af"].cast("array<string>")))).otherwise(F.concat(F.lit("i,"), F.concat_ws(",", v["ai"].cast("array<string>"))))).otherwise(F.coalesce(v["s"], v["i"].cast("string"), v["f"].cast("string")))
+    text = lambda v: F.when(v["kind"] == "B", F.concat(F.coalesce(v["sub"], F.when(v["af"].isNotNull(), "f").otherwise("i")), F.lit(","), F.concat_ws(",", F.coalesce(v["af"].cast("array<string>"), v["ai"].cast("array<string>"))))).otherwise(F.coalesce(v["s"], v["i"].cast("string"), v["f"].cast("string")))
     tags = F.transform(F.map_entries("tags"), lambda e: F.concat_ws(":", e["key"], F.when(e["value"]["kind"].isin("c", "C", "s", "S", "I"), "i").otherwise(e["value"]["kind"]), text(e["value"])))
     fixed = [
         F.coalesce("read_name", F.lit("*")), F.col("flags").cast("string"), F.coalesce("rname", F.lit("*")), (F.col("start") + 1).cast("string"), F.coalesce("mapping_quality", F.lit(0)).cast("string"), cigar_string(F.col("cigar")),

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from readloom import functions as R
 from readloom import operators as O
-from readloom.model import FEATURE
+from readloom.model import FEATURE, MalformedInputError
 
 
 def _random_read(rng):
@@ -143,7 +143,7 @@ def test_chains(spark):
     df = spark.createDataFrame([("s", 0, 1, 10, 5), ("s", 1, 3, 40, 5), ("s", 2, None, 7, 5), ("s", 3, None, 10, 5)], "slice string, rec_no int, mate_no int, start int, read_length int")
     got = O.chain_template_lengths(O.mate_chains(df, ["slice"]), ["slice"]).orderBy("rec_no").collect()
     assert [(r["chain"], r["template_length"]) for r in got] == [(0, 35), (0, -35), (2, None), (0, 35)]
-    with pytest.raises(ValueError, match="forward"):
+    with pytest.raises(MalformedInputError, match="forward"):
         O.mate_chains(spark.createDataFrame([("s", 1, 0)], "slice string, rec_no int, mate_no int"), ["slice"])
 
 
