@@ -175,7 +175,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     contents = contents.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size)))).select(
         "src", "block", "source", "doc_id", "text_key", "bucket", "nth", "start", F.greatest(F.lit(0).cast("long"), F.col("block") * size - F.col("start")).alias("word_from"), F.least(F.col("size"), (F.col("block") + 1) * size - F.col("start")).alias("word_to")
     )
-    pieces = slots.join(contents, ["src", "block"]).withColumn("word_to", F.least("word_to", F.col("block") * size + F.col("most_words") - F.col("start"))).filter("word_to > word_from")
+    pieces = slots.hint("merge").join(contents, ["src", "block"]).withColumn("word_to", F.least("word_to", F.col("block") * size + F.col("most_words") - F.col("start"))).filter("word_to > word_from")
     return pieces.select("shard", "slot", "pass", "source", "doc_id", "text_key", "bucket", "nth", "word_from", "word_to"), placed, sources.select("source", "source_size", "target")
 
 
