@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on at most about `sample` vectors; every vector is then filed under the leaf it descends to. A query descends to
-its best leaf and goes on through a priority queue of the branches passed by, best centre first. How many leaves are visited is
-widened until calibration queries, measured against brute force over all rows, reach `target` recall; a query goes on beyond that until
-its leaves hold k vectors besides its own. Leaf contents are scored exactly, in double precision, summed in order of the dimensions.
+The tree is fitted on an eighth of the vectors, at least about `sample` and at most about `most_sample` of them, so its depth grows with
+the table up to that bound; every vector is then filed under the leaf it descends to. A query takes branches from a priority queue,
+largest reach first: the inner product with the branch's centre and half of what the radius around it could add to that. How many
+leaves are visited is widened until calibration queries, measured against brute force over all rows, reach `target` recall; a query
+goes on beyond that until its leaves hold k vectors besides its own. What may be among the best is scored exactly, in double precision,
+summed in order of the dimensions.
 
-Leaves of more than `block` vectors, and leaves with more than `block` queries, are cut into blocks, so copies of one vector or one
-crowded leaf do not meet in one task. Repeated rows of an id count once.
+Neighbouring leaves of up to `block` vectors in all form a group, and a query goes to a group once, with the list of the leaves that it
+visits there, whose best vectors come back. Leaves of more than `block` vectors, and groups with more than `block` queries, are cut into
+blocks, so copies of one vector or one crowded leaf do not meet in one task. Repeated rows of an id count once.
 
 Cases: null vectors, zero vectors, and those holding a null or non-finite component or of another length than most take no part; a
 null id takes no part; with fewer candidates than k all are returned; ties go to the smaller id; empty tables give no rows; other
@@ -26,12 +29,17 @@ from pyspark.sql import functions as F
 from readloom.llm.common import fraction, kept, table
 
 
+#: How much of a branch's radius counts towards the inner product that it may hold: 1 would bound it, about half finds the most first.
+REACH = 0.5
+
+
 class KMeansTree:
     """Inner nodes with up to `branch` children each; leaves are numbered from 0."""
 
     def __init__(self, x: np.ndarray, branch: int = 8, leaf: int = 64, seed: int = 1):
         self.rng = np.random.default_rng(seed)
         self.centres: list[np.ndarray] = []  # of an inner node's children
+        self.radii: list[np.ndarray] = []  # from each of these centres to the vector furthest from it
         self.children: list[list[int]] = []  # >= 0: inner node, < 0: leaf ~c
         self.n_leaves = 0
         self.root = self._grow(x, branch, leaf)
@@ -42,6 +50,7 @@ class KMeansTree:
             if len(c) > 1:
                 node = len(self.centres)
                 self.centres.append(c)
+                self.radii.append(np.array([np.sqrt(((x[of == k] - c[k]) ** 2).sum(1).max(initial=0.0)) for k in range(len(c))]))
                 self.children.append([])
                 self.children[node] = [self._grow(x[of == k], branch, leaf) for k in range(len(c))]
                 return node
@@ -75,19 +84,17 @@ class KMeansTree:
 
     def visits(self, q: np.ndarray, n: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
         """The first n leaves that the search for q comes to, and more until they have `least` of what the leaves hold."""
-        queue, out, ticket, have = [(0.0, 0, self.root)], [], 0, 0
+        queue, out, ticket, have, far = [(0.0, 0, self.root)], [], 0, 0, REACH * float(np.linalg.norm(q))
         while queue and (len(out) < n or have < least):
             _, _, node = heapq.heappop(queue)
-            while node >= 0:
-                near = self.centres[node] @ q
-                best = int(near.argmax())
-                for k, c in enumerate(self.children[node]):
-                    if k != best:
-                        ticket += 1
-                        heapq.heappush(queue, (-near[k], ticket, c))
-                node = self.children[node][best]
-            out.append(~node)
-            have += held[~node] if held is not None else least
+            if node >= 0:
+                reach = (self.centres[node] @ q + far * self.radii[node]).tolist()
+                for r, c in zip(reach, self.children[node], strict=True):
+                    ticket += 1
+                    heapq.heappush(queue, (-r, ticket, c))
+            else:
+                out.append(~node)
+                have += held[~node] if held is not None else least
         return out
 
 
@@ -97,46 +104,57 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of all q with all x, summed over the dimensions in order."""
-    out = np.zeros((len(q), len(x)))
-    for d in range(q.shape[1]):
-        out += q[:, d : d + 1] * x[None, :, d]
-    return out
+def _best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, asks: np.ndarray | None = None) -> pa.Table:
+    """(query_id, vec_id, score): each query's k best of x but itself, ties to smaller ids; `asks` (queries x vectors) says which count.
 
-
-def _best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> pa.Table:
-    """(query_id, vec_id, score): each query's k best of x but itself, ties to smaller ids."""
+    A matrix product finds all pairs that can be among the k best, rounding errors of any order of summation allowed for; those are
+    scored in order of the dimensions.
+    """
     order = np.argsort(x_ids, kind="stable")
     x_ids, x = x_ids[order], x[order]
+    starts = np.flatnonzero(np.concatenate(([True], x_ids[1:] != x_ids[:-1]))) if len(x) else np.zeros(0, np.int64)
+    slack = 4 * q.shape[1] * np.finfo(float).eps * (np.linalg.norm(x, axis=1).max() if len(x) else 0.0) * np.linalg.norm(q, axis=1)
     rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(0, len(q), 256):
-        s = products(q[i : i + 256], x)
+        s = q[i : i + 256] @ x.T
         s[q_ids[i : i + 256, None] == x_ids[None, :]] = -np.inf
-        best = np.argsort(-s, 1, kind="stable")[:, :k] if s.shape[1] <= 4 * k else _top(s, k)
-        score = np.take_along_axis(s, best, 1)
-        who = np.repeat(q_ids[i : i + 256], best.shape[1])
-        ok = np.isfinite(score).ravel()
-        rows.append((who[ok], x_ids[best].ravel()[ok], score.ravel()[ok]))
+        if asks is not None:
+            s[~asks[i : i + 256][:, order]] = -np.inf
+        by_id = s if len(starts) == len(x) else np.maximum.reduceat(s, starts, axis=1)
+        edge = -np.partition(-by_id, k - 1, 1)[:, k - 1] if by_id.shape[1] > k else np.full(len(s), -np.inf)
+        who, what = np.nonzero((s >= (edge - slack[i : i + 256])[:, None]) & np.isfinite(s))
+        score = np.zeros(len(who))
+        for d in range(q.shape[1]):
+            score += q[i + who, d] * x[what, d]
+        if len(starts) < len(x):  # an id's best row counts
+            best = np.lexsort((-score, x_ids[what], who))
+            who, what, score = who[best], what[best], score[best]
+            new = np.concatenate(([True], (who[1:] != who[:-1]) | (x_ids[what[1:]] != x_ids[what[:-1]])))[: len(who)]
+            who, what, score = who[new], what[new], score[new]
+        best = np.lexsort((what, -score, who))
+        who, what, score = who[best], what[best], score[best]
+        first = np.searchsorted(who, np.arange(len(s)))
+        ok = np.arange(len(who)) - first[who] < k
+        rows.append((q_ids[i + who[ok]], x_ids[what[ok]], score[ok]))
     columns = [np.concatenate([r[j] for r in rows]) if rows else np.zeros(0, t) for j, t in enumerate((np.int64, np.int64, np.float64))]
     return pa.table(columns, ["query_id", "vec_id", "score"])
 
 
-def _top(s: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest of each row, largest first, ties to the smaller column."""
-    edge = -np.partition(-s, k - 1, 1)[:, k - 1]
-    out = np.empty((len(s), k), np.int64)
-    for i, e in enumerate(edge):
-        above = np.flatnonzero(s[i] > e)
-        out[i, : len(above)] = above[np.argsort(-s[i, above], kind="stable")]
-        out[i, len(above) :] = np.flatnonzero(s[i] == e)[: k - len(above)]
+def groups_of(sizes: np.ndarray, block: int) -> np.ndarray:
+    """The group of each leaf: runs of leaves with at most `block` vectors in all; a larger leaf is a group of its own."""
+    out, have, group = np.zeros(len(sizes), np.int64), 0, 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if have and have + n > block:
+            group, have = group + 1, 0
+        out[leaf] = group
+        have += n
     return out
 
 
 class TreeIndex:
     """`vectors`: (vec_id long, embedding array). `search` gives (query_id, rank, vec_id, score); `recall` holds what calibration measured."""
 
-    def __init__(self, vectors: DataFrame, sample: int = 20_000, branch: int = 8, leaf: int = 64, k: int = 20, target: float = 0.97, calibration: int = 64, block: int = 4096, seed: int = 2):
+    def __init__(self, vectors: DataFrame, sample: int = 20_000, most_sample: int = 262_144, branch: int = 8, leaf: int = 64, k: int = 20, target: float = 0.95, calibration: int = 128, block: int = 4096, seed: int = 2):
         self.k, self.block, self.recall, self.n_visits = k, block, 1.0, 1
         self.spark = vectors.sparkSession
         sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
@@ -147,11 +165,14 @@ class TreeIndex:
         self.n = sizes[0]["count"] if sizes else 0
         if not self.n:
             return
-        drawn = rows.filter(fraction("vec_id", F.lit(seed)) < min(1.0, sample / self.n)).orderBy("vec_id").select("embedding").toArrow()
-        self.tree = KMeansTree(_matrix(drawn["embedding"], dim), branch, leaf) if len(drawn) else KMeansTree(np.zeros((1, dim)))
+        wanted = min(max(sample, self.n // 8), most_sample)
+        drawn = rows.filter(fraction("vec_id", F.lit(seed)) < min(1.0, wanted / self.n)).orderBy("vec_id").select("embedding").toArrow()
+        self.tree = KMeansTree(_matrix(drawn["embedding"], dim) if len(drawn) else np.zeros((1, dim)), branch, leaf)
         self.shared = self.spark.sparkContext.broadcast(self.tree)
         self.filed = kept(rows.mapInArrow(self._file(), "leaf long, vec_id long, embedding array<double>"), "filed")
-        self.sizes = {r["leaf"]: r["count"] for r in self.filed.groupBy("leaf").count().collect()}
+        self.sizes = np.zeros(self.tree.n_leaves, np.int64)  # by leaf
+        for r in self.filed.groupBy("leaf").count().collect():
+            self.sizes[r["leaf"]] = r["count"]
         self.ids = np.zeros(self.tree.n_leaves, np.int64)  # by leaf; an id with rows in several counts in one
         for r in self.filed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect():
             self.ids[r["leaf"]] = r["count"]
@@ -201,31 +222,42 @@ class TreeIndex:
 
     def search(self, queries: DataFrame) -> DataFrame:
         """queries: rows of the index's `rows` (vec_id, embedding)."""
-        tree, dim, k, n_visits, held = self.shared, self.dim, self.k, self.n_visits, self.ids
+        tree, dim, k, n_visits, held, of = self.shared, self.dim, self.k, self.n_visits, self.ids, groups_of(self.sizes, self.block)
 
         def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(0, len(b), 512):
                     part = b.slice(i, 512)
-                    lists = [tree.value.visits(q, n_visits, held, k + 1) for q in _matrix(part.column("embedding"), dim)]
-                    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                    leaves = pa.array(np.array([leaf for x in lists for leaf in x], np.int64))
-                    yield pa.RecordBatch.from_arrays([leaves, part.column("vec_id").take(pa.array(rows)), part.column("embedding").take(pa.array(rows))], ["leaf", "query_id", "q"])
-
-        asked = kept(queries.dropDuplicates(["vec_id"]).select("vec_id", "embedding").mapInArrow(visits, "leaf long, query_id long, q array<double>"), "asked")
-        asks = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}
-        # blocks of a leaf's vectors and of its queries; every pair of the two is one group
-        parts = [(leaf, -(-self.sizes.get(leaf, 0) // self.block), -(-n // self.block)) for leaf, n in asks.items() if self.sizes.get(leaf)]
-        cut = F.broadcast(self.spark.createDataFrame(parts, "leaf long, n_x int, n_q int"))  # a row for each leaf
-        x = self.filed.join(cut, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("n_x")).cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("bq"), "vec_id", "embedding")
-        q = asked.join(cut, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("n_x") - 1)).alias("bx"), F.pmod(F.xxhash64("query_id"), F.col("n_q")).cast("int").alias("bq"), "query_id", "q")
+                    lists = [np.sort(np.array(tree.value.visits(q, n_visits, held, k + 1), np.int64)) for q in _matrix(part.column("embedding"), dim)]
+                    rows, leaves = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+                    groups = of[leaves]  # in order within a query
+                    first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (groups[1:] != groups[:-1]))))
+                    visited = pa.ListArray.from_arrays(pa.array(np.append(first, len(leaves)).astype(np.int32)), pa.array(leaves))
+                    who = pa.array(rows[first])
+                    yield pa.RecordBatch.from_arrays([pa.array(groups[first]), visited, part.column("vec_id").take(who), part.column("embedding").take(who)], ["grp", "leaves", "query_id", "q"])
+
+        n_parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        asked = kept(queries.select("vec_id", "embedding").repartition(n_parts, "vec_id").dropDuplicates(["vec_id"]).mapInArrow(visits, "grp long, leaves array<long>, query_id long, q array<double>"), "asked")
+        asks = {r["grp"]: r["count"] for r in asked.groupBy("grp").count().collect()}
+        # blocks of a group's vectors and of its queries; every pair of the two is one task's work
+        held_by = np.bincount(of, weights=self.sizes).astype(np.int64)
+        parts = [(g, int(-(-held_by[g] // self.block)), -(-n // self.block)) for g, n in asks.items() if held_by[g]]
+        cut = F.broadcast(self.spark.createDataFrame(parts, "grp long, n_x int, n_q int"))  # a row for each group
+        by_leaf = F.broadcast(self.spark.createDataFrame([(leaf, int(g)) for leaf, g in enumerate(of)], "leaf long, grp long"))
+        x = self.filed.join(by_leaf, "leaf").join(cut, "grp").select("grp", F.pmod(F.xxhash64("vec_id"), F.col("n_x")).cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("bq"), "leaf", "vec_id", "embedding")
+        q = asked.join(cut, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("n_x") - 1)).alias("bx"), F.pmod(F.xxhash64("query_id"), F.col("n_q")).cast("int").alias("bq"), "leaves", "query_id", "q")
 
         def scored(left: pa.Table, right: pa.Table) -> pa.Table:
             if not len(left) or not len(right):
                 return pa.table([np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], ["query_id", "vec_id", "score"])
-            return _best(right["query_id"].to_numpy(), _matrix(right["q"], dim), left["vec_id"].to_numpy(), _matrix(left["embedding"], dim), k)
-
-        key = ["leaf", "bx", "bq"]
+            leaf, visited = left["leaf"].to_numpy(), right["leaves"].combine_chunks()
+            low = int(min(leaf.min(), visited.flatten().to_numpy().min()))
+            wide = int(max(leaf.max(), visited.flatten().to_numpy().max())) - low + 1
+            goes = np.zeros((len(right), wide), bool)
+            goes[np.repeat(np.arange(len(right)), visited.value_lengths().to_numpy()), visited.flatten().to_numpy() - low] = True
+            return _best(right["query_id"].to_numpy(), _matrix(right["q"], dim), left["vec_id"].to_numpy(), _matrix(left["embedding"], dim), k, goes[:, leaf - low])
+
+        key = ["grp", "bx", "bq"]
         found = x.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(scored, "query_id long, vec_id long, score double")
         return self._ranked(found)
 

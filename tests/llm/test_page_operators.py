@@ -258,6 +258,34 @@ def test_index_of_little(spark):
     assert ann.TreeIndex(df.filter("false")).n == 0
 
 
+def test_repeated_ids_do_not_crowd_others_out():
+    rng = np.random.default_rng(6)
+    x_ids, x, q_ids, q = np.repeat(np.arange(40), 30), np.repeat(rng.normal(size=(40, 8)), 30, 0), np.arange(3), rng.normal(size=(3, 8))
+    asks = rng.random((3, len(x))) < 0.5
+    got = ann._best(q_ids, q, x_ids, x, 20, asks).to_pylist()
+    for i in q_ids.tolist():
+        scores = sorted(((-_product(q[i], x[30 * j]), j) for j in range(40) if j != i and asks[i, x_ids == j].any()))[:20]
+        assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == i] == [(j, -s) for s, j in scores]
+
+
+@pytest.mark.parametrize("block", [1, 7, 100])
+def test_groups_of_leaves(block):
+    sizes = np.random.default_rng(7).integers(0, 12, 50)
+    of = ann.groups_of(sizes, block)
+    assert of[0] == 0 and set(np.diff(of)) <= {0, 1}
+    assert all(sizes[of == g].sum() <= block or (sizes[of == g] > 0).sum() == 1 for g in range(of[-1] + 1))
+
+
+def test_long_vectors_are_found_first(spark):
+    rng = np.random.default_rng(8)
+    rows = {i: (rng.normal(size=12) * rng.lognormal(sigma=1.0)).tolist() for i in range(800)}
+    index = ann.TreeIndex(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>"), leaf=16)
+    assert index.recall >= 0.9 and index.n_visits <= index.tree.n_leaves // 2
+    found = {(r["query_id"], r["vec_id"]) for r in index.search(index.rows.filter("vec_id % 20 = 0")).collect()}
+    want = _exact(rows, [i for i in rows if i % 20 == 0], 20)
+    assert sum((q, i) in found for q in want for i, _ in want[q]) >= 0.9 * 20 * len(want)
+
+
 def test_small_leaves_do_not_shorten_answers(spark):
     rng = np.random.default_rng(5)
     rows = [(i, (np.eye(8)[0] * 50 + rng.normal(size=8) * 0.01).tolist()) for i in range(1, 400)] + [(1000, [-50.0] + [0.0] * 7), *[(1001 + i, (np.eye(8)[1] * 50 + rng.normal(size=8)).tolist()) for i in range(3)], (1001, (np.eye(8)[1] * 51).tolist())]
