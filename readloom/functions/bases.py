@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from readloom.functions.cigar import positional, reference_end_before, runs
+from readloom.functions.cigar import positional, runs
 from readloom.functions.flags import let
+from readloom.functions.flat import Positional, gathered, numbers, spans
+
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[97:123] -= 32
 
 _MISMATCH = "struct<code:string,ref_pos:int,length:int,bases:string,qual:int,ref_base:string,clip_length:int>"
 
@@ -16,14 +24,48 @@ def _cut(ref: Column, ref_start: Column, begin: Column, end: Column) -> Column:
     return F.substring(ref.cast("binary"), begin - ref_start + 1, F.greatest(F.lit(0), end - begin)).cast("string")
 
 
+@F.arrow_udf(T.StringType())
+def _bases(features: pa.Array, start: pa.Array, read_length: pa.Array, ref: pa.Array, ref_start: pa.Array) -> pa.Array:
+    """All reads of a batch at once: pieces of reference and of features, in order, from one buffer of bytes."""
+    f = Positional(features, start)
+    sub = f.struct.field("sub").fill_null("N")
+    known = pc.and_(pc.is_valid(ref), pc.and_(pc.is_valid(start), pc.is_valid(read_length))).to_numpy(zero_copy_only=False)
+    parts = [spans(x) for x in (ref, f.struct.field("payload"), sub)]
+    source = np.concatenate([p[0] for p in parts])
+    (_, ref_at, ref_len), (_, own_at, own_len), (_, sub_at, sub_len) = parts
+    own_at, sub_at = own_at + len(parts[0][0]), sub_at + len(parts[0][0]) + len(parts[1][0])
+    of_sub, of_own = f.is_("X"), f.is_("BbIiS")
+    low = numbers(ref_start)
+
+    def piece(read: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        b, e = (np.clip(x - low[read], 0, ref_len[read]) for x in (begin, end))
+        return ref_at[read] + b, np.where(known[read], np.maximum(0, e - b), 0)
+
+    gap_at, gap_len = piece(f.read, f.before, f.ref_pos)
+    own_len = np.where(known[f.read], np.where(of_sub, sub_len, np.where(of_own, own_len, 0)), 0)
+    sums = np.concatenate(([0], np.cumsum(gap_len + own_len)))
+    wanted = np.where(known, numbers(read_length), 0)
+    body = sums[f.first[1:]] - sums[f.first[:-1]]
+    tail_at, tail_len = piece(np.arange(f.n_reads), f.last, f.last + wanted - body)
+    if (body + tail_len != wanted).any():
+        raise ValueError("read features do not add up to the read's length")
+    starts = f.interleaved(gap_at, np.where(of_sub, sub_at, own_at), tail_at)
+    bases = _UPPER[gathered(source, starts, f.interleaved(gap_len, own_len, tail_len))]
+    offsets = np.concatenate(([0], np.cumsum(wanted))).astype(np.int64)
+    text = pa.Array.from_buffers(pa.large_binary(), f.n_reads, [None, pa.py_buffer(offsets), pa.py_buffer(bases)]).cast(pa.large_string())
+    return pc.if_else(pa.array(known), text, pa.scalar(None, pa.large_string())).cast(pa.string())
+
+
 def read_bases(features: Column, start: Column, read_length: Column, ref: Column, ref_start: Column, unknown: Column | None = None) -> Column:
-    """Upper-case bases of a mapped read; null if `unknown`, or without reference; features that contradict the length raise."""
-    own = lambda x: F.when(x["code"] == "X", F.coalesce(x["sub"], F.lit("N"))).when(x["code"].isin("B", "b", "I", "i", "S"), x["payload"]).otherwise("")
-    body = lambda g, r: F.concat_ws("", F.transform(g, lambda x, i: F.concat(_cut(r, ref_start, reference_end_before(g, i, start), x["ref_pos"]), own(x))))
-    tail = lambda g, b: let(reference_end_before(g, F.size(g), start), lambda t: F.concat(b, _cut(ref, ref_start, t, t + read_length - F.length(b))))
-    whole = let(positional(features), lambda g: F.upper(let(let(ref.cast("binary"), lambda r: body(g, r)), lambda b: tail(g, b))))
-    checked = let(whole, lambda w: F.when(F.length(w) == read_length, w).otherwise(F.raise_error(F.lit("read features do not add up to the read's length")).cast("string")))
-    return F.when(ref.isNotNull() & (~unknown if unknown is not None else F.lit(True)), checked)
+    """Upper-case bases of a mapped read; null if `unknown`, or without reference, start or length; features that contradict the length raise.
+
+    Only the stretch of reference that a read can lie on is handed to the kernel.
+    """
+    last = F.try_element_at(features, F.lit(-1))
+    wide = F.greatest(F.lit(0), F.coalesce(last["ref_pos"] + F.coalesce(last["num"], F.lit(0)) - start, F.lit(0))) + F.greatest(F.lit(0), read_length) + 1
+    begin = F.greatest(start, ref_start)
+    cut = F.when(ref.isNotNull() & (~unknown if unknown is not None else F.lit(True)), _cut(ref, ref_start, begin, start + wide))
+    return _bases(features, start.cast("int"), read_length.cast("int"), cut, begin.cast("int"))
 
 
 def _record(code, ref_pos, length, bases, qual, ref_base, clip) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readloom.functions.flags import _c, let
+from readloom.functions.flat import Positional, numbers
 from readloom.model import CIGAR_OPS, FEATURE
 
 FEATURES = f"array<{FEATURE.simpleString()}>"
@@ -60,15 +64,6 @@ def positional(features: Column) -> Column:
     return F.filter(F.coalesce(features, F.array().cast(FEATURES)), lambda x: ~x["code"].isin("q", "Q"))
 
 
-def _advance(x: Column) -> Column:
-    return F.when(x["code"].isin("X", "B"), 1).when(x["code"].isin("b", "D", "N"), x["num"]).otherwise(0)
-
-
-def reference_end_before(g: Column, i: Column, start: Column) -> Column:
-    """Where the reference stands after feature i - 1: the start of the match before feature i. g: a lambda's variable."""
-    return F.when(i == 0, start).otherwise(F.get(g, i - 1)["ref_pos"] + _advance(F.get(g, i - 1)))
-
-
 def runs(a: Column, goes_on) -> Column:
     """array of arrays: the runs of an array (a lambda's variable) in which goes_on(element, the one before) holds. Linear."""
     begins = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | ~F.coalesce(goes_on(F.get(a, i), F.get(a, i - 1)), F.lit(False)))
@@ -82,14 +77,31 @@ def merge_cigar(ops: Column) -> Column:
     return let(F.filter(ops, lambda x: x["len"] > 0), lambda o: F.transform(runs(o, lambda x, before: x["op"] == before["op"]), whole))
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("len", T.IntegerType())])))
+def _walked(features: pa.Array, start: pa.Array, read_length: pa.Array) -> pa.Array:
+    """All reads of a batch at once: a match and an op for each feature, the tail, and neighbours of one kind added up."""
+    f = Positional(features, start)
+    op = np.where(f.is_("XBb"), ord("M"), np.where(f.is_("i"), ord("I"), f.code)).astype(np.uint8)
+    size = np.where(f.is_("XBi"), 1, f.num)
+    gap = np.maximum(0, f.ref_pos - f.before)
+    used = np.concatenate(([0], np.cumsum(gap + np.where(np.isin(op, np.frombuffer(b"MIS", np.uint8)), size, 0))))
+    m = np.uint8(ord("M"))
+    lens = f.interleaved(gap, size, numbers(read_length) - (used[f.first[1:]] - used[f.first[:-1]]))
+    ops = f.interleaved(np.full(len(op), m), op, np.full(f.n_reads, m))
+    read = f.interleaved(f.read, f.read, np.arange(f.n_reads))
+    some = lens > 0
+    lens, ops, read = lens[some], ops[some], read[some]
+    begins = np.flatnonzero(np.concatenate(([True], (ops[1:] != ops[:-1]) | (read[1:] != read[:-1])))[: len(ops)])
+    lens = np.add.reduceat(lens, begins) if len(begins) else lens
+    text = pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(np.arange(len(begins) + 1, dtype=np.int32)), pa.py_buffer(ops[begins])])
+    bounds = np.searchsorted(read[begins], np.arange(f.n_reads + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([text, pa.array(lens.astype(np.int32))], ["op", "len"]))
+
+
 def cigar_from_features(features: Column, start: Column, read_length: Column, mapped: Column | None = None) -> Column:
     """CIGAR array of a mapped read from its features: M for matches and substitutions, neighbours of one kind merged.
 
     Null features are none; a read that is not `mapped` gives null.
     """
-    op = lambda x: F.when(x["code"].isin("X", "B", "b"), "M").when(x["code"] == "i", "I").otherwise(x["code"])
-    size = lambda x: F.when(x["code"].isin("X", "B", "i"), 1).otherwise(x["num"])
-    parts = lambda g: F.flatten(F.transform(g, lambda x, i: F.array(_op("M", F.greatest(F.lit(0), x["ref_pos"] - reference_end_before(g, i, start))), _op(op(x), size(x)))))
-    used = lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + F.when(x["op"].isin("M", "I", "S"), x["len"]).otherwise(0))
-    out = let(positional(features), lambda g: let(parts(g), lambda p: merge_cigar(F.concat(p, F.array(_op("M", read_length - used(p)))))))
+    out = _walked(features, start.cast("int"), read_length.cast("int"))
     return out if mapped is None else F.when(mapped, out)
