@@ -93,3 +93,14 @@ def test_long_rows_take_time_in_proportion(spark, what):
         return best
 
     assert seconds(1600) <= 4.5 * max(0.2, seconds(400))
+
+
+def test_kernels_on_nulls_and_empty_tables(spark):
+    rows = [(1, None, 5, "ACGTACGT", []), (2, 2, None, "ACGTACGT", None), (3, 2, 5, None, []), (4, 2, 5, "acgtacgt", [("X", 1, 3, 0, None, None, None), (None, 2, 4, 0, "A", None, None), ("Q", 2, 4, 0, None, None, None)])]
+    df = spark.createDataFrame(rows, f"id int, s int, n int, ref string, f {FEATURES}")
+    out = df.select("id", R.read_bases(F.col("f"), F.col("s"), F.col("n"), F.col("ref"), F.lit(0)).alias("b"), R.cigar_string(R.cigar_from_features(F.col("f"), F.col("s"), F.col("n"))).alias("c"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, None, "5M"), (2, None, "*"), (3, None, "5M"), (4, "GNACG", "5M")]
+    assert out.filter("id > 9").collect() == []
+    far = df.filter("id = 4").select(R.read_bases(F.col("f"), F.col("s"), F.lit(7), F.col("ref"), F.lit(0)))
+    with pytest.raises(Exception, match="do not add up"):
+        far.collect()
