@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import ann, brown_lm, decontamination, language_id, mixing, ngram_join, sharding, toxicity, url_filter, wrappers
+from readloom.llm import ann, brown_lm, cross_tokens, decontamination, language_id, mixing, ngram_join, sharding, token_counts, toxicity, url_filter, whitening, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_language_id": language_id.op9_language_id,
         "op10_sharding": sharding.op10_sharding,
+        "op11_token_counts": token_counts.op11_token_counts,
+        "op12_cross_tokens": cross_tokens.op12_cross_tokens,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
