@@ -82,17 +82,18 @@ def piece_strings(path: str) -> list[bytes]:
 
 # ---------------------------------------------------------------- places where both can be cut
 
-_SPACE, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
+_SPACE, _LETTER, _DIGIT, _MARK, _UNSURE = 1, 2, 3, 4, 5
 
 
 @lru_cache(1)
 def _kinds() -> np.ndarray:
-    """White space of any script; letters, digits and marks up to U+024F, where their kinds are settled; 0 for all else."""
+    """White space of any script (unsure: what only some call so); letters, digits and marks up to U+024F, whose kinds are settled; else 0."""
     out = np.zeros(0x110000, np.uint8)
     for c in range(0x250):
         x = chr(c)
         out[c] = _LETTER if x.isalpha() else _DIGIT if x.isdecimal() else _MARK if 0x20 < c < 0x7F else 0
     out[[c for c in range(0x3001) if chr(c).isspace()]] = _SPACE
+    out[0x1C:0x20] = _UNSURE
     return out
 
 
@@ -103,12 +104,14 @@ def both_apart(points: np.ndarray, first: np.ndarray, b_path: str) -> np.ndarray
     twice = np.concatenate(([0], before[:-1]))
     after = np.concatenate((kind[1:], [_SPACE]))
     after[:-1][first[1:]] = _SPACE  # the end of a text
-    blank, mark = points == 0x20, np.concatenate(([0], points[:-1])) == 0x27
-    a = blank & (after != _SPACE)  # a space begins the next pre-token
-    a |= ((before == _LETTER) | (before == _DIGIT)) & (kind != before) & (points < 0x250)
-    a |= (before == _MARK) & (kind == _SPACE)
-    a |= (before == _MARK) & ~mark & (kind == _LETTER)
-    a |= (before == _SPACE) & (twice != _SPACE) & (np.concatenate(([0], points[:-1])) != 0x20) & (kind != _SPACE) & ~np.concatenate(([False], first[:-1]))
+    last = np.concatenate(([0], points[:-1]))
+    blank, maybe = kind == _SPACE, (kind == _SPACE) | (kind == _UNSURE)
+    a = (points == 0x20) & (after != _SPACE) & (after != _UNSURE)  # a space begins the next pre-token
+    a |= (before == _LETTER) & (kind != _LETTER) & (points < 0x250)
+    a |= (before == _DIGIT) & (blank | (kind == _LETTER) | (kind == _MARK))
+    a |= (before == _MARK) & (blank | ((kind == _LETTER) & (last != 0x27)))
+    # a single blank that is no space is a pre-token
+    a |= (before == _SPACE) & (last != 0x20) & ~maybe & (twice != _SPACE) & (twice != _UNSURE) & ~np.concatenate(([False], first[:-1]))
     return (a & cuts(b_path).apart(points)) | first
 
 

@@ -59,11 +59,10 @@ def below(diagonal: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sturm counts: how many eigenvalues of the tridiagonal matrix lie below each number."""
     tiny = np.finfo(float).tiny / np.finfo(float).eps
     least = np.finfo(float).eps * max(1e-300, np.abs(off).max(initial=0.0)) + tiny
-    q = diagonal[0] - at
-    n = (q < 0).astype(int)
-    for d, e in zip(diagonal[1:], off, strict=True):
-        q = np.where(np.abs(q) < least, -least, q)
+    n, q = np.zeros(len(at), int), np.ones(len(at))
+    for d, e in zip(diagonal, [0.0, *off], strict=True):
         q = d - at - e * e / q
+        q = np.where(np.abs(q) < least, -least, q)
         n += q < 0
     return n
 
