@@ -25,6 +25,34 @@ def gathered(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     return source[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def offsets_of(a: pa.Array) -> np.ndarray:
+    """Bounds of a list array's items in its flattened values; nulls have none."""
+    return np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+
+def letters(a: pa.Array) -> np.ndarray:
+    """First byte of each string, 0 where there is none."""
+    data, at, length = spans(a)
+    return np.where(length > 0, np.append(data, 0)[at], 0).astype(np.uint8)
+
+
+def strings(data: np.ndarray, lengths: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """A string array from its bytes and lengths; null where not valid."""
+    bounds = np.concatenate(([0], np.cumsum(lengths)))
+    bits = None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little"))
+    if bounds[-1] < 1 << 31:
+        return pa.Array.from_buffers(pa.string(), len(lengths), [bits, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [bits, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[97:123] -= 32
+
+
+def upper(data: np.ndarray) -> np.ndarray:
+    return _UPPER[data]
+
+
 class Positional:
     """Features that stand at a position of their read: all but the quality features q and Q.
 
@@ -33,9 +61,8 @@ class Positional:
 
     def __init__(self, features: pa.Array, start: pa.Array):
         x = features.flatten()
-        bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(features), 0).to_numpy(zero_copy_only=False))))
-        data, at, length = spans(x.field("code"))
-        code = np.where(length > 0, np.append(data, 0)[at], 0).astype(np.uint8)
+        bounds = offsets_of(features)
+        code = letters(x.field("code"))
         stays = np.flatnonzero((code != 0) & ~self._in(code, "qQ"))
         self.struct, self.code = x.take(pa.array(stays)), code[stays]
         self.first = np.searchsorted(stays, bounds)

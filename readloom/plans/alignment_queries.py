@@ -168,8 +168,7 @@ def read_bases(spark, d):
 
 
 def mismatches(spark, d):
-    found = _featured(spark, d).select(*_KEY, F.explode(R.mismatches(F.col("features"), F.col("ref"), F.lit(0))).alias("m"))
-    return found.select(*_KEY, "m.*").fillna("", ["ref_base"])
+    return R.mismatch_rows(_featured(spark, d).withColumn("ref_start", F.lit(0)), *_KEY).fillna("", ["ref_base"])
 
 
 def mismatches_in_window(spark, d):

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.cigar import cigar_length_on_ref, cigar_string, parse_cigar
-from readloom.functions.tags import parse_tags, quality_bytes, quality_string
-from readloom.model import FLAGS, MalformedInputError
+from readloom.model import FLAGS
+from readloom.sources.samtext import parse_line, text_parts
 
 
 def header_fields(line: Column) -> tuple[Column, Column]:
@@ -55,25 +54,21 @@ def sam_rows(lines: DataFrame, refs: DataFrame) -> DataFrame:
     """
     refs = refs.groupBy("file", "name").agg(F.min("ref_id").alias("ref_id"))
     lines = lines.select("file", F.col("at").alias("rec_no"), F.regexp_replace("line", "\r$", "").alias("line")).filter(~F.col("line").startswith("@") & (F.col("line") != ""))
-    f = F.split("line", "\t")
-    at = lambda i: F.get(f, F.lit(i))
-    short = F.raise_error(F.lit(f"{MalformedInputError.__name__}: a SAM line has under 11 fields"))
-    whole = (F.size(f) >= 11) | F.col("line").startswith("@") | (F.col("line") == "")  # a filter may be merged with this
-    rows = lines.withColumn("line", F.when(whole, F.col("line")).otherwise(short.cast("string")))
-    star = lambda c: F.when(c != "*", c)
-    rows = rows.select(
-        "file", "rec_no", star(at(0)).alias("read_name"), at(1).cast("int").alias("flags"), at(2).alias("rname"), (at(3).cast("int") - 1).alias("start"), at(4).cast("int").alias("mapping_quality"), star(at(5)).alias("cigar_text"),
-        F.when(at(6) == "=", at(2)).otherwise(at(6)).alias("rnext"), (at(7).cast("int") - 1).alias("pnext"), at(8).cast("int").alias("template_length"), star(at(9)).alias("read_bases"), quality_bytes(at(10)).alias("quals"), parse_tags(F.slice(f, 12, 1 << 20)).alias("tags"),
-    )
+    rows = lines.select("file", "rec_no", parse_line("line").alias("p")).select("file", "rec_no", "p.*")
+    rows = rows.withColumn("rnext", F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext")))
+    return with_reference_ids(rows, refs)
+
+
+def with_reference_ids(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """Alignment rows of parsed lines; refs (file, ref_id, name) with names told apart."""
     name = lambda key, as_: refs.select(F.col("file").alias("f_"), F.col("name").alias(key), F.col("ref_id").alias(as_))
     a, b = name("rname_", "sequence_id"), name("rnext_", "next_sequence_id")
     rows = rows.join(a, (F.col("file") == a["f_"]) & (F.col("rname") == F.col("rname_")), "left").drop("f_", "rname_")
     rows = rows.join(b, (F.col("file") == b["f_"]) & (F.col("rnext") == F.col("rnext_")), "left").drop("f_", "rnext_")
-    ops = parse_cigar("cigar_text")
     unmapped = F.col("flags").bitwiseAND(F.lit(FLAGS["is_segment_unmapped"])) != 0
     return rows.select(
-        "file", "rec_no", "read_name", "flags", F.coalesce("sequence_id", F.lit(-1)).alias("sequence_id"), "start", F.when(~unmapped, F.coalesce(cigar_length_on_ref(ops), F.lit(0))).alias("length_on_ref"), F.length("read_bases").alias("read_length"), "mapping_quality",
-        ops.alias("cigar"), "next_sequence_id", F.when(F.col("next_sequence_id").isNotNull(), F.col("pnext")).alias("next_start"), "template_length", "read_bases", "quals", "tags",
+        "file", "rec_no", "read_name", "flags", F.coalesce("sequence_id", F.lit(-1)).alias("sequence_id"), "start", F.when(~unmapped, F.col("reach")).alias("length_on_ref"), F.length("read_bases").alias("read_length"), "mapping_quality",
+        "cigar", "next_sequence_id", F.when(F.col("next_sequence_id").isNotNull(), F.col("pnext")).alias("next_start"), "template_length", "read_bases", "quals", "tags",
     )
 
 
@@ -84,10 +79,9 @@ def sam_lines(rows: DataFrame, refs: DataFrame) -> DataFrame:
     rows = rows.join(a, (F.col("file") == a["f_"]) & (F.col("sequence_id") == F.col("id_")), "left").drop("f_")
     rows = rows.join(b, (F.col("file") == b["f_"]) & (F.col("next_sequence_id") == F.col("next_")), "left").drop("f_")
     mate = F.when(F.col("mate_name").isNull(), "*").when(F.col("mate_name") == F.col("rname"), "=").otherwise(F.col("mate_name"))
-    text = lambda v: F.when(v["kind"] == "B", F.concat(F.coalesce(v["sub"], F.when(v["af"].isNotNull(), "f").otherwise("i")), F.lit(","), F.concat_ws(",", F.coalesce(v["af"].cast("array<string>"), v["ai"].cast("array<string>"))))).otherwise(F.coalesce(v["s"], v["i"].cast("string"), v["f"].cast("string")))
-    tags = F.transform(F.map_entries("tags"), lambda e: F.concat_ws(":", e["key"], F.when(e["value"]["kind"].isin("c", "C", "s", "S", "I"), "i").otherwise(e["value"]["kind"]), text(e["value"])))
+    rows = rows.withColumn("text_", text_parts("cigar", "quals", "tags"))
     fixed = [
-        F.coalesce("read_name", F.lit("*")), F.col("flags").cast("string"), F.coalesce("rname", F.lit("*")), (F.col("start") + 1).cast("string"), F.coalesce("mapping_quality", F.lit(0)).cast("string"), cigar_string(F.col("cigar")),
-        mate, F.coalesce(F.col("next_start") + 1, F.lit(0)).cast("string"), F.coalesce("template_length", F.lit(0)).cast("string"), F.coalesce("read_bases", F.lit("*")), quality_string(F.col("quals")),
+        F.coalesce("read_name", F.lit("*")), F.col("flags").cast("string"), F.coalesce("rname", F.lit("*")), (F.col("start") + 1).cast("string"), F.coalesce("mapping_quality", F.lit(0)).cast("string"), "text_.cigar",
+        mate, F.coalesce(F.col("next_start") + 1, F.lit(0)).cast("string"), F.coalesce("template_length", F.lit(0)).cast("string"), F.coalesce("read_bases", F.lit("*")), "text_.quality",
     ]
-    return rows.select("file", "rec_no", F.array_join(F.concat(F.array(*fixed), F.coalesce(tags, F.array().cast("array<string>"))), "\t").alias("line"))
+    return rows.select("file", "rec_no", F.concat(F.concat_ws("\t", *fixed), F.coalesce("text_.tags", F.lit(""))).alias("line"))
