@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.functions.aligned import features_from_alignment
 from readloom.functions.features import substitution
 from readloom.functions.tags import reference_md5
 
@@ -40,6 +41,16 @@ def with_reference(reads: DataFrame, chunks: DataFrame, size: int, read_key: lis
     return reads.join(whole.filter(F.length("ref") == F.col("length_on_ref")), place, "left")
 
 
+def aligned_features(reads: DataFrame, chunks: DataFrame, size: int, read_key: list[str]) -> DataFrame:
+    """Reads of a SAM source (cigar, read_bases, quals) with `ref` and with `features`, what sets them apart from the reference under them.
+
+    A read whose reference the chunks do not cover stores its bases as stretches; one without a CIGAR has null features.
+    """
+    quals = F.col("quals") if "quals" in reads.columns else None
+    made = features_from_alignment(F.col("cigar"), F.col("read_bases"), F.col("start"), F.col("ref"), F.col("start"), quals)
+    return with_reference(reads, chunks, size, read_key).withColumn("features", made)
+
+
 def resolve_features(reads: DataFrame, chunks: DataFrame, size: int, read_key: list[str], matrix: Column) -> DataFrame:
     """Reads with `ref`, and with ref and sub filled in for their features: X stands for what the substitution matrix says of its code (num),
     B for its own base; features that lie outside the reference known stay as they are. `read_bases` and `mismatches` work on the result.

@@ -16,6 +16,7 @@ from readloom import functions as R
 from readloom import operators as O
 from readloom import sources as S
 from readloom.model import FLAGS, STORAGE_FLAGS
+from readloom.plans import text_queries
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -469,6 +470,9 @@ select unique_id, cast(f | case when ahead then 1 | (case when af & 4 <> 0 then
 select unique_id, coalesce(own, first_value(coalesce(own, unique_id)) over (partition by read_name, chain order by rec_no)) as read_name from k""",
     "tag_last_wins": "select user_id, event_type, arg_max(value, event_id) as value from events group by 1, 2",
     "tags_map": "with t as (select user_id, left(event_type, 2) as tag, arg_max(event_id % 1000, event_id) as v from events group by 1, 2) select user_id, count(*) as n_tags, cast(sum(v) as bigint) as tag_sum from t group by 1",
+    "block_crc32": """with t as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as steps)
+select doc_id, case when text is not null then xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: cast('0x' || x as bigint))),
+  lambda c, b: xor(c >> 8, steps[cast((xor(c, b) & 255) as int) + 1])), 4294967295) end as crc32 from documents, t""",
     "reference_md5": "select doc_id, md5(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^!-~]', '', 'g')) as md5 from documents",
     "record_json": f"with {_ALN} select unique_id, start, length_on_ref, next_start from aln",
     "props_json": "select event_id, cast(props->>'$.k' as bigint) as k from events",
@@ -514,8 +518,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         placed_features, reference_join, reference_spans, delta_starts, mate_association, lossy_names, reference_list, sam_reads, sam_text, fasta_sequences, index_entries, index_estimate, index_in_order, storage_flags, substitutions, merged_cigar, detached_mates,
         stored_bases, resolved_features, pairs_by_index,
     ]
-    return {"pairs_in_range": flagship} | {f.__name__: f for f in found}
+    return {"pairs_in_range": flagship} | {f.__name__: f for f in found} | text_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | text_queries.oracle_sql()

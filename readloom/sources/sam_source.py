@@ -2,7 +2,7 @@
 
 Without an index a file is read in blocks of bytes, a line belonging to the block in which it begins. With an index (`index_sam`) only
 byte ranges that may hold what the filters ask for are planned: filters on `rname` and `start` reach the source where
-spark.sql.python.filterPushdown.enabled is set, and as options (`rname`, `start`, `end`) in any case. Columns are those of `COLUMNS`, or of
+spark.sql.python.filterPushdown.enabled is set (`load_sam` sees to it), and as options (`rname`, `start`, `end`) in any case. Columns are those of `COLUMNS`, or of
 the option `columns`; only these are built.
 """
 
@@ -73,7 +73,8 @@ class SamSource(DataSource):
         return T.StructType([COLUMNS[c.strip()] for c in wanted.split(",")]) if wanted else COLUMNS
 
     def reader(self, schema: T.StructType) -> SamReader:
-        return SamReader(dict(self.options), schema)
+        kind = FilteringSamReader if self.options.get("push_filters") == "true" else SamReader
+        return kind(dict(self.options), schema)
 
 
 class SamReader(DataSourceReader):
@@ -83,24 +84,6 @@ class SamReader(DataSourceReader):
         self.rnames = [options["rname"]] if options.get("rname") is not None else None
         self.low, self.high = number("start"), number("end")
 
-    def pushFilters(self, filters):
-        """Filters narrow the plan; Spark applies them all the same, as ranges hold other lines too."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("rname",):
-                self._named([f.value])
-            elif isinstance(f, In) and f.attribute == ("rname",):
-                self._named(list(f.value))
-            elif isinstance(f, (LessThan, LessThanOrEqual)) and f.attribute == ("start",):
-                at = f.value + isinstance(f, LessThanOrEqual)
-                self.high = at if self.high is None else min(self.high, at)
-            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("start",):
-                # the option `start` asks for reads that reach beyond it, this for reads that begin there: the weaker one is kept
-                self.low = f.value if self.low is None else max(self.low, f.value)
-            yield f
-
-    def _named(self, names: list[str]) -> None:
-        self.rnames = names if self.rnames is None else [x for x in self.rnames if x in names]
-
     def partitions(self) -> list[Range]:
         size = int(self.options.get("block_bytes", BLOCK))
         index = self.options.get("index")
@@ -161,6 +144,28 @@ class SamReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([own[c]() if c in own else rows.field(c) for c in self.names], self.names)
 
 
+class FilteringSamReader(SamReader):
+    """The reader that Spark hands its filters to; only sessions that push filters to Python sources may have it."""
+
+    def pushFilters(self, filters):
+        """Filters narrow the plan; Spark applies them all the same, as ranges hold other lines too."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("rname",):
+                self._named([f.value])
+            elif isinstance(f, In) and f.attribute == ("rname",):
+                self._named(list(f.value))
+            elif isinstance(f, (LessThan, LessThanOrEqual)) and f.attribute == ("start",):
+                at = f.value + isinstance(f, LessThanOrEqual)
+                self.high = at if self.high is None else min(self.high, at)
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("start",):
+                # the option `start` asks for reads that reach beyond it, this for reads that begin there: the weaker one is kept
+                self.low = f.value if self.low is None else max(self.low, f.value)
+            yield f
+
+    def _named(self, names: list[str]) -> None:
+        self.rnames = names if self.rnames is None else [x for x in self.rnames if x in names]
+
+
 def _after_line(f, at: int) -> int:
     """The place behind the first line end at or after `at`, or the file's end."""
     while data := f.read_at(1 << 16, at):
@@ -174,7 +179,7 @@ def _after_line(f, at: int) -> int:
 def load_sam(spark: SparkSession, path: str, index: str | None = None, columns: list[str] | None = None, **options) -> DataFrame:
     """Lines of SAM files as `COLUMNS`; with an index and rname, start or end, from the byte ranges that may hold such reads."""
     spark.dataSource.register(SamSource)
-    options |= {"path": path} | ({"index": index} if index else {}) | ({"columns": ",".join(columns)} if columns else {})
+    options |= {"path": path, "push_filters": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")} | ({"index": index} if index else {}) | ({"columns": ",".join(columns)} if columns else {})
     return spark.read.format("sam-text").options(**{k: str(v) for k, v in options.items()}).load()
 
 
