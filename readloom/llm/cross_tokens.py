@@ -20,8 +20,10 @@ columns are ignored.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -34,8 +36,8 @@ from readloom.llm.common import CHUNK_BYTES, giving_back, kept, lean, mix64, sha
 from readloom.llm.pieces import code_points, cuts, processor, runs, slices
 from readloom.llm.trees import SCHEMA, tree_summed
 
-#: Parts that a worker remembers, and how long they may be.
-MEMORY, LONGEST = 200_000, 64
+#: Parts, and characters of them, that a worker remembers (about 200 MB).
+MEMORY, MEMORY_CHARS = 600_000, 16 << 20
 
 #: Longs in a block of a dense vector.
 BLOCK = 1 << 15
@@ -52,12 +54,12 @@ def _byte_of() -> dict[str, int]:
 
 
 @lru_cache(2)
-def byte_level(path: str) -> tuple[Tokenizer, list[int]]:
+def byte_level(path: str) -> tuple[Tokenizer, np.ndarray]:
     """The tokenizer, and the number of bytes of each id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    size = [0] * t.get_vocab_size()
+    size = np.zeros(t.get_vocab_size(), np.int64)
     for token, i in t.get_vocab().items():
         size[i] = len(token)  # a character a byte
     return t, size
@@ -124,7 +126,7 @@ class Parts:
     def __init__(self, a_path: str, b_path: str):
         (self.a, self.a_size), self.b = byte_level(a_path), processor(b_path)
         self.b_path, self.a_bytes, self.b_bytes = b_path, byte_strings(a_path), piece_strings(b_path)
-        self.b_size = list(map(len, self.b_bytes))
+        self.b_size = np.array(list(map(len, self.b_bytes)))
         chars = {c for p in cuts(b_path).chars for c in p}
         self.guard = next(c for c in ("\n", *map(chr, range(0xE000, 0xF8FF))) if c not in chars)
         self.guarded = len(self.b.encode(self.guard))
@@ -133,45 +135,53 @@ class Parts:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
-        self.links: list[list[int]] = []
-        self.n: list[tuple[int, int, bool]] = []  # tokens of A and of B, and whether their bytes are the part's
+        #: links of all parts one after the other, and by part: how many, tokens of A and of B, whether their bytes are the part's
+        self.links, self.n_links, self.n_a, self.n_b, self.right = array("q"), array("i"), array("i"), array("i"), array("b")
+        self.chars = 0
+
+    @property
+    def full(self) -> bool:
+        return len(self.groups) > MEMORY or self.chars > MEMORY_CHARS
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         number = self.number
-        new = [x for x in dict.fromkeys(parts) if x not in number]
+        new = list(set(parts).difference(number))
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
-            a = self.a.encode_batch(some, add_special_tokens=False)
-            # a character that is in no piece stands between the library's own space and the part
-            b = self.b.encode([self.guard + x for x in some], num_threads=1)
-            for part, x, y in zip(some, a, b, strict=True):
-                number[part] = len(self.groups)
-                self._add(part.encode(), x.ids, y[self.guarded :])
+            number.update(zip(some, range(len(self.groups), len(self.groups) + len(some))))
+            self._add(some)
         return np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
 
-    def _add(self, want: bytes, a: list[int], b: list[int]) -> None:
-        if b"".join([self.a_bytes[i] for i in a]) != want or b"".join([self.b_bytes[i] for i in b]) != want:
-            self.groups.append("")
-            self.links.append([])
-            self.n.append((0, 0, False))
-            return
-        groups, links, i, j = [], [], 0, 0
-        a_size, b_size = self.a_size, self.b_size
-        while i < len(a):
-            i0, j0, ahead = i, j, a_size[a[i]] - b_size[b[j]]
-            i, j = i + 1, j + 1
-            while ahead:
-                if ahead < 0:
-                    ahead += a_size[a[i]]
-                    i += 1
-                else:
-                    ahead -= b_size[b[j]]
-                    j += 1
-            links.append(a[i - 1] << 32 | b[j - 1])
-            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-        self.groups.append(";".join(groups))
-        self.links.append(links)
-        self.n.append((len(a), len(b), True))
+    def _add(self, parts: list[str]) -> None:
+        """Encodes and aligns parts: where the ends of A's tokens and of B's meet is found for all of them together."""
+        want = [x.encode() for x in parts]
+        of_a = [x.ids for x in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        # a character that is in no piece stands between the library's own space and the part
+        of_b = [x[self.guarded :] for x in self.b.encode([self.guard + x for x in parts], num_threads=1)]
+        (a, a_part), (b, b_part) = ((np.array(list(chain.from_iterable(x)), np.int64), np.repeat(np.arange(len(parts)), list(map(len, x)))) for x in (of_a, of_b))
+        right = np.ones(len(parts), bool)
+        for ids, part, strings in ((a, a_part, self.a_bytes), (b, b_part, self.b_bytes)):
+            pieces = [strings[i] for i in ids.tolist()]
+            if b"".join(pieces) != b"".join(want):
+                bounds = np.searchsorted(part, np.arange(len(parts) + 1)).tolist()
+                right &= [b"".join(pieces[i:j]) == x for i, j, x in zip(bounds, bounds[1:], want)]
+        a, a_part, b, b_part = a[right[a_part]], a_part[right[a_part]], b[right[b_part]], b_part[right[b_part]]
+        # with the wrong parts gone both have the same bytes, one after the other
+        _, i, j = np.intersect1d(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), assume_unique=True, return_indices=True)
+        last_a, last_b = a[i], b[j]
+        groups = [f"{x}|{y}" for x, y in zip(last_a.tolist(), last_b.tolist())]
+        from_a, from_b = np.concatenate(([0], i + 1))[: len(i)], np.concatenate(([0], j + 1))[: len(j)]
+        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        more = np.flatnonzero((i > from_a) | (j > from_b))
+        for k, a0, a1, b0, b1 in zip(*(x.tolist() for x in (more, from_a[more], i[more] + 1, from_b[more], j[more] + 1))):
+            groups[k] = f"{','.join(text_a[a0:a1])}|{','.join(text_b[b0:b1])}"
+        bounds = np.searchsorted(a_part[i], np.arange(len(parts) + 1))
+        self.groups += [";".join(groups[x:y]) for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
+        self.links.frombytes((last_a << 32 | last_b).tobytes())
+        for column, values in ((self.n_links, np.diff(bounds)), (self.n_a, np.bincount(a_part, minlength=len(parts))), (self.n_b, np.bincount(b_part, minlength=len(parts)))):
+            column.frombytes(values.astype(np.int32).tobytes())
+        self.right.frombytes(right.astype(np.int8).tobytes())
+        self.chars += sum(map(len, parts))
 
     def of(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first text, bounds, numbers of parts) of runs of texts: text k of a run has the parts from bounds[k] to bounds[k + 1]."""
@@ -253,20 +263,18 @@ def link_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         known, uses = known_parts(a_path, b_path), np.zeros(0, np.int64)
 
         def counted() -> pa.RecordBatch:
-            links = np.fromiter((x for part in known.links[: len(uses)] for x in part), np.int64)
-            times = np.repeat(uses, np.fromiter(map(len, known.links[: len(uses)]), np.int64, len(uses)))
-            pair, at = np.unique(links[times > 0], return_inverse=True)
+            times = np.repeat(uses, np.array(known.n_links[: len(uses)], np.int64))
+            pair, at = np.unique(np.array(known.links[: len(times)], np.int64)[times > 0], return_inverse=True)
             n = np.zeros(len(pair), np.int64)
             np.add.at(n, at, times[times > 0])
             return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
         for b in batches:
             for _, bounds, numbers in known.of(b.column(0).to_pylist()):
-                right = np.fromiter((x[2] for x in known.n), bool, len(known.n))[numbers] if len(numbers) else np.zeros(0, bool)
-                whole = _sums(~right, bounds) == 0
+                whole = _sums(np.array(known.right, np.int8)[numbers] == 0, bounds) == 0
                 uses = np.concatenate((uses, np.zeros(len(known.groups) - len(uses), np.int64)))
                 uses += np.bincount(numbers[np.repeat(whole, np.diff(bounds))], minlength=len(uses))
-                if len(uses) > MEMORY:
+                if known.full:
                     yield counted()
                     known.forget()
                     uses = uses[:0]
@@ -331,11 +339,10 @@ def aligned(docs: DataFrame, table: LinkTable, a_path: str, b_path: str) -> Data
                 done = len(of_parts)
                 if done < len(known.groups):
                     new = np.zeros((len(known.groups) - done, 6), np.int64)
-                    n_links = np.fromiter(map(len, known.links[done:]), np.int64, len(new))
+                    n_links = np.array(known.n_links[done:], np.int64)
                     ends = np.concatenate(([0], np.cumsum(n_links)))
-                    counts, best = value.value.look_up(np.fromiter((x for part in known.links[done:] for x in part), np.int64, ends[-1]))
-                    new[:, 1:3] = [x[:2] for x in known.n[done:]]
-                    new[:, 0] = [not x[2] for x in known.n[done:]]
+                    counts, best = value.value.look_up(np.array(known.links[len(known.links) - ends[-1] :], np.int64))
+                    new[:, 0], new[:, 1], new[:, 2] = np.array(known.right[done:], np.int64) == 0, known.n_a[done:], known.n_b[done:]
                     new[:, 3], new[:, 4], new[:, 5] = n_links, _sums(best, ends), _sums(counts, ends)
                     of_parts = np.concatenate((of_parts, new))
                 found = np.stack([_sums(of_parts[numbers, k], bounds) for k in range(6)])
@@ -344,7 +351,7 @@ def aligned(docs: DataFrame, table: LinkTable, a_path: str, b_path: str) -> Data
                 texts = [";".join([groups[x] for x in numbers[i:j].tolist()]) if whole else "" for i, j, whole in zip(bounds, bounds[1:], found[1] > 0)]
                 columns = [b.column(0).slice(first, n), *map(pa.array, (found[1], found[2], found[3], found[3], found[4], found[5])), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names)
-                if len(groups) > MEMORY:
+                if known.full:
                     known.forget()
                     of_parts = of_parts[:0]
 

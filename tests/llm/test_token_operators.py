@@ -120,7 +120,7 @@ def test_alignment_forgets(spark, monkeypatch):
     for first, bounds, numbers in parts.of(some):
         for k in range(len(bounds) - 1):
             mine = numbers[bounds[k] : bounds[k + 1]]
-            if all(parts.n[x][2] for x in mine):
+            if all(parts.right[x] for x in mine):
                 assert ";".join(parts.groups[x] for x in mine) == ";".join(groups[first + k])
         if len(parts.groups) > 50:
             parts.forget()
