@@ -1,13 +1,15 @@
 """URL filter: host and path rules first, then gradient-boosted trees on lexical features of the url.
 
 Features: lengths of url, host and path, host labels, path depth, digit ratios, entropy of the host's name, hyphens, parameter count,
-length of the query, address-like hosts, escapes, and statistics of the host's suffixes (the last label, the last two) and of the
-path's first part: the smoothed share of blocked urls, each host counted once.
+length of the query, address-like hosts, escapes, and statistics of the host's last label, of its suffix (what lies above the registered
+domain), of the path's first part, and of suffix and part together: the smoothed share of blocked urls, each registered domain counted
+once, and how many domains that is, so a key that was never seen is told from one without a leaning.
 
 Labels. The trees learn from labelled urls (url, label). `rule_labels` makes them from the rules, which say of the urls that they fit
-what is right; the trees carry that over to all others. Statistics are counted in Spark over all labelled urls, by hash in `BUCKETS`
-buckets; a training url's own host is taken out of its statistics, so no feature holds its label. The trees are fitted on the driver on
-about `sample` urls, as many from each host as there are.
+what is right; the trees carry that over to all others. Statistics are counted in Spark over all labelled urls, by the keys themselves, and
+joined to urls; a training url's own registered domain is taken out of its statistics, so no feature holds its label, nor that of another
+host of its domain. Up to `BROADCAST_KEYS` keys of a kind the table is broadcast, beyond that both sides are shuffled. The trees are fitted on
+the driver on about `sample` urls, as many from each domain as there are.
 
 Cases: a null url, or one without `://`, has an empty host and path and is judged like any other; repeated rows are judged alike; a
 null id is kept; an empty table gives no rows; without labels of both kinds the share of blocked labels is every url's; other columns
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from readloom.llm.common import ascii_lower, beside, fraction, giving_back, kept
 #: (rule, verdict); a rule is a host, and the start of a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
-#: Buckets of the statistics.
-BUCKETS = 1 << 16
+#: Keys of a kind up to which their statistics are broadcast (some 10 MB).
+BROADCAST_KEYS = 100_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -72,10 +73,24 @@ def _split(url: str | None) -> tuple[str, str, str]:
     return (m[1].lower(), m[2], m[3] or "") if m else ("", "", "")
 
 
-def keys(host: str, path: str) -> list[int]:
-    """Buckets of the statistics that a url has: the host's last label, its last two, the path's first part."""
-    labels = host.split(".")
-    return [zlib.crc32(k.encode("utf-8", "surrogatepass")) % BUCKETS for k in ("one:" + labels[-1], "two:" + ".".join(labels[-2:]), "part:" + path[1:].split("/", 1)[0])]
+#: Kinds of keys that urls have statistics by.
+KINDS = ("label", "suffix", "part", "both")
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    """rows (url, more) with the url's registered domain and its keys, columns of KINDS; none is ever null.
+
+    A suffix is the last label, or the last two where a country's label stands behind one of at most three letters.
+    """
+    host, path = host_and_path(F.col("url"))
+    labels = F.split(F.regexp_replace(host, r":\d*$", ""), r"\.")
+    n = F.size(labels)
+    two = (n > 2) & (F.length(F.get(labels, n - 1)) == 2) & (F.length(F.get(labels, n - 2)) <= 3)
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(F.lit(1), n - k + 1), F.lit(k) if isinstance(k, int) else k), ".")
+    depth = F.when(two, 2).otherwise(1)
+    part = F.get(F.split(F.regexp_replace(path, "^/", ""), "/"), F.lit(0))
+    suffix = last(depth)
+    return rows.withColumns({"domain": last(depth + 1), "label": last(1), "suffix": suffix, "part": part, "both": F.concat_ws("/", suffix, part)})
 
 
 def lexical(url: str | None) -> list[float]:
@@ -89,17 +104,17 @@ def lexical(url: str | None) -> list[float]:
 
 
 #: Names of the features in order.
-FEATURES = ("url length", "host length", "path length", "host labels", "path depth", "digit ratio", "host digit ratio", "entropy", "hyphens", "parameters", "query length", "address", "escapes", "last label", "last two labels", "first part")
+FEATURES = ("url length", "host length", "path length", "host labels", "path depth", "digit ratio", "host digit ratio", "entropy", "hyphens", "parameters", "query length", "address", "escapes", *(f"{what} of {kind}" for what in ("share", "domains") for kind in KINDS))
 
 
 class Statistics:
-    """Hosts and the sum of their shares of blocked urls, by bucket; a share is smoothed by `weight` hosts of the overall one."""
+    """Domains and the sum of their shares of blocked urls, by place; a share is smoothed by `weight` domains of the overall one."""
 
     def __init__(self, hosts: np.ndarray, blocked: np.ndarray, base: float, weight: float = 2.0):
         self.hosts, self.blocked, self.base, self.weight = hosts, blocked, base, weight
 
     def shares(self, at: np.ndarray, less: np.ndarray | None = None) -> np.ndarray:
-        """Shares of buckets at (n, 3); less: the share of each row's own host there, which is taken out."""
+        """Shares at the places; less: the share of each row's own domain there, which is taken out."""
         n, b = self.hosts[at], self.blocked[at]
         if less is not None:
             n, b = np.maximum(0, n - 1), np.maximum(0, b - less)
@@ -107,10 +122,10 @@ class Statistics:
 
 
 class BoostedTrees:
-    """Logistic gradient boosting with trees of fixed depth over binned features."""
+    """Logistic gradient boosting with trees of fixed depth over binned features, each tree over a random part of them."""
 
-    def __init__(self, n_trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, l2: float = 1.0):
-        self.n_trees, self.depth, self.rate, self.n_bins, self.l2 = n_trees, depth, rate, bins, l2
+    def __init__(self, n_trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, l2: float = 1.0, part: float = 2 / 3, seed: int = 4):
+        self.n_trees, self.depth, self.rate, self.n_bins, self.l2, self.part, self.seed = n_trees, depth, rate, bins, l2, part, seed
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1)
@@ -122,7 +137,9 @@ class BoostedTrees:
         self.start = float(np.log(share / (1 - share)))
         f = np.full(len(x), self.start)
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # feature and bin of inner nodes, values of leaves
+        rng = np.random.default_rng(self.seed)
         for _ in range(self.n_trees):
+            some = np.sort(rng.permutation(x.shape[1])[: max(1, round(self.part * x.shape[1]))])
             p = 1 / (1 + np.exp(-f))
             g, h = y - p, p * (1 - p)
             node = np.zeros(len(x), np.int64)
@@ -131,7 +148,7 @@ class BoostedTrees:
             for level in range(self.depth):
                 first, n = 2**level - 1, 2**level
                 best = np.full(n, 1e-9)
-                for j in range(x.shape[1]):
+                for j in some:
                     key = (node - first) * (self.n_bins + 1) + b[:, j]
                     gs, hs = (np.bincount(key, w, n * (self.n_bins + 1)).reshape(n, -1).cumsum(1) for w in (g, h))
                     gt, ht = gs[:, -1:], hs[:, -1:]
@@ -158,55 +175,71 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-f))
 
 
-def _hosts(labelled: DataFrame) -> DataFrame:
-    """(bucket place, bucket, host, share, n): of each labelled host by its buckets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [_split(u) for u in b.column("url").to_pylist()]
-            at = np.array([keys(h, p) for h, p, _ in parts], np.int32).reshape(-1, 3)
-            columns = [pa.array([h for h, _, _ in parts], pa.string()), *[pa.array(at[:, k]) for k in range(3)]]
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "host", "k0", "k1", "k2"])
-
-    return labelled.select("url", "label").mapInArrow(run, "url string, label int, host string, k0 int, k1 int, k2 int")
+def _matrix(urls: list[str | None], domains: np.ndarray, blocked: np.ndarray, base: float, less: np.ndarray | None = None) -> np.ndarray:
+    """Features of urls, with the domains and their blocked shares by key (n, kinds)."""
+    stats = Statistics(domains.ravel(), blocked.ravel(), base)
+    seen = domains if less is None else np.maximum(0, domains - 1)
+    shares = stats.shares(np.arange(domains.size).reshape(domains.shape), less)
+    return np.column_stack([np.array([lexical(u) for u in urls], float).reshape(len(urls), -1), shares, np.log1p(seen)])
 
 
 class UrlModel:
     """Statistics and trees fitted on labelled (url, label); about `sample` urls reach the driver."""
 
     def __init__(self, labelled: DataFrame, sample: int = 20_000, seed: int = 9):
-        with giving_back(labelled.sparkSession):
-            rows = kept(_hosts(labelled.filter("url is not null and label is not null").select("url", F.col("label").cast("int").alias("label"))), "url-labels")
-            place = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("bucket")) for k in range(3)]))
-            # a host's share of blocked urls in each of its buckets
-            shares = rows.select("host", "label", place.alias("p")).groupBy("p.k", "p.bucket", "host").agg(F.avg("label").alias("share"))
-            sums = shares.groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("hosts"), F.sum("share").alias("blocked"))
-            hosts, blocked = np.zeros(BUCKETS), np.zeros(BUCKETS)
-            for r in sums.collect():  # at most 3 * BUCKETS rows
-                hosts[r["bucket"]] += r["hosts"]
-                blocked[r["bucket"]] += r["blocked"]
-            of_hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share"))
-            n_hosts, base = of_hosts.agg(F.count(F.lit(1)), F.avg("share")).first()
-            self.stats, self.trees, self.share = Statistics(hosts, blocked, base or 0.0), None, base or 0.0
-            if not n_hosts:
+        with giving_back(labelled.sparkSession) as stay:
+            rows = kept(with_keys(labelled.filter("url is not null and label is not null").select("url", F.col("label").cast("int").alias("y"))), "url-labels")
+            place = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in KINDS]))
+            # a domain's share of blocked urls at each of its keys
+            shares = kept(rows.select("domain", "y", place.alias("p")).groupBy("p.kind", "p.key", "domain").agg(F.avg("y").alias("share")), "url-shares")
+            self.keys = kept(shares.groupBy("kind", "key").agg(F.count(F.lit(1)).cast("double").alias("domains"), F.sum("share").alias("blocked")), "url-keys")
+            stay.append(self.keys)
+            self.n_keys = {r["kind"]: r["count"] for r in self.keys.groupBy("kind").count().collect()}
+            of_domains = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("share"))
+            n_domains, base = of_domains.agg(F.count(F.lit(1)), F.avg("share")).first()
+            self.trees, self.share = None, base or 0.0
+            if not n_domains:
                 return
-            per_host = max(50.0, sample / n_hosts)
-            some = of_hosts.filter(fraction("host", F.lit(seed)) < sample / per_host / n_hosts).select("host", "n")
-            drawn = rows.join(some, "host").filter(fraction("url", F.lit(seed)) < F.lit(per_host) / F.col("n")).select("host", "url", "label", "k0", "k1", "k2").distinct()
-            for k in range(3):
-                own = shares.filter(F.col("k") == k).select("host", F.col("bucket").alias(f"k{k}"), F.col("share").alias(f"own{k}"))
-                drawn = drawn.join(own, ["host", f"k{k}"])
-            found = drawn.select("url", "label", *[f"{c}{k}" for c in ("k", "own") for k in range(3)]).orderBy("url", "label").toPandas()
-        y = found["label"].to_numpy(float)
-        if len(found) and 0 < y.mean() < 1:
-            at, own = found[["k0", "k1", "k2"]].to_numpy(int), found[["own0", "own1", "own2"]].to_numpy(float)
-            self.trees = BoostedTrees().fit(np.column_stack([np.array([lexical(u) for u in found["url"]], float), self.stats.shares(at, own)]), y)
+            per_domain = max(50.0, sample / n_domains)
+            some = of_domains.filter(fraction("domain", F.lit(seed)) < sample / per_domain / n_domains).select("domain", "n")
+            drawn = rows.join(some, "domain").filter(fraction("url", F.lit(seed)) < F.lit(per_domain) / F.col("n")).drop("n").distinct()
+            for k in KINDS:
+                own = shares.filter(F.col("kind") == k).select("domain", F.col("key").alias(k), F.col("share").alias(f"own_{k}"))
+                drawn = drawn.join(own, ["domain", k])
+            columns = [f"{c}_{k}" for c in ("own", "domains", "blocked") for k in KINDS]
+            found = self.with_statistics(drawn).select("url", "y", *columns).orderBy("url", "y").toPandas()
+            y = found["y"].to_numpy(float)
+            if len(found) and 0 < y.mean() < 1:
+                own, domains, blocked = (found[[f"{c}_{k}" for k in KINDS]].to_numpy(float) for c in ("own", "domains", "blocked"))
+                self.trees = BoostedTrees().fit(_matrix(found["url"].tolist(), domains, blocked, self.share, own), y)
+
+    def with_statistics(self, rows: DataFrame) -> DataFrame:
+        """rows that have keys with domains_k and blocked_k of each kind k; 0 for a key that was never seen."""
+        for k in KINDS:
+            stats = self.keys.filter(F.col("kind") == k).select(F.col("key").alias(k), F.col("domains").alias(f"domains_{k}"), F.col("blocked").alias(f"blocked_{k}"))
+            rows = rows.join(F.broadcast(stats) if self.n_keys.get(k, 0) <= BROADCAST_KEYS else stats, k, "left")
+        return rows.fillna(0.0, [f"{c}_{k}" for c in ("domains", "blocked") for k in KINDS])
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """rows (url, more; nothing called as KINDS or domain) with p_block."""
+        names = rows.columns
+        rows = self.with_statistics(with_keys(rows)).select(*names, *[f"{c}_{k}" for c in ("domains", "blocked") for k in KINDS])
+        value = shared(rows.sparkSession, (self.trees, self.share))
+        at, n, schema = names.index("url"), len(KINDS), T.StructType([*rows.schema.fields[: len(names)], T.StructField("p_block", T.DoubleType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trees, share = value.value
+            for b in batches:
+                domains, blocked = (np.column_stack([b.column(len(names) + first + k).to_numpy(zero_copy_only=False) for k in range(n)]) for first in (0, n))
+                p = np.full(b.num_rows, share) if trees is None else trees.predict(_matrix(b.column(at).to_pylist(), domains, blocked, share))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(p)], [*names, "p_block"])
+
+        return rows.mapInArrow(run, schema)
 
     def predict(self, urls: list[str | None]) -> np.ndarray:
-        if self.trees is None or not urls:
-            return np.full(len(urls), self.share)
-        at = np.array([keys(h, p) for h, p, _ in map(_split, urls)])
-        return self.trees.predict(np.column_stack([np.array([lexical(u) for u in urls], float), self.stats.shares(at)]))
+        """p_block of a few urls of the driver's."""
+        rows = self.keys.sparkSession.createDataFrame(list(enumerate(urls)), "at long, url string")
+        return np.array([r["p_block"] for r in self.scored(rows).orderBy("at").collect()], float)
 
 
 MADE = ("host", "path", "rule", "verdict", "p_block")
@@ -215,15 +248,8 @@ MADE = ("host", "path", "rule", "verdict", "p_block")
 def judged(urls: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
     """urls with any columns, url among them -> their columns, host, path, rule, verdict and the trees' p_block."""
     rows, back = beside(urls, "url", MADE)
-    value = shared(urls.sparkSession, model)
-    schema = T.StructType([*rows.schema.fields, T.StructField("p_block", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value.value.predict(b.column("url").to_pylist()))], [*b.schema.names, "p_block"])
-
     host, path = host_and_path(F.col("url"))
-    out = rows.mapInArrow(run, schema).withColumns({"host": host, "path": path})
+    out = model.scored(rows).withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return out.select(*back, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")
 
