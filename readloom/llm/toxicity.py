@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import CHUNK_BYTES, doc_crc, fraction, table
+from readloom.llm.common import CHUNK_BYTES, doc_crc, fraction, giving_back, kept, shared, table
 
 REACH = 60
 SEEDS = tuple("asshole bastard bitch cunt dumbass fucker idiot imbecile loser moron retard scum scumbag slut stupid trash whore arschloch idiota dummkopf connard salope imbécile estúpido gilipollas puta".split())
@@ -264,9 +264,9 @@ def _toxic_terms(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iter
     yield from rows()
 
 
-def _clean_terms(shared):
+def _clean_terms(terms):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, docs = shared.value, Counter()
+        wanted, docs = terms.value, Counter()
         for b in batches:
             for text in b.column("text").to_pylist():
                 docs.update({t for t, _ in _terms(text or "") if t in wanted})
@@ -276,20 +276,28 @@ def _clean_terms(shared):
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, support: int = 5, contexts: int = 5, ratio: float = 20.0, seed: int = 31) -> ToxicityModel:
-    """docs (doc_id, text), labels (doc_id, toxic), both already without what is held out."""
+    """docs (doc_id, text), labels (doc_id, toxic), both already without what is held out.
+
+    A drawn id stands for one text, however many rows it has: of different ones that of the least hash. So the driver sees a row an id.
+    """
     spark = docs.sparkSession
+    with giving_back(spark):
+        return _learnt(spark, docs, labels, per_class, support, contexts, ratio, seed)
+
+
+def _learnt(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int, support: int, contexts: int, ratio: float, seed: int) -> ToxicityModel:
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return ToxicityModel(LexiconAutomaton(list(SEEDS), []))
     share = F.when(F.col("toxic") == 1, per_class / counts[1]).otherwise(2 * per_class / counts[0])
     drawn = F.broadcast(spark.createDataFrame(known.filter(fraction("doc_id", F.lit(seed)) < share).collect(), known.schema))  # about 3 * per_class rows
-    texts = docs.join(drawn, "doc_id").select("text", "toxic")
+    texts = kept(docs.join(drawn, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic"), "toxicity-texts")
     n_toxic, n_clean = min(per_class, counts[1]), min(2 * per_class, counts[0])
     toxic = texts.filter("toxic = 1").select("text").mapInArrow(_toxic_terms, "term string, before string, n long")
     toxic = toxic.groupBy("term", "before").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count("before").alias("contexts"))
     found = {r["term"]: r["n"] for r in toxic.filter((F.col("n") >= support) & (F.col("contexts") >= contexts) & (F.col("contexts") >= 0.1 * F.col("n"))).select("term", "n").collect()}
-    clean = texts.filter("toxic = 0").select("text").mapInArrow(_clean_terms(spark.sparkContext.broadcast(set(found))), "term string, n long")
+    clean = texts.filter("toxic = 0").select("text").mapInArrow(_clean_terms(shared(spark, set(found))), "term string, n long")
     elsewhere = {r["term"]: r["n"] for r in clean.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     telling = {t for t, n in found.items() if n / n_toxic >= ratio * (elsewhere.get(t, 0) + 0.5) / n_clean}
     stems = {t[:-1] for t in telling if t.endswith("-")}
@@ -297,11 +305,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, support: in
     words = {t for t in telling if not t.endswith("-")}
     plain = {w for w in words if not any(w[:k] in stems for k in (4, 5, 6)) or found[w] >= 0.5 * max(found.get(w[:k] + "-", 0) for k in (4, 5, 6))}
     automaton = LexiconAutomaton([*plain, *SEEDS], sorted(stems))
-    shared = spark.sparkContext.broadcast(automaton)
+    value = shared(spark, automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(b.column("text").to_pylist(), shared.value)
+            x = features(b.column("text").to_pylist(), value.value)
             yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(5)], b.column("toxic")], [*"abcde", "toxic"])
 
     rows = np.array([list(r) for r in texts.mapInArrow(run, "a double, b double, c double, d double, e double, toxic int").collect()]).reshape(-1, 6)
@@ -311,13 +319,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000, support: in
 
 def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, score)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    value = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, len(b), 1000):
                 part = b.slice(i, 1000)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.score(part.column("text").to_pylist()))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(value.value.score(part.column("text").to_pylist()))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
