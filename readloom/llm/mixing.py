@@ -17,8 +17,9 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from readloom.llm.common import ROW, carried, fraction, giving_back, kept, table
+from readloom.llm.common import ROW, carried, fraction, giving_back, kept, quoted, table
 
 WEIGHTS = (3, 1, 2)
 
@@ -45,13 +46,18 @@ def running(rows: DataFrame, value: str, name: str) -> DataFrame:
     return rows.join(sums, "stretch").withColumn(name, F.col("before") + F.sum(value).over(within) - F.col(value)).drop("stretch", "before")
 
 
-def place(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
-    """(doc_id, source, size, text_key, bucket, nth, start, and nr if docs has it): each document's first word in its source's stream.
+def _measures(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    return n_words(text).alias("size"), F.xxhash64(doc_id, text).alias("text_key")
 
-    Starts are sums over buckets of hashed ids and texts and then within a bucket, so no task holds a whole source.
+
+def place(docs: DataFrame, bucket_rows: int = 20_000, measured: bool = False) -> DataFrame:
+    """(doc_id, source, size, text_key, bucket, nth, start): each document's first word in its source's stream.
+
+    Starts are sums over buckets of hashed ids and texts and then within a bucket, so no task holds a whole source. `measured` docs have size and
+    text_key in place of a text; their nr tells rows of equal id and text apart, and stays, as does `at`.
     """
-    nr = ["nr"] if "nr" in docs.columns else []
-    rows = kept(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("text_key"), *nr), "mix-rows")
+    nr, own = ([c for c in some if measured and c in docs.columns] for some in (("nr",), ("nr", "at")))
+    rows = kept(docs if measured else docs.select("doc_id", "source", *_measures(F.col("doc_id"), F.col("text"))), "mix-rows")
     n = max(1, ceil(rows.count() / bucket_rows))
     rows = rows.withColumns({"bucket": F.pmod(F.xxhash64("text_key", *nr), F.lit(n)).cast("long"), "no_source": F.col("source").isNull(), "src": F.coalesce("source", F.lit(""))})
     key = ["no_source", "src", "bucket"]
@@ -60,7 +66,7 @@ def place(docs: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     return (
         rows.join(sums, key)
         .withColumns({"nth": F.row_number().over(w), "start": F.col("bucket_at") + F.sum("size").over(w) - F.col("size")})
-        .select("doc_id", "source", "size", "text_key", "bucket", "nth", "start", *nr)
+        .select("doc_id", "source", "size", "text_key", "bucket", "nth", "start", *own)
     )
 
 
@@ -147,14 +153,14 @@ def _runs(sources: DataFrame, n_slots: int, n_shards: int, seed: int) -> DataFra
     return own.unionByName(given.select("x.shard", "src", (F.col("quota") - F.col("left") + lo - F.col("lo")).alias("first"), (hi - lo).alias("n"), *of))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 128, n_shards: int = 64, seed: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 128, n_shards: int = 64, seed: int = 5, bucket_rows: int = 20_000, measured: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pieces, placed, sources).
 
     pieces: the mix, as (shard, slot, pass, source, doc_id, text_key, bucket, nth, word_from, word_to), words of a document counted
     from 0; placed: place(docs); sources: (source, source_size, target). A source's words are taken at most ceil(most) times.
     """
     with giving_back(docs.sparkSession) as stay:
-        placed = kept(place(docs), "mix-placed")
+        placed = kept(place(docs, bucket_rows, measured), "mix-placed")
         sources = kept(_quotas(source_targets(placed, weights, share, most), block_words, seed), "mix-targets")
         n_slots = sources.agg(F.sum("quota")).first()[0] or 0
         runs = _runs(sources, n_slots, n_shards, seed) if n_slots else sources.selectExpr("0 as shard", "src", "0L as first", "0L as n", "n_blocks", "quota", "cut").limit(0)
@@ -194,20 +200,34 @@ def taken(pieces: DataFrame, placed: DataFrame, sources: DataFrame) -> DataFrame
     return _joined(sums, sources.withColumnRenamed("source", "source_")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """rows (at, row_key, more) with nr in place of row_key: a hash of it and of how many rows like it come before.
+
+    The numbers that equal rows get don't depend on how rows lie in partitions (only which of them gets which does). Equal rows are numbered
+    within each partition of `at`, then after those of the partitions before, so none are gathered in one task.
+    """
+    rows, key = rows.withColumn("part", F.shiftrightunsigned("at", 33)), ["row_key", "part"]
+    before = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("row_key").orderBy("part")) - F.col("n")).drop("n")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("at"))
+    return rows.join(before, key).withColumn("nr", F.xxhash64("row_key", F.col("before") + nth)).drop("before", *key)
+
+
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents with the columns of `docs`: for each pass that takes words of a document, those words in order.
 
     A document taken whole keeps its text as it is; else its text is the words taken, each with the white space after it.
-    n_chars, if there is such a column, follows the text. Repeated rows are separate documents: rows are written with a number of their own,
-    and copies find their row by it.
+    n_chars, if there is such a column, follows the text. Repeated rows are separate documents: rows are written with a place of their own,
+    and copies find their row by it; where a row stands in its source's stream doesn't depend on it.
     """
-    rows = kept(carried(docs).withColumn("nr", F.monotonically_increasing_id()), "mix-docs")
-    of = lambda c: F.col(f"{ROW}.{c}").alias(c)
-    pieces, placed, _ = mix(rows.select(of("doc_id"), of("source"), of("text"), "nr"), **how)
+    rows = kept(carried(docs).withColumn("at", F.monotonically_increasing_id()), "mix-docs")
+    of = lambda c: F.col(f"{ROW}.{quoted(c)}")
+    plain = [of(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    measured = kept(rows.select("at", of("doc_id").alias("doc_id"), of("source").alias("source"), *_measures(of("doc_id"), of("text")), F.xxhash64(*plain).alias("row_key")), "mix-measured")
+    pieces, placed, _ = mix(_told_apart(measured), measured=True, **how)
     copies = pieces.groupBy("source", "bucket", "nth", "pass").agg(F.array_sort(F.collect_list(F.struct("word_from", "word_to"))).alias("spans"), F.sum(F.col("word_to") - F.col("word_from")).alias("words"))
-    whole = placed.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), F.col("nth").alias("nth_"), "size", "nr")
+    whole = placed.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), F.col("nth").alias("nth_"), "size", "at")
     copies = copies.join(whole, (F.col("bucket") == F.col("bucket_")) & (F.col("nth") == F.col("nth_")) & F.col("source").eqNullSafe(F.col("source_")))
-    joined = rows.join(copies.select("nr", "spans", (F.col("words") == F.col("size")).alias("is_whole")), "nr")
+    joined = rows.join(copies.select("at", "spans", (F.col("words") == F.col("size")).alias("is_whole")), "at")
     parts = F.regexp_extract_all(F.col(f"{ROW}.text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     slices = F.transform(F.array(parts), lambda p: F.transform("spans", lambda s: F.slice(p, (s["word_from"] + 1).cast("int"), (s["word_to"] - s["word_from"]).cast("int"))))
     text = F.when(F.col("is_whole"), F.col(f"{ROW}.text")).otherwise(F.array_join(F.flatten(F.flatten(slices)), ""))
