@@ -7,12 +7,14 @@ becomes a text slot. The result is a wrapper such as
 `<html><body><nav>(<li>#</li>)+</nav>(<div.ad>#</div>)?<article><h1>#</h1>(<p>#</p>)+</article></body></html>`.
 
 A wrapper's slots are sorted once for the host: out goes what lies in menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments by tag, class or id; in stays what lies in an article or main element, whatever it is called and however often it is
-the same. On pages without one, what is left stays, but for containers that are mostly links, and short text that is the same on every
+reader comments by tag, class or id; in stays what lies in an article or main element, however often it is the same. There a name that
+may mean more than one thing (`widget-table`) is left to the wrapper: what is the same on all of the host's pages, or mostly links,
+goes, what differs stays. On pages without an article, what is left stays, but for containers that are mostly links, and short text that is the same on every
 page while other slots differ, in containers that hold no text that differs. An element that holds all of a page's articles is
 not judged by its class. Each page is then aligned with its host's wrapper, which gives its texts their slots; text that the wrapper
 does not know is judged by its own containers. Whether there is an article is decided for each page, as templates of one host differ;
-texts and links are counted apart for pages with and without one.
+texts and links are counted apart for pages with and without one. A page that would have no text at all is read again without its names, then
+with its forms and link lists.
 
 A wrapper is inferred from all pages of a host. Tasks fold each page into a wrapper of its own and add up, for pages of equal ones, what
 their slots hold: whether texts differ, and their characters. The distinct wrappers of a host are aligned in `PARTS` groups by hash,
@@ -52,19 +54,57 @@ OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter promo promoted promotion sidebar sponsor sponsored".split()
 )
 #: The same, as a name's first or last word.
-OUT_ENDS = frozenset("banner complementary contentinfo disclaimer form login modal notice notices notification notifications overlay pager pagination popup recommended related replies reply share sharing signup social subscribe subscription toolbar topbar widget widgets".split())
+OUT_ENDS = frozenset("contentinfo login notice notices notification notifications pager pagination recommended related replies reply share sharing signup social subscribe subscription topbar".split())
+#: The same, of words that may name a part of an article too: within one the wrapper decides.
+WEAK_ENDS = frozenset("banner complementary disclaimer form modal overlay popup toolbar widget widgets".split())
 IN_WORDS = frozenset("article articlebody content entry maincontent post postbody story".split())
 #: A name with one of these tells of a neighbour: `has-sidebar`.
 ABOUT = frozenset("has with no without is".split())
 COMMENTS = frozenset("comment comments reply".split())
 
-#: What the end of a container's key tells: out by its name; out like a header; in by its name; a reader's comment; not to be judged by name or tag.
-OUT_NAME, HEADER_NAME, IN_NAME, COMMENT, WHOLE = "!", "~", "^", "?", "+"
+#: What the end of a container's key tells: out by its name; out by its name, but within an article as the wrapper says; out like a header;
+#: in by its name; a reader's comment; not to be judged by name or tag.
+OUT_NAME, WEAK_NAME, HEADER_NAME, IN_NAME, COMMENT, WHOLE = "!", "%", "~", "^", "?", "+"
+#: What containers say of a slot within an article, in one of weak name.
+WEAK = "weak"
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+_RAW = "script|style|noscript|template|iframe|textarea|select|button|canvas"
+#: A tag's inside up to its end, quoted values with it; nothing is tried twice.
+_INSIDE = r"(?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
+
+
+def _token(inside: str) -> re.Pattern:
+    return re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b{inside}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({inside})>|<[!?][^>]*+>|[^<]++|<", re.S | re.I)
+
+
+_STRICT, _LOOSE = _token(_INSIDE), _token("[^>]*+")
+_TAG = re.compile("</?[a-zA-Z]")
+
+
+def tokens(html: str) -> Iterator[re.Match]:
+    """Comments, raw elements, tags and texts, in time that grows with the page. What follows the last `>` is text.
+
+    A tag whose quotes don't close ends at the next `>`, as do all tags after it: looking for its end went through the whole page, which
+    must not happen twice.
+    """
+    end = html.rfind(">") + 1
+    at, pattern, last = 0, _STRICT, None
+    while at < end:
+        for m in pattern.finditer(html, at, end):
+            if pattern is _STRICT and m[0] == "<" and _TAG.match(html, m.start()):
+                at, pattern = m.start(), _LOOSE
+                break
+            last = m
+            yield m
+        else:
+            at = end
+    if end < len(html) and not (last and (last[0].startswith("<!--") and not last[0].endswith("-->") or last[1] and not re.search(rf"</{last[1]}\s*>\Z", last[0], re.I))):
+        comment = html.find("<!--", end)
+        yield _TEXT.match(html, end, comment if comment >= 0 else len(html))
+
+
+#: All that is left; its groups, as those of a token, are null.
+_TEXT = re.compile(r"(?:(\b\B)(\b\B)(\b\B)(\b\B))?.*", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HUMP = re.compile(r"([a-z])([A-Z])")
 
@@ -108,6 +148,8 @@ def _key(name: str, attributes: str) -> str:
         end = COMMENT if any(len(p) == 1 and p[0] in COMMENTS for p in judged) else ""
     elif any(not OUT_WORDS.isdisjoint(p) or p[0] in OUT_ENDS or p[-1] in OUT_ENDS for p in judged):
         end = OUT_NAME
+    elif any(p[0] in WEAK_ENDS or p[-1] in WEAK_ENDS for p in judged):
+        end = WEAK_NAME
     elif any("header" in (p[0], p[-1]) for p in judged):
         end = HEADER_NAME
     elif any(not IN_WORDS.isdisjoint(p) for p in judged):
@@ -115,8 +157,8 @@ def _key(name: str, attributes: str) -> str:
     return ".".join([name, *words]) + end
 
 
-def _step(state: bool | None, key: str) -> bool | None:
-    """What a container makes of what those around it said: False: not main text, True: within an article, None: neither."""
+def _step(state: bool | str | None, key: str) -> bool | str | None:
+    """What a container makes of what those around it said: False: not main text, True or WEAK: within an article, None: neither."""
     if state is False:
         return False
     name, end = re.match("[a-z0-9]*", key)[0], key[-1:]
@@ -126,10 +168,13 @@ def _step(state: bool | None, key: str) -> bool | None:
         return state
     if name in OUT_TAGS or end == OUT_NAME or (name == "header" or end == HEADER_NAME) and not state:
         return False
-    return True if end == IN_NAME else state
+    if end == WEAK_NAME:
+        return WEAK if state else False
+    return state or (True if end == IN_NAME else state)
 
 
-def parse(html: str) -> Node:
+def parse(html: str, names: bool = True) -> Node:
+    """The page as a tree; without `names` classes and ids are not looked at."""
     root = Node("")
     stack, parts, block = [root], [], ""
     nodes: list[tuple[Node, int]] = [(root, -1)]  # containers as they come, each with the place of the one around it
@@ -143,11 +188,11 @@ def parse(html: str) -> Node:
         parts.clear()
         link_chars = 0
 
-    for m in _TOKEN.finditer(html):
+    for m in tokens(html):
         name = m[3]
         if name is None:
             raw = m[0]
-            if raw[0] != "<" or raw == "<":
+            if raw[:1] != "<" or raw == "<" or m.re is _TEXT:
                 text = unescape(raw)
                 parts.append(text)
                 if links:
@@ -158,7 +203,7 @@ def parse(html: str) -> Node:
             end_block()
             block = ""
             if not closing:
-                node = Node(_key(name, m[4]))
+                node = Node(_key(name, m[4]) if names else name)
                 stack[-1].kids.append(node)
                 nodes.append((node, places[-1]))
                 places.append(len(nodes) - 1)
@@ -185,8 +230,8 @@ def parse(html: str) -> Node:
     for i in range(len(nodes) - 1, 0, -1):
         held[nodes[i][1]] += held[i]
     for (n, _), h in zip(nodes[1:], held[1:], strict=True):
-        if total and h == total and (n.key == "form" or n.key.startswith("form.") or n.key[-1] in (OUT_NAME, HEADER_NAME)):
-            n.key = n.key.rstrip(OUT_NAME + HEADER_NAME) + WHOLE
+        if total and h == total and (n.key == "form" or n.key.startswith("form.") or n.key[-1] in (OUT_NAME, WEAK_NAME, HEADER_NAME)):
+            n.key = n.key.rstrip(OUT_NAME + WEAK_NAME + HEADER_NAME) + WHOLE
     return root
 
 
@@ -360,7 +405,9 @@ def sort_slots(wrapper: Node, pages: list[list]) -> bool:
             of, text, own, _, longest = s.stats[kind] or [0, DIFFER, 0, 0, 0]
             chars, links, beside = sums[id(around)]
             fixed = len(some) == SOME and differs and of == n and id(s) not in loose and text != DIFFER and longest < 80 and not beside
-            s.marks.append(OUT if v is False else ARTICLE if v else OWN if not own else OUT if fixed or links > 0.5 * chars else PLAIN)
+            # in a container of weak name what is the same on all pages, or mostly links, is no part of their articles
+            same = len(some) == SOME and of == n and text != DIFFER
+            s.marks.append(OUT if v is False or v == WEAK and (same or links > 0.5 * chars) else ARTICLE if v else OWN if not own else OUT if fixed or links > 0.5 * chars else PLAIN)
     return any(v for _, v, _ in found)
 
 
@@ -373,7 +420,7 @@ def regex(root: Node) -> str:
         if isinstance(n, str):
             out.append(n)
             continue
-        tag = n.key[1:] if n.is_slot else n.key.rstrip(OUT_NAME + HEADER_NAME + IN_NAME + COMMENT + WHOLE)
+        tag = n.key[1:] if n.is_slot else n.key.rstrip(OUT_NAME + WEAK_NAME + HEADER_NAME + IN_NAME + COMMENT + WHOLE)
         group = "*" if n.optional and n.repeated else "?" if n.optional else "+" if n.repeated else ""
         out.append(("(" if group else "") + (f"<{tag}>" if tag else ""))
         todo.append((f"</{tag.split('.')[0]}>" if tag else "") + (f"){group}" if group else ""))
@@ -515,6 +562,9 @@ class Extractor:
         return [marks[id(k)] for k, _, _ in own]
 
     def text(self, html: str) -> str:
+        return self._text(html) or _only_text(html)
+
+    def _text(self, html: str) -> str:
         page = parse(html)
         if (shape := page.shape()) not in self.seen:
             if len(self.seen) > 2000:
@@ -529,6 +579,27 @@ class Extractor:
         return "\n\n".join(k.text for (k, _, around), mark in zip(own, marks, strict=True) if mark == PLAIN or mark == OWN and sums[id(around)] >= 0)
 
 
+def _only_text(html: str) -> str:
+    """Main text of a page on which names, forms and links leave none: what lies in no menu, header, footer or sidebar by its tag.
+
+    Names go first; then a form is but a container, and text within it or around links is text, unless nine tenths of its container are links.
+    """
+    own = slots(parse(html, names=False))
+    found = [k.text for k, v, _ in own if v]
+    if not found:
+        sums: dict[int, list[int]] = {}
+        for k, _, around in own:
+            x = sums.setdefault(id(around), [0, 0])
+            sums[id(around)] = [x[0] + len(k.text), x[1] + k.link_chars]
+        for most in (0.5, 0.9):
+            found = [k.text for k, v, around in own if v is None and sums[id(around)][1] <= most * sums[id(around)][0]]
+            if found:
+                return "\n\n".join(found)
+        page = parse(re.sub(r"(?i)<(/?)form\b", r"<\1div", html), names=False)
+        found = [k.text for k, v, _ in slots(page) if v is not False and k.link_chars <= 0.9 * len(k.text)]
+    return "\n\n".join(found)
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper JSON) of pages (url, html)."""
     host, _ = host_and_path(F.col("url"))

@@ -105,6 +105,37 @@ def test_wrappers_extract_the_article(spark):
     assert wrappers.extract(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<body><div class="social-policy"><p>All of it</p></div></body>', "All of it"), ('<div id="comment-on-budget"><p>T</p></div>', "T"), ('<body><nav>x</nav><FORM id="aspnetForm"><div><p>Body text</p></div></FORM></body>', "Body text"),
+        ("<body><p><a href=x>linked text of the page</a> end</p></body>", "linked text of the page end"), ('<body><article><p>A</p><div class="widget-table"><p>Figures for 2020</p></div></article>', "A\n\nFigures for 2020"),
+        ("<article><p>Energy is <math>E</math> here</p><p><object>a</object> <svg><text>b</text></svg></p></article>", "Energy is E here\n\na b"), ("<nav>a</nav><footer>b</footer><form><input></form>", ""), ("text <b", "text <b"),
+        ('x <a href="y>z">t</a> u', "x t u"), ("<p>a < b and c > d</p>", "a < b and c > d"), ("a<!-- b", "a"), ("a<script>b", "a"), ("a<script>b</script>c", "ac"), ("a<!-- b --> c", "a c"), ("<p>a<!-- b --> > c <", "a > c <"),
+    ],
+)
+def test_text_of_a_page(html, text):
+    assert wrappers.Extractor(None).text(html) == text
+
+
+@pytest.mark.parametrize("piece", ['<a "\'', "<a =", '<a =">" ', "<a ", "<!--", "<script>", "<a b='", "<", "<!", "<div ", "<a b=\"x' ", "<select>", "</a '"])
+def test_time_grows_with_the_page(piece):
+    for end in ("", ">", "='>\">"):
+        began = time.perf_counter()
+        wrappers.parse(piece * (1_000_000 // len(piece)) + end)
+        assert time.perf_counter() - began < 4
+
+
+def test_wrapper_decides_within_articles():
+    """What a name may mean either way stays where its text differs over the host's pages, and goes where it doesn't."""
+    page = '<body><article><p>Text {n}</p><div class="widget-table"><p>{a}</p></div></article></body>'
+    for a, kept in (("Numbers of {n}", True), ("Follow us", False)):
+        pages = [page.format(n=i, a=a.format(n=i)) for i in range(8)]
+        extractor = wrappers.Extractor(wrappers.infer(pages))
+        assert [extractor.text(x) for x in pages] == [f"Text {i}" + (f"\n\n{a.format(n=i)}" if kept else "") for i in range(8)]
+    assert wrappers.Extractor(None).text(pages[0]) == "Text 0\n\nFollow us"
+
+
 def test_wrapper_is_a_union_free_expression():
     w = wrappers.infer([PAGE.format(n=i, ad='<div class="ad">Buy</div>' if i % 2 else "") for i in range(6)])
     assert "(<div.ad>#</div>)?" in w["regex"] and w["article"]
