@@ -11,7 +11,7 @@ import shutil
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom import functions as R
@@ -111,6 +111,42 @@ def sam_source_range(spark, d):
     return found.select(F.col("read_name").alias("read"), "start", R.cigar_string(F.col("cigar")).alias("cigar"), "read_bases")
 
 
+def regions_by_index(spark, d):
+    """Reads of every region, by a sorted interval index of the regions."""
+    from readloom.plans.alignment_queries import alignments
+
+    regions = _table(spark, d, "part").select(F.col("p_partkey").alias("region_id"), (F.col("p_partkey") % 5).cast("int").alias("sequence_id"), (F.col("p_partkey") * 7).alias("region_start"), (F.col("p_partkey") * 7 + F.col("p_size")).alias("region_end"))
+    return O.region_join(alignments(spark, d), regions).groupBy("region_id").agg(F.count(F.lit(1)).alias("n_reads"), F.min("start").alias("first_start"))
+
+
+_SPAN_START, _SPAN_END = "cast(o_custkey % 90 as int)", "cast(o_custkey % 90 + o_orderkey % 150 as int)"
+
+
+def slice_checksums(spark, d):
+    """Checksums of slices of the nations' sequences, one for each order: right ones, wrong ones and some not recorded."""
+    nation = _table(spark, d, "nation").select("n_nationkey", F.expr(_REF).alias("ref"))
+    rows = _table(spark, d, "orders").join(nation, F.col("o_custkey") % 25 == F.col("n_nationkey"))
+    md5 = F.expr(f"case when o_orderkey % 5 = 0 then '00000000000000000000000000000000' when o_orderkey % 3 = 0 then md5(o_orderstatus) else md5(substr(ref, {_SPAN_START} + 1, {_SPAN_END} - {_SPAN_START})) end")
+    slices = rows.select("o_orderkey", F.col("n_nationkey").alias("ref_id"), F.expr(_SPAN_START).alias("span_start"), F.expr(_SPAN_END).alias("span_end"), md5.alias("md5"))
+    chunks = S.reference_chunks(nation.select(F.col("n_nationkey").alias("ref_id"), F.lower("ref").alias("seq")), 32)
+    return O.slice_checksums(slices, chunks, 32, ["o_orderkey"]).select("o_orderkey", "md5_ok")
+
+
+def mate_faults(spark, d):
+    """Malformed mate pointers among an order's lines: cycles, second claims, pointers to nothing."""
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    reads = _table(spark, d, "lineitem").select("l_orderkey", n.alias("rec_no"))
+    return O.mate_faults(reads.withColumn("mate_no", F.expr(_MATE)), ["l_orderkey"])
+
+
+_MATE = """case l_orderkey % 4 when 0 then case rec_no when 1 then 2 when 2 then 3 when 3 then 1 end when 1 then case when rec_no in (1, 3) then 2 end
+  when 2 then case rec_no when 1 then 2 when 2 then 99 end else case when rec_no % 2 = 1 then rec_no + 1 end end"""
+_FAULTS = f"""with n as (select l_orderkey, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as int) as rec_no, cast(count(*) over (partition by l_orderkey) as int) as k from lineitem),
+p as (select *, cast({_MATE} as int) as mate_no from n)
+select l_orderkey, rec_no, mate_no, 'cyclic' as fault from p where l_orderkey % 4 = 0 and rec_no <= 3 and k >= 3
+union all select l_orderkey, rec_no, mate_no, 'dangling' from p a where mate_no > k and exists (select 1 from p b where a.l_orderkey = b.l_orderkey and b.mate_no = a.rec_no)
+union all select l_orderkey, rec_no, mate_no, 'claimed twice' from p where l_orderkey % 4 = 1 and mate_no = 2 and k >= 3"""
+
 _ALL = f"reads as (select concat_ws('-', {', '.join(_KEYS)}) as read, n_name, {_START} as start, {_BASES} as bases, {_PLAIN} as plain, {_CIGAR} as cigar, {_SUB} as sub, ref, {_CLIP} as clips, {_INSERTS} as inserts, {_GAP} as gap from lineitem join (select n_nationkey, n_name, {_REF} as ref from nation) n on l_suppkey % 25 = n_nationkey)"
 _X = "select read, 'X' as code, start + 5 as ref_pos, 1 as length, sub as bases, substr(ref, start + 6, 1) as ref_base, 0 as clip_length from reads where sub <> substr(ref, start + 6, 1)"
 
@@ -120,12 +156,14 @@ _SQL = {
 union all select read, 'H', start, 0, '', '', 5 from reads where clips union all select read, 'S', start, 0, '', '', 3 from reads where clips
 union all select read, 'I', start + 10, 0, 'GG', '', 2 from reads where inserts union all select read, 'D', start + 13, cast(gap as int), '', '', 0 from reads where gap > 0""",
     "aligned_substitutions": f"with {_ALL}, x as ({_X}) select ref_base as ref, bases as sub, cast(instr(replace('ACGTN', ref_base, ''), bases) - 1 as int) as code, count(*) as n from x group by all",
+    "mate_faults": _FAULTS,
+    "slice_checksums": f"select o_orderkey, o_orderkey % 5 = 0 or {_SPAN_END} = {_SPAN_START} or o_orderkey % 3 <> 0 as md5_ok from orders",
     "sam_source_range": f"""with {_ALL} select read, start, cigar, bases as read_bases from reads where n_name = 'CANADA' and start < 90 and start + 19 + gap > 50""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (aligned_round_trip, aligned_mismatches, aligned_substitutions, sliced_range, sliced_regions, sam_source_range)}
+    return {f.__name__: f for f in (aligned_round_trip, aligned_mismatches, aligned_substitutions, sliced_range, sliced_regions, sam_source_range, regions_by_index, slice_checksums, mate_faults)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -133,4 +171,4 @@ def oracle_sql() -> dict[str, str]:
     from readloom.plans.alignment_queries import _SQL as older
 
     regions = f"with {_ALN} select p_partkey as region_id, count(*) as n_reads, min(start) as first_start from aln join part on sequence_id = p_partkey % 5 and start < p_partkey * 7 + p_size and start + {_SPAN} > p_partkey * 7 where p_size < 10 group by p_partkey"
-    return _SQL | {"sliced_range": older["overlap_range"], "sliced_regions": regions}
+    return _SQL | {"sliced_range": older["overlap_range"], "sliced_regions": regions, "regions_by_index": older["range_join"]}
