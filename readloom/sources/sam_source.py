@@ -10,13 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as pads
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 
 from readloom.functions.flat import gathered, strings
 from readloom.model import MalformedInputError
+from readloom.sources.files import after_line, files_at, opened
 from readloom.sources.samtext import PARSED, parsed
 
 #: Bytes of a block, and of what a task parses at a time.
@@ -45,22 +44,6 @@ class Range(InputPartition):
     end: int
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path and not path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), unquote(urlparse(path).path) if path.startswith("file:") else path
-
-
-def _files(path: str) -> list[tuple[str, int]]:
-    """Files and sizes at a path: itself, or what lies in the folder, but for hidden names and marks."""
-    system, at = _opened(path)
-    info = system.get_file_info(at)
-    if info.type == fs.FileType.NotFound:
-        raise FileNotFoundError(path)
-    found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at))
-    return sorted((f.path if system.type_name == "local" else f"{path.rstrip('/')}/{f.base_name}" if len(found) > 1 or f is not info else path, f.size) for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._")
-
-
 class SamSource(DataSource):
     """Options: path; index (a byte index's path), columns (names after commas), block_bytes, and rname, start, end to narrow the plan."""
 
@@ -88,8 +71,8 @@ class SamReader(DataSourceReader):
         size = int(self.options.get("block_bytes", BLOCK))
         index = self.options.get("index")
         if index is None:
-            return [Range(f, at, min(at + size, n)) for f, n in _files(self.options["path"]) for at in range(0, n, size)] or [Range("", 0, 0)]
-        system, at = _opened(index)
+            return [Range(f, at, min(at + size, n)) for f, n in files_at(self.options["path"]) for at in range(0, n, size)] or [Range("", 0, 0)]
+        system, at = opened(index)
         keep = pc.scalar(True)
         if self.rnames is not None:
             keep = keep & pc.field("rname").isin(pa.array(self.rnames, pa.string()))
@@ -112,18 +95,18 @@ class SamReader(DataSourceReader):
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if part.end <= part.begin:
             return
-        system, at = _opened(part.file)
+        system, at = opened(part.file)
         with system.open_input_file(at) as f:
             begin = part.begin
             if begin:  # a line that begins before the range is another's
-                begin = _after_line(f, begin - 1)
+                begin = after_line(f, begin - 1)
             while begin < part.end:
                 data = f.read_at(min(STEP, part.end - begin), begin)
                 if not data:
                     return
                 if not data.endswith(b"\n"):
                     cut = data.rfind(b"\n") + 1
-                    data = data[:cut] if cut else f.read_at(_after_line(f, begin) - begin, begin)
+                    data = data[:cut] if cut else f.read_at(after_line(f, begin) - begin, begin)
                 yield from self._batch(part, begin, np.frombuffer(data, np.uint8))
                 begin += len(data)
 
@@ -166,16 +149,6 @@ class FilteringSamReader(SamReader):
         self.rnames = names if self.rnames is None else [x for x in self.rnames if x in names]
 
 
-def _after_line(f, at: int) -> int:
-    """The place behind the first line end at or after `at`, or the file's end."""
-    while data := f.read_at(1 << 16, at):
-        end = data.find(b"\n")
-        if end >= 0:
-            return at + end + 1
-        at += len(data)
-    return at
-
-
 def load_sam(spark: SparkSession, path: str, index: str | None = None, columns: list[str] | None = None, **options) -> DataFrame:
     """Lines of SAM files as `COLUMNS`; with an index and rname, start or end, from the byte ranges that may hold such reads."""
     spark.dataSource.register(SamSource)
