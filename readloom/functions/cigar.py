@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.functions.flags import _c, let
-from readloom.functions.flat import Positional, numbers
+from readloom.functions.flags import _c
+from readloom.functions.flat import Positional, gathered, letters, numbers, offsets_of, spans, strings
 from readloom.model import CIGAR_OPS, FEATURE
 
 FEATURES = f"array<{FEATURE.simpleString()}>"
@@ -19,15 +20,56 @@ def _op(op, n) -> Column:
     return F.struct((F.lit(op) if isinstance(op, str) else op).alias("op"), n.cast("int").alias("len"))
 
 
+OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("len", T.IntegerType())]))
+_REACH = np.frombuffer(b"MDN=X", np.uint8)
+
+
+def parsed_cigars(data: np.ndarray, at: np.ndarray, size: np.ndarray, missing: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """CIGAR arrays of texts in a buffer (null for `*` and where missing), and how much reference each covers; what is no op is passed over."""
+    flat = gathered(data, at, size)
+    row, bounds = np.repeat(np.arange(len(at)), size), np.concatenate(([0], np.cumsum(size)))
+    digit = (flat >= 48) & (flat <= 57)
+    ends = np.flatnonzero(~digit)
+    starts = np.maximum(np.concatenate(([0], ends[:-1] + 1))[: len(ends)], bounds[row[ends]])
+    good = (ends > starts) & np.isin(flat[ends], np.frombuffer(CIGAR_OPS.encode(), np.uint8))
+    ends, starts = ends[good], starts[good]
+    n_digits = ends - starts
+    inner = np.arange(n_digits.sum()) - np.repeat(np.cumsum(n_digits) - n_digits, n_digits)
+    power = np.repeat(n_digits, n_digits) - 1 - inner
+    value = (gathered(flat, starts, n_digits).astype(np.int64) - 48) * 10 ** np.minimum(power, 17)
+    length = np.add.reduceat(value, np.cumsum(n_digits) - n_digits) if len(ends) else np.zeros(0, np.int64)
+    op = flat[ends]
+    items = pa.StructArray.from_arrays([strings(op, np.ones(len(op), np.int64)), pa.array(length, pa.int32())], names=["op", "len"])
+    star = missing | (size == 1) & (np.append(data, 0)[at] == ord("*"))
+    reach = np.bincount(row[ends], np.where(np.isin(op, _REACH), length, 0), len(at)).astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[ends], np.arange(len(at) + 1)).astype(np.int32)), items, mask=pa.array(star)), reach
+
+
+@F.arrow_udf(OPS)
+def _parsed(text: pa.Array) -> pa.Array:
+    return parsed_cigars(*spans(text), text.is_null().to_numpy(zero_copy_only=False))[0]
+
+
 def parse_cigar(text: Column | str = "cigar") -> Column:
     """array<struct<op string, len int>>; `*` and null give null."""
-    c = _c(text)
-    return F.when(c != "*", F.transform(F.regexp_extract_all(c, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0)), lambda x: _op(F.substring(x, F.lit(-1), F.lit(1)), F.substring(x, F.lit(1), F.length(x) - 1))))
+    return _parsed(_c(text))
+
+
+def cigar_texts(cigar: pa.Array) -> pa.Array:
+    ops = cigar.flatten()
+    items = pc.binary_join_element_wise(pc.cast(ops.field("len"), pa.string()), ops.field("op"), "")
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets_of(cigar).astype(np.int32)), items), "")
+    return pc.if_else(pc.equal(text, ""), "*", text)
+
+
+@F.arrow_udf(T.StringType())
+def _texts(cigar: pa.Array) -> pa.Array:
+    return cigar_texts(cigar)
 
 
 def cigar_string(ops: Column) -> Column:
     """Text of a CIGAR array, `*` if there are no ops."""
-    return F.coalesce(F.nullif(F.concat_ws("", F.transform(ops, lambda x: F.concat(x["len"].cast("string"), x["op"]))), F.lit("")), F.lit("*"))
+    return _texts(ops)
 
 
 def cigar_length_on_ref(ops: Column) -> Column:
@@ -59,25 +101,29 @@ def _code(op: Column) -> Column:
     return out
 
 
-def positional(features: Column) -> Column:
-    """Features that stand at a position of the read, which quality features (q, Q) don't; null features are none."""
-    return F.filter(F.coalesce(features, F.array().cast(FEATURES)), lambda x: ~x["code"].isin("q", "Q"))
+def _merged(op: np.ndarray, size: np.ndarray, read: np.ndarray, n_reads: int, mask: pa.Array | None = None) -> pa.Array:
+    """CIGAR arrays of ops in order, with neighbours of one kind as one op, and without ops of length 0."""
+    some = size > 0
+    op, size, read = op[some], size[some], read[some]
+    begins = np.flatnonzero(np.concatenate(([True], (op[1:] != op[:-1]) | (read[1:] != read[:-1])))[: len(op)])
+    size = np.add.reduceat(size, begins) if len(begins) else size
+    items = pa.StructArray.from_arrays([strings(op[begins], np.ones(len(begins), np.int64)), pa.array(size.astype(np.int32))], ["op", "len"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(read[begins], np.arange(n_reads + 1)).astype(np.int32)), items, mask=mask)
 
 
-def runs(a: Column, goes_on) -> Column:
-    """array of arrays: the runs of an array (a lambda's variable) in which goes_on(element, the one before) holds. Linear."""
-    begins = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | ~F.coalesce(goes_on(F.get(a, i), F.get(a, i - 1)), F.lit(False)))
-    cut = let(begins, lambda b: F.transform(b, lambda at, k: F.slice(a, at + 1, F.coalesce(F.get(b, k + 1), F.size(a)) - at)))
-    return F.when(F.size(a) > 0, cut).otherwise(F.slice(F.array(a), 1, 0))
+@F.arrow_udf(OPS)
+def _plain(cigar: pa.Array) -> pa.Array:
+    ops = cigar.flatten()
+    read = np.repeat(np.arange(len(cigar)), np.diff(offsets_of(cigar)))
+    return _merged(letters(ops.field("op")), numbers(ops.field("len")), read, len(cigar), cigar.is_null() if cigar.null_count else None)
 
 
 def merge_cigar(ops: Column) -> Column:
     """A CIGAR array with neighbours of one kind as one op, and without ops of length 0."""
-    whole = lambda run: _op(F.get(run, F.lit(0))["op"], F.aggregate(run, F.lit(0), lambda a, x: a + x["len"]))
-    return let(F.filter(ops, lambda x: x["len"] > 0), lambda o: F.transform(runs(o, lambda x, before: x["op"] == before["op"]), whole))
+    return _plain(ops)
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("len", T.IntegerType())])))
+@F.arrow_udf(OPS)
 def _walked(features: pa.Array, start: pa.Array, read_length: pa.Array) -> pa.Array:
     """All reads of a batch at once: a match and an op for each feature, the tail, and neighbours of one kind added up."""
     f = Positional(features, start)
@@ -89,13 +135,7 @@ def _walked(features: pa.Array, start: pa.Array, read_length: pa.Array) -> pa.Ar
     lens = f.interleaved(gap, size, numbers(read_length) - (used[f.first[1:]] - used[f.first[:-1]]))
     ops = f.interleaved(np.full(len(op), m), op, np.full(f.n_reads, m))
     read = f.interleaved(f.read, f.read, np.arange(f.n_reads))
-    some = lens > 0
-    lens, ops, read = lens[some], ops[some], read[some]
-    begins = np.flatnonzero(np.concatenate(([True], (ops[1:] != ops[:-1]) | (read[1:] != read[:-1])))[: len(ops)])
-    lens = np.add.reduceat(lens, begins) if len(begins) else lens
-    text = pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(np.arange(len(begins) + 1, dtype=np.int32)), pa.py_buffer(ops[begins])])
-    bounds = np.searchsorted(read[begins], np.arange(f.n_reads + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([text, pa.array(lens.astype(np.int32))], ["op", "len"]))
+    return _merged(ops, lens, read, f.n_reads)
 
 
 def cigar_from_features(features: Column, start: Column, read_length: Column, mapped: Column | None = None) -> Column:

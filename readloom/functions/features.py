@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readloom.functions.flat import letters, numbers, offsets_of, spans, strings, upper
 from readloom.model import FEATURE
 
 #: Rows of a substitution matrix, fixed by the format.
@@ -64,6 +65,43 @@ def substitution(matrix: Column, ref_base: Column, code: Column) -> Column:
     return out
 
 
+@F.arrow_udf(T.ArrayType(FEATURE))
+def _resolved(features: pa.Array, ref: pa.Array, start: pa.Array, matrix: pa.Array) -> pa.Array:
+    """All features of a batch at once: the reference's letter at each X and B, and what an X's code stands for beside it."""
+    x, bounds = features.flatten(), offsets_of(features)
+    read = np.repeat(np.arange(len(features)), np.diff(bounds))
+    code, (data, at, size), rows = letters(x.field("code")), spans(ref), offsets_of(matrix)
+    i = numbers(x.field("ref_pos")) - numbers(start)[read]
+    inside = (i >= 0) & (i < size[read]) & pc.is_valid(x.field("ref_pos")).to_numpy(zero_copy_only=False) & pc.is_valid(start).to_numpy(zero_copy_only=False)[read]
+    theirs = np.where(inside, upper(np.append(data, 0)[np.where(inside, at[read] + i, -1)]), 0).astype(np.uint8)
+    is_x, is_b = inside & (code == ord("X")), inside & (code == ord("B"))
+    row = _ROW[theirs]
+    packed = np.append(numbers(matrix.flatten()), 0)[np.where(rows[1:][read] - rows[:-1][read] > row, rows[:-1][read] + row, -1)]
+    place = np.full(len(code), -1)
+    for k in range(3, -1, -1):
+        place[packed >> (6 - 2 * k) & 3 == numbers(x.field("num"))] = k
+    known = is_x & (place >= 0) & pc.is_valid(x.field("num")).to_numpy(zero_copy_only=False)
+    sub = strings(_OTHERS[row, np.maximum(place, 0)][known], known.astype(np.int64), known)
+    either = is_x | is_b
+    changed = {
+        "ref": pc.if_else(pa.array(either), strings(theirs[either], either.astype(np.int64)), x.field("ref")),
+        "sub": pc.if_else(pa.array(is_x), sub, pc.if_else(pa.array(is_b), x.field("payload"), x.field("sub"))),
+    }
+    made = pa.StructArray.from_arrays([changed.get(f.name, x.field(f.name)) for f in x.type], names=[f.name for f in x.type])
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), made, mask=features.is_null() if features.null_count else None)
+
+
+#: Row of a substitution matrix by a reference letter, and the four other bases of each row.
+_ROW = np.full(256, 4)
+_ROW[[ord(b) for b in BASES]] = np.arange(5)
+_OTHERS = np.array([[ord(b) for b in BASES if b != own] for own in BASES], np.uint8)
+
+
+def resolved(features: Column, ref: Column, start: Column, matrix: Column) -> Column:
+    """features with ref and sub filled in for X and B that lie on `ref`, the reference from `start` on; see `substitution` for the matrix."""
+    return _resolved(features, ref, start.cast("int"), matrix.cast("array<int>"))
+
+
 def _index(base: Column) -> Column:
     out = F.lit(4)
     for k, b in enumerate(BASES[:4]):

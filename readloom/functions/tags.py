@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readloom.functions.flags import _c, let
+from readloom.functions.flat import gathered, numbers, offsets_of, spans, strings
 from readloom.model import TAG_VALUE
 
 
@@ -41,16 +46,40 @@ def parse_tags(fields: Column) -> Column:
     return last_wins(entries)
 
 
+def quality_lists(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Phred values of texts in a buffer; null for `*` and empty ones."""
+    some = (size > 0) & ~((size == 1) & (np.append(data, 0)[at] == ord("*")))
+    size = np.where(some, size, 0)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(gathered(data, at, size).astype(np.int32) - 33), mask=pa.array(~some))
+
+
+def quality_texts(quals: pa.Array) -> pa.Array:
+    """SAM text of arrays of Phred values."""
+    bounds, q = offsets_of(quals), numbers(quals.flatten())
+    n = np.diff(bounds)
+    n = np.where((n > 0) & (np.append(q, 0)[bounds[:-1]] != 255), n, 0)
+    text = strings((gathered(q, bounds[:-1], n) + 33).astype(np.uint8), n)
+    return pc.if_else(pc.equal(text, ""), "*", text)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _quality_lists(text: pa.Array) -> pa.Array:
+    return quality_lists(*spans(text))
+
+
+@F.arrow_udf(T.StringType())
+def _quality_texts(quals: pa.Array) -> pa.Array:
+    return quality_texts(quals)
+
+
 def quality_bytes(text: Column | str) -> Column:
     """array<int> of Phred values from SAM text; null for `*`."""
-    c = _c(text)
-    return F.when((c != "*") & (c != ""), F.transform(F.split(c, ""), lambda x: F.ascii(x) - 33))
+    return _quality_lists(_c(text))
 
 
 def quality_string(quals: Column) -> Column:
     """SAM text of an array of Phred values; `*` for null, empty, or a first value of 255."""
-    text = lambda a: F.when((F.size(a) > 0) & (F.get(a, F.lit(0)) != 255), F.concat_ws("", F.transform(a, lambda q: F.char(q + 33))))
-    return F.coalesce(let(quals, text), F.lit("*"))
+    return _quality_texts(quals)
 
 
 def quality_at(quals: Column, i: int | Column) -> Column:

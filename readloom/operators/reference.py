@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.aligned import features_from_alignment
-from readloom.functions.features import substitution
+from readloom.functions.features import resolved
 from readloom.functions.tags import reference_md5
 
 
@@ -26,19 +26,30 @@ def reference_spans(reads: DataFrame, key: list[str]) -> DataFrame:
 def with_reference(reads: DataFrame, chunks: DataFrame, size: int, read_key: list[str]) -> DataFrame:
     """Mapped reads with `ref`, the reference under them, or null where the chunks do not cover it.
 
-    chunks: (ref_id, chunk, seq) of `size` bases each (sources.reference_chunks without a margin). Reads go to each chunk that they
-    touch, meet it in an equality join, and put its pieces together again; reads are pre-narrowed to their key and place for that.
+    chunks: (ref_id, chunk, seq) of `size` bases each (sources.reference_chunks without a margin). A read that lies on one chunk or two
+    neighbours finds both in one row, so it moves once, in an equality join on its sequence and first chunk. Longer reads go to each chunk that
+    they touch and put the pieces together again, narrowed to their key and place for that.
     """
     end = F.col("start") + F.col("length_on_ref")
-    mapped = reads.filter("length_on_ref > 0").select(*read_key, F.col("sequence_id").alias("ref_id"), "start", end.alias("end")).distinct()
+    chunks = chunks.select("ref_id", "chunk", "seq")
+    after = chunks.select("ref_id", (F.col("chunk") - 1).alias("chunk"), F.col("seq").alias("after_"))
+    pairs = chunks.join(after, ["ref_id", "chunk"], "left").select(F.col("ref_id").alias("ref_id_"), F.col("chunk").alias("chunk_"), F.concat("seq", F.when(F.length("seq") == size, F.coalesce("after_", F.lit(""))).otherwise("")).alias("seq_"))
+    first = F.floor(F.col("start") / size).cast("int")
+    far = F.floor((end - 1) / size) > F.floor(F.col("start") / size) + 1
+    near = reads.join(pairs, (F.col("sequence_id") == F.col("ref_id_")) & (first == F.col("chunk_")) & (F.col("length_on_ref") > 0) & ~far, "left")
+    cut = F.substring(F.col("seq_"), (F.col("start") - F.col("chunk_").cast("long") * size).cast("int") + 1, F.col("length_on_ref"))
+    near = near.withColumn("near_", F.when(F.length(cut) == F.col("length_on_ref"), cut)).drop("ref_id_", "chunk_", "seq_")
+
+    mapped = reads.filter((F.col("length_on_ref") > 0) & far).select(*read_key, F.col("sequence_id").alias("ref_id"), "start", end.alias("end")).distinct()
     touched = mapped.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / size).cast("int"), F.floor((F.col("end") - 1) / size).cast("int"))))
     at = F.col("chunk").cast("long") * size
     part = F.substring(F.col("seq"), F.greatest(F.lit(0), F.col("start") - at).cast("int") + 1, (F.least(F.col("end") - at, F.lit(size)) - F.greatest(F.lit(0), F.col("start") - at)).cast("int"))
-    pieces = touched.join(chunks.select("ref_id", "chunk", "seq"), ["ref_id", "chunk"]).select(*read_key, "ref_id", "chunk", "start", "end", part.alias("part"))
+    pieces = touched.join(chunks, ["ref_id", "chunk"]).select(*read_key, "ref_id", "chunk", "start", "end", part.alias("part"))
     place = [*read_key, "sequence_id", "start", "length_on_ref"]  # rows of equal key may lie elsewhere
     pieces = pieces.withColumns({"sequence_id": F.col("ref_id"), "length_on_ref": F.col("end") - F.col("start")})
     whole = pieces.groupBy(*place).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"])).alias("ref"))
-    return reads.join(whole.filter(F.length("ref") == F.col("length_on_ref")), place, "left")
+    rows = near.join(whole.filter(F.length("ref") == F.col("length_on_ref")), place, "left").withColumn("ref", F.coalesce("near_", "ref"))
+    return rows.select(*reads.columns, "ref")
 
 
 def aligned_features(reads: DataFrame, chunks: DataFrame, size: int, read_key: list[str]) -> DataFrame:
@@ -55,10 +66,8 @@ def resolve_features(reads: DataFrame, chunks: DataFrame, size: int, read_key: l
     """Reads with `ref`, and with ref and sub filled in for their features: X stands for what the substitution matrix says of its code (num),
     B for its own base; features that lie outside the reference known stay as they are. `read_bases` and `mismatches` work on the result.
     """
-    at = lambda x: F.upper(F.substring(F.col("ref"), x["ref_pos"] - F.col("start").cast("int") + 1, F.lit(1)))
-    inside = lambda x: F.col("ref").isNotNull() & (x["ref_pos"] >= F.col("start")) & (x["ref_pos"] < F.col("start") + F.length("ref"))
-    filled = lambda x: F.when(inside(x) & (x["code"] == "X"), x.withField("ref", at(x)).withField("sub", substitution(matrix, at(x), x["num"]))).when(inside(x) & (x["code"] == "B"), x.withField("ref", at(x)).withField("sub", x["payload"])).otherwise(x)
-    return with_reference(reads, chunks, size, read_key).withColumn("features", F.transform("features", filled))
+    rows = with_reference(reads, chunks, size, read_key)
+    return rows.withColumn("features", resolved(F.col("features"), F.col("ref"), F.col("start"), matrix))
 
 
 def reference_names(rows: DataFrame, refs: DataFrame, ref_id: str = "ref_id") -> DataFrame:

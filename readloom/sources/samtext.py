@@ -8,15 +8,16 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.functions.flat import gathered, numbers, offsets_of, spans, strings
-from readloom.model import CIGAR_OPS, TAG_VALUE, MalformedInputError
+from readloom.functions.cigar import OPS, cigar_texts, parsed_cigars
+from readloom.functions.flat import gathered, offsets_of, spans, strings
+from readloom.functions.tags import quality_lists, quality_texts
+from readloom.model import TAG_VALUE, MalformedInputError
 
-_OPS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("len", T.IntegerType())]))
-_REACH, _WHOLE = np.frombuffer(b"MDN=X", np.uint8), np.frombuffer(b"iIcCsS", np.uint8)
+_WHOLE = np.frombuffer(b"iIcCsS", np.uint8)
 
 #: Fields of a parsed line, as they stand in it; rnext is `=` where the line says so.
 PARSED = T.StructType(
-    [T.StructField("read_name", T.StringType()), T.StructField("flags", T.IntegerType()), T.StructField("rname", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("mapping_quality", T.IntegerType()), T.StructField("cigar", _OPS),
+    [T.StructField("read_name", T.StringType()), T.StructField("flags", T.IntegerType()), T.StructField("rname", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("mapping_quality", T.IntegerType()), T.StructField("cigar", OPS),
      T.StructField("reach", T.IntegerType()), T.StructField("rnext", T.StringType()), T.StructField("pnext", T.IntegerType()), T.StructField("template_length", T.IntegerType()), T.StructField("read_bases", T.StringType()),
      T.StructField("quals", T.ArrayType(T.IntegerType())), T.StructField("tags", T.MapType(T.StringType(), TAG_VALUE))]
 )
@@ -26,27 +27,6 @@ def _ints(text: pa.Array) -> np.ndarray:
     return pc.cast(text, pa.int64()).to_numpy(zero_copy_only=False)
 
 
-def _cigars(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """CIGAR arrays (null for `*`), and how much reference each covers; what is no op is passed over."""
-    flat = gathered(data, at, size)
-    row, bounds = np.repeat(np.arange(len(at)), size), np.concatenate(([0], np.cumsum(size)))
-    digit = (flat >= 48) & (flat <= 57)
-    ends = np.flatnonzero(~digit)
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(ends)]
-    starts = np.maximum(starts, bounds[row[ends]])
-    good = (ends > starts) & np.isin(flat[ends], np.frombuffer(CIGAR_OPS.encode(), np.uint8))
-    ends, starts = ends[good], starts[good]
-    n_digits = ends - starts
-    power = np.repeat(ends, n_digits) - 1 - (np.arange(n_digits.sum()) - np.repeat(np.cumsum(n_digits) - n_digits, n_digits) + np.repeat(starts, n_digits))
-    value = (gathered(flat, starts, n_digits).astype(np.int64) - 48) * 10 ** np.minimum(power, 17)
-    length = np.add.reduceat(value, np.cumsum(n_digits) - n_digits) if len(ends) else np.zeros(0, np.int64)
-    op = flat[ends]
-    items = pa.StructArray.from_arrays([strings(op, np.ones(len(op), np.int64)), pa.array(length, pa.int32())], names=["op", "len"])
-    star = (size == 1) & (np.append(data, 0)[at] == ord("*"))
-    reach = np.bincount(row[ends], np.where(np.isin(op, _REACH), length, 0), len(at)).astype(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[ends], np.arange(len(at) + 1)).astype(np.int32)), items, mask=pa.array(star)), reach
-
-
 def _tags(data: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarray, n_rows: int) -> pa.Array:
     """Maps of tags from their fields (row, place, length); of a name that comes twice the last stays."""
     key = row * 65536 + np.where(size > 0, np.append(data, 0)[at], 0).astype(np.int64) * 256 + np.where(size > 1, np.append(data, 0)[np.minimum(at + 1, len(data))], 0)
@@ -114,11 +94,8 @@ def parsed(lines: pa.Array) -> pa.StructArray:
 
     number = lambda k: pc.cast(text(k, False), pa.int32())
     less = lambda x: pc.subtract(x, pa.scalar(1, pa.int32()))
-    cigar, reach = _cigars(data, *place(5))
-    q_at, q_size = place(10)
-    some = (q_size > 0) & ~((q_size == 1) & (np.append(data, 0)[q_at] == ord("*")))
-    q_size = np.where(some, q_size, 0)
-    quals = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(q_size))).astype(np.int32)), pa.array(gathered(data, q_at, q_size).astype(np.int32) - 33), mask=pa.array(~some))
+    cigar, reach = parsed_cigars(data, *place(5), np.zeros(n, bool))
+    quals = quality_lists(data, *place(10))
     more = np.maximum(last - first - 10, 0)
     row = np.repeat(np.arange(n), more)
     k = np.repeat(first + 10, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
@@ -157,15 +134,6 @@ _TEXTS = T.StructType([T.StructField(c, T.StringType()) for c in ("cigar", "qual
 @F.arrow_udf(_TEXTS)
 def text_parts(cigar: pa.Array, quals: pa.Array, tags: pa.Array) -> pa.Array:
     """CIGAR and quality as SAM text (`*` where there is none), and the tags' fields after tabs, each with one before it."""
-    ops = cigar.flatten()
-    cigars = _joined(pc.binary_join_element_wise(pc.cast(ops.field("len"), pa.string()), ops.field("op"), ""), offsets_of(cigar), "")
-    bounds = offsets_of(quals)
-    q = numbers(quals.flatten())
-    n_q = np.diff(bounds)
-    shown = (n_q > 0) & (np.append(q, 0)[bounds[:-1]] != 255)
-    n_q = np.where(shown, n_q, 0)
-    quality = strings((gathered(q, bounds[:-1], n_q) + 33).astype(np.uint8), n_q)
-    star = lambda text: pc.if_else(pc.equal(text, ""), "*", text)
     t_bounds = np.asarray(tags.offsets)
     keys, values = (x.slice(t_bounds[0], t_bounds[-1] - t_bounds[0]) for x in (tags.keys, tags.items))
     kind, sub = (pc.fill_null(values.field(c), "") for c in ("kind", "sub"))
@@ -178,4 +146,4 @@ def text_parts(cigar: pa.Array, quals: pa.Array, tags: pa.Array) -> pa.Array:
     text = pc.if_else(is_array, array_text, plain)
     said = pc.if_else(pc.is_in(kind, pa.array(["c", "C", "s", "S", "I"])), "i", kind)
     fields = pc.binary_join_element_wise("\t", keys, ":", said, ":", text, "")
-    return pa.StructArray.from_arrays([star(cigars), star(quality), _joined(fields, t_bounds - t_bounds[0], "")], names=_TEXTS.fieldNames())
+    return pa.StructArray.from_arrays([cigar_texts(cigar), quality_texts(quals), _joined(fields, t_bounds - t_bounds[0], "")], names=_TEXTS.fieldNames())
