@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
 from urllib.parse import unquote, urlparse
 
-from pyarrow import fs
+if TYPE_CHECKING:
+    from pyarrow import fs
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or address, and the path on it."""
+    from pyarrow import fs  # tens of megabytes that workers on other tasks don't need
+
     if "://" in path and not path.startswith("file:"):
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), unquote(urlparse(path).path) if path.startswith("file:") else path
@@ -16,6 +20,8 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 def files_at(path: str) -> list[tuple[str, int]]:
     """Files and sizes at a path: itself, or what lies in the folder, but for hidden names and marks."""
+    from pyarrow import fs
+
     system, at = opened(path)
     info = system.get_file_info(at)
     if info.type == fs.FileType.NotFound:

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.dataset as pads
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +71,8 @@ class SamReader(DataSourceReader):
         index = self.options.get("index")
         if index is None:
             return [Range(f, at, min(at + size, n)) for f, n in files_at(self.options["path"]) for at in range(0, n, size)] or [Range("", 0, 0)]
+        import pyarrow.dataset as pads  # only the driver needs it
+
         system, at = opened(index)
         keep = pc.scalar(True)
         if self.rnames is not None:
