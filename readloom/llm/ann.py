@@ -237,7 +237,7 @@ class TreeIndex:
                     yield pa.RecordBatch.from_arrays([pa.array(groups[first]), visited, part.column("vec_id").take(who), part.column("embedding").take(who)], ["grp", "leaves", "query_id", "q"])
 
         n_parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        asked = kept(queries.select("vec_id", "embedding").repartition(n_parts, "vec_id").dropDuplicates(["vec_id"]).mapInArrow(visits, "grp long, leaves array<long>, query_id long, q array<double>"), "asked")
+        asked = kept(queries.repartition(n_parts, "vec_id").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(visits, "grp long, leaves array<long>, query_id long, q array<double>"), "asked")
         asks = {r["grp"]: r["count"] for r in asked.groupBy("grp").count().collect()}
         # blocks of a group's vectors and of its queries; every pair of the two is one task's work
         held_by = np.bincount(of, weights=self.sizes).astype(np.int64)

@@ -2,7 +2,7 @@
 
 Every text is cut into windows of `WINDOW` bytes, the last filled up with blanks; a window's languages come from the network, a
 text's from the mean over its windows, weighed by their bytes. The network is trained in numpy on one pseudorandomly placed window
-from each of at most `per_language` different labelled texts of each of at most `languages` languages; whole texts are predicted.
+from each of at most `per_language` different labelled texts of each language, `most` in all; whole texts are predicted.
 
 Cases: a null text, or one without a letter, is `und` with score 0, and so is every text when there is nothing to learn from; a null
 or empty label teaches nothing; a null id counts as empty text for the split; repeated rows give repeated rows; an empty table gives
@@ -114,13 +114,16 @@ class ByteCNN:
         return out
 
 
-def learn(docs: DataFrame, per_language: int = 1500, languages: int = 512, seed: int = 21) -> tuple[ByteCNN | None, list[str]]:
-    """The network and its languages, from docs (text, lang) with labels: the `languages` labels with most different texts.
+def learn(docs: DataFrame, per_language: int = 1500, languages: int | None = None, most: int = 150_000, seed: int = 21) -> tuple[ByteCNN | None, list[str]]:
+    """The network and its languages, from docs (text, lang) with labels: all labels, or the `languages` with most different texts.
 
-    The driver sees one window from each of at most about per_language different texts of each, however many copies a text has.
+    The driver sees one window from each of about per_language different texts of each at most, however many copies a text has, and of fewer
+    where there are so many labels that these would be over `most` in all; but never of under about four.
     """
     docs = docs.filter("text is not null and lang is not null and lang <> '' and text rlike '\\\\p{L}'")
-    found = docs.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    found = docs.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang")
+    found = (found if languages is None else found.limit(languages)).collect()  # a row a label
+    per_language = max(4, min(per_language, most // max(1, len(found))))
     counts = {r["lang"]: r["n"] for r in found}
     names = sorted(counts)
     if not names:

@@ -325,3 +325,14 @@ def test_small_leaves_do_not_shorten_answers(spark):
     index.n_visits = 1
     got = {r["query_id"]: r["count"] for r in index.search(index.rows.filter("vec_id >= 1000")).groupBy("query_id").count().collect()}
     assert got == dict.fromkeys((1000, 1001, 1002, 1003), 20)
+
+
+def test_repeated_ids_ask_with_their_least_vector(spark):
+    rng = np.random.default_rng(3)
+    v = [(i, rng.standard_normal(8).tolist()) for i in range(60)]
+    twice = [(0, [5.0] + [0.0] * 7), (0, [-5.0] + [0.0] * 7)]
+    for rows in (v[1:] + twice, twice[::-1] + v[1:]):
+        index = ann.TreeIndex(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        got = index.search(index.rows.filter("vec_id = 0")).orderBy("rank").collect()
+        want = sorted(((-5.0 * x[0], i) for i, x in v[1:]), key=lambda p: (-p[0], p[1]))[:20]
+        assert [r["vec_id"] for r in got] == [i for _, i in want]

@@ -517,6 +517,9 @@ def test_a_hot_text_is_one_sample(spark, monkeypatch):
     net, names = language_id.learn(docs, per_language=20)
     assert names == ["de", "en"] and seen[0].count(0) == 1 and 5 < seen[0].count(1) < 40
     assert language_id.learn(docs, languages=1)[1] == ["en"]
+    many = spark.range(3000).select(F.concat(F.lit("text number "), "id").alias("text"), F.concat(F.lit("l"), F.col("id") % 600).alias("lang"))
+    seen.clear()
+    assert len(language_id.learn(many, most=1200)[1]) == 600 and len(seen[0]) < 3000  # every label stays, with fewer texts each
 
 
 def test_accepted_keeps_columns(docs):
