@@ -215,9 +215,13 @@ def quality_text(spark, d):
 
 def run_merge(spark, d):
     """Runs of equal event types of a user, merged as equal neighbours of a CIGAR are."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = _table(spark, d, "events").withColumn("island", F.row_number().over(w) - F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id")))
-    return e.groupBy("user_id", "event_type", "island").agg(F.min("event_id").alias("first_event"), F.count(F.lit(1)).alias("n_events")).drop("island")
+    kinds = F.create_map(*[F.lit(x) for pair in (("signup", "S"), ("click", "C"), ("error", "E"), ("purchase", "P"), ("view", "V")) for x in pair])
+    e = _table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("events"))
+    ops = F.transform("events", lambda x: F.struct(kinds[x["event_type"]].alias("op"), F.lit(1).alias("len")))
+    runs = e.select("user_id", "events", F.posexplode(R.merge_cigar(ops)).alias("at", "run"))
+    first = F.sum("run.len").over(Window.partitionBy("user_id").orderBy("at")) - F.col("run.len")
+    event = F.get("events", first.cast("int"))
+    return runs.select("user_id", event["event_type"].alias("event_type"), event["event_id"].alias("first_event"), F.col("run.len").cast("long").alias("n_events"))
 
 
 def _nation_header(spark, d) -> DataFrame:

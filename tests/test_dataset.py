@@ -41,6 +41,20 @@ def test_dataset(dataset):
         dataset.reference_id("zz")
 
 
+def test_dataset_with_a_reference(spark, dataset, tmp_path):
+    with pytest.raises(ArgumentError, match="with_fasta"):
+        dataset.features()
+    bases = "TTTTTTTTTTACGTACGTAC" + "ACGAACGTAC" + "N" * 970
+    (tmp_path / "x.fa").write_text(">other\nAC\n>a one\n" + "\n".join(bases[i : i + 60] for i in range(0, 1000, 60)) + "\n>b\n" + "ACGT" * 225 + "\n")
+    known = dataset.with_fasta(str(tmp_path / "x.fa"), 16)
+    got = [tuple(r) for r in known.mismatches("a", 0, 100).select("code", "ref_pos", "bases", "ref_base", "qual").orderBy("ref_pos").collect()]
+    assert got == [("X", 23, "T", "A", -1)]
+    assert [r["ref_pos"] for r in known.mismatches("a", 20, 24, origin=20).collect()] == [3] and known.mismatches("a", 24, 100).count() == 0
+    assert {r["read_name"]: r["features"] for r in known.features(known.range("b")).collect()} == {"q": []}
+    regions = spark.createDataFrame([("x", 0, 0, 15), ("y", 0, 15, 600)], "region_id string, sequence_id int, region_start int, region_end int")
+    assert sorted((r["region_id"], r["start"]) for r in known.regions(regions).collect()) == [("x", 10), ("y", 10), ("y", 20), ("y", 500)]
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(0, 5, 10), (0, 1500, 10), (1, 7, None)], "sequence_id int, start int, length_on_ref int").write.parquet(str(tmp_path / "in"))
     reads = spark.readStream.schema("sequence_id int, start int, length_on_ref int").parquet(str(tmp_path / "in"))
