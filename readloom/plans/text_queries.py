@@ -132,6 +132,19 @@ def slice_checksums(spark, d):
     return O.slice_checksums(slices, chunks, 32, ["o_orderkey"]).select("o_orderkey", "md5_ok")
 
 
+def tags_by_type(spark, d):
+    """Every user's tags as a variant, from events: whole numbers, reals, text and arrays, the last of a name by event id."""
+    text = F.concat(F.substring("event_type", 1, 2), F.expr(_TAG))
+    fields = F.transform(F.array_sort(F.collect_list(F.struct("event_id", text.alias("t")))), lambda x: x["t"])
+    tags = _table(spark, d, "events").groupBy("user_id").agg(R.tags_variant(fields).alias("tags"))
+    one = lambda name, kind: R.variant_tag("tags", name, kind)
+    return tags.select("user_id", F.size(R.variant_tags("tags")).alias("n_tags"), one("si", "bigint").alias("si"), one("cl", "double").alias("cl"), one("er", "string").alias("er"), F.element_at(one("pu", "array<bigint>"), 2).alias("pu"), R.variant_tag_type("tags", "pu").alias("pu_type"), one("zz", "string").alias("zz"))
+
+
+#: The type and value of an event's tag.
+_TAG = """case event_type when 'signup' then concat(':i:', event_id) when 'click' then concat(':f:', event_id % 100, '.5') when 'error' then concat(':Z:a"b:', event_id % 7) when 'purchase' then concat(':B:S,', user_id, ',', event_id % 9) else ':A:x' end"""
+
+
 def mate_faults(spark, d):
     """Malformed mate pointers among an order's lines: cycles, second claims, pointers to nothing."""
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
@@ -157,13 +170,17 @@ union all select read, 'H', start, 0, '', '', 5 from reads where clips union all
 union all select read, 'I', start + 10, 0, 'GG', '', 2 from reads where inserts union all select read, 'D', start + 13, cast(gap as int), '', '', 0 from reads where gap > 0""",
     "aligned_substitutions": f"with {_ALL}, x as ({_X}) select ref_base as ref, bases as sub, cast(instr(replace('ACGTN', ref_base, ''), bases) - 1 as int) as code, count(*) as n from x group by all",
     "mate_faults": _FAULTS,
+    "tags_by_type": """with l as (select user_id, event_type, max(event_id) as e from events group by 1, 2)
+select user_id, cast(count(*) as int) as n_tags, max(case when event_type = 'signup' then e end) as si, max(case when event_type = 'click' then e % 100 + 0.5::double end) as cl,
+  max(case when event_type = 'error' then concat('a"b:', e % 7) end) as er, max(case when event_type = 'purchase' then e % 9 end) as pu, max(case when event_type = 'purchase' then 'BS' end) as pu_type, cast(null as varchar) as zz
+from l group by user_id""",
     "slice_checksums": f"select o_orderkey, o_orderkey % 5 = 0 or {_SPAN_END} = {_SPAN_START} or o_orderkey % 3 <> 0 as md5_ok from orders",
     "sam_source_range": f"""with {_ALL} select read, start, cigar, bases as read_bases from reads where n_name = 'CANADA' and start < 90 and start + 19 + gap > 50""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (aligned_round_trip, aligned_mismatches, aligned_substitutions, sliced_range, sliced_regions, sam_source_range, regions_by_index, slice_checksums, mate_faults)}
+    return {f.__name__: f for f in (aligned_round_trip, aligned_mismatches, aligned_substitutions, sliced_range, sliced_regions, sam_source_range, regions_by_index, slice_checksums, mate_faults, tags_by_type)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -89,3 +89,12 @@ def test_with_reference(spark):
     reads = spark.createDataFrame([(1, 0, 2, 7), (2, 0, 9, 3), (3, 1, 0, 2), (4, 0, 0, None)], "id int, sequence_id int, start int, length_on_ref int")
     got = {r["id"]: r["ref"] for r in O.with_reference(reads, chunks, 4, ["id"]).collect()}
     assert got == {1: "GTTTTTG", 2: None, 3: None, 4: None}
+
+
+def test_tags_as_variant(spark):
+    fields = ["NM:i:3", "XZ:Z:a\"b\\c\u00e9", "NM:i:-4", "XB:B:c,-1,2", "XF:f:1.5", "XN:f:nan", "XH:H:1F", "XA:A:x", "BF:B:f,0.5,2", "BE:B:i", "XC:Z:\x01", "XI:I:4294967295"]
+    df = spark.createDataFrame([(1, fields), (2, []), (3, None)], "id int, f array<string>").withColumn("v", R.tags_variant("f")).cache()
+    one = lambda name, kind: R.variant_tag("v", name, kind)
+    r = df.filter("id = 1").select(one("NM", "bigint"), one("XZ", "string"), one("XB", "array<bigint>"), one("XF", "double"), one("XN", "double"), one("XH", "string"), one("BF", "array<double>"), one("BE", "array<bigint>"), one("XC", "string"), one("XI", "bigint"), one("ZZ", "string"), R.variant_tag_type("v", "XB"), R.variant_tag_type("v", "NM"), F.size(R.variant_tags("v"))).first()
+    assert tuple(r[:4]) == (-4, "a\"b\\c\u00e9", [-1, 2], 1.5) and r[4] != r[4] and tuple(r[5:]) == ("1F", [0.5, 2.0], [], "\x01", 4294967295, None, "Bc", "i", 11)
+    assert [x[0] for x in df.orderBy("id").select(F.size(R.variant_tags("v"))).collect()[1:]] == [0, None] or df.filter("id = 3 and v is null").count() == 1
