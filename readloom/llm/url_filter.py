@@ -1,15 +1,15 @@
 """URL filter: host and path rules first, then gradient-boosted trees on lexical features of the url.
 
 Features: lengths of url, host and path, host labels, path depth, digit ratios, entropy of the host's name, hyphens, parameter count,
-length of the query, address-like hosts, escapes, and statistics of the host's last label, of its suffix (what lies above the registered
-domain), of the path's first part, and of suffix and part together: the smoothed share of blocked urls, each registered domain counted
-once, and how many domains that is, so a key that was never seen is told from one without a leaning.
+length of the query, address-like hosts, escapes, and statistics of the host's last label, of its suffix, of the path's first part, and
+of suffix and part together: the smoothed share of blocked urls, each owner counted once, and whether there are any, so a key that was never
+seen is told from one without a leaning. An owner is a registered domain; one with `MANY` names under it is a suffix, and these are owners.
 
 Labels. The trees learn from labelled urls (url, label). `rule_labels` makes them from the rules, which say of the urls that they fit
 what is right; the trees carry that over to all others. Statistics are counted in Spark over all labelled urls, by the keys themselves, and
-joined to urls; a training url's own registered domain is taken out of its statistics, so no feature holds its label, nor that of another
-host of its domain. Up to `BROADCAST_KEYS` keys of a kind the table is broadcast, beyond that both sides are shuffled. The trees are fitted on
-the driver on about `sample` urls, as many from each domain as there are.
+joined to urls; a training url has the statistics of the other `FOLDS` of owners, so no feature holds its label, nor that of another
+host of its domain, nor tells it by what is missing. Up to `BROADCAST_KEYS` keys of a kind the table is broadcast, beyond that both sides are shuffled. The trees are fitted on
+the driver on about `sample` urls, as many from each owner as there are.
 
 Cases: a null url, or one without `://`, has an empty host and path and is judged like any other; repeated rows are judged alike; a
 null id is kept; an empty table gives no rows; without labels of both kinds the share of blocked labels is every url's; other columns
@@ -73,24 +73,47 @@ def _split(url: str | None) -> tuple[str, str, str]:
     return (m[1].lower(), m[2], m[3] or "") if m else ("", "", "")
 
 
+#: Owners are dealt to so many folds; a training url's statistics are those of the other folds.
+FOLDS = 5
+
+#: So many names under a registered domain make it a suffix, as those of hosting services are.
+MANY = 4
+
 #: Kinds of keys that urls have statistics by.
 KINDS = ("label", "suffix", "part", "both")
 
 
-def with_keys(rows: DataFrame) -> DataFrame:
-    """rows (url, more) with the url's registered domain and its keys, columns of KINDS; none is ever null.
-
-    A suffix is the last label, or the last two where a country's label stands behind one of at most three letters.
+def _domain(host: Column) -> tuple[Column, Column, Column, Column]:
+    """Labels of a host without its port, its suffix (the last label, or two where a country's stands behind one of at most three letters), the
+    registered domain, and what stands one label before that.
     """
-    host, path = host_and_path(F.col("url"))
     labels = F.split(F.regexp_replace(host, r":\d*$", ""), r"\.")
     n = F.size(labels)
     two = (n > 2) & (F.length(F.get(labels, n - 1)) == 2) & (F.length(F.get(labels, n - 2)) <= 3)
-    last = lambda k: F.array_join(F.slice(labels, F.greatest(F.lit(1), n - k + 1), F.lit(k) if isinstance(k, int) else k), ".")
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(F.lit(1), n - k + 1), k), ".")
     depth = F.when(two, 2).otherwise(1)
+    return last(F.lit(1)), last(depth), last(depth + 1), last(depth + 2)
+
+
+def hosting(urls: DataFrame) -> DataFrame:
+    """(domain): registered domains with at least MANY names under them."""
+    _, _, domain, below = _domain(host_and_path(F.col("url"))[0])
+    return urls.select(domain.alias("domain"), below.alias("below")).distinct().groupBy("domain").count().filter(F.col("count") >= MANY).select("domain")
+
+
+def with_keys(rows: DataFrame, shared_domains: DataFrame, small: bool) -> DataFrame:
+    """rows (url, more) with the url's owner and its keys, columns of KINDS; none is ever null.
+
+    The owner is the registered domain. A domain with MANY names under it is a suffix itself, and each of these an owner.
+    """
+    host, path = host_and_path(F.col("url"))
+    label, suffix, domain, below = _domain(host)
     part = F.get(F.split(F.regexp_replace(path, "^/", ""), "/"), F.lit(0))
-    suffix = last(depth)
-    return rows.withColumns({"domain": last(depth + 1), "label": last(1), "suffix": suffix, "part": part, "both": F.concat_ws("/", suffix, part)})
+    busy = shared_domains.select(F.col("domain").alias("domain_"), F.lit(True).alias("busy_"))
+    rows = rows.withColumns({"domain_": domain, "below_": below, "suffix_": suffix, "label": label, "part": part}).join(F.broadcast(busy) if small else busy, "domain_", "left")
+    many = F.col("busy_").isNotNull()
+    rows = rows.withColumns({"owner": F.when(many, F.col("below_")).otherwise(F.col("domain_")), "suffix": F.when(many, F.col("domain_")).otherwise(F.col("suffix_"))})
+    return rows.withColumn("both", F.concat_ws("/", "suffix", "part")).drop("domain_", "below_", "suffix_", "busy_")
 
 
 def lexical(url: str | None) -> list[float]:
@@ -104,7 +127,7 @@ def lexical(url: str | None) -> list[float]:
 
 
 #: Names of the features in order.
-FEATURES = ("url length", "host length", "path length", "host labels", "path depth", "digit ratio", "host digit ratio", "entropy", "hyphens", "parameters", "query length", "address", "escapes", *(f"{what} of {kind}" for what in ("share", "domains") for kind in KINDS))
+FEATURES = ("url length", "host length", "path length", "host labels", "path depth", "digit ratio", "host digit ratio", "entropy", "hyphens", "parameters", "query length", "address", "escapes", *(f"{what} of {kind}" for what in ("share", "seen") for kind in KINDS))
 
 
 class Statistics:
@@ -175,12 +198,10 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-f))
 
 
-def _matrix(urls: list[str | None], domains: np.ndarray, blocked: np.ndarray, base: float, less: np.ndarray | None = None) -> np.ndarray:
-    """Features of urls, with the domains and their blocked shares by key (n, kinds)."""
-    stats = Statistics(domains.ravel(), blocked.ravel(), base)
-    seen = domains if less is None else np.maximum(0, domains - 1)
-    shares = stats.shares(np.arange(domains.size).reshape(domains.shape), less)
-    return np.column_stack([np.array([lexical(u) for u in urls], float).reshape(len(urls), -1), shares, np.log1p(seen)])
+def _matrix(urls: list[str | None], domains: np.ndarray, blocked: np.ndarray, base: float) -> np.ndarray:
+    """Features of urls, with the owners and their blocked shares by key (n, kinds)."""
+    shares = Statistics(domains.ravel(), blocked.ravel(), base).shares(np.arange(domains.size).reshape(domains.shape))
+    return np.column_stack([np.array([lexical(u) for u in urls], float).reshape(len(urls), -1), shares, domains > 0.5])
 
 
 class UrlModel:
@@ -188,30 +209,37 @@ class UrlModel:
 
     def __init__(self, labelled: DataFrame, sample: int = 20_000, seed: int = 9):
         with giving_back(labelled.sparkSession) as stay:
-            rows = kept(with_keys(labelled.filter("url is not null and label is not null").select("url", F.col("label").cast("int").alias("y"))), "url-labels")
+            labelled = labelled.filter("url is not null and label is not null").select("url", F.col("label").cast("int").alias("y"))
+            self.hosting = kept(hosting(labelled), "url-hosting")
+            self.few_hosting = self.hosting.count() <= BROADCAST_KEYS
+            stay.append(self.hosting)
+            rows = kept(with_keys(labelled, self.hosting, self.few_hosting), "url-labels")
             place = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in KINDS]))
-            # a domain's share of blocked urls at each of its keys
-            shares = kept(rows.select("domain", "y", place.alias("p")).groupBy("p.kind", "p.key", "domain").agg(F.avg("y").alias("share")), "url-shares")
+            # an owner's share of blocked urls at each of its keys
+            shares = kept(rows.select("owner", "y", place.alias("p")).groupBy("p.kind", "p.key", "owner").agg(F.avg("y").alias("share")), "url-shares")
             self.keys = kept(shares.groupBy("kind", "key").agg(F.count(F.lit(1)).cast("double").alias("domains"), F.sum("share").alias("blocked")), "url-keys")
             stay.append(self.keys)
             self.n_keys = {r["kind"]: r["count"] for r in self.keys.groupBy("kind").count().collect()}
-            of_domains = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("share"))
+            of_domains = rows.groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("share"))
             n_domains, base = of_domains.agg(F.count(F.lit(1)), F.avg("share")).first()
             self.trees, self.share = None, base or 0.0
             if not n_domains:
                 return
             per_domain = max(50.0, sample / n_domains)
-            some = of_domains.filter(fraction("domain", F.lit(seed)) < sample / per_domain / n_domains).select("domain", "n")
-            drawn = rows.join(some, "domain").filter(fraction("url", F.lit(seed)) < F.lit(per_domain) / F.col("n")).drop("n").distinct()
+            some = of_domains.filter(fraction("owner", F.lit(seed)) < sample / per_domain / n_domains).select("owner", "n")
+            drawn = rows.join(some, "owner").filter(fraction("url", F.lit(seed)) < F.lit(per_domain) / F.col("n")).drop("n").distinct()
+            fold = F.pmod(F.xxhash64("owner", F.lit(seed)), F.lit(FOLDS)).alias("fold")
+            folds = shares.groupBy("kind", "key", fold).agg(F.count(F.lit(1)).cast("double").alias("domains"), F.sum("share").alias("blocked"))
+            drawn = self.with_statistics(drawn.select("*", fold))
             for k in KINDS:
-                own = shares.filter(F.col("kind") == k).select("domain", F.col("key").alias(k), F.col("share").alias(f"own_{k}"))
-                drawn = drawn.join(own, ["domain", k])
-            columns = [f"{c}_{k}" for c in ("own", "domains", "blocked") for k in KINDS]
-            found = self.with_statistics(drawn).select("url", "y", *columns).orderBy("url", "y").toPandas()
+                own = folds.filter(F.col("kind") == k).select("fold", F.col("key").alias(k), F.col("domains").alias(f"own_domains_{k}"), F.col("blocked").alias(f"own_blocked_{k}"))
+                drawn = drawn.join(own, ["fold", k])
+            outside = [(F.col(f"{c}_{k}") - F.col(f"own_{c}_{k}")).alias(f"{c}_{k}") for c in ("domains", "blocked") for k in KINDS]
+            found = drawn.select("url", "y", *outside).orderBy("url", "y").toPandas()
             y = found["y"].to_numpy(float)
             if len(found) and 0 < y.mean() < 1:
-                own, domains, blocked = (found[[f"{c}_{k}" for k in KINDS]].to_numpy(float) for c in ("own", "domains", "blocked"))
-                self.trees = BoostedTrees().fit(_matrix(found["url"].tolist(), domains, blocked, self.share, own), y)
+                domains, blocked = (np.round(found[[f"{c}_{k}" for k in KINDS]].to_numpy(float), 9) for c in ("domains", "blocked"))
+                self.trees = BoostedTrees().fit(_matrix(found["url"].tolist(), domains, blocked, self.share), y)
 
     def with_statistics(self, rows: DataFrame) -> DataFrame:
         """rows that have keys with domains_k and blocked_k of each kind k; 0 for a key that was never seen."""
@@ -221,9 +249,9 @@ class UrlModel:
         return rows.fillna(0.0, [f"{c}_{k}" for c in ("domains", "blocked") for k in KINDS])
 
     def scored(self, rows: DataFrame) -> DataFrame:
-        """rows (url, more; nothing called as KINDS or domain) with p_block."""
+        """rows (url, more; nothing called as KINDS or owner) with p_block."""
         names = rows.columns
-        rows = self.with_statistics(with_keys(rows)).select(*names, *[f"{c}_{k}" for c in ("domains", "blocked") for k in KINDS])
+        rows = self.with_statistics(with_keys(rows, self.hosting, self.few_hosting)).select(*names, *[f"{c}_{k}" for c in ("domains", "blocked") for k in KINDS])
         value = shared(rows.sparkSession, (self.trees, self.share))
         at, n, schema = names.index("url"), len(KINDS), T.StructType([*rows.schema.fields[: len(names)], T.StructField("p_block", T.DoubleType())])
 
