@@ -9,7 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readloom.functions.cigar import OPS
 from readloom.functions.features import BASES
+from readloom.functions.flags import _listed
 from readloom.functions.flat import gathered, letters, numbers, offsets_of, spans, strings, upper
 from readloom.model import FEATURE, MalformedInputError
 
@@ -53,7 +55,7 @@ def _walked(cigar: pa.Array, bases: pa.Array, start: pa.Array, ref: pa.Array, re
     pos = places(on_read)
     ref_pos = numbers(start)[read] + places(np.where(_is(op, _MATCH + _REACH), size, 0))
     whole = np.bincount(read, on_read, n_reads).astype(np.int64)
-    some = pc.is_valid(cigar).to_numpy(zero_copy_only=False) & (np.bincount(read, minlength=n_reads) > 0)
+    some = np.bincount(read, minlength=n_reads) > 0
     if (some & has_bases & (whole != base_len)).any():
         raise ValueError(f"{MalformedInputError.__name__}: a CIGAR's length is not that of the read's bases")
 
@@ -61,10 +63,10 @@ def _walked(cigar: pa.Array, bases: pa.Array, start: pa.Array, ref: pa.Array, re
     m = np.flatnonzero(_is(op, _MATCH) & has_bases[read] & has_ref[read])
     each = np.repeat(m, size[m])
     j = np.arange(len(each)) - np.repeat(np.cumsum(size[m]) - size[m], size[m])
-    own = upper(np.append(base_data, 0)[base_at[read[each]] + pos[each] + j])
+    own = upper(np.append(base_data, np.uint8(0))[base_at[read[each]] + pos[each] + j])
     at = ref_pos[each] + j - numbers(ref_start)[read[each]]
     inside = (at >= 0) & (at < ref_len[read[each]])
-    theirs = np.where(inside, upper(np.append(ref_data, 0)[np.where(inside, ref_at[read[each]] + at, 0)]), 0).astype(np.uint8)
+    theirs = np.where(inside, upper(np.append(ref_data, np.uint8(0))[np.where(inside, ref_at[read[each]] + at, 0)]), 0).astype(np.uint8)
     equal = np.uint8(ord("="))
     own = np.where(own == equal, np.where(theirs == 0, np.uint8(ord("N")), theirs), own)
     x = np.flatnonzero(own != theirs)
@@ -116,5 +118,5 @@ def features_from_alignment(cigar: Column, bases: Column, start: Column, ref: Co
     Null bases (`*`): I and S hold Ns, nothing is compared. Null ref: what aligns is stored as stretches b. A null or empty CIGAR gives null;
     ops of length 0 give nothing; a CIGAR that does not fit the bases raises.
     """
-    quals = F.lit(None).cast("array<int>") if quals is None else quals
-    return _walked(cigar, bases, start.cast("int"), ref, ref_start.cast("int"), quals)
+    quals = F.lit(None) if quals is None else quals
+    return _walked(_listed(cigar, OPS.simpleString()), bases, start.cast("int"), ref, ref_start.cast("int"), _listed(quals, "array<int>"))

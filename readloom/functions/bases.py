@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from readloom.functions.cigar import FEATURES
+from readloom.functions.flags import _listed
 from readloom.functions.flat import Positional, gathered, letters, numbers, offsets_of, spans, strings, upper
 
 MISMATCH = T.StructType([T.StructField("code", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("ref_pos", "length")], T.StructField("bases", T.StringType()), T.StructField("qual", T.IntegerType()), T.StructField("ref_base", T.StringType()), T.StructField("clip_length", T.IntegerType())])
@@ -60,7 +62,7 @@ def read_bases(features: Column, start: Column, read_length: Column, ref: Column
     wide = F.greatest(F.lit(0), F.coalesce(last["ref_pos"] + F.coalesce(last["num"], F.lit(0)) - start, F.lit(0))) + F.greatest(F.lit(0), read_length) + 1
     begin = F.greatest(start, ref_start)
     cut = F.when(ref.isNotNull() & (~unknown if unknown is not None else F.lit(True)), _cut(ref, ref_start, begin, start + wide))
-    return _bases(features, start.cast("int"), read_length.cast("int"), cut, begin.cast("int"))
+    return _bases(_listed(features, FEATURES), start.cast("int"), read_length.cast("int"), cut, begin.cast("int"))
 
 
 @F.arrow_udf(T.ArrayType(MISMATCH))
@@ -76,7 +78,7 @@ def _differences(features: pa.Array, ref: pa.Array, ref_start: pa.Array, quals:
         """The reference's letter there, 0 where it is not known."""
         i = at - from_[read]
         inside = (i >= 0) & (i < ref_len[read])
-        return np.where(inside, upper(np.append(ref_data, 0)[np.where(inside, ref_at[read] + i, -1)]), 0).astype(np.uint8)
+        return np.where(inside, upper(np.append(ref_data, np.uint8(0))[np.where(inside, ref_at[read] + i, -1)]), 0).astype(np.uint8)
 
     def quality(read: np.ndarray, pos: np.ndarray) -> np.ndarray:
         inside = (pos >= 0) & (pos < q_len[read])
@@ -93,7 +95,7 @@ def _differences(features: pa.Array, ref: pa.Array, ref_start: pa.Array, quals:
     code, at, r = f.code[heads], f.ref_pos[heads], read[heads]
     is_ = lambda some: np.isin(code, np.frombuffer(some, np.uint8))
     subs = letters(f.struct.field("sub"))[heads]
-    base = np.where(is_(b"X"), np.where(subs > 0, subs, ord("N")), np.append(own_data, 0)[np.where(own_len[heads] > 0, own_at[heads], -1)]).astype(np.uint8)
+    base = np.where(is_(b"X"), np.where(subs > 0, subs, ord("N")), np.append(own_data, np.uint8(0))[np.where(own_len[heads] > 0, own_at[heads], -1)]).astype(np.uint8)
     known = upper(letters(f.struct.field("ref")))[heads]
     theirs = np.where(is_(b"XB"), np.where(known > 0, known, reference(r, at)), 0).astype(np.uint8)
     wide = is_(b"DN")
@@ -145,7 +147,7 @@ def mismatches(features: Column, ref: Column | None = None, ref_start: Column |
     or_null = lambda c, kind: F.lit(None).cast(kind) if c is None else c
     number = lambda c, kind: (c if isinstance(c, Column) else F.lit(c)).cast(kind)
     lo, hi = (number(none if c is None else c, "long") for c, none in ((window_start, -(1 << 31)), (window_end, (1 << 31) - 1)))
-    return _differences(features, or_null(ref, "string"), number(0 if ref_start is None else ref_start, "int"), or_null(quals, "array<int>"), lo, hi, number(origin, "int"))
+    return _differences(_listed(features, FEATURES), or_null(ref, "string"), number(0 if ref_start is None else ref_start, "int"), _listed(or_null(quals, "array<int>"), "array<int>"), lo, hi, number(origin, "int"))
 
 
 def mismatch_rows(reads: DataFrame, *keep: str, window_start=None, window_end=None, origin: int | Column = 0) -> DataFrame:

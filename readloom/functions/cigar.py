@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.functions.flags import _c
+from readloom.functions.flags import _c, _listed
 from readloom.functions.flat import Positional, gathered, letters, numbers, offsets_of, spans, strings
 from readloom.model import CIGAR_OPS, FEATURE
 
@@ -40,7 +40,7 @@ def parsed_cigars(data: np.ndarray, at: np.ndarray, size: np.ndarray, missing: n
     length = np.add.reduceat(value, np.cumsum(n_digits) - n_digits) if len(ends) else np.zeros(0, np.int64)
     op = flat[ends]
     items = pa.StructArray.from_arrays([strings(op, np.ones(len(op), np.int64)), pa.array(length, pa.int32())], names=["op", "len"])
-    star = missing | (size == 1) & (np.append(data, 0)[at] == ord("*"))
+    star = missing | (size == 1) & (np.append(data, np.uint8(0))[at] == ord("*"))
     reach = np.bincount(row[ends], np.where(np.isin(op, _REACH), length, 0), len(at)).astype(np.int64)
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[ends], np.arange(len(at) + 1)).astype(np.int32)), items, mask=pa.array(star)), reach
 
@@ -143,5 +143,5 @@ def cigar_from_features(features: Column, start: Column, read_length: Column, ma
 
     Null features are none; a read that is not `mapped` gives null.
     """
-    out = _walked(features, start.cast("int"), read_length.cast("int"))
+    out = _walked(_listed(features, FEATURES), start.cast("int"), read_length.cast("int"))
     return out if mapped is None else F.when(mapped, out)

@@ -73,7 +73,7 @@ def _resolved(features: pa.Array, ref: pa.Array, start: pa.Array, matrix: pa.Arr
     code, (data, at, size), rows = letters(x.field("code")), spans(ref), offsets_of(matrix)
     i = numbers(x.field("ref_pos")) - numbers(start)[read]
     inside = (i >= 0) & (i < size[read]) & pc.is_valid(x.field("ref_pos")).to_numpy(zero_copy_only=False) & pc.is_valid(start).to_numpy(zero_copy_only=False)[read]
-    theirs = np.where(inside, upper(np.append(data, 0)[np.where(inside, at[read] + i, -1)]), 0).astype(np.uint8)
+    theirs = np.where(inside, upper(np.append(data, np.uint8(0))[np.where(inside, at[read] + i, -1)]), 0).astype(np.uint8)
     is_x, is_b = inside & (code == ord("X")), inside & (code == ord("B"))
     row = _ROW[theirs]
     packed = np.append(numbers(matrix.flatten()), 0)[np.where(rows[1:][read] - rows[:-1][read] > row, rows[:-1][read] + row, -1)]

@@ -23,6 +23,12 @@ def has_next_position(next_sequence_id: Column | str = "next_sequence_id") -> Co
     return _c(next_sequence_id).isNotNull()
 
 
+def _listed(c: Column, kind: str) -> Column:
+    """A column of lists for a kernel to which null lists are empty ones. Spark sizes an Arrow batch anew with every row, going through all null
+    lists since the last one that is none: with nothing but nulls that takes the square of a batch's rows."""
+    return F.coalesce(c, F.array().cast(kind))
+
+
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

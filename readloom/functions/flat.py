@@ -15,6 +15,11 @@ def spans(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at[:-1], np.diff(at)
 
 
+def _ended(data: np.ndarray) -> np.ndarray:
+    """The bytes and a zero, for places at their end."""
+    return np.append(data, np.uint8(0))
+
+
 def numbers(a: pa.Array, null: int = 0) -> np.ndarray:
     return a.fill_null(null).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -33,7 +38,7 @@ def offsets_of(a: pa.Array) -> np.ndarray:
 def letters(a: pa.Array) -> np.ndarray:
     """First byte of each string, 0 where there is none."""
     data, at, length = spans(a)
-    return np.where(length > 0, np.append(data, 0)[at], 0).astype(np.uint8)
+    return np.where(length > 0, _ended(data)[at], 0).astype(np.uint8)
 
 
 def strings(data: np.ndarray, lengths: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:

@@ -48,7 +48,7 @@ def parse_tags(fields: Column) -> Column:
 
 def quality_lists(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
     """Phred values of texts in a buffer; null for `*` and empty ones."""
-    some = (size > 0) & ~((size == 1) & (np.append(data, 0)[at] == ord("*")))
+    some = (size > 0) & ~((size == 1) & (np.append(data, np.uint8(0))[at] == ord("*")))
     size = np.where(some, size, 0)
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(gathered(data, at, size).astype(np.int32) - 33), mask=pa.array(~some))
 

@@ -23,22 +23,36 @@ def reference_spans(reads: DataFrame, key: list[str]) -> DataFrame:
     return spans.filter("span_end > span_start")
 
 
-def with_reference(reads: DataFrame, chunks: DataFrame, size: int, read_key: list[str]) -> DataFrame:
+def with_reference(reads: DataFrame, chunks: DataFrame, size: int, read_key: list[str], most: int = 1 << 24) -> DataFrame:
     """Mapped reads with `ref`, the reference under them, or null where the chunks do not cover it.
 
     chunks: (ref_id, chunk, seq) of `size` bases each (sources.reference_chunks without a margin). A read that lies on one chunk or two
-    neighbours finds both in one row, so it moves once, in an equality join on its sequence and first chunk. Longer reads go to each chunk that
-    they touch and put the pieces together again, narrowed to their key and place for that.
+    neighbours finds both in one row. Chunks of at most `most` bases in all (counted first) are sent to the tasks and reads stay where they
+    are; a longer read has its sequence's chunks in one row then. Beyond that a read moves once, in an equality join on its sequence and first
+    chunk, and longer ones go to each chunk that they touch and put the pieces together again, narrowed to their key and place for that.
     """
     end = F.col("start") + F.col("length_on_ref")
     chunks = chunks.select("ref_id", "chunk", "seq")
+    small = chunks.select(F.lit(1)).limit(most // size + 1).count() <= most // size
     after = chunks.select("ref_id", (F.col("chunk") - 1).alias("chunk"), F.col("seq").alias("after_"))
     pairs = chunks.join(after, ["ref_id", "chunk"], "left").select(F.col("ref_id").alias("ref_id_"), F.col("chunk").alias("chunk_"), F.concat("seq", F.when(F.length("seq") == size, F.coalesce("after_", F.lit(""))).otherwise("")).alias("seq_"))
-    first = F.floor(F.col("start") / size).cast("int")
-    far = F.floor((end - 1) / size) > F.floor(F.col("start") / size) + 1
-    near = reads.join(pairs, (F.col("sequence_id") == F.col("ref_id_")) & (first == F.col("chunk_")) & (F.col("length_on_ref") > 0) & ~far, "left")
+    first, last = F.floor(F.col("start") / size).cast("int"), F.floor((end - 1) / size).cast("int")
+    far = last > first + 1
+    near = reads.join(F.broadcast(pairs) if small else pairs, (F.col("sequence_id") == F.col("ref_id_")) & (first == F.col("chunk_")) & (F.col("length_on_ref") > 0) & ~far, "left")
     cut = F.substring(F.col("seq_"), (F.col("start") - F.col("chunk_").cast("long") * size).cast("int") + 1, F.col("length_on_ref"))
     near = near.withColumn("near_", F.when(F.length(cut) == F.col("length_on_ref"), cut)).drop("ref_id_", "chunk_", "seq_")
+    if small:
+        # all of a sequence up to its first gap or short chunk, as no read reaches beyond either, and all after a gap likewise
+        w = Window.partitionBy("ref_id").orderBy("chunk")
+        breaks = (F.lag("chunk").over(w) != F.col("chunk") - 1) | (F.lag(F.length("seq")).over(w) != size)
+        marked = chunks.withColumn("new_", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn("run_", F.sum("new_").over(w))
+        runs = marked.groupBy("ref_id", "run_").agg(F.min("chunk").alias("low_"), F.max("chunk").alias("high_"), F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda x: x["seq"]).alias("seqs_"))
+        runs = runs.select(F.col("ref_id").alias("ref_id_"), "low_", "high_", "seqs_")
+        rows = near.join(F.broadcast(runs), (F.col("sequence_id") == F.col("ref_id_")) & far & (F.col("length_on_ref") > 0) & (first >= F.col("low_")) & (last <= F.col("high_")), "left")
+        text = F.array_join(F.slice("seqs_", (first - F.col("low_") + 1).cast("int"), last - first + 1), "")
+        cut = F.substring(text, (F.col("start") - first.cast("long") * size).cast("int") + 1, F.col("length_on_ref"))
+        far_ref = F.when(F.col("seqs_").isNotNull(), F.when(F.length(cut) == F.col("length_on_ref"), cut))
+        return rows.withColumn("ref", F.coalesce("near_", far_ref)).select(*reads.columns, "ref")
 
     mapped = reads.filter((F.col("length_on_ref") > 0) & far).select(*read_key, F.col("sequence_id").alias("ref_id"), "start", end.alias("end")).distinct()
     touched = mapped.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / size).cast("int"), F.floor((F.col("end") - 1) / size).cast("int"))))

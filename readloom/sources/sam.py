@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.model import FLAGS
-from readloom.sources.samtext import parse_line, text_parts
+from readloom.sources.samtext import PARSED, line_parser, text_parts
 
 
 def header_fields(line: Column) -> tuple[Column, Column]:
@@ -46,34 +46,52 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return sam_rows(_text_lines(spark, path), references(read_header(spark, path)))
 
 
-def sam_rows(lines: DataFrame, refs: DataFrame) -> DataFrame:
+def sam_rows(lines: DataFrame, refs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Alignment rows of SAM lines (file, at, line), with 0-based starts and ids by the order of @SQ lines, as refs (file, ref_id, name) has them.
 
     `*` is null; a reference of `*` is id -1; a mate reference of `=` is the read's own, of `*` unknown (null). Unmapped reads have no
-    length_on_ref. Lines with under 11 fields fail the job.
+    length_on_ref. Lines with under 11 fields fail the job. With `columns`, only these beside file and rec_no, and no more is built of a line.
     """
-    refs = refs.groupBy("file", "name").agg(F.min("ref_id").alias("ref_id"))
-    lines = lines.select("file", F.col("at").alias("rec_no"), F.regexp_replace("line", "\r$", "").alias("line")).filter(~F.col("line").startswith("@") & (F.col("line") != ""))
-    rows = lines.select("file", "rec_no", parse_line("line").alias("p")).select("file", "rec_no", "p.*")
-    rows = rows.withColumn("rnext", F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext")))
-    return with_reference_ids(rows, refs)
+    need = tuple(c for c in PARSED.fieldNames() if columns is None or c in {x for y in columns for x in _FROM.get(y, [y])})
+    refs = few(refs.groupBy("file", "name").agg(F.min("ref_id").alias("ref_id")))
+    rows = lines.select("file", F.col("at").alias("rec_no"), line_parser(need)("line").alias("p")).filter("p is not null").select("file", "rec_no", "p.*")
+    return with_reference_ids(rows, refs, columns)
 
 
-def with_reference_ids(rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """Alignment rows of parsed lines; refs (file, ref_id, name) with names told apart."""
+#: The fields of a line that a column comes from, where it is not one of its own name.
+_FROM = {"sequence_id": ["rname"], "length_on_ref": ["flags", "reach"], "read_length": ["read_bases"], "next_sequence_id": ["rnext", "rname"], "next_start": ["rnext", "rname", "pnext"]}
+
+
+def few(refs: DataFrame, most: int = 1 << 17) -> DataFrame:
+    """A reference dictionary as a table that is sent to the tasks, if it has at most `most` rows (they are fetched once); else as it is."""
+    some = refs.limit(most + 1).toArrow()
+    if some.num_rows > most:
+        return refs
+    return F.broadcast(refs.sparkSession.createDataFrame(some, refs.schema) if some.num_rows else refs.sparkSession.createDataFrame([], refs.schema))
+
+
+def with_reference_ids(rows: DataFrame, refs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Alignment rows (or those columns of them) of parsed lines; refs (file, ref_id, name) with names told apart."""
     name = lambda key, as_: refs.select(F.col("file").alias("f_"), F.col("name").alias(key), F.col("ref_id").alias(as_))
-    a, b = name("rname_", "sequence_id"), name("rnext_", "next_sequence_id")
-    rows = rows.join(a, (F.col("file") == a["f_"]) & (F.col("rname") == F.col("rname_")), "left").drop("f_", "rname_")
-    rows = rows.join(b, (F.col("file") == b["f_"]) & (F.col("rnext") == F.col("rnext_")), "left").drop("f_", "rnext_")
+    wanted = lambda *some: columns is None or any(c in columns for c in some)
+    if wanted("sequence_id"):
+        a = name("rname_", "sequence_id")
+        rows = rows.join(a, (F.col("file") == a["f_"]) & (F.col("rname") == F.col("rname_")), "left").drop("f_", "rname_")
+    if wanted("next_sequence_id", "next_start"):
+        b = name("rnext_", "next_sequence_id")
+        rnext = F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext"))
+        rows = rows.join(b, (F.col("file") == b["f_"]) & (rnext == F.col("rnext_")), "left").drop("f_", "rnext_")
     unmapped = F.col("flags").bitwiseAND(F.lit(FLAGS["is_segment_unmapped"])) != 0
-    return rows.select(
-        "file", "rec_no", "read_name", "flags", F.coalesce("sequence_id", F.lit(-1)).alias("sequence_id"), "start", F.when(~unmapped, F.col("reach")).alias("length_on_ref"), F.length("read_bases").alias("read_length"), "mapping_quality",
-        "cigar", "next_sequence_id", F.when(F.col("next_sequence_id").isNotNull(), F.col("pnext")).alias("next_start"), "template_length", "read_bases", "quals", "tags",
-    )
+    made = {
+        "sequence_id": F.coalesce("sequence_id", F.lit(-1)), "length_on_ref": F.when(~unmapped, F.col("reach")), "read_length": F.length("read_bases"), "next_start": F.when(F.col("next_sequence_id").isNotNull(), F.col("pnext")),
+    }
+    order = ["read_name", "flags", "sequence_id", "start", "length_on_ref", "read_length", "mapping_quality", "cigar", "next_sequence_id", "next_start", "template_length", "read_bases", "quals", "tags"]
+    return rows.select("file", "rec_no", *[made.get(c, F.col(c)).alias(c) for c in order if wanted(c)])
 
 
 def sam_lines(rows: DataFrame, refs: DataFrame) -> DataFrame:
     """(file, rec_no, line): alignment rows as SAM text; refs: (file, ref_id, name)."""
+    refs = few(refs.select("file", "ref_id", "name"))
     name = lambda key, as_: refs.select(F.col("file").alias("f_"), F.col("ref_id").alias(key), F.col("name").alias(as_))
     a, b = name("id_", "rname"), name("next_", "mate_name")
     rows = rows.join(a, (F.col("file") == a["f_"]) & (F.col("sequence_id") == F.col("id_")), "left").drop("f_")

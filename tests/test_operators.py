@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from readloom import functions as R
 from readloom import operators as O
+from readloom import sources as S
 from readloom.model import FEATURE, MalformedInputError
 
 
@@ -157,3 +158,35 @@ def test_qualities_and_flags(spark):
     q = F.array(F.lit(0), F.lit(40))
     got = spark.range(1).select(R.quality_string(q), R.quality_bytes(F.lit("!I")), R.quality_string(F.lit(None).cast("array<int>")), R.quality_at(q, 5), R.quality_at(F.lit(None).cast("array<int>"), 0), R.flag("is_read2", F.lit(128)), R.storage_flag("is_detached", F.lit(1)), R.reference_md5(F.lit("ac gt"))).first()
     assert tuple(got) == ("!I", [0, 40], "*", None, -1, True, False, "f1f8f4bf413b16ad135722aa4591043e")
+
+
+def test_reads_stay_where_a_small_reference_is_sent(spark):
+    """Reads are made once and not moved, and short and long ones find what a large reference's joins find, gaps and short chunks included."""
+    rng = random.Random(5)
+    seqs = {k: "".join(rng.choice("ACGT") for _ in range(90)) for k in range(2)}
+    parts = [(k, c, s[c * 8 : c * 8 + 8][: 5 if (k, c) == (0, 6) else 8]) for k, s in seqs.items() for c in range(12) if (k, c) != (1, 4)]
+    chunks = spark.createDataFrame(parts, "ref_id int, chunk int, seq string")
+    made = "cast(id % 3 as int) as sequence_id", "cast(id * 7 % 95 - 2 as int) as start", "cast(id * 11 % 60 as int) as length_on_ref"
+    reads = spark.range(0, 400, 1, 7).selectExpr("id", *made)
+    got, want = (O.with_reference(reads, chunks, 8, ["id"], most=most) for most in (1 << 24, 0))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 400") == 1 and plan.count("BroadcastHashJoin") == 2
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) == 400
+    assert sum(r[-1] is not None and r[3] > 16 for r in rows) > 20 and sum(r[-1] is None for r in rows) > 100
+
+
+def test_kernels_get_no_null_lists(spark):
+    """Null lists take the square of a batch's rows in Spark's batch sizes, so qualities and tags that a read has none of go as empty lists."""
+    lines = spark.createDataFrame([("f", 0, "r\t0\ta\t1\t9\t1M\t*\t0\t0\tA\t*\tNM:i:1\tXF:B:f,1.5,2.0\tXB:B:c,1")], "file string, at int, line string")
+    refs = spark.createDataFrame([("f", 0, "a")], "file string, ref_id int, name string")
+    rows = S.sam_rows(lines, refs)
+    text = S.sam_lines(rows, refs)
+    assert text.first()["line"] == lines.first()["line"]
+    untyped = rows.withColumn("tags", F.transform_values("tags", lambda _, x: x.withField("sub", F.lit(None).cast("string"))))
+    assert S.sam_lines(untyped, refs).first()["line"].endswith("XF:B:f,1.5,2.0\tXB:B:i,1")
+    none = rows.withColumn("tags", F.lit(None).cast(rows.schema["tags"].dataType))
+    assert S.sam_lines(none, refs).first()["line"].endswith("\tA\t*")
+    for df in (text, rows.select(R.features_from_alignment(F.col("cigar"), F.col("read_bases"), F.col("start"), F.lit("C"), F.col("start"), F.col("quals")))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "coalesce(quals" in plan and "coalesce(cigar" in plan
