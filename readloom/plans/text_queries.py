@@ -11,7 +11,7 @@ import shutil
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom import functions as R
@@ -40,17 +40,21 @@ def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """SAM lines (file, at, line) of aligned reads, and the nations as references (file, ref_id, name, length, md5, seq)."""
     nation = _table(spark, d, "nation").select("n_nationkey", "n_name", F.expr(_REF).alias("ref"))
     rows = _table(spark, d, "lineitem").join(nation, F.col("l_suppkey") % 25 == F.col("n_nationkey"))
-    line = F.concat_ws("\t", F.concat_ws("-", *_KEYS), F.lit("0"), "n_name", (F.expr(_START) + 1).cast("string"), F.lit("60"), F.expr(_CIGAR), F.lit("*"), F.lit("0"), F.lit("0"), F.expr(_BASES), F.lit("*"))
-    lines = rows.select(F.lit("nations").alias("file"), F.concat_ws("-", *_KEYS).alias("at"), line.alias("line"))
+    lines = rows.select(F.lit("nations").alias("file"), F.concat_ws("-", *_KEYS).alias("at"), _line().alias("line"))
     header = nation.select(F.lit("nations").alias("file"), F.col("n_nationkey").cast("long").alias("at"), F.concat(F.lit("@SQ\tSN:"), "n_name", F.lit("\tLN:256")).alias("line"))
     refs = S.references(S.header_lines(header))
     return lines, refs.join(nation.select(F.col("n_name").alias("name"), F.col("ref").alias("seq")), "name")
 
 
+def _line() -> Column:
+    """The SAM line of a row of lineitem beside its nation (n_name, ref)."""
+    return F.concat_ws("\t", F.concat_ws("-", *_KEYS), F.lit("0"), "n_name", (F.expr(_START) + 1).cast("string"), F.lit("60"), F.expr(_CIGAR), F.lit("*"), F.lit("0"), F.lit("0"), F.expr(_BASES), F.lit("*"))
+
+
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
     """Reads parsed from their lines, with features against the reference's chunks."""
     lines, refs = _lines(spark, d)
-    reads = S.sam_rows(lines, refs.select("file", "ref_id", "name")).withColumn("read", F.col("rec_no"))
+    reads = S.sam_rows(lines, refs.select("file", "ref_id", "name"), ["sequence_id", "start", "length_on_ref", "read_length", "cigar", "read_bases", "quals"]).withColumn("read", F.col("rec_no"))
     return O.aligned_features(reads, S.reference_chunks(refs.select("ref_id", "seq"), 64), 64, ["read"])
 
 
@@ -103,9 +107,11 @@ def sliced_regions(spark, d):
 def sam_source_range(spark, d):
     """A range of SAM files, from the byte ranges that their index names."""
     path = _scratch(spark)
-    lines, _ = _lines(spark, d)
-    place = F.split("line", "\t")
-    lines.select("line", F.get(place, F.lit(2)).alias("rname"), F.get(place, F.lit(3)).cast("int").alias("at")).repartitionByRange(4, "rname", "at").sortWithinPartitions("rname", "at", "line").select("line").write.text(f"{path}/sam")
+    # rows are dealt to ranges as they are, and made lines there: neither the sample that bounds the ranges nor the shuffle has to have the lines
+    nation = _table(spark, d, "nation").select("n_nationkey", "n_name", F.expr(_REF).alias("ref"))
+    rows = _table(spark, d, "lineitem").select(*_KEYS, "l_quantity", "l_returnflag", "l_linestatus").join(F.broadcast(nation.drop("ref")), F.col("l_suppkey") % 25 == F.col("n_nationkey"))
+    dealt = rows.withColumn("at", F.expr(_START)).repartitionByRange("n_name", "at").join(F.broadcast(nation.drop("n_nationkey")), "n_name")
+    dealt.select("n_name", "at", _line().alias("line")).sortWithinPartitions("n_name", "at", "line").select("line").write.text(f"{path}/sam")
     S.index_sam(spark, f"{path}/sam", f"{path}/index", block_bytes=1 << 16)
     found = S.sam_range(spark, f"{path}/sam", f"{path}/index", "CANADA", 50, 90, ["read_name", "start", "cigar", "read_bases"])
     return found.select(F.col("read_name").alias("read"), "start", R.cigar_string(F.col("cigar")).alias("cigar"), "read_bases")

@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from readloom.functions.flat import gathered, strings
 from readloom.model import MalformedInputError
 from readloom.sources.files import after_line, files_at, opened
-from readloom.sources.samtext import PARSED, parsed
+from readloom.sources.samtext import PARSED, fields
 
-#: Bytes of a block, and of what a task parses at a time.
-BLOCK, STEP = 64 << 20, 4 << 20
+#: Bytes of a block, the least that is worth a task, and what a task parses at a time.
+BLOCK, LEAST, STEP = 64 << 20, 4 << 20, 1 << 20
 
 #: Where a line stands in its file, and its fields.
 COLUMNS = T.StructType([T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("line_bytes", T.IntegerType()), T.StructField("block", T.LongType()), *PARSED.fields])
@@ -36,15 +35,17 @@ INDEX = ("file", "rname", "first_start", "last_end", "begin", "end", "n_reads")
 
 @dataclass
 class Range(InputPartition):
-    """Lines of a file that begin in [begin, end)."""
+    """Lines of a file that begin in [begin, end); `block` is the size of the blocks in it, 0 if it is one."""
 
     file: str
     begin: int
     end: int
+    block: int = 0
 
 
 class SamSource(DataSource):
-    """Options: path; index (a byte index's path), columns (names after commas), block_bytes, and rname, start, end to narrow the plan."""
+    """Options: path; index (a byte index's path), columns (names after commas), block_bytes, tasks (how many a read without an index has at least, if
+    its files are not small), and rname, start, end to narrow the plan."""
 
     @classmethod
     def name(cls) -> str:
@@ -70,7 +71,11 @@ class SamReader(DataSourceReader):
         size = int(self.options.get("block_bytes", BLOCK))
         index = self.options.get("index")
         if index is None:
-            return [Range(f, at, min(at + size, n)) for f, n in files_at(self.options["path"]) for at in range(0, n, size)] or [Range("", 0, 0)]
+            files = files_at(self.options["path"])
+            # a task takes as many blocks as make a fair share of the files, up to `BLOCK` bytes: small blocks are for an index, not a task each
+            share = min(BLOCK, max(LEAST, sum(n for _, n in files) // int(self.options.get("tasks", 8))))
+            step = max(1, share // size) * size
+            return [Range(f, at, min(at + step, n), size) for f, n in files for at in range(0, n, step)] or [Range("", 0, 0)]
         import pyarrow.dataset as pads  # only the driver needs it
 
         system, at = opened(index)
@@ -123,8 +128,8 @@ class SamReader(DataSourceReader):
         starts, size, whole = starts[some], size[some], whole[some]
         if not len(starts):
             return
-        rows = parsed(strings(gathered(data, starts, size), size))
-        own = {"file": lambda: pa.array([part.file] * len(starts)), "offset": lambda: pa.array(starts + offset), "line_bytes": lambda: pa.array(whole.astype(np.int32)), "block": lambda: pa.array(np.full(len(starts), part.begin, np.int64))}
+        rows = fields(data, starts, size, [c for c in self.names if c in PARSED.fieldNames()])
+        own = {"file": lambda: pa.array([part.file] * len(starts)), "offset": lambda: pa.array(starts + offset), "line_bytes": lambda: pa.array(whole.astype(np.int32)), "block": lambda: pa.array((starts + offset) // part.block * part.block if part.block else np.full(len(starts), part.begin, np.int64))}
         yield pa.RecordBatch.from_arrays([own[c]() if c in own else rows.field(c) for c in self.names], self.names)
 
 
@@ -153,7 +158,7 @@ class FilteringSamReader(SamReader):
 def load_sam(spark: SparkSession, path: str, index: str | None = None, columns: list[str] | None = None, **options) -> DataFrame:
     """Lines of SAM files as `COLUMNS`; with an index and rname, start or end, from the byte ranges that may hold such reads."""
     spark.dataSource.register(SamSource)
-    options |= {"path": path, "push_filters": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")} | ({"index": index} if index else {}) | ({"columns": ",".join(columns)} if columns else {})
+    options |= {"path": path, "tasks": 2 * spark.sparkContext.defaultParallelism, "push_filters": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")} | ({"index": index} if index else {}) | ({"columns": ",".join(columns)} if columns else {})
     return spark.read.format("sam-text").options(**{k: str(v) for k, v in options.items()}).load()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,20 @@ def test_cigar_must_fit(spark):
     df = spark.createDataFrame([("4M", "ACG")], "cigar string, bases string")
     with pytest.raises(Exception, match="not that of the read's bases"):
         df.select(R.features_from_alignment(R.parse_cigar("cigar"), F.col("bases"), F.lit(0), F.lit("ACGT"), F.lit(0))).collect()
+
+
+def test_source_blocks_are_not_tasks(spark, sam):
+    """An index of small blocks is made by tasks of many blocks each, and lines are told to their blocks as by a task a block."""
+    size = sum(f.stat().st_size for f in Path(sam).iterdir())
+    parts = SamReader({"path": sam, "block_bytes": "500"}, SamSource({}).schema()).partitions()
+    assert len(parts) == 2 and sum(r.end - r.begin for r in parts) == size
+    rows = load_sam(spark, sam, block_bytes=500, columns=["file", "offset", "block"])
+    assert rows.filter("block != floor(offset / 500) * 500").isEmpty() and rows.select("file", "block").distinct().count() > 50
+
+
+def test_source_builds_only_named_fields(spark, tmp_path):
+    """A field that is not asked for is not parsed, so a tag that is no number does no harm."""
+    (tmp_path / "t.sam").write_text("r\t0\ta\t1\t9\t1M\t*\t0\t0\tA\t*\tNM:i:x\n")
+    assert [tuple(r) for r in load_sam(spark, str(tmp_path / "t.sam"), columns=["rname", "reach"]).collect()] == [("a", 1)]
+    with pytest.raises(Exception):
+        load_sam(spark, str(tmp_path / "t.sam"), columns=["tags"]).collect()
