@@ -7,6 +7,8 @@ plus a few groups a level, however long some regions are. Neither side is dealt
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,17 +62,25 @@ class IntervalIndex:
         return who[order], what[order]
 
 
+def fitting_width(reads: DataFrame, regions: DataFrame, least: int = 64) -> int:
+    """The least power of two that neither side's mean span exceeds: a bin then holds few that do not meet, and on average no more than three bins
+    hold an interval, however long some are."""
+    region = regions.filter("region_end > region_start").agg(F.avg(F.col("region_end") - F.col("region_start"))).first()[0]
+    read = reads.agg(F.avg(read_span())).first()[0]
+    return 1 << (ceil(max(region or 1, read or 1, least)) - 1).bit_length()
+
+
 def region_join(reads: DataFrame, regions: DataFrame, most: int = 1 << 18, width: int = 1 << 14) -> DataFrame:
     """The same rows as `range_join`: every read with every region (region_id, sequence_id, region_start, region_end) that it lies in.
 
     Up to `most` regions are an index in each task (24 bytes a region, and their rows in a broadcast join by number); more meet reads in
-    bins. Reads without a sequence or start, and regions that are empty or hold a null, meet nothing; repeated rows meet each.
+    bins of at most `width`, narrower where reads and regions are shorter. Reads without a sequence or start, and regions that are empty or hold a null, meet nothing; repeated rows meet each.
     """
     spark = reads.sparkSession
     regions = regions.select("region_id", "sequence_id", "region_start", "region_end")
     some = regions.filter("region_end > region_start and sequence_id is not null").limit(most + 1).toArrow()
     if some.num_rows > most:
-        return range_join(reads, regions, width)
+        return range_join(reads, regions, min(width, fitting_width(reads, regions)))
     names = ("sequence_id", "region_start", "region_end")
     index = spark.sparkContext.broadcast(IntervalIndex(*(some[c].to_numpy().astype(np.int64) for c in names)))
 
