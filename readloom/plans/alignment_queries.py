@@ -139,10 +139,15 @@ def op_histogram(spark, d):
     return _cigars(spark, d).select(F.explode("ops").alias("o")).groupBy(F.col("o.op").alias("op")).agg(F.count(F.lit(1)).alias("n_ops"), F.sum("o.len").alias("bases"))
 
 
+def _nation_refs(spark, d) -> DataFrame:
+    """The nations' references (ref_id, ref) of 256 bases."""
+    hexes = F.concat(*[F.md5(F.concat("n_name", F.lit(str(k)))) for k in range(8)])
+    return _table(spark, d, "nation").select(F.col("n_nationkey").alias("ref_id"), F.translate(hexes, "0123456789abcdef", "ACGTACGTACGTACGT").alias("ref"))
+
+
 def _featured(spark, d) -> DataFrame:
     """Reads of 20 bases with features, and their nation's reference of 256 bases."""
-    hexes = F.concat(*[F.md5(F.concat("n_name", F.lit(str(k)))) for k in range(8)])
-    refs = _table(spark, d, "nation").select(F.col("n_nationkey").alias("ref_id"), F.translate(hexes, "0123456789abcdef", "ACGTACGTACGTACGT").alias("ref"))
+    refs = _nation_refs(spark, d)
     f = lambda code, pos, at, num, payload, sub: F.struct(F.lit(code).alias("code"), F.lit(pos).cast("int").alias("pos"), at.cast("int").alias("ref_pos"), num.cast("int").alias("num"), F.lit(payload).cast("string").alias("payload"), F.lit(None).cast("string").alias("ref"), sub.cast("string").alias("sub"))
     clip, ins, gap = F.col("l_returnflag") == "R", F.col("l_linestatus") == "O", F.col("l_linenumber") % 2 == 0
     start = (F.col("l_partkey") % 200).cast("int")
@@ -218,10 +223,10 @@ def run_merge(spark, d):
     kinds = F.create_map(*[F.lit(x) for pair in (("signup", "S"), ("click", "C"), ("error", "E"), ("purchase", "P"), ("view", "V")) for x in pair])
     e = _table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("events"))
     ops = F.transform("events", lambda x: F.struct(kinds[x["event_type"]].alias("op"), F.lit(1).alias("len")))
-    runs = e.select("user_id", "events", F.posexplode(R.merge_cigar(ops)).alias("at", "run"))
-    first = F.sum("run.len").over(Window.partitionBy("user_id").orderBy("at")) - F.col("run.len")
-    event = F.get("events", first.cast("int"))
-    return runs.select("user_id", event["event_type"].alias("event_type"), event["event_id"].alias("first_event"), F.col("run.len").cast("long").alias("n_events"))
+    # a run's first event comes beside it, so no run has to carry all of its user's events
+    heads = F.filter("events", lambda x, i: (i == 0) | ~kinds[x["event_type"]].eqNullSafe(kinds[F.get("events", i - 1)["event_type"]]))
+    runs = e.select("user_id", F.explode(F.arrays_zip(heads.alias("head"), R.merge_cigar(ops).alias("run"))).alias("x"))
+    return runs.select("user_id", F.col("x.head.event_type").alias("event_type"), F.col("x.head.event_id").alias("first_event"), F.col("x.run.len").cast("long").alias("n_events"))
 
 
 def _nation_header(spark, d) -> DataFrame:
@@ -334,7 +339,7 @@ def stored_bases(spark, d):
 def resolved_features(spark, d):
     """Features with their reference base and what they stand for, from chunks of the reference."""
     reads = _featured(spark, d)
-    chunks = S.reference_chunks(reads.select("ref_id", F.col("ref").alias("seq")).distinct(), 64)
+    chunks = S.reference_chunks(_nation_refs(spark, d).withColumnRenamed("ref", "seq"), 64)
     one = F.transform("features", lambda x: x.withField("num", F.when(x["code"] == "X", F.lit(2)).otherwise(x["num"])))
     rows = reads.select(*_KEY, F.col("ref_id").alias("sequence_id"), "start", R.length_on_ref(F.col("features"), F.lit(20)).alias("length_on_ref"), one.alias("features"))
     done = O.resolve_features(rows, chunks, 64, _KEY, F.array(*[F.lit(0b00011011)] * 5))
@@ -371,7 +376,7 @@ def placed_features(spark, d):
 def reference_join(spark, d):
     """The reference under every read, put together from chunks of 64 bases."""
     reads = _featured(spark, d)
-    refs = reads.select("ref_id", F.col("ref").alias("seq")).distinct()
+    refs = _nation_refs(spark, d).withColumnRenamed("ref", "seq")
     rows = reads.select(*_KEY, F.col("ref_id").alias("sequence_id"), "start", R.length_on_ref(F.col("features"), F.lit(20)).alias("length_on_ref"))
     return O.with_reference(rows, S.reference_chunks(refs, 64), 64, _KEY).select(*_KEY, F.col("ref").alias("ref_bases"))
 

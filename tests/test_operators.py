@@ -190,3 +190,30 @@ def test_kernels_get_no_null_lists(spark):
     for df in (text, rows.select(R.features_from_alignment(F.col("cigar"), F.col("read_bases"), F.col("start"), F.lit("C"), F.col("start"), F.col("quals")))):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "coalesce(quals" in plan and "coalesce(cigar" in plan
+
+
+def test_many_regions_meet_reads_in_fitting_bins(spark):
+    """Beyond an index, bins are as narrow as reads and regions are; a long region and a long read still meet all that they overlap."""
+    from readloom.operators.region_index import fitting_width
+
+    rng = random.Random(9)
+    reads = [(i, i % 2, rng.randint(0, 4000), rng.choice([None, 0, 5, 40])) for i in range(300)] + [(300, 0, 10, 3000), (301, None, 5, 5)]
+    regions = [(k, k % 2, a := rng.randint(0, 4000), a + rng.randint(0, 30)) for k in range(300)] + [(300, 0, 0, 4000), (301, 1, 7, None)]
+    a = spark.createDataFrame(reads, "id int, sequence_id int, start int, length_on_ref int")
+    b = spark.createDataFrame(regions, "region_id int, sequence_id int, region_start int, region_end int")
+    assert fitting_width(a, b) == 64 and fitting_width(a, b.filter("region_id = 300")) == 4096
+    got = sorted((r["id"], r["region_id"]) for r in O.region_join(a, b, most=10).collect())
+    want = sorted((i, k) for i, s, at, n in reads for k, q, lo, hi in regions if s is not None and hi is not None and s == q and lo < hi and at < hi and at + max(1, n or 1) > lo)
+    assert got == want and len(want) > 300
+
+
+def test_runs_do_not_carry_all_events(spark, tmp_path):
+    """A user's runs are told from their own events, without all of the user's events in the row of each run."""
+    from readloom.plans.alignment_queries import run_merge
+
+    rows = [(i, 1, "view" if i // 3 % 2 else "click") for i in range(3000)] + [(5000, 2, "error")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = run_merge(spark, str(tmp_path))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = [(1, "view" if k % 2 else "click", 3 * k, 3) for k in range(1000)] + [(2, "error", 5000, 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
