@@ -134,8 +134,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def kept_by(df: DataFrame, key: str, name: str) -> DataFrame:
-    """The same as a table bucketed by `key`: later joins on it move only their other side."""
+def kept_by(df: DataFrame, key: str, name: str, dealt: bool = False) -> DataFrame:
+    """The same as a table bucketed by `key`: later joins on it move only their other side.
+
+    dealt: a shuffle has put rows of equal key into one task already, so none is made for it; a task writes a file for each of its buckets.
+    """
     spark, made = df.sparkSession, f"readloom_{name}_{uuid.uuid4().hex}"
     n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{scratch_dir(spark)}/{made}"
 
@@ -143,7 +146,7 @@ def kept_by(df: DataFrame, key: str, name: str) -> DataFrame:
         spark.sql(f"drop table if exists {made}")
         _deleted(spark, path)
 
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(made)
+    (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(made)
     out = spark.table(made)
     _made(out, give_back)
     return out

@@ -364,8 +364,9 @@ class JaccardJoin:
         rows = prefixes.select("id", "n", "own", F.explode("prefix").alias("h")).select("h", "id", "n", "own")
         stars = kept(self._region_stars(rows).filter("p <> x"), "stars")
         ids = stars.select(F.col("p").alias("doc_id")).unionByName(stars.select(F.col("x").alias("doc_id"))).distinct()
-        texts = self.docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-        self.items = kept_by(texts.mapInArrow(lean(_counted(self.width)), f"id {self.id_type}, text string, counts binary"), "id", "items")
+        # this join deals the texts by id, which is how the table keeps them: they are shuffled once
+        texts = self.docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
+        self.items = kept_by(texts.mapInArrow(lean(_counted(self.width)), f"id {self.id_type}, text string, counts binary"), "id", "items", dealt=True)
         # each member first meets one pivot, the lowest in rank of all its regions' pivots, then those pivots it is not yet connected to
         best = stars.groupBy("x", "nx").agg(F.min(F.struct("rp", "p", "np")).alias("v")).select("v.p", "x", "v.np", "nx")
         first = self._measured(best)

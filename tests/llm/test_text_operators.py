@@ -460,6 +460,27 @@ def test_deduplicated(docs, empty):
     assert ngram_join.JaccardJoin(empty).result().count() == 0
 
 
+def test_jaccard_join_shuffles_texts_once_for_its_table(spark):
+    rng, docs = random.Random(3), []
+    for i in range(100):
+        words = [f"{rng.getrandbits(40):010x}" for _ in range(300)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-3]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).cache()
+    df.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where neither side is small
+    try:
+        before = written()
+        rows = ngram_join.JaccardJoin(df).result().collect()
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+        df.unpersist()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in rows)
+    assert moved < 3.3 * sum(len(t) for _, t in docs)  # 2.9 with one shuffle of the texts, 3.8 with two
+
+
 # ---------------------------------------------------------------- 9
 
 
