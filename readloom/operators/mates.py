@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 from readloom.functions.pairs import template_length
 from readloom.model import ArgumentError, MalformedInputError
@@ -50,15 +54,97 @@ def pair_template_lengths(reads: DataFrame, mate: str, key: list[str], read_leng
     return joined.withColumn("template_length", template_length(F.col("start"), F.col(read_length), F.col("mate_start"), F.col("mate_length")))
 
 
-def mate_chains(reads: DataFrame, key: list[str], max_steps: int = 64) -> DataFrame:
+def _heads(links: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, head) of each of n rows and the first row of the chain that it is on; links[i] is the row that i points at, or -1.
+
+    A row that several rows point at comes once for each way to it.
+    """
+    source = np.flatnonzero(links >= 0)
+    target = links[source]
+    free = np.ones(n, bool)
+    free[target] = False
+    row, up = np.concatenate((np.flatnonzero(free), target)), np.concatenate((np.flatnonzero(free), source))
+    order = np.argsort(row, kind="stable")
+    row, up = row[order], up[order]
+    while True:
+        first = np.searchsorted(row, np.arange(n + 1))
+        ways = np.diff(first)[up]
+        nth = np.arange(ways.sum()) - np.repeat(np.cumsum(ways) - ways, ways)
+        above = up[np.repeat(first[up], ways) + nth]
+        row, old = np.repeat(row, ways), np.repeat(up, ways)
+        if (above == old).all():
+            return row, above
+        up = above
+
+
+def _block_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of blocks, each block's first marked, its rows in order of record numbers: with the chain that each is on.
+
+    Blocks that are whole go on; the last one of a batch waits for the next batch, so a block at most is held beside a batch.
+    """
+
+    def chained(rows: pa.RecordBatch) -> pa.RecordBatch:
+        begins = rows.column("begins_").to_numpy(zero_copy_only=False).astype(bool)
+        no, block = rows.column("no_").to_numpy(), np.cumsum(begins) - 1
+        known = np.flatnonzero(~np.asarray(rows.column("to_").is_null()))
+        to = rows.column("to_").fill_null(-1).to_numpy()[known]
+        # record numbers as distances from their block's first, below the width of a block: one order over all blocks
+        base, width = no[np.flatnonzero(begins)], int((no - no[np.flatnonzero(begins)][block]).max()) + 1
+        inside = (to - base[block[known]] >= 0) & (to - base[block[known]] < width)
+        known, to = known[inside], to[inside]
+        place = block * width + no - base[block]
+        wanted = block[known] * width + to - base[block[known]]
+        at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+        links = np.full(len(no), -1)
+        links[known] = np.where(place[at] == wanted, at, -1)
+        row, head = _heads(links, len(no))
+        kept = rows.select([c for c in rows.schema.names if c not in ("begins_", "no_", "to_")])
+        if len(row) != len(no):
+            kept = kept.take(pa.array(row))
+        return pa.RecordBatch.from_arrays([*kept.columns, pa.array(no[head])], [*kept.schema.names, "chain"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        starts = np.flatnonzero(batch.column("begins_").to_numpy(zero_copy_only=False))
+        if not len(starts):
+            held.append(batch)
+            continue
+        whole = [*held, *([batch.slice(0, starts[-1])] if starts[-1] else [])]
+        held = [batch.slice(starts[-1])]
+        if whole:
+            yield chained(pa.concat_batches(whole))
+    if held:
+        yield chained(pa.concat_batches(held))
+
+
+def mate_chains(reads: DataFrame, key: list[str], max_steps: int = 64, block: int = 1 << 14) -> DataFrame:
     """Reads with `chain`, the first record number of the chain of mate pointers (rec_no -> mate_no, forward) that they are on.
 
-    Pointers are doubled in every step, so a chain of n segments takes log2(n) joins; pointers that go back raise, and so do chains
-    that `max_steps` doublings don't end. Record numbers are unique within a key; a pointer to no read is the start of a chain there.
+    Pointers that go back raise. Where none leaves its block of `block` record numbers, which one look at the pointers tells, a task goes
+    once over its blocks in order and nothing is joined. Otherwise pointers are doubled in joins, so a chain of n segments takes log2(n)
+    of them, and chains that `max_steps` doublings don't end raise. Record numbers are unique within a key; a pointer to no read is the
+    start of a chain there; reads with a null in their key or number are on none and don't occur.
     """
-    links = reads.filter("mate_no is not null").select(*key, F.col("mate_no").alias("rec_no"), F.col("rec_no").alias("up"))
-    if not links.filter("up >= rec_no").isEmpty():
+    of = lambda c: F.floor(F.col(c) / block).cast("long")
+    back, far = reads.filter("mate_no is not null").agg(F.bool_or(F.col("rec_no") >= F.col("mate_no")), F.bool_or(of("rec_no") != of("mate_no"))).first()
+    if back:
         raise MalformedInputError("a mate pointer does not point forward")
+    if far:
+        return _doubled(reads, key, max_steps)
+    others = [c for c in reads.columns if c not in (*key, "rec_no")]
+    rows = reads.dropna(subset=[*key, "rec_no"]).withColumn("block_", of("rec_no"))
+    w = Window.partitionBy(*key, "block_").orderBy("rec_no")
+    rows = rows.select(*key, "rec_no", *others, (F.row_number().over(w) == 1).alias("begins_"), F.col("rec_no").cast("long").alias("no_"), F.col("mate_no").cast("long").alias("to_"))
+    number = reads.schema["rec_no"].dataType
+    schema = T.StructType([*rows.schema.fields[:-3], T.StructField("chain", T.LongType())])
+    return rows.mapInArrow(_block_chains, schema).withColumn("chain", F.col("chain").cast(number))
+
+
+def _doubled(reads: DataFrame, key: list[str], max_steps: int) -> DataFrame:
+    """The same by joins, for chains of any reach."""
+    links = reads.filter("mate_no is not null").select(*key, F.col("mate_no").alias("rec_no"), F.col("rec_no").alias("up"))
     heads, last = reads.select(*key, "rec_no").join(links, [*key, "rec_no"], "left").withColumn("up", F.coalesce("up", F.col("rec_no"))), None
     for _ in range(max_steps):
         above = heads.select(*key, F.col("rec_no").alias("up"), F.col("up").alias("up2"))

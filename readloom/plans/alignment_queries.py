@@ -91,6 +91,7 @@ def template_length(spark, d):
 def mate_chain_lengths(spark, d):
     a = alignments(spark, d).withColumn("rec_no", F.row_number().over(Window.partitionBy("read_name").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
     a = a.withColumn("mate_no", F.when((F.col("rec_no") % 4 != 0) & F.col("next_start").isNotNull(), F.col("rec_no") + 1))
+    a = a.select("unique_id", "read_name", "rec_no", "mate_no", "start", "read_length")
     return O.chain_template_lengths(O.mate_chains(a, ["read_name"]), ["read_name"]).select("unique_id", "chain", "template_length")
 
 

@@ -148,6 +148,27 @@ def test_chains(spark):
         O.mate_chains(spark.createDataFrame([("s", 1, 0)], "slice string, rec_no int, mate_no int"), ["slice"])
 
 
+@pytest.mark.parametrize("block", [1 << 14, 8])
+def test_chains_are_those_of_a_walk(spark, block):
+    """Chains that wander over each other, pointers to no read, reads that two point at, null keys; with pointers within blocks and beyond them."""
+    rng = random.Random(7)
+    rows, want = [], []
+    for k in range(40):
+        numbers = sorted(rng.sample(range(60), rng.randint(1, 40)))
+        heads: dict[int, list[int]] = {}
+        for i, no in enumerate(numbers):
+            to = rng.choice([None, no + rng.randint(1, 5), rng.choice(numbers[i + 1 : i + 6] or [None])])
+            rows.append((f"s{k}", no, to, k * 100 + no))
+            for head in heads.get(no, [no]):
+                want.append((f"s{k}", no, k * 100 + no, head))
+                heads.setdefault(to, []).append(head)
+    rows += [(None, 1, 2, -1), (None, 2, None, -2)]
+    df = spark.createDataFrame(rows, "slice string, rec_no int, mate_no int, at int").repartition(5)
+    got = O.mate_chains(df, ["slice"], block=block)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("slice", "string"), ("rec_no", "int"), ("mate_no", "int"), ("at", "int"), ("chain", "int")]
+    assert sorted((r["slice"], r["rec_no"], r["at"], r["chain"]) for r in got.collect()) == sorted(want)
+
+
 def test_coverage(spark):
     df = spark.createDataFrame([(0, 5, 10), (0, 8, 4), (0, 15, None), (1, 0, 2)], "sequence_id int, start int, length_on_ref int")
     got = sorted(tuple(r) for r in O.coverage_depth(df, 4).collect())
