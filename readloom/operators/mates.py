@@ -194,5 +194,7 @@ def associate_mates(reads: DataFrame, key: list[str]) -> DataFrame:
 
 def propagate_names(chained: DataFrame, key: list[str], unique: str = "unique_id") -> DataFrame:
     """Reads without a stored name get that of their chain: its first read's name, or else that read's unique id as text."""
-    head = chained.filter(F.col("rec_no") == F.col("chain")).select(*key, "chain", F.coalesce("read_name", F.col(unique).cast("string")).alias("chain_name"))
-    return chained.join(head, [*key, "chain"]).withColumn("read_name", F.coalesce("read_name", "chain_name")).drop("chain_name")
+    others = [c for c in chained.columns if c not in (*key, "chain")]
+    head, w = F.col("rec_no") == F.col("chain"), Window.partitionBy(*key, "chain")
+    names = chained.dropna(subset=[*key, "chain"]).withColumns({"head_": F.bool_or(head).over(w), "chain_name": F.max(F.when(head, F.coalesce("read_name", F.col(unique).cast("string")))).over(w)})
+    return names.filter("head_").withColumn("read_name", F.coalesce("read_name", "chain_name")).select(*key, "chain", *others)

@@ -403,6 +403,7 @@ def lossy_names(spark, d):
     w = Window.partitionBy("read_name").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     a = alignments(spark, d).withColumns({"rec_no": F.row_number().over(w), "slice": F.col("read_name"), "n": F.count(F.lit(1)).over(Window.partitionBy("read_name"))})
     a = a.withColumns({"mate_no": F.when((F.col("rec_no") % 3 != 0) & (F.col("rec_no") < F.col("n")), F.col("rec_no") + 1), "read_name": F.when(F.col("l_suppkey") % 4 == 0, F.concat(F.lit("n"), F.col("l_partkey").cast("string")))})
+    a = a.select("unique_id", "slice", "rec_no", "mate_no", "read_name")
     return O.propagate_names(O.mate_chains(a, ["slice"]), ["slice"]).select("unique_id", "read_name")
 
 

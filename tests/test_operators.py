@@ -169,6 +169,13 @@ def test_chains_are_those_of_a_walk(spark, block):
     assert sorted((r["slice"], r["rec_no"], r["at"], r["chain"]) for r in got.collect()) == sorted(want)
 
 
+def test_chains_and_names_need_no_join(spark):
+    df = spark.createDataFrame([("s", 0, 1, "a", 5), ("s", 1, None, None, 6), ("s", 2, 3, None, 7), ("s", 3, None, None, 8)], "slice string, rec_no int, mate_no int, read_name string, unique_id int")
+    named = O.propagate_names(O.mate_chains(df, ["slice"]), ["slice"])
+    assert sorted((r["unique_id"], r["read_name"]) for r in named.collect()) == [(5, "a"), (6, "a"), (7, "7"), (8, "7")]
+    assert "Join" not in named._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_coverage(spark):
     df = spark.createDataFrame([(0, 5, 10), (0, 8, 4), (0, 15, None), (1, 0, 2)], "sequence_id int, start int, length_on_ref int")
     got = sorted(tuple(r) for r in O.coverage_depth(df, 4).collect())
