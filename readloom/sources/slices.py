@@ -43,8 +43,8 @@ def slice_index(spark: SparkSession, path: str) -> DataFrame:
 
 def _opened(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
     """The rows of some of the files; with none named, no rows."""
-    every = spark.read.parquet(f"{path}/reads")
-    return spark.read.schema(every.schema).parquet(*files) if files else spark.createDataFrame([], every.schema)
+    schema = spark.read.parquet(files[0] if files else f"{path}/reads").schema
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
 
 
 def read_range(spark: SparkSession, path: str, sequence_id: int, start, end) -> DataFrame:
@@ -54,7 +54,12 @@ def read_range(spark: SparkSession, path: str, sequence_id: int, start, end) ->
 
 
 def read_regions(spark: SparkSession, path: str, regions: DataFrame, width: int = 1 << 14) -> DataFrame:
-    """Every read with every region (region_id, sequence_id, region_start, region_end) that it lies in, from the files that the index names."""
+    """Every read with every region (region_id, sequence_id, region_start, region_end) that it lies in, from the files that the index names.
+
+    Paths are listed one by one, which for many takes longer than reading them: where most files are named, the folder is opened instead.
+    """
     index = slice_index(spark, path).select("file", "sequence_id", "start", F.col("span").cast("int").alias("length_on_ref"))
-    named = range_join(index.filter("sequence_id is not null and start is not null"), regions, width).select("file").distinct().sort("file")
-    return range_join(_opened(spark, path, [r["file"] for r in named.collect()]), regions, width)
+    named = range_join(index.filter("sequence_id is not null and start is not null"), regions, width).select("file").distinct()
+    if 2 * named.count() > index.select("file").distinct().count():
+        return range_join(spark.read.parquet(f"{path}/reads"), regions, width)
+    return range_join(_opened(spark, path, [r["file"] for r in named.sort("file").collect()]), regions, width)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -62,6 +63,19 @@ def test_slice_regions(spark, reads, sliced):
     assert sorted((r["id"], r["region_id"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("n, most", [(30, False), (160, True)])
+def test_slice_regions_list_few_paths(spark, reads, sliced, n, most):
+    """Where most files are named the folder is opened, not a path for each; else only those named are."""
+    regions = spark.createDataFrame([(k, 0 if not most else k % 4 - 1, 40 * (k // 4), 40 * (k // 4) + 200) for k in range(0, 4 * n, 1 if most else 40)], "region_id int, sequence_id int, region_start int, region_end int")
+    got = S.read_regions(spark, sliced, regions, 64)
+    every = len(spark.read.parquet(f"{sliced}/reads").inputFiles())
+    paths = re.search(r"InMemoryFileIndex\((\d+) paths\)", got._jdf.queryExecution().executedPlan().toString())
+    assert (int(paths[1]) == 1 and len(got.inputFiles()) == every) if most else len(got.inputFiles()) == int(paths[1]) < every / 2
+    asked = regions.collect()
+    want = sorted((r["id"], g["region_id"]) for r in reads.collect() for g in asked if r["sequence_id"] == g["sequence_id"] and inside(r, g["sequence_id"], g["region_start"], g["region_end"]))
+    assert sorted((r["id"], r["region_id"]) for r in got.collect()) == want
+
+
 def test_no_slices(spark, reads, tmp_path):
     S.write_slices(reads.limit(0), str(tmp_path / "none"))
     assert S.read_range(spark, str(tmp_path / "none"), 0, 0, 100).count() == 0 and S.slice_index(spark, str(tmp_path / "none")).count() == 0
