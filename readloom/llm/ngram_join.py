@@ -381,9 +381,10 @@ class JaccardJoin:
             live = self._live(members, labels)
             found = self._measured(self._leaf_pairs(live, leaf)).unionByName(self._verified(self._crowded(live, leaf))).filter("linked")
             links = links.unionByName(found)
+            labels = labels if found.isEmpty() else self._merged(labels, found)  # every round's, not only the last one's
             large = live.filter((F.col("cross") > leaf * F.col("m")) & (F.col("m") > self.room))
             if large.isEmpty():
-                return links.select("p", "x", "d").distinct(), labels if found.isEmpty() else self._merged(labels, found)
+                return links.select("p", "x", "d").distinct(), labels
             # pivots: the member nearest to the last pivot (k = -1), and by bucket of rank members outside the largest cell
             outer = large.filter("label <> main").groupBy("h", F.pmod("rank", F.lit(n_pivots)).alias("k")).agg(F.min(F.struct("rank", "id", "n", "label")).alias("v")).select("h", "k", "v.id", "v.n", "v.label")
             nearest = large.groupBy("h").agg(F.min(F.struct(F.coalesce("d", F.lit(2.0)).alias("at"), "rank", "id", "n", "label")).alias("v")).select("h", F.lit(-1).cast("long").alias("k"), "v.id", "v.n", "v.label")

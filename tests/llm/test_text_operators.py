@@ -452,6 +452,25 @@ def test_join_finds_clusters_without_a_middle(spark):
     assert {(min(r["p"], r["x"]), max(r["p"], r["x"])) for r in every.links.collect()} == links
 
 
+def test_join_keeps_small_groups_beside_a_region_of_many_rounds(spark):
+    """Small groups, linked by pairs of a leaf, are done a round before a region that shares a passage and has more members than room."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.getrandbits(40)}"
+    rows = []
+    for _ in range(20):
+        base = [word() for _ in range(60)]
+        for _ in range(6):
+            own = list(base)
+            own[rng.randrange(60)] = word()
+            rows.append((len(rows), " ".join(own)))
+    base = [word() for _ in range(20)]
+    rows += [(200 + i, " ".join([*base, *(word() for _ in range(rng.randint(2, 4)))])) for i in range(60)]
+    want, _ = brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in ngram_join.JaccardJoin(docs, leaf=1, room=8).result().collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_deduplicated(docs, empty):
     kept = ngram_join.deduplicated(docs)
     assert kept.columns == docs.columns
